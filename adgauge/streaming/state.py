@@ -1,0 +1,50 @@
+"""The first-seen-anchored rate rule as keyed state."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+OUTPUT = "key string, impression_id string, t bigint, window_count bigint, rate_exceeded boolean"
+STATE = "anchor bigint, seen bigint"
+
+
+def stream_rate(
+    stream: DataFrame, key: str = "ip", ts: str = "timestamp_utc", limit: int = 100,
+    window_seconds: int = 60, ttl_seconds: int = 300, delay: str = "10 minutes",
+) -> DataFrame:
+    """Per event the count inside its key's anchored window, kept across micro-batches.
+
+    State is two numbers per key and is dropped once the anchor is `ttl_seconds` behind the
+    watermark. The source's rate cap bounds the rows of one key in a micro-batch.
+    """
+    window = window_seconds * 1_000_000
+
+    def fold(group: tuple, batches, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        anchor, seen = state.get if state.exists else (None, 0)
+        rows = pd.concat(list(batches)).sort_values(["t", "impression_id"])
+        counts = []
+        for t in rows["t"]:
+            if anchor is None or t - anchor >= window:
+                anchor, seen = int(t), 0
+            seen += 1
+            counts.append(seen)
+        state.update((anchor, seen))
+        expiry = anchor // 1000 + ttl_seconds * 1000
+        state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({
+            "key": group[0], "impression_id": rows["impression_id"], "t": rows["t"],
+            "window_count": counts, "rate_exceeded": [c > limit for c in counts],
+        })
+
+    timed = stream.withWatermark(ts, delay).select(
+        F.col(key).alias("key"), "impression_id", F.unix_micros(F.col(ts)).alias("t"), ts
+    )
+    return timed.groupBy("key").applyInPandasWithState(
+        fold, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout
+    )
