@@ -50,8 +50,11 @@ def _keep(name: str) -> Column:
     return F.coalesce(F.col(f"c.{name}"), F.col(name))
 
 
-def create_panelists(feed: DataFrame, now: Column) -> DataFrame:
-    """New panelist rows from registration requests: hashes, age range, consent, defaults."""
+def create_panelists(feed: DataFrame, now: Column, carry: tuple[str, ...] = ()) -> DataFrame:
+    """New panelist rows from registration requests: hashes, age range, consent, defaults.
+
+    `carry` names further feed columns to keep as they are.
+    """
     consent, stamp = derive_consent("consent_given", "consent_gdpr", "consent_ccpa", now)
     hashed_phone = hash_phone("phone")
     return feed.select(
@@ -72,6 +75,7 @@ def create_panelists(feed: DataFrame, now: Column) -> DataFrame:
         F.lit(True).alias("is_active"),
         now.alias("created_at"),
         now.alias("updated_at"),
+        *carry,
     )
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adgauge.operators.changes import last_per_key
-from adgauge.session import shared_dir
 
 
 def append(df: DataFrame, path: str, partitions: tuple[str, ...] = ("campaign_id", "processing_batch_id")) -> None:
@@ -54,20 +53,21 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def upsert_batch(
-    batch: DataFrame, batch_id: int, target: str, key: str = "tracking_hash",
+    batch: DataFrame, batch_id: int, target: str, work: str, key: str = "tracking_hash",
     order: tuple[str, ...] = ("processed_at", "event_id"), partition: str = "date",
 ) -> None:
     """Merges a micro-batch into a Parquet table partitioned by `partition`; last write wins.
 
     Only partitions that receive rows or lose rows (a key may move to another date) are rewritten.
-    The new content is complete in the shared folder before the table changes, and a replay of
-    the same batch picks it up from there, so a lost executor or driver cannot lose rows.
+    The new content is complete under `work` (the stream's checkpoint folder) before the table
+    changes, and a replay of the same batch picks it up from there, so a lost executor or driver
+    cannot lose rows.
     """
     spark = batch.sparkSession
     if batch.isEmpty():
         return
-    name = target.strip("/").replace("/", "_").replace(":", "_")
-    staged = f"{shared_dir(spark)}/upsert/{name}/batch={batch_id}"
+    staged = f"{work}/upsert/batch={batch_id}"
+    _remove(spark, f"{work}/upsert/batch={batch_id - 2}")
     if not _exists(spark, f"{staged}/done"):
         latest = last_per_key(batch, key, list(order))
         touched = latest.select(partition).distinct()

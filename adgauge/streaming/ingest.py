@@ -60,7 +60,7 @@ def run_ingest(
                 .option("partitionOverwriteMode", "dynamic")
                 .partitionBy("batch_id", "year", "month", "day").parquet(staging)
             )
-            sinks.upsert_batch(events.staging_columns(rows), batch_id, target)
+            sinks.upsert_batch(events.staging_columns(rows), batch_id, target, checkpoint)
             sinks.write_dead_letters(rejected, f"{dead_letters}/batch_id={batch_id}", stamp)
         finally:
             batch.unpersist()
