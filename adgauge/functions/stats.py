@@ -33,6 +33,12 @@ def stars(p) -> Column:
     return ladder.otherwise("ns")
 
 
+def round_even(value, places: int) -> Column:
+    """Half-even rounding of the scaled double, as the IEEE operation does it."""
+    scale = F.lit(float(10**places))
+    return F.rint(as_col(value) * scale) / scale
+
+
 def mean_ci(mean, sd, n, confidence: float = 0.95) -> tuple[Column, Column]:
     """Normal interval of a mean, rounded half-even to 2; below two values it is the mean."""
     m = as_col(mean)
@@ -41,8 +47,8 @@ def mean_ci(mean, sd, n, confidence: float = 0.95) -> tuple[Column, Column]:
     )
     small = as_col(n) < 2
     return (
-        F.when(small, m).otherwise(F.bround(m - margin, 2)),
-        F.when(small, m).otherwise(F.bround(m + margin, 2)),
+        F.when(small, m).otherwise(round_even(m - margin, 2)),
+        F.when(small, m).otherwise(round_even(m + margin, 2)),
     )
 
 

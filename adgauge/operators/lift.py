@@ -163,11 +163,11 @@ def lift_by_question(values: DataFrame, now: Column | None = None) -> DataFrame:
         (F.col("exposed_n") > 0) & (F.col("control_n") > 0)
     )
     for arm in ("exposed", "control"):
-        mean = F.bround(f"{arm}_raw", 2)
+        mean = stats.round_even(f"{arm}_raw", 2)
         m = m.withColumn(f"{arm}_mean", mean)
         m = m.withColumn(
             f"{arm}_std_dev",
-            F.bround(F.sqrt(F.col(f"{arm}_vp") + (F.col(f"{arm}_raw") - F.col(f"{arm}_mean")) ** 2), 2),
+            stats.round_even(F.sqrt(F.col(f"{arm}_vp") + (F.col(f"{arm}_raw") - F.col(f"{arm}_mean")) ** 2), 2),
         )
         low, high = stats.mean_ci(f"{arm}_mean", f"{arm}_std_dev", f"{arm}_n")
         m = m.withColumns({f"{arm}_ci_lower": low, f"{arm}_ci_upper": high})
@@ -181,12 +181,12 @@ def lift_by_question(values: DataFrame, now: Column | None = None) -> DataFrame:
         F.try_divide(F.col("exposed_raw") - F.col("control_raw"), error),
     ).otherwise(F.lit(0.0))
     m = m.withColumn("_t", raw_t).withColumns({
-        "absolute_lift": F.bround(gap, 2),
+        "absolute_lift": stats.round_even(gap, 2),
         "lift_pct": F.when(
-            F.col("control_mean") > 0, F.bround(gap / F.col("control_mean") * 100, 2)
+            F.col("control_mean") > 0, stats.round_even(gap / F.col("control_mean") * 100, 2)
         ).otherwise(F.lit(0.0)),
         "p_value": F.when(enough, stats.step_p("_t")).otherwise(F.lit(1.0)),
-        "t_statistic": F.bround("_t", 3),
+        "t_statistic": stats.round_even("_t", 3),
         "degrees_of_freedom": F.when(enough, F.col("exposed_n") + F.col("control_n") - 2),
         "metric_display_name": metric_label("metric_name"),
     })

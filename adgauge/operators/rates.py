@@ -78,9 +78,17 @@ def points(df: DataFrame, key: str, ts: str) -> DataFrame:
     )
 
 
-def attach(df: DataFrame, values: DataFrame, key: str, ts: str) -> DataFrame:
-    """Joins per-instant values back to the events; the instant in the key spreads a hot key."""
+def attach(
+    df: DataFrame, values: DataFrame, key: str, ts: str, tie: str | None = None
+) -> DataFrame:
+    """Joins per-instant values back to the events; the instant in the key spreads a hot key.
+
+    With `tie`, `_place` numbers the events of an instant in that order, over the same shuffle.
+    """
     keyed = df.withColumns({"_k": F.col(key), "_t": F.unix_micros(F.col(ts))})
+    if tie:
+        same = Window.partitionBy("_k", "_t").orderBy(tie)
+        keyed = keyed.withColumn("_place", F.row_number().over(same))
     right = values.withColumnsRenamed({"key": "_k", "t": "_t"})
     return keyed.join(right, ["_k", "_t"], "left").drop("_k", "_t")
 
@@ -138,7 +146,7 @@ def ip_rate(
     per_minute: int = 100, per_hour: int = 1000,
 ) -> DataFrame:
     """Adds n_minute, n_hour (current event included) and the two limit flags."""
-    counts = trailing_counts(points(df, key, ts), {"n_minute": 60, "n_hour": 3600})
+    counts = trailing_counts(cut(points(df, key, ts)), {"n_minute": 60, "n_hour": 3600})
     return attach(df, counts, key, ts).withColumns({
         "minute_exceeded": F.col("n_minute") > per_minute,
         "hour_exceeded": F.col("n_hour") > per_hour,
@@ -146,7 +154,7 @@ def ip_rate(
 
 
 def rapid(df: DataFrame, key: str = "ip", ts: str = "timestamp_utc", gap_ms: int = 100) -> DataFrame:
-    return attach(df, rapid_instants(points(df, key, ts), gap_ms), key, ts)
+    return attach(df, rapid_instants(cut(points(df, key, ts)), gap_ms), key, ts)
 
 
 def fingerprint_rate(
@@ -154,7 +162,7 @@ def fingerprint_rate(
     overused: int = 1000, suspicious: int = 500,
 ) -> DataFrame:
     """Adds n_day and the usage class of the fingerprint over the trailing 24 hours."""
-    counts = trailing_counts(points(df, key, ts), {"n_day": 86400})
+    counts = trailing_counts(cut(points(df, key, ts)), {"n_day": 86400})
     usage = F.when(F.col("n_day") > overused, "overused").when(
         F.col("n_day") > suspicious, "suspicious"
     ).otherwise("normal")
@@ -222,11 +230,8 @@ def anchored_rate(
         before, ["key"], "t", cell, {"base": ("max", F.when(F.col("anchor"), F.col("before")))}
     )
     offsets = based.select("key", "t", (F.col("before") - F.col("base")).alias("_offset"))
-    place = F.row_number().over(
-        Window.partitionBy(key, F.unix_micros(F.col(ts))).orderBy(tie)
-    )
     return (
-        attach(df.withColumn("_place", place), offsets, key, ts)
+        attach(df, offsets, key, ts, tie)
         .withColumn("window_count", F.when(F.col(key).isNotNull(), F.col("_offset") + F.col("_place")))
         .withColumn("rate_exceeded", F.coalesce(F.col("window_count") > limit, F.lit(False)))
         .drop("_offset", "_place")
@@ -253,7 +258,7 @@ def _admit(rows: pd.DataFrame, limit: int, window: int) -> pd.DataFrame:
 
 def admitted_instants(
     pts: DataFrame, limit: int = 1000, window_seconds: float = 60.0,
-    cell_seconds: float = 10.0, slice_seconds: float = 600.0,
+    cell_seconds: float = 10.0, slice_seconds: float | None = None,
 ) -> DataFrame:
     """(key, t, n, admitted): how many events of the instant a sliding limiter lets in.
 
@@ -264,11 +269,13 @@ def admitted_instants(
     than one slice and one window of a key.
     """
     window = int(window_seconds * SECOND)
+    slice_size = int((slice_seconds or 10 * window_seconds) * SECOND)
     cell = _time_cell(cell_seconds)
+    pts = cut(pts)
     raw = trailing_counts(pts, {"raw": window_seconds}, cell_seconds, closed=True)
-    full = pts.join(raw, ["key", "t"]).withColumn("tight", F.col("raw") > limit)
+    full = cut(pts.join(raw, ["key", "t"]).withColumn("tight", F.col("raw") > limit))
     tight_t = F.when(F.col("tight"), F.col("t"))
-    last = running(full, ["key"], "t", cell, {"last": ("max", tight_t)}, inclusive=False)
+    last = cut(running(full, ["key"], "t", cell, {"last": ("max", tight_t)}, inclusive=False))
     fresh = F.col("tight") & (F.col("last").isNull() | (F.col("last") < F.col("t") - window))
     opened = running(
         last, ["key"], "t", cell, {"opened": ("max", F.when(fresh, F.col("t")))}
@@ -282,7 +289,7 @@ def admitted_instants(
     ).otherwise(F.col("following"))
     sliced = following.withColumn("block", F.when(near, block)).withColumn(
         "slice",
-        F.floor((F.col("t") - F.col("block") + window) / int(slice_seconds * SECOND)).cast("int"),
+        F.floor((F.col("t") - F.col("block") + window) / slice_size).cast("int"),
     )
     judged = cut(sliced.select("key", "t", "n", "block", "slice"))
     calm = judged.filter(F.col("block").isNull()).select("key", "t", "n", F.col("n").alias("admitted"))
@@ -301,7 +308,7 @@ def admitted_instants(
         rows.groupBy("key", "block").applyInPandas(
             lambda pdf: _admit(pdf, limit, window), shape
         ).write.parquet(f"{folder}/part={i}")
-        edge = F.col("block") - window + (i + 1) * int(slice_seconds * SECOND)
+        edge = F.col("block") - window + (i + 1) * slice_size
         done = pts.sparkSession.read.schema(shape).parquet(f"{folder}/part={i}")
         carried = done.filter((F.col("admitted") > 0) & (F.col("t") >= edge - window)).select(
             "block", F.lit(i + 1).alias("slice"), "key", "t",
@@ -322,11 +329,8 @@ def admitted(
 ) -> DataFrame:
     """Adds `allowed`: the sliding limiter's answer for each event, in (time, tie) order."""
     decided = admitted_instants(points(df, key, ts), limit, window_seconds)
-    place = F.row_number().over(
-        Window.partitionBy(key, F.unix_micros(F.col(ts))).orderBy(tie)
-    )
     return (
-        attach(df.withColumn("_place", place), decided.drop("n"), key, ts)
+        attach(df, decided.drop("n"), key, ts, tie)
         .withColumn("allowed", F.coalesce(F.col("_place") <= F.col("admitted"), F.lit(True)))
         .drop("_place", "admitted")
     )

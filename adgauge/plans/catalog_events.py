@@ -567,7 +567,7 @@ def _combined(v):
     confidence, is_bot, reasons = bots.combine_scores(
         bots.ua_score("user_agent"), bots.rate_score("ip", "n_minute", "n_hour", "rapid", 1, 2),
         bots.header_score("headers"), bots.fingerprint_score("fingerprint", "n_day", 20, 5),
-        threshold=0.65,
+        threshold=0.66,
     )
     return full.select("impression_id", confidence.alias("confidence"), is_bot.alias("is_bot"),
                        F.array_join(reasons, ",").alias("reasons"))
@@ -575,7 +575,7 @@ def _combined(v):
 
 query(
     "h11_combined_score", _combined,
-    f"""SELECT impression_id, confidence, confidence >= 0.65 AS is_bot, reasons FROM (
+    f"""SELECT impression_id, confidence, confidence >= 0.66 AS is_bot, reasons FROM (
       SELECT r.event_id AS impression_id, least(({UA_SQL} + {RATE_PARTS} + {HEADER_SCORE} + {FP_SCORE}) / 4, 1.0) AS confidence,
       concat_ws(',', nullif({UA_REASONS_SQL}, ''), nullif({RATE_REASONS}, ''), nullif({HEADER_REASONS}, ''), nullif({FP_REASONS}, '')) AS reasons
       FROM ({RATE_CTE}) r JOIN ({RAPID_20S}) x ON x.event_id = r.event_id JOIN ({FP_DAY}) f ON f.event_id = r.event_id)""",
@@ -777,6 +777,11 @@ query(
 query(
     "f06_sliding_admission",
     lambda v: rates.admitted(_raw_rows(v), limit=2, window_seconds=43200).select("impression_id", "allowed"),
+    """WITH RECURSIVE o AS (SELECT ip, event_id, epoch_us(timestamp) AS t, row_number() OVER (PARTITION BY ip ORDER BY timestamp, event_id) AS r FROM raw_events),
+      f AS (SELECT ip, event_id, r, [t] AS kept, true AS allowed FROM o WHERE r = 1
+        UNION ALL SELECT ip, event_id, r, CASE WHEN len(live) < 2 THEN list_append(live, t) ELSE live END, len(live) < 2
+        FROM (SELECT o.ip, o.event_id, o.r, o.t, list_filter(f.kept, lambda x: x >= o.t - 43200000000) AS live FROM f JOIN o ON o.ip = f.ip AND o.r = f.r + 1))
+    SELECT event_id AS impression_id, allowed FROM f""",
 )
 query(
     "f07_quota",

@@ -543,10 +543,10 @@ query(
 )
 query(
     "e29_lift_histogram",
-    lambda v: report.lift_histogram(v.lift),
-    """WITH b AS (SELECT min(lift_relative_pct) AS low, max(lift_relative_pct) AS high FROM lift)
+    lambda v: report.lift_histogram(v.lift.withColumn("lift_relative_pct", F.round("lift_relative_pct", 6))),
+    """WITH r AS (SELECT round(lift_relative_pct, 6) AS lift_relative_pct FROM lift), b AS (SELECT min(lift_relative_pct) AS low, max(lift_relative_pct) AS high FROM r)
     SELECT bin, low + (bin - 1) * ((high - low) / 10) AS bin_low, low + bin * ((high - low) / 10) AS bin_high, count(*) AS n FROM
-    (SELECT low, high, least(floor((lift_relative_pct - low) / ((high - low) / 10)) + 1, 10)::int AS bin FROM lift, b) GROUP BY bin, low, high""",
+    (SELECT low, high, least(floor((lift_relative_pct - low) / ((high - low) / 10)) + 1, 10)::int AS bin FROM r, b) GROUP BY bin, low, high""",
     rounded="bin_low bin_high",
 )
 query(

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from adgauge.functions.survey import batch_id
 from adgauge.operators import lift, matching
 from adgauge.operators.impressions import panelist_exposure
+from adgauge.session import cut
 
 
 @dataclass
 class Measurement:
-    """Tables of one run; all lazy but the model fit."""
+    """Tables of one run."""
 
     scored: DataFrame
     pairs: DataFrame
@@ -47,11 +48,14 @@ def measure_campaign(
         matching.fill_features(matching.campaign_panel(panelists, exposure, campaign_id))
     )
     if score is None:
+        panel = cut(panel)
         scored = matching.score(matching.fit_propensity(panel), panel)
     else:
         scored = panel.withColumn("propensity_score", score)
-    pairs = matching.match(scored, caliper, ratio)
-    balance = matching.balance(scored, pairs)
+    # Panel and pairs are read several times below; both are small next to the events.
+    scored = cut(scored)
+    pairs = cut(matching.match(scored, caliper, ratio))
+    balance = cut(matching.balance(scored, pairs))
     scores = matching.balance_score(balance)
     cohorts = matching.cohort_rows(pairs, scores, run_ts, first_impressions(mine))
     arms = matching.distinct_cohort(cohorts)

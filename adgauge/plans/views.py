@@ -17,6 +17,7 @@ from adgauge import schemas
 from adgauge.functions import survey as survey_rules
 from adgauge.functions.text import split_list
 from adgauge.operators import changes, events, impressions, lift, surveys
+from adgauge.session import cut
 from adgauge.sources.readers import event_body
 
 NOW = "2024-01-25 12:00:00"
@@ -297,11 +298,13 @@ class Views:
 
     @cached_property
     def scored(self) -> DataFrame:
-        """Study panels of every campaign a panelist may have answered for, closed-form score."""
+        """Study panels of the campaigns a panelist was asked about, with a closed-form score.
+
+        Matching reads its panel several times, so it is materialised once."""
         asked = self.answers.select("campaign_id", "panelist_id").distinct()
         pool = self.panelists.filter(F.col("consent_given") & F.col("is_active"))
         seen = self.exposure_counts.select("campaign_id", "panelist_id", F.lit(1).alias("exposed"))
-        return (
+        return cut(
             asked.join(pool, "panelist_id")
             .join(seen, ["campaign_id", "panelist_id"], "left")
             .withColumn("exposed", F.coalesce("exposed", F.lit(0)))
@@ -442,4 +445,8 @@ def sql(body: str) -> str:
 
     visit(body)
     ctes = [f"{name} AS ({text})" for name, text in SQL_VIEWS.items() if name in needed]
-    return ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + body
+    if not ctes:
+        return body
+    if body.lstrip().upper().startswith("WITH"):
+        body = f"SELECT * FROM ({body})"
+    return "WITH " + ",\n".join(ctes) + "\n" + body
