@@ -97,15 +97,15 @@ def rate_score(
 
 def header_score(headers) -> tuple[Column, Column]:
     """Header map, any key case. An empty or missing map scores nothing."""
-    m = lower_keys(headers)
+    names = header_names(headers)
     present = F.coalesce(F.size(as_col(headers)) > 0, F.lit(False))
     missing = F.array_except(
-        F.array(*[F.lit(h) for h in SCORE_COMMON_HEADERS]), F.map_keys(m)
+        F.array(*[F.lit(h) for h in SCORE_COMMON_HEADERS]), names
     )
-    accept = F.coalesce(F.try_element_at(m, F.lit("accept")), F.lit(""))
+    accept = F.coalesce(header_value(headers, "accept"), F.lit(""))
 
     def has(name: str) -> Column:
-        return F.map_contains_key(m, F.lit(name))
+        return F.array_contains(names, name)
 
     return _weigh([
         (present & (F.size(missing) >= 2), 0.4,
@@ -116,17 +116,15 @@ def header_score(headers) -> tuple[Column, Column]:
     ])
 
 
-def lower_keys(headers) -> Column:
-    """Header map with lower-case names; of names equal but for case the first is kept."""
-    entries = F.transform(
-        F.map_entries(as_col(headers)),
-        lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")),
-    )
-    unique = F.filter(
-        entries,
-        lambda e, i: F.array_position(F.transform(entries, lambda x: x["key"]), e["key"]) == i + 1,
-    )
-    return F.map_from_entries(unique)
+def header_names(headers) -> Column:
+    """Lower-case header names in map order; joined, lowered and split as one text."""
+    return F.split(F.lower(F.array_join(F.map_keys(as_col(headers)), "\n")), "\n")
+
+
+def header_value(headers, name: str) -> Column:
+    """Header by name in any case, null when absent; of names equal but for case the first."""
+    place = F.array_position(header_names(headers), name.lower()).cast("int") - 1
+    return F.get(F.map_values(as_col(headers)), place)
 
 
 def fingerprint_score(

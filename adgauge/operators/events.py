@@ -13,32 +13,37 @@ from adgauge.functions import agents, bots, geo, identity
 from adgauge.functions.text import any_token, as_col, is_blank, stable_id
 
 
-def decode_body(df: DataFrame, schema=schemas.TRACKING_EVENT) -> DataFrame:
-    """Adds `data` (decoded body) and `malformed` (the body is no JSON object of the schema)."""
+def decode_body(df: DataFrame, schema: StructType = schemas.TRACKING_EVENT) -> DataFrame:
+    """Adds `data` (decoded body) and `malformed` (the body is no JSON object of the schema).
+
+    The decoded struct comes out of a one-row generator. Filters on its fields cannot be moved
+    below a generator, so each body is decoded once however many fields are tested and read.
+    """
     with_corrupt = StructType(schema.fields[:]).add("_corrupt_record", "string")
     body = F.col("body").cast("string")
     decoded = F.from_json(body, with_corrupt, {"columnNameOfCorruptRecord": "_corrupt_record"})
-    return df.withColumn("_decoded", decoded).select(
-        "*",
+    return df.select("*", F.explode(F.array(decoded)).alias("_decoded")).select(
+        *df.columns,
         F.col("_decoded._corrupt_record").isNotNull().alias("malformed"),
-        F.struct(*[F.col("_decoded")[f.name].alias(f.name) for f in schema.fields]).alias("data"),
-    ).drop("_decoded")
+        F.struct(*[F.col(f"_decoded.{f.name}") for f in schema.fields]).alias("data"),
+    )
 
 
-def parse_events(df: DataFrame, processed_at: Column) -> DataFrame:
-    """Body with the fixed schema flattened, the envelope renamed, the event time cast."""
+def flatten_events(decoded: DataFrame, processed_at: Column) -> DataFrame:
+    """Decoded rows as event columns, the envelope renamed, the event time cast."""
     envelope = [
         F.col(source).alias(name)
         for source, name in schemas.ENVELOPE.items()
-        if source in df.columns
+        if source in decoded.columns
     ]
-    body = F.from_json(F.col("body").cast("string"), schemas.TRACKING_EVENT)
-    flat = df.select(body.alias("data"), *envelope).select("data.*", *[
-        name for source, name in schemas.ENVELOPE.items() if source in df.columns
-    ])
-    return flat.withColumn("timestamp", F.try_to_timestamp("timestamp")).withColumn(
-        "processed_at", processed_at
-    )
+    return decoded.select("data.*", *envelope).withColumns({
+        "timestamp": F.try_to_timestamp("timestamp"), "processed_at": processed_at,
+    })
+
+
+def parse_events(df: DataFrame, processed_at: Column) -> DataFrame:
+    """Raw bodies as event columns; a body that does not decode gives null fields."""
+    return flatten_events(decode_body(df), processed_at)
 
 
 def validity(df: DataFrame) -> DataFrame:
@@ -54,8 +59,12 @@ def validity(df: DataFrame) -> DataFrame:
 
 
 def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid, dead letters). Both are filters over one decoded branch; persist it if both run."""
-    judged = validity(df)
+    """(valid, dead letters): two filters over the decoded rows."""
+    return split_judged(validity(df))
+
+
+def split_judged(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(valid, dead letters) of rows that `validity` has judged."""
     return (
         judged.filter(F.col("error_reason").isNull()).drop("error_reason"),
         judged.filter(F.col("error_reason").isNotNull()).drop("data"),
@@ -94,7 +103,7 @@ def parse_pixel_requests(df: DataFrame, url: str = "url") -> DataFrame:
 
 def header(headers, name: str) -> Column:
     """Header value by name, any case; null when absent."""
-    return F.try_element_at(bots.lower_keys(headers), F.lit(name.lower()))
+    return bots.header_value(headers, name)
 
 
 def client_ip(headers) -> Column:

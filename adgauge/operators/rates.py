@@ -8,6 +8,8 @@ cell. Task size is bounded by the traffic of one cell, prefix size by the covere
 from __future__ import annotations
 
 import math
+from collections import deque
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -238,22 +240,27 @@ def anchored_rate(
     )
 
 
-def _admit(rows: pd.DataFrame, limit: int, window: int) -> pd.DataFrame:
-    """Sliding admission over one bounded slice. Rows with `given` carry earlier admissions."""
-    rows = rows.sort_values("t", kind="stable")
-    kept: list[list[int]] = []
-    head, total = 0, 0
-    admitted = []
-    for t, n, given in zip(rows["t"], rows["n"], rows["given"]):
-        while head < len(kept) and kept[head][0] < t - window:
-            total -= kept[head][1]
-            head += 1
-        take = int(n) if given else min(int(n), max(0, limit - total))
-        if take:
-            kept.append([t, take])
-            total += take
-        admitted.append(take)
-    return rows.assign(admitted=admitted)[["block", "slice", "key", "t", "admitted", "given"]]
+def _admit(batches: Iterator[pd.DataFrame], limit: int, window: int) -> Iterator[pd.DataFrame]:
+    """Sliding admission over rows sorted by (key, block, t), batch by batch.
+
+    Holds the kept stamps of one block only. Rows with `given` carry earlier admissions.
+    """
+    block, kept, total = None, deque(), 0
+    for rows in batches:
+        taken = []
+        for key, start, t, n, given in zip(
+            rows["key"], rows["block"], rows["t"], rows["n"], rows["given"]
+        ):
+            if (key, start) != block:
+                block, kept, total = (key, start), deque(), 0
+            while kept and kept[0][0] < t - window:
+                total -= kept.popleft()[1]
+            take = int(n) if given else min(int(n), max(0, limit - total))
+            if take:
+                kept.append((t, take))
+                total += take
+            taken.append(take)
+        yield rows.assign(admitted=taken)[["block", "slice", "key", "t", "admitted", "given"]]
 
 
 def admitted_instants(
@@ -305,8 +312,8 @@ def admitted_instants(
         )
         if carried is not None:
             rows = rows.unionByName(carried)
-        rows.groupBy("key", "block").applyInPandas(
-            lambda pdf: _admit(pdf, limit, window), shape
+        rows.repartition("key", "block").sortWithinPartitions("key", "block", "t").mapInPandas(
+            lambda batches: _admit(batches, limit, window), shape
         ).write.parquet(f"{folder}/part={i}")
         edge = F.col("block") - window + (i + 1) * slice_size
         done = pts.sparkSession.read.schema(shape).parquet(f"{folder}/part={i}")

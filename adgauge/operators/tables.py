@@ -130,42 +130,70 @@ def audience(
     return df.filter(equals(age_range=age, gender=gender, country=country))
 
 
-def eligible_panelists(panelists: DataFrame, campaigns: DataFrame) -> DataFrame:
-    """(campaign, panelist) pairs that meet the campaign's audience; an empty list admits all.
+_ANY = "*"
+_PROFILE = ["age_range", "gender", "country", "interests"]
 
-    Joined on country, gender and age range (a campaign is fanned out to the combinations it
-    asks for), so each panelist meets only campaigns that want its cell; the interest test is a
-    filter on the result. Open lists are a wildcard cell on both sides.
-    """
-    any_value = "*"
+
+def _profiles(panelists: DataFrame) -> DataFrame:
+    """Panelists reduced to what an audience can ask for."""
+    own = F.array_sort(F.array_distinct(F.transform(split_list("interests"), F.lower)))
+    return panelists.select(
+        "panelist_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("age_range", "gender", "country")],
+        F.coalesce(own, F.array().cast("array<string>")).alias("interests"),
+    )
+
+
+def _audiences(campaigns: DataFrame) -> DataFrame:
+    """(campaign_id, wanted lists): sorted, an empty list as the wildcard."""
 
     def wanted(name: str) -> Column:
         values = F.col(f"target_audience.{name}")
-        return F.when(F.size(values) > 0, values).otherwise(F.array(F.lit(any_value)))
+        return F.when(F.size(values) > 0, F.array_sort(F.array_distinct(values))).otherwise(
+            F.array(F.lit(_ANY)))
 
-    cells = campaigns.select(
-        "campaign_id", F.col("target_audience.interests").alias("wanted_interests"),
-        wanted("age_range").alias("ages"), wanted("gender").alias("genders"),
+    return campaigns.select(
+        "campaign_id", wanted("age_range").alias("ages"), wanted("gender").alias("genders"),
         wanted("countries").alias("places"),
+        F.transform(wanted("interests"), F.lower).alias("wishes"),
     )
-    for source, name in (("ages", "c_age"), ("genders", "c_gender"), ("places", "c_country")):
-        cells = cells.withColumn(name, F.explode(F.array_distinct(source))).drop(source)
-
-    people = panelists.select(
-        "panelist_id", split_list("interests").alias("interests"),
-        F.array("age_range", F.lit(any_value)).alias("ages"),
-        F.array("gender", F.lit(any_value)).alias("genders"),
-        F.array("country", F.lit(any_value)).alias("places"),
-    )
-    for source, name in (("ages", "c_age"), ("genders", "c_gender"), ("places", "c_country")):
-        people = people.withColumn(name, F.explode(source)).drop(source)
-    open_interest = F.coalesce(F.size("wanted_interests"), F.lit(0)) <= 0
-    common = F.arrays_overlap(
-        F.transform("wanted_interests", F.lower), F.transform("interests", F.lower)
-    )
-    return people.join(cells, ["c_age", "c_gender", "c_country"]).filter(
-        open_interest | common
-    ).select("campaign_id", "panelist_id")
+
+
+_AUDIENCE = ["ages", "genders", "places", "wishes"]
+
+
+def _fitting(profiles: DataFrame, audiences: DataFrame) -> DataFrame:
+    """Distinct profiles x distinct audiences that fit, by equi-join on age, gender and country.
+
+    Both sides are vocabularies: their sizes follow the domains, not panelists or campaigns.
+    """
+    cells = audiences.select(*_AUDIENCE).distinct()
+    people = profiles.select(*_PROFILE).distinct()
+    keys = {"c_age": ("ages", "age_range"), "c_gender": ("genders", "gender"), "c_place": ("places", "country")}
+    for key, (lists, value) in keys.items():
+        cells = cells.withColumn(key, F.explode(lists))
+        people = people.withColumn(key, F.explode(F.array(F.col(value), F.lit(_ANY))))
+    fits = F.array_contains("wishes", _ANY) | F.arrays_overlap("wishes", "interests")
+    return people.join(cells, list(keys)).filter(fits).select(*_PROFILE, *_AUDIENCE)
+
+
+def eligible_panelists(panelists: DataFrame, campaigns: DataFrame) -> DataFrame:
+    """(campaign, panelist) pairs that meet the campaign's audience; an empty list admits all.
+
+    Profiles are matched to audiences first; campaigns and panelists are attached by equi-joins.
+    """
+    profiles, audiences = _profiles(panelists), _audiences(campaigns)
+    asked = _fitting(profiles, audiences).join(audiences, _AUDIENCE).select("campaign_id", *_PROFILE)
+    return profiles.join(asked, _PROFILE).select("campaign_id", "panelist_id")
+
+
+def eligible_counts(panelists: DataFrame, campaigns: DataFrame) -> DataFrame:
+    """Eligible panelists per campaign, without building the pairs."""
+    profiles, audiences = _profiles(panelists), _audiences(campaigns)
+    sizes = profiles.groupBy(*_PROFILE).agg(F.count("*").alias("n"))
+    reach = _fitting(profiles, audiences).join(sizes, _PROFILE).groupBy(*_AUDIENCE).agg(
+        F.sum("n").alias("eligible"))
+    return audiences.join(reach, _AUDIENCE, "left").select(
+        "campaign_id", F.coalesce("eligible", F.lit(0)).alias("eligible"))
 
 
 def consented(df: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from adgauge.operators import events, matching, rates, tables
 from adgauge.plans import views
 from adgauge.plans.registry import query
 from adgauge.plans.views import CAMPAIGN, NOW, stamp
-from adgauge.session import scratch_path
+from adgauge.session import cut, scratch_path
 from adgauge.sources import readers, sinks
 
 TS = "strftime({}, '%Y-%m-%d %H:%M:%S.%f')"
@@ -48,7 +48,7 @@ query(
 
 def _cohort_scan(v):
     path = scratch_path(v.spark, "cohorts")
-    pairs = matching.match(v.scored, caliper=0.0105)
+    pairs = cut(matching.match(v.scored, caliper=0.0105))
     scores = pairs.select("campaign_id").distinct().withColumn("balance_score", F.lit(1.0))
     sinks.append(matching.cohort_rows(pairs, scores, v.now), path)
     table = readers.read_table(v.spark, path)
@@ -328,7 +328,7 @@ def _classified(v):
     from adgauge.streaming.ingest import classify
 
     valid, _ = events.split_valid(v.bodies)
-    return classify(events.parse_events(valid, v.now))
+    return classify(events.flatten_events(valid, v.now))
 
 
 query(

@@ -9,6 +9,7 @@ from adgauge.plans.catalog_events import _mapping, t_p_sql, ts
 from adgauge.plans.measure import measure_campaign
 from adgauge.plans.registry import query
 from adgauge.plans.views import AGE_RANGE, CAMPAIGN, NOW, SCORE, stamp
+from adgauge.session import cut
 
 CALIPER = 0.0105
 
@@ -79,16 +80,21 @@ query(
     lambda v: tables.audience(v.panelists, "25-34", "F", "US").select("panelist_id"),
     "SELECT panelist_id FROM panelists WHERE age_range = '25-34' AND gender = 'F' AND country = 'US'",
 )
-query(
-    "b22_eligible_panelists",
-    lambda v: tables.eligible_panelists(v.panelists, v.campaigns).groupBy("campaign_id").agg(
-        F.count("*").alias("eligible"), F.count_distinct("panelist_id").alias("people")),
-    """WITH p AS (SELECT panelist_id, age_range, gender, country,
-      list_filter(list_transform(string_split(interests, ','), lambda x: lower(trim(x))), lambda x: x <> '') AS own FROM panelists)
-    SELECT campaign_id, count(*) AS eligible, count(DISTINCT panelist_id) AS people FROM campaigns c JOIN p ON
+ELIGIBLE_SQL = """SELECT c.campaign_id, p.panelist_id FROM campaigns c JOIN (SELECT panelist_id, age_range, gender, country,
+      list_filter(list_transform(string_split(interests, ','), lambda x: lower(trim(x))), lambda x: x <> '') AS own FROM panelists) p ON
     (c.ages = '' OR list_contains(string_split(c.ages, ','), p.age_range)) AND (c.genders = '' OR list_contains(string_split(c.genders, ','), p.gender))
     AND list_contains(string_split(c.countries, ','), p.country)
-    AND (c.wanted_interests = '' OR list_has_any(string_split(lower(c.wanted_interests), ','), p.own)) GROUP BY 1""",
+    AND (c.wanted_interests = '' OR list_has_any(string_split(lower(c.wanted_interests), ','), p.own))"""
+query(
+    "b22_eligible_panelists",
+    lambda v: tables.eligible_panelists(v.panelists, v.campaigns).groupBy("panelist_id").agg(
+        F.count("*").alias("campaigns"), F.min("campaign_id").alias("first_campaign")),
+    f"SELECT panelist_id, count(*) AS campaigns, min(campaign_id) AS first_campaign FROM ({ELIGIBLE_SQL}) GROUP BY 1",
+)
+query(
+    "b22_eligible_counts",
+    lambda v: tables.eligible_counts(v.panelists, v.campaigns),
+    f"""SELECT c.campaign_id, count(e.panelist_id) AS eligible FROM campaigns c LEFT JOIN ({ELIGIBLE_SQL}) e ON e.campaign_id = c.campaign_id GROUP BY 1""",
 )
 query(
     "b23_campaign_status",
@@ -270,7 +276,7 @@ query(
 
 
 def _cohort_rows(v):
-    pairs = matching.match(v.scored, CALIPER)
+    pairs = cut(matching.match(v.scored, CALIPER))
     scores = matching.balance_score(matching.balance(matching.encode_features(v.scored), pairs))
     return matching.cohort_rows(pairs, scores, v.now)
 
@@ -597,7 +603,7 @@ def _encoded(v):
 
 def _balance(v):
     df = _encoded(v)
-    return matching.balance(df, matching.match(df, CALIPER))
+    return matching.balance(df, cut(matching.match(df, CALIPER)))
 
 
 def _smd_sql(source: str, name: str) -> str:
@@ -623,7 +629,7 @@ query(
 
 def _psm_summary(v):
     df = _encoded(v)
-    pairs = matching.match(df, CALIPER)
+    pairs = cut(matching.match(df, CALIPER))
     scores = matching.balance_score(matching.balance(df, pairs))
     return matching.psm_summary(df, pairs, scores, CALIPER, v.now).withColumn("run_timestamp", stamp("run_timestamp"))
 

@@ -19,7 +19,7 @@ def write_staging(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     df.write.format(fmt).mode("append").partitionBy("year", "month", "day").save(path)
 
 
-def write_dead_letters(df: DataFrame, path: str, now: Column) -> None:
+def write_dead_letters(df: DataFrame, path: str, now: Column, mode: str = "append") -> None:
     """Rejected events with reason and envelope, one folder per day."""
     optional = {
         "sequenceNumber": "sequence_number", "offset": "offset",
@@ -31,7 +31,7 @@ def write_dead_letters(df: DataFrame, path: str, now: Column) -> None:
         now.alias("timestamp"),
         *[F.col(c).alias(name) for c, name in optional.items() if c in df.columns],
         F.to_date(now).alias("dlq_date"),
-    ).write.mode("append").partitionBy("dlq_date").json(path)
+    ).write.mode(mode).partitionBy("dlq_date").json(path)
 
 
 def export_csv(df: DataFrame, path: str) -> None:
@@ -69,7 +69,8 @@ def upsert_batch(
     staged = f"{work}/upsert/batch={batch_id}"
     _remove(spark, f"{work}/upsert/batch={batch_id - 2}")
     if not _exists(spark, f"{staged}/done"):
-        latest = last_per_key(batch, key, list(order))
+        last_per_key(batch, key, list(order)).write.mode("overwrite").parquet(f"{staged}/latest")
+        latest = spark.read.schema(batch.schema).parquet(f"{staged}/latest")
         touched = latest.select(partition).distinct()
         if _exists(spark, target):
             current = spark.read.schema(batch.schema).parquet(target)

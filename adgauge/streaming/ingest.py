@@ -51,19 +51,23 @@ def run_ingest(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         stamp = processed_at if processed_at is not None else F.current_timestamp()
-        batch = batch.persist()
+        # One decoding per body: all three sinks read the persisted, judged batch.
+        judged = events.validity(batch).persist()
+        valid, rejected = events.split_judged(judged)
+        rows = classify(events.flatten_events(valid, stamp), bot_rules, geo_rules).persist()
         try:
-            valid, rejected = events.split_valid(batch)
-            rows = classify(events.parse_events(valid, stamp), bot_rules, geo_rules)
             (
                 rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
                 .option("partitionOverwriteMode", "dynamic")
                 .partitionBy("batch_id", "year", "month", "day").parquet(staging)
             )
             sinks.upsert_batch(events.staging_columns(rows), batch_id, target, checkpoint)
-            sinks.write_dead_letters(rejected, f"{dead_letters}/batch_id={batch_id}", stamp)
+            sinks.write_dead_letters(
+                rejected, f"{dead_letters}/batch_id={batch_id}", stamp, mode="overwrite"
+            )
         finally:
-            batch.unpersist()
+            rows.unpersist()
+            judged.unpersist()
 
     writer = raw.writeStream.foreachBatch(write).trigger(**(trigger or ingest_trigger()))
     return checkpointed(writer, checkpoint).start()
