@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from adgauge.functions.survey import batch_id
 from adgauge.functions.text import stable_id
 from adgauge.operators.rates import running
+from adgauge.session import cut
 
 # Feature defaults, feature names, income bands of the two income dummies.
 FEATURE_DEFAULTS = {
@@ -150,7 +151,7 @@ def nearest_scores(
     number), 2 x ratio rows per exposed score. No pair of the two arms is built beyond that, and a
     hot campaign spreads over its score cells and numbers.
     """
-    ranked = _score_ranks(scored, cells)
+    ranked = cut(_score_ranks(scored, cells))
     control = ranked.filter(F.col("exposed") == 0).select(
         "campaign_id", F.col("below").alias("number"),
         F.col("propensity_score").alias("control_score"),

@@ -159,6 +159,15 @@ def rapid(df: DataFrame, key: str = "ip", ts: str = "timestamp_utc", gap_ms: int
     return attach(df, rapid_instants(cut(points(df, key, ts)), gap_ms), key, ts)
 
 
+def address_rates(
+    df: DataFrame, key: str = "ip", ts: str = "timestamp_utc", gap_ms: int = 100
+) -> DataFrame:
+    """Adds n_minute, n_hour and rapid with one join back to the events."""
+    pts = cut(points(df, key, ts))
+    counts = trailing_counts(pts, {"n_minute": 60, "n_hour": 3600})
+    return attach(df, counts.join(rapid_instants(pts, gap_ms), ["key", "t"]), key, ts)
+
+
 def fingerprint_rate(
     df: DataFrame, key: str = "fingerprint", ts: str = "timestamp_utc",
     overused: int = 1000, suspicious: int = 500,

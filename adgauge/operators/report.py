@@ -76,13 +76,11 @@ def bi_measures(results: DataFrame, exposures: DataFrame) -> DataFrame:
         F.avg(F.col("confidence_interval_upper") - F.col("confidence_interval_lower"))
         .alias("ci_width"),
     )
-    seen = exposures.agg(
-        F.count("*").alias("total_impressions"),
-        F.count_distinct("panelist_id").alias("unique_panelists"),
+    return lift.select(
+        "*",
+        exposures.agg(F.count("*")).scalar().alias("total_impressions"),
+        exposures.agg(F.count_distinct("panelist_id")).scalar().alias("unique_panelists"),
     )
-    # Both sides are global aggregates of exactly one row.
-    one = F.lit(1)
-    return lift.withColumn("_one", one).join(seen.withColumn("_one", one), "_one").drop("_one")
 
 
 def metric_lift(results: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
@@ -131,10 +129,10 @@ def time_drill(exposures: DataFrame, ts: str = "impression_ts") -> DataFrame:
 def lift_histogram(results: DataFrame, bins: int = 10, value: str = "lift_relative_pct") -> DataFrame:
     """Equal-width bins over the range of the lift; the top edge belongs to the last bin."""
     v = F.col(value)
-    bounds = results.agg(F.min(v).alias("low"), F.max(v).alias("high")).withColumn("_one", F.lit(1))
+    low, high = results.agg(F.min(v)).scalar(), results.agg(F.max(v)).scalar()
     width = (F.col("high") - F.col("low")) / bins
     place = F.when(width > 0, F.least(F.floor((v - F.col("low")) / width) + 1, F.lit(bins))).otherwise(F.lit(1))
-    binned = results.filter(v.isNotNull()).withColumn("_one", F.lit(1)).join(F.broadcast(bounds), "_one")
+    binned = results.filter(v.isNotNull()).select(v, low.alias("low"), high.alias("high"))
     return binned.groupBy(
         place.cast("int").alias("bin"), "low", "high"
     ).agg(F.count("*").alias("n")).select(

@@ -511,8 +511,7 @@ RAPID_SQL = f"""SELECT a.event_id, EXISTS (SELECT 1 FROM ({RAPID_CTE}) p WHERE p
 
 
 def _rate_rows(v):
-    rows = _raw_rows(v)
-    return rates.rapid(rates.ip_rate(rows, per_minute=1, per_hour=2), gap_ms=20_000)
+    return rates.address_rates(_raw_rows(v), gap_ms=20_000)
 
 
 RATE_PARTS = """(CASE WHEN n_minute > 1 THEN 1.0 ELSE 0 END + CASE WHEN n_hour > 2 THEN 0.8 ELSE 0 END + CASE WHEN rapid THEN 0.6 ELSE 0 END)::double"""
@@ -562,7 +561,7 @@ def _combined(v):
     # The rates of address and fingerprint are independent; both are attached to the same rows.
     rows = _fingerprints(v).join(
         v.headers.select(F.col("event_id").alias("impression_id"), "headers"), "impression_id")
-    rated = rates.rapid(rates.ip_rate(rows, per_minute=1, per_hour=2), gap_ms=20_000)
+    rated = rates.address_rates(rows, gap_ms=20_000)
     full = rates.fingerprint_rate(rated)
     confidence, is_bot, reasons = bots.combine_scores(
         bots.ua_score("user_agent"), bots.rate_score("ip", "n_minute", "n_hour", "rapid", 1, 2),

@@ -242,11 +242,12 @@ query(
 )
 query(
     "c11_star_join",
-    lambda v: report.star(v.lift, v.campaigns, tables.build_dim_time(_dates(v)), "run_ts").select(
-        "campaign_id", "metric_name", "campaign_name", "industry", "campaign_status", "year", "quarter", "week",
+    lambda v: report.star(v.impressions, v.campaigns, tables.build_dim_time(_dates(v)), "timestamp_utc").select(
+        "impression_id", "campaign_id", "campaign_name", "industry", "campaign_status", "year", "quarter", "week",
         F.col("calendar_date").cast("string").alias("calendar_date")),
-    """SELECT l.campaign_id, metric_name, campaign_name, industry, status AS campaign_status, year(run_ts)::int AS year, quarter(run_ts)::int AS quarter,
-    week(run_ts)::int AS week, run_ts::date::varchar AS calendar_date FROM lift l LEFT JOIN campaigns c ON c.campaign_id = l.campaign_id""",
+    """SELECT impression_id, i.campaign_id, campaign_name, industry, status AS campaign_status, year(timestamp_utc)::int AS year,
+    quarter(timestamp_utc)::int AS quarter, week(timestamp_utc)::int AS week, timestamp_utc::date::varchar AS calendar_date
+    FROM impressions i LEFT JOIN campaigns c ON c.campaign_id = i.campaign_id""",
 )
 query(
     "c12_impression_count",

@@ -93,6 +93,31 @@ query(
 )
 
 
+def _resumed(v):
+    """A stream over JSON-lines files, stopped and started again after more files arrived."""
+    base = scratch_path(v.spark, "resume")
+    source, out = f"{base}/source", f"{base}/out"
+    feed = v.bodies
+    for part in range(2):
+        (
+            feed.filter(F.col("sequenceNumber") % 2 == part).drop("retry_count")
+            .write.mode("append").json(source)
+        )
+        stream = readers.read_events_stream(v.spark, source, max_files=2)
+        writer = stream.writeStream.format("parquet").option("path", out)
+        _finish(
+            ingest.checkpointed(writer, f"{base}/check").trigger(**ingest.ingest_trigger(once=True)).start()
+        )
+    return readers.read_table(v.spark, out).groupBy("partitionKey").agg(
+        F.count("*").alias("n"), F.count_distinct("offset").alias("offsets"), F.sum("sequenceNumber").alias("total"))
+
+
+query(
+    "i03_checkpoint_resume", _resumed,
+    """SELECT (seq % 4)::varchar AS "partitionKey", count(*) AS n, count(*) AS offsets, sum(seq)::bigint AS total FROM raw_events GROUP BY 1""",
+)
+
+
 def _partitions(v):
     from adgauge.operators.events import add_date_parts
 
