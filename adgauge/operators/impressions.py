@@ -6,17 +6,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-VALID = ~F.col("is_bot")
-HOUR_KEY = F.date_format("timestamp_utc", "yyyy-MM-dd HH:00")
+
+def valid() -> Column:
+    return ~F.col("is_bot")
+
+
+def hour_key() -> Column:
+    return F.date_format("timestamp_utc", "yyyy-MM-dd HH:00")
 
 
 def impression_totals(df: DataFrame, approximate: bool = False) -> DataFrame:
     """Total, valid, bot impressions and unique valid panelists per campaign."""
-    valid_panelist = F.when(VALID, F.col("panelist_id"))
+    valid_panelist = F.when(valid(), F.col("panelist_id"))
     unique = F.approx_count_distinct if approximate else F.count_distinct
     return df.groupBy("campaign_id").agg(
         F.count("*").alias("total_impressions"),
-        F.count_if(VALID).alias("valid_impressions"),
+        F.count_if(valid()).alias("valid_impressions"),
         F.count_if(F.col("is_bot")).alias("bot_impressions"),
         unique(valid_panelist).alias("unique_panelists"),
     )
@@ -24,7 +29,7 @@ def impression_totals(df: DataFrame, approximate: bool = False) -> DataFrame:
 
 def counts_by(df: DataFrame, key: str | Column, name: str, valid_only: bool = True) -> DataFrame:
     """Impressions per campaign and one dimension."""
-    rows = df.filter(VALID) if valid_only else df
+    rows = df.filter(valid()) if valid_only else df
     column = F.col(key) if isinstance(key, str) else key
     return rows.groupBy("campaign_id", column.alias(name)).agg(F.count("*").alias("impressions"))
 
@@ -49,7 +54,7 @@ def by_source(df: DataFrame) -> DataFrame:
 
 
 def by_hour(df: DataFrame) -> DataFrame:
-    return counts_by(df, HOUR_KEY, "hour").orderBy("campaign_id", "hour")
+    return counts_by(df, hour_key(), "hour").orderBy("campaign_id", "hour")
 
 
 SECTIONS = {
@@ -65,7 +70,7 @@ def breakdowns(df: DataFrame, sections: dict[str, str] = SECTIONS) -> DataFrame:
     """
     dims = list(sections.values())
     cube = (
-        df.withColumn("hour", HOUR_KEY)
+        df.withColumn("hour", hour_key())
         .groupBy("campaign_id", "is_bot", *dims)
         .agg(F.count("*").alias("n"))
     )
@@ -75,7 +80,7 @@ def breakdowns(df: DataFrame, sections: dict[str, str] = SECTIONS) -> DataFrame:
         for name, dim in sections.items()
     ])
     fanned = cube.select("campaign_id", "is_bot", "n", F.explode(entries).alias("e"))
-    counted = fanned.filter(VALID | (F.col("e.section") == "source"))
+    counted = fanned.filter(valid() | (F.col("e.section") == "source"))
     return counted.groupBy("campaign_id", "e.section", "e.key").agg(F.sum("n").alias("n"))
 
 
@@ -117,7 +122,7 @@ def panelist_exposure(df: DataFrame, min_impressions: int = 1) -> DataFrame:
     if min_impressions < 1:
         raise ValueError("min_impressions must be at least 1")
     return (
-        df.filter(VALID & F.col("panelist_id").isNotNull())
+        df.filter(valid() & F.col("panelist_id").isNotNull())
         .groupBy("campaign_id", "panelist_id")
         .agg(F.count("*").alias("impression_count"))
         .filter(F.col("impression_count") >= min_impressions)
@@ -145,7 +150,7 @@ def global_totals(df: DataFrame) -> DataFrame:
     One shuffle by (campaign, panelist) feeds both figures.
     """
     pairs = df.groupBy("campaign_id", "panelist_id").agg(
-        F.count("*").alias("total"), F.count_if(VALID).alias("valid")
+        F.count("*").alias("total"), F.count_if(valid()).alias("valid")
     )
     reached = F.col("valid") > 0
     return pairs.agg(

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from adgauge.functions import stats, survey
 from adgauge.functions.text import metric_label, stable_id
 
-EXPOSED = F.col("cohort_type") == "exposed"
-CONTROL = F.col("cohort_type") == "control"
+COHORTS = ("exposed", "control")
 
 
 def join_metrics(cohorts: DataFrame, metrics: DataFrame) -> DataFrame:
@@ -23,8 +22,8 @@ def cohort_moments(
     """Mean, standard deviation and size of both arms for every key at once."""
     deviation = F.stddev_pop if population else F.stddev_samp
     aggregates = []
-    for arm, condition in (("exposed", EXPOSED), ("control", CONTROL)):
-        v = F.when(condition, F.col(value))
+    for arm in COHORTS:
+        v = F.when(F.col("cohort_type") == arm, F.col(value))
         aggregates += [
             F.avg(v).alias(f"{arm}_value"),
             deviation(v).alias(f"{arm}_std_dev"),
@@ -34,7 +33,7 @@ def cohort_moments(
 
 
 def _pooled_t() -> Column:
-    ne, nc = (F.col(f"{a}_sample_size").cast("double") for a in ("exposed", "control"))
+    ne, nc = (F.col(f"{a}_sample_size").cast("double") for a in COHORTS)
     se, sc = F.col("exposed_std_dev"), F.col("control_std_dev")
     pooled = F.try_divide((ne - 1) * se * se + (nc - 1) * sc * sc, ne + nc - 2)
     error = F.sqrt(pooled * (F.try_divide(F.lit(1.0), ne) + F.try_divide(F.lit(1.0), nc)))
@@ -130,8 +129,8 @@ def segment_lift(
     keys = ["campaign_id", "metric_name"]
     dims = list(dict.fromkeys(d for s in sets for d in s))
     arms = []
-    for arm, condition in (("exposed", EXPOSED), ("control", CONTROL)):
-        v = F.when(condition, F.col("metric_value"))
+    for arm in COHORTS:
+        v = F.when(F.col("cohort_type") == arm, F.col("metric_value"))
         arms += [
             F.avg(v).alias(f"{arm}_value"),
             F.stddev_samp(v).alias(f"{arm}_std_dev"),
@@ -153,8 +152,8 @@ def lift_by_question(values: DataFrame, now: Column | None = None) -> DataFrame:
     """
     keys = ["survey_id", "campaign_id", "question_id", "metric_name"]
     aggregates = []
-    for arm, condition in (("exposed", EXPOSED), ("control", CONTROL)):
-        v = F.when(condition, F.col("numeric_value"))
+    for arm in COHORTS:
+        v = F.when(F.col("cohort_type") == arm, F.col("numeric_value"))
         aggregates += [
             F.avg(v).alias(f"{arm}_raw"), F.var_pop(v).alias(f"{arm}_vp"),
             F.var_samp(v).alias(f"{arm}_vs"), F.count(v).alias(f"{arm}_n"),
@@ -162,7 +161,7 @@ def lift_by_question(values: DataFrame, now: Column | None = None) -> DataFrame:
     m = values.groupBy(*keys).agg(*aggregates).filter(
         (F.col("exposed_n") > 0) & (F.col("control_n") > 0)
     )
-    for arm in ("exposed", "control"):
+    for arm in COHORTS:
         mean = stats.round_even(f"{arm}_raw", 2)
         m = m.withColumn(f"{arm}_mean", mean)
         m = m.withColumn(
@@ -196,7 +195,7 @@ def lift_by_question(values: DataFrame, now: Column | None = None) -> DataFrame:
     })
     if now is not None:
         m = m.withColumn("calculated_at", now)
-    return m.drop("_t", *[f"{a}_{s}" for a in ("exposed", "control") for s in ("raw", "vp", "vs")])
+    return m.drop("_t", *[f"{a}_{s}" for a in COHORTS for s in ("raw", "vp", "vs")])
 
 
 def lift_by_metric(results: DataFrame, lift: str = "lift_relative_pct") -> DataFrame:

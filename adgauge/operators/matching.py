@@ -257,7 +257,10 @@ def matched_sample(df: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _smd(df: DataFrame, features: list[str], name: str) -> DataFrame:
-    """Standardised mean difference of every feature in one aggregate, then turned to rows."""
+    """Standardised mean difference of every feature in one aggregate, then turned to rows.
+
+    Without any variance it is 0 when the means agree, else undefined.
+    """
     arm = F.col("exposed") == 1
     stats = df.groupBy("campaign_id").agg(*[
         aggregate(F.when(arm if side == "e" else ~arm, F.col(f).cast("double"))).alias(f"{f}__{side}{m}")
@@ -267,7 +270,7 @@ def _smd(df: DataFrame, features: list[str], name: str) -> DataFrame:
     def smd(f: str) -> Column:
         gap = F.col(f"{f}__em") - F.col(f"{f}__cm")
         pooled = F.sqrt((F.col(f"{f}__ev") + F.col(f"{f}__cv")) / 2)
-        return F.when(pooled > 0, gap / pooled).when(gap == 0, 0.0)
+        return F.when(pooled > 0, gap / pooled).when((pooled == 0) & (gap == 0), 0.0)
 
     rows = F.explode(F.array(*[
         F.struct(F.lit(f).alias("feature"), smd(f).alias(name)) for f in features

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from adgauge import schemas
 from adgauge.operators import changes, impressions as imp, lift, matching, report, surveys, tables
 from adgauge.plans.catalog_events import _mapping, t_p_sql, ts
 from adgauge.plans.measure import measure_campaign
@@ -553,7 +554,7 @@ query(
     lambda v: report.lift_histogram(v.lift.withColumn("lift_relative_pct", F.round("lift_relative_pct", 6))),
     """WITH r AS (SELECT round(lift_relative_pct, 6) AS lift_relative_pct FROM lift), b AS (SELECT min(lift_relative_pct) AS low, max(lift_relative_pct) AS high FROM r)
     SELECT bin, low + (bin - 1) * ((high - low) / 10) AS bin_low, low + bin * ((high - low) / 10) AS bin_high, count(*) AS n FROM
-    (SELECT low, high, least(floor((lift_relative_pct - low) / ((high - low) / 10)) + 1, 10)::int AS bin FROM r, b) GROUP BY bin, low, high""",
+    (SELECT low, high, least(floor((lift_relative_pct - low) / ((high - low) / 10)) + 1, 10)::int AS bin FROM r, b WHERE lift_relative_pct IS NOT NULL) GROUP BY bin, low, high""",
     rounded="bin_low bin_high",
 )
 query(
@@ -609,7 +610,7 @@ def _balance(v):
 
 def _smd_sql(source: str, name: str) -> str:
     return " UNION ALL ".join(
-        f"""SELECT campaign_id, '{f}' AS feature, CASE WHEN sqrt((ve + vc) / 2) > 0 THEN (me - mc) / sqrt((ve + vc) / 2) WHEN me = mc THEN 0 END AS {name}
+        f"""SELECT campaign_id, '{f}' AS feature, CASE WHEN sqrt((ve + vc) / 2) > 0 THEN (me - mc) / sqrt((ve + vc) / 2) WHEN sqrt((ve + vc) / 2) = 0 AND me = mc THEN 0 END AS {name}
         FROM (SELECT campaign_id, avg({f}) FILTER (exposed = 1) AS me, avg({f}) FILTER (exposed = 0) AS mc, var_samp({f}) FILTER (exposed = 1) AS ve,
         var_samp({f}) FILTER (exposed = 0) AS vc FROM {source} GROUP BY 1)""" for f in matching.FEATURES)
 
@@ -845,14 +846,13 @@ query(
 
 
 def _campaign_patches(v):
-    part = F.expr("l_partkey")
     return v.table("lineitem").select(
         F.concat(F.lit("camp_"), F.col("l_partkey").cast("string")).alias("campaign_id"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("change_seq"),
         F.when(F.expr("l_orderkey % 3 = 0"), "").when(F.expr("l_orderkey % 3 = 1"), F.concat(F.lit("N"), F.col("l_orderkey").cast("string"))).alias("campaign_name"),
         F.when(F.expr("l_orderkey % 5 = 0"), "Paused").alias("status"),
         F.when(F.expr("l_orderkey % 2 = 0"), F.expr("cast(l_orderkey as decimal(18,2))")).alias("budget"),
-        F.when(F.expr("l_orderkey % 4 = 0"), F.array().cast("array<struct<creative_id:string,format:string,size:string,message:string,variant_name:string>>")).alias("creatives"),
+        F.when(F.expr("l_orderkey % 4 = 0"), F.array().cast(schemas.CREATIVES)).alias("creatives"),
     )
 
 

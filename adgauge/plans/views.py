@@ -220,7 +220,7 @@ class Views:
             ).alias("target_audience"),
             F.array(creative).alias("creatives"),
             F.struct("target_impressions", "target_reach", "target_lift").alias("kpis"),
-            F.lit(None).cast(schemas.CAMPAIGN["actual_metrics"].dataType).alias("actual_metrics"),
+            F.lit(None).cast(schemas.ACTUAL_METRICS).alias("actual_metrics"),
             "created_at", F.col("created_at").alias("updated_at"), "client_id", "agency_id",
         )
 
@@ -258,7 +258,7 @@ class Views:
             "response_id", "survey_id", F.lit(None).cast("string").alias("campaign_id"),
             "panelist_id", "cohort_type",
             F.when(F.col("status") == "Completed", answers).otherwise(
-                F.array().cast(schemas.SURVEY_RESPONSE["answers"].dataType)
+                F.array().cast(schemas.ANSWERS)
             ).alias("answers"),
             F.when(F.col("status") == "Completed", F.col("completed_at")).alias("completed_at"),
             "response_time", "device_type", F.lit(None).cast("int").alias("impression_count"),

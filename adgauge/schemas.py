@@ -1,18 +1,40 @@
-"""Wire and table schemas as Spark DDL. All instants are UTC."""
+"""Wire and table schemas. All instants are UTC. Built without a session."""
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import (
+    ArrayType,
+    BooleanType,
+    DataType,
+    DateType,
+    DecimalType,
+    DoubleType,
+    IntegerType,
+    LongType,
+    MapType,
+    StringType,
+    StructType,
+    TimestampType,
+)
+
+TEXT, FLAG, INT, LONG = StringType(), BooleanType(), IntegerType(), LongType()
+DOUBLE, INSTANT, DAY, MONEY = DoubleType(), TimestampType(), DateType(), DecimalType(18, 2)
+TEXTS, TEXT_MAP = ArrayType(TEXT), MapType(TEXT, TEXT)
 
 
-def _ddl(text: str) -> StructType:
-    return StructType.fromDDL(text)
+def fields(*columns: tuple[str, DataType]) -> StructType:
+    """Struct of (names, type) groups; names are separated by blanks."""
+    struct = StructType()
+    for names, kind in columns:
+        for name in names.split():
+            struct = struct.add(name, kind)
+    return struct
 
 
-TRACKING_EVENT = _ddl(
-    "event_id string, timestamp string, campaign_id string, creative_id string, "
-    "panelist_token string, user_agent string, device_type string, ip string, referrer string, "
-    "ad_server string, s2s_flag boolean, raw_headers map<string,string>, tracking_hash string"
+TRACKING_EVENT = fields(
+    ("event_id timestamp campaign_id creative_id panelist_token user_agent device_type ip referrer "
+     "ad_server", TEXT),
+    ("s2s_flag", FLAG), ("raw_headers", TEXT_MAP), ("tracking_hash", TEXT),
 )
 
 ENVELOPE = {
@@ -23,78 +45,76 @@ ENVELOPE = {
     "partitionKey": "eventhub_partition_key",
 }
 
-S2S_REQUEST = _ddl(
-    "campaign_id string, creative_id string, panelist_token string, ad_server string, "
-    "user_agent string, ip_address string, referrer string, custom_data map<string,string>, "
-    "idempotency_key string, timestamp timestamp"
+RAW_EVENT = fields(
+    ("body", TEXT), ("enqueuedTime", INSTANT), ("offset", TEXT), ("sequenceNumber", LONG),
+    ("publisher partitionKey", TEXT), ("retry_count", INT),
 )
 
-NORMALIZED_IMPRESSION = _ddl(
-    "impression_id string, timestamp_utc timestamp, campaign_id string, creative_id string, "
-    "panelist_id string, device_type string, country string, is_bot boolean, bot_reason string, "
-    "ingest_source string, processed_date date"
+S2S_REQUEST = fields(
+    ("campaign_id creative_id panelist_token ad_server user_agent ip_address referrer", TEXT),
+    ("custom_data", TEXT_MAP), ("idempotency_key", TEXT), ("timestamp", INSTANT),
 )
 
-CAMPAIGN = _ddl(
-    "campaign_id string, campaign_name string, advertiser string, industry string, "
-    "start_date timestamp, end_date timestamp, budget decimal(18,2), status string, "
-    "target_audience struct<age_range:array<string>,gender:array<string>,"
-    "interests:array<string>,countries:array<string>>, "
-    "creatives array<struct<creative_id:string,format:string,size:string,message:string,"
-    "variant_name:string>>, "
-    "kpis struct<target_impressions:bigint,target_reach:bigint,target_lift:double>, "
-    "actual_metrics struct<impressions:bigint,reach:bigint,average_lift:double>, "
-    "created_at timestamp, updated_at timestamp"
+NORMALIZED_IMPRESSION = fields(
+    ("impression_id", TEXT), ("timestamp_utc", INSTANT),
+    ("campaign_id creative_id panelist_id device_type country", TEXT), ("is_bot", FLAG),
+    ("bot_reason ingest_source", TEXT), ("processed_date", DAY),
 )
 
-PANELIST = _ddl(
-    "id string, panelist_id string, hashed_email string, hashed_phone string, email string, "
-    "first_name string, last_name string, age_range string, age int, gender string, "
-    "hh_income_bucket string, interests string, country string, postal_code string, "
-    "device_type string, browser string, consent_gdpr boolean, consent_ccpa boolean, "
-    "consent_given boolean, consent_timestamp timestamp, last_active timestamp, "
-    "points_balance int, is_active boolean, created_at timestamp, updated_at timestamp"
+CREATIVES = ArrayType(fields(("creative_id format size message variant_name", TEXT)))
+ACTUAL_METRICS = fields(("impressions reach", LONG), ("average_lift", DOUBLE))
+CAMPAIGN = fields(
+    ("campaign_id campaign_name advertiser industry", TEXT), ("start_date end_date", INSTANT),
+    ("budget", MONEY), ("status", TEXT),
+    ("target_audience", fields(("age_range gender interests countries", TEXTS))),
+    ("creatives", CREATIVES),
+    ("kpis", fields(("target_impressions target_reach", LONG), ("target_lift", DOUBLE))),
+    ("actual_metrics", ACTUAL_METRICS), ("created_at updated_at", INSTANT),
 )
 
-QUESTION = (
-    "struct<question_id:string,question_text:string,question_type:string,metric:string,"
-    "options:array<string>,scale:int,required:boolean,order:int>"
+PANELIST = fields(
+    ("id panelist_id hashed_email hashed_phone email first_name last_name age_range", TEXT),
+    ("age", INT),
+    ("gender hh_income_bucket interests country postal_code device_type browser", TEXT),
+    ("consent_gdpr consent_ccpa consent_given", FLAG), ("consent_timestamp last_active", INSTANT),
+    ("points_balance", INT), ("is_active", FLAG), ("created_at updated_at", INSTANT),
 )
 
-SURVEY = _ddl(
-    "survey_id string, campaign_id string, survey_name string, description string, "
-    f"survey_type string, status string, questions array<{QUESTION}>, target_audience string, "
-    "distribution_start_date timestamp, distribution_end_date timestamp, "
-    "created_at timestamp, updated_at timestamp"
+QUESTION = fields(
+    ("question_id question_text question_type metric", TEXT), ("options", TEXTS), ("scale", INT),
+    ("required", FLAG), ("order", INT),
+)
+SURVEY = fields(
+    ("survey_id campaign_id survey_name description survey_type status", TEXT),
+    ("questions", ArrayType(QUESTION)), ("target_audience", TEXT),
+    ("distribution_start_date distribution_end_date created_at updated_at", INSTANT),
 )
 
-SURVEY_RESPONSE = _ddl(
-    "response_id string, survey_id string, campaign_id string, panelist_id string, "
-    "cohort_type string, "
-    "answers array<struct<question_id:string,answer:string,numeric_value:double>>, "
-    "completed_at timestamp, response_time int, device_type string, impression_count int, "
-    "status string, created_at timestamp"
+ANSWERS = ArrayType(fields(("question_id answer", TEXT), ("numeric_value", DOUBLE)))
+SURVEY_RESPONSE = fields(
+    ("response_id survey_id campaign_id panelist_id cohort_type", TEXT), ("answers", ANSWERS),
+    ("completed_at", INSTANT), ("response_time", INT), ("device_type", TEXT),
+    ("impression_count", INT), ("status", TEXT), ("created_at", INSTANT),
 )
 
-EXPOSURE_MAPPING = _ddl(
-    "exposure_id string, panelist_id string, impression_id string, campaign_id string, "
-    "creative_id string, impression_ts timestamp, exposure_date date, "
-    "matched_control_flag boolean, cohort_type string, propensity_score double, "
-    "match_id string, match_quality_score double, device_type string, country_code string, "
-    "is_bot boolean, bot_reason string, created_at timestamp, updated_at timestamp, "
-    "processing_batch_id string"
+EXPOSURE_MAPPING = fields(
+    ("exposure_id panelist_id impression_id campaign_id creative_id", TEXT),
+    ("impression_ts", INSTANT), ("exposure_date", DAY), ("matched_control_flag", FLAG),
+    ("cohort_type", TEXT), ("propensity_score", DOUBLE), ("match_id", TEXT),
+    ("match_quality_score", DOUBLE), ("device_type country_code", TEXT), ("is_bot", FLAG),
+    ("bot_reason", TEXT), ("created_at updated_at", INSTANT), ("processing_batch_id", TEXT),
 )
 
-MATCHED_COHORTS = _ddl(
-    "panelist_id string, campaign_id string, impression_id string, match_id string, "
-    "propensity_score double, match_quality_score double, cohort_type string, "
-    "matched_control_flag boolean, balance_score double, processing_ts timestamp, "
-    "processing_batch_id string"
+MATCHED_COHORTS = fields(
+    ("panelist_id campaign_id impression_id match_id", TEXT),
+    ("propensity_score match_quality_score", DOUBLE), ("cohort_type", TEXT),
+    ("matched_control_flag", FLAG), ("balance_score", DOUBLE), ("processing_ts", INSTANT),
+    ("processing_batch_id", TEXT),
 )
 
-SURVEY_METRICS = _ddl(
-    "panelist_id string, campaign_id string, metric_name string, metric_value double, "
-    "survey_date timestamp, demographic_segment string"
+SURVEY_METRICS = fields(
+    ("panelist_id campaign_id metric_name", TEXT), ("metric_value", DOUBLE),
+    ("survey_date", INSTANT), ("demographic_segment", TEXT),
 )
 
 # The columns kept in the staging table, in order.

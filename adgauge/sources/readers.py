@@ -70,9 +70,7 @@ def read_table_stream(
 
 def read_events_stream(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
     """Raw events (body text plus envelope) from JSON-lines files."""
-    envelope = "body string, enqueuedTime timestamp, offset string, sequenceNumber bigint, " \
-        "publisher string, partitionKey string, retry_count int"
-    return read_table_stream(spark, path, StructType.fromDDL(envelope), "json", max_files)
+    return read_table_stream(spark, path, schemas.RAW_EVENT, "json", max_files)
 
 
 def read_kafka_stream(spark: SparkSession, servers: str, topic: str, max_offsets: int = 10_000) -> DataFrame:
