@@ -180,49 +180,98 @@ def fingerprint_rate(
     return attach(df, counts, key, ts).withColumn("fingerprint_usage", usage)
 
 
-def _window_anchors(pts: DataFrame, window: int, cell_seconds: float) -> DataFrame:
+def _walk(batches: Iterator[pd.DataFrame], window: int) -> Iterator[pd.DataFrame]:
+    """Window starts of short busy stretches; rows come sorted by (key, start, t)."""
+    stretch, anchor = None, 0
+    for rows in batches:
+        hits = []
+        for key, start, t in zip(rows["key"], rows["start"], rows["t"]):
+            if (key, start) != stretch:
+                stretch, anchor = (key, start), start
+            if t - anchor >= window:
+                anchor = t
+                hits.append(True)
+            else:
+                hits.append(False)
+        yield rows.loc[hits, ["key", "t"]]
+
+
+def _chained_anchors(busy: DataFrame, window: int, longest: int, cell: Column) -> DataFrame:
+    """Window starts of long busy stretches by pointer doubling: each instant points to the first
+    instant a window later, and every round doubles the distance covered from the stretch start."""
+    unset = F.lit(None).cast("bigint")
+    here = busy.select("key", "start", "t", F.col("t").alias("seen"), unset.alias("origin"))
+    ahead = busy.select(
+        "key", "start", (F.col("t") + window).alias("t"), unset.alias("seen"),
+        F.col("t").alias("origin"),
+    )
+    pointed = running(
+        here.unionByName(ahead), ["key", "start"], "t", cell, {"next": ("min", F.col("seen"))},
+        forward=False,
+    ).filter(F.col("origin").isNotNull() & F.col("next").isNotNull())
+    jumps = cut(pointed.select("key", F.col("origin").alias("t"), "next"))
+    anchors = busy.filter(F.col("t") == F.col("start")).select("key", "t")
+    rounds = math.ceil(math.log2(longest // window + 1))
+    for i in range(rounds):
+        reached = anchors.join(jumps, ["key", "t"]).select("key", F.col("next").alias("t"))
+        anchors = cut(anchors.unionByName(reached).distinct())
+        if i + 1 < rounds:
+            hop = jumps.select("key", F.col("t").alias("next"), F.col("next").alias("after"))
+            jumps = cut(
+                jumps.join(hop, ["key", "next"]).select("key", "t", F.col("after").alias("next"))
+            )
+    return anchors
+
+
+def _window_anchors(
+    pts: DataFrame, window: int, cell_seconds: float, walk_limit: int = 100_000
+) -> DataFrame:
     """(key, t) where a fixed window starts: the first instant of a key, then each time the first
     instant at least one window after the last start.
 
-    An instant that follows a pause of a full window always starts one. The others follow chains
-    of jumps; those are resolved by pointer doubling, so month-long chains take a few joins.
+    An instant that follows a pause of a full window always starts one, so stretches between such
+    pauses are independent and one shorter than a window has no further start. Longer stretches
+    are walked row by row up to `walk_limit` instants; beyond that, so that no task ever gets an
+    unbounded stretch of a hot key, their starts are found with joins.
     """
     cell = _time_cell(cell_seconds)
     linked = running(pts, ["key"], "t", cell, {"prev": ("max", F.col("t"))}, inclusive=False)
     root = F.col("prev").isNull() | (F.col("t") - F.col("prev") >= window)
-    grouped = running(
-        linked.withColumn("root", root), ["key"], "t", cell,
-        {"start": ("max", F.when(F.col("root"), F.col("t")))},
-    ).select("key", "t", "root", "start")
-    grouped = cut(grouped)
-    spans = grouped.groupBy("key", "start").agg((F.max("t") - F.col("start")).alias("span"))
-    longest = spans.agg(F.max("span")).first()[0] or 0
-    anchors = grouped.filter("root").select("key", "t")
-    if longest < window:
-        return anchors
-    # Only busy stretches longer than a window hold further anchors.
-    busy = grouped.join(spans.filter(F.col("span") >= window), ["key", "start"])
-    here = busy.select("key", "start", "t", F.col("t").alias("seen"), F.lit(None).cast("bigint").alias("origin"))
-    ahead = busy.select(
-        "key", "start", (F.col("t") + window).alias("t"),
-        F.lit(None).cast("bigint").alias("seen"), F.col("t").alias("origin"),
+    grouped = cut(
+        running(
+            linked.withColumn("root", root), ["key"], "t", cell,
+            {"start": ("max", F.when(F.col("root"), F.col("t")))},
+        ).select("key", "t", "start")
     )
-    jumps = running(
-        here.unionByName(ahead), ["key", "start"], "t", cell,
-        {"next": ("min", F.col("seen"))}, forward=False,
-    ).filter(F.col("origin").isNotNull() & F.col("next").isNotNull())
-    jumps = cut(jumps.select("key", F.col("origin").alias("t"), "next"))
-    for _ in range(math.ceil(math.log2(longest / window + 1)) + 1):
-        reached = anchors.join(jumps, ["key", "t"]).select("key", F.col("next").alias("t"))
-        anchors = cut(anchors.unionByName(reached).distinct())
-        hop = jumps.select("key", F.col("t").alias("next"), F.col("next").alias("after"))
-        jumps = cut(jumps.join(hop, ["key", "next"]).select("key", "t", F.col("after").alias("next")))
+    roots = grouped.filter(F.col("t") == F.col("start")).select("key", "t")
+    spans = cut(
+        grouped.groupBy("key", "start")
+        .agg((F.max("t") - F.col("start")).alias("span"), F.count("*").alias("instants"))
+        .filter(F.col("span") >= window)
+    )
+    long = F.col("instants") > walk_limit
+    seen = spans.agg(F.count("*").alias("busy"), F.max(F.when(long, F.col("span"))).alias("longest")).first()
+    if not seen["busy"]:
+        return roots
+    busy = grouped.join(spans, ["key", "start"])
+    walked = (
+        busy.filter(~long).select("key", "start", "t").repartition("key", "start")
+        .sortWithinPartitions("key", "start", "t")
+        .mapInPandas(lambda batches: _walk(batches, window), "key string, t bigint")
+    )
+    anchors = roots.unionByName(walked)
+    if seen["longest"] is not None:
+        chained = _chained_anchors(
+            busy.filter(long).select("key", "start", "t"), window, seen["longest"], cell
+        )
+        anchors = anchors.unionByName(chained).distinct()
     return anchors
 
 
 def anchored_rate(
     df: DataFrame, key: str = "ip", ts: str = "timestamp_utc", tie: str = "impression_id",
     limit: int = 100, window_seconds: float = 60.0, cell_seconds: float = 10.0,
+    walk_limit: int = 100_000,
 ) -> DataFrame:
     """Adds window_count and rate_exceeded for the fixed window anchored at the first event.
 
@@ -231,7 +280,7 @@ def anchored_rate(
     """
     window = int(window_seconds * SECOND)
     pts = cut(points(df, key, ts))
-    anchors = _window_anchors(pts, window, cell_seconds).withColumn("anchor", F.lit(True))
+    anchors = _window_anchors(pts, window, cell_seconds, walk_limit).withColumn("anchor", F.lit(True))
     marked = pts.join(anchors, ["key", "t"], "left")
     cell = _time_cell(cell_seconds)
     before = running(

@@ -77,10 +77,12 @@ def test_rapid(feed, gap):
             assert got[event] == (want,), event
 
 
-@pytest.mark.parametrize("window", [1, 60, 3000])
-def test_anchored_rate(feed, window):
+@pytest.mark.parametrize(("window", "walk_limit"), [(1, 0), (60, 0), (60, 30), (3000, 0), (60, 100_000)])
+def test_anchored_rate(feed, window, walk_limit):
     df, by_key = feed
-    got = collected(rates.anchored_rate(df, limit=3, window_seconds=window), "window_count", "rate_exceeded")
+    got = collected(
+        rates.anchored_rate(df, limit=3, window_seconds=window, walk_limit=walk_limit),
+        "window_count", "rate_exceeded")
     for events in by_key.values():
         anchor, seen = None, 0
         for t, event in events:
