@@ -2,7 +2,8 @@
 
 A window partitioned by key alone would put a hot key into one task. Every running value here is
 built in two levels instead: inside (key, time cell) partitions, plus a prefix over one row per
-cell. Task size is bounded by the traffic of one cell, prefix size by the covered time.
+cell. A key with few instants is one cell; a heavy key is cut into short ones, so task size is
+bounded by the traffic of one cell and prefix size by the covered time.
 """
 
 from __future__ import annotations
@@ -18,6 +19,9 @@ from pyspark.sql import functions as F
 from adgauge.session import cut, scratch_path
 
 SECOND = 1_000_000
+# A key with more instants than this is split into time cells.
+HEAVY_KEY = 1_000_000
+_ONE_CELL = 2**62
 _AGGREGATES = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
@@ -67,8 +71,25 @@ def running(
     return inside.join(before, [*keys, "_cell"]).withColumns(merged).select(*df.columns, *merged)
 
 
-def _time_cell(seconds: float) -> Column:
-    return F.floor(F.col("t") / F.lit(int(seconds * SECOND)))
+def celled(pts: DataFrame, cell_seconds: float = 10.0, heavy_key: int = HEAVY_KEY) -> DataFrame:
+    """Materialised points with `w`, the cell width of their key in microseconds.
+
+    Heavy keys are found by one partial aggregate; there are at most points / heavy_key of them.
+    """
+    if "w" in pts.columns:
+        return pts
+    pts = cut(pts)
+    heavy = cut(
+        pts.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > heavy_key)
+        .select("key", F.lit(int(cell_seconds * SECOND)).alias("w"))
+    )
+    if heavy.isEmpty():
+        return pts.withColumn("w", F.lit(_ONE_CELL))
+    return pts.join(heavy, "key", "left").withColumn("w", F.coalesce("w", F.lit(_ONE_CELL)))
+
+
+def _time_cell() -> Column:
+    return F.expr("t div w")
 
 
 def points(df: DataFrame, key: str, ts: str) -> DataFrame:
@@ -96,16 +117,18 @@ def attach(
 
 
 def trailing_counts(
-    pts: DataFrame, windows: dict[str, float], cell_seconds: float = 10.0, closed: bool = False
+    pts: DataFrame, windows: dict[str, float], cell_seconds: float = 10.0, closed: bool = False,
+    heavy_key: int = HEAVY_KEY,
 ) -> DataFrame:
     """(key, t, <name>...): events of the key in (t - W, t], or [t - W, t] if `closed`.
 
     A count is a difference of two cumulative counts, so frames never slide: each instant also
     enters as a zero-weight probe at the far end of each window.
     """
+    pts = celled(pts, cell_seconds, heavy_key)
     probes = [
         pts.select(
-            "key",
+            "key", "w",
             (F.col("t") - int(seconds * SECOND) - int(closed)).alias("t"),
             F.lit(0).cast("bigint").alias("n"),
             F.lit(name).alias("probe"),
@@ -113,10 +136,10 @@ def trailing_counts(
         )
         for name, seconds in windows.items()
     ]
-    both = pts.select("key", "t", "n", F.lit("self").alias("probe"), F.col("t").alias("origin"))
+    both = pts.select("key", "w", "t", "n", F.lit("self").alias("probe"), F.col("t").alias("origin"))
     for probe in probes:
         both = both.unionByName(probe)
-    summed = running(both, ["key"], "t", _time_cell(cell_seconds), {"c": ("sum", F.col("n"))})
+    summed = running(both, ["key"], "t", _time_cell(), {"c": ("sum", F.col("n"))})
 
     def at(name: str) -> Column:
         return F.max(F.when(F.col("probe") == name, F.col("c")))
@@ -127,13 +150,14 @@ def trailing_counts(
 
 
 def rapid_instants(
-    pts: DataFrame, gap_ms: int = 100, window_seconds: float = 60.0, cell_seconds: float = 10.0
+    pts: DataFrame, gap_ms: int = 100, window_seconds: float = 60.0, cell_seconds: float = 10.0,
+    heavy_key: int = HEAVY_KEY,
 ) -> DataFrame:
     """(key, t, rapid): some neighbours less than `gap_ms` apart, both in the strict trailing window.
 
     The pair whose earlier member is newest decides, so one running maximum is enough.
     """
-    cell = _time_cell(cell_seconds)
+    pts, cell = celled(pts, cell_seconds, heavy_key), _time_cell()
     linked = running(pts, ["key"], "t", cell, {"prev": ("max", F.col("t"))}, inclusive=False)
     pair_start = F.when(F.col("n") > 1, F.col("t")).when(
         F.col("t") - F.col("prev") < gap_ms * 1000, F.col("prev")
@@ -148,7 +172,7 @@ def ip_rate(
     per_minute: int = 100, per_hour: int = 1000,
 ) -> DataFrame:
     """Adds n_minute, n_hour (current event included) and the two limit flags."""
-    counts = trailing_counts(cut(points(df, key, ts)), {"n_minute": 60, "n_hour": 3600})
+    counts = trailing_counts(points(df, key, ts), {"n_minute": 60, "n_hour": 3600})
     return attach(df, counts, key, ts).withColumns({
         "minute_exceeded": F.col("n_minute") > per_minute,
         "hour_exceeded": F.col("n_hour") > per_hour,
@@ -156,14 +180,14 @@ def ip_rate(
 
 
 def rapid(df: DataFrame, key: str = "ip", ts: str = "timestamp_utc", gap_ms: int = 100) -> DataFrame:
-    return attach(df, rapid_instants(cut(points(df, key, ts)), gap_ms), key, ts)
+    return attach(df, rapid_instants(points(df, key, ts), gap_ms), key, ts)
 
 
 def address_rates(
     df: DataFrame, key: str = "ip", ts: str = "timestamp_utc", gap_ms: int = 100
 ) -> DataFrame:
     """Adds n_minute, n_hour and rapid with one join back to the events."""
-    pts = cut(points(df, key, ts))
+    pts = celled(points(df, key, ts))
     counts = trailing_counts(pts, {"n_minute": 60, "n_hour": 3600})
     return attach(df, counts.join(rapid_instants(pts, gap_ms), ["key", "t"]), key, ts)
 
@@ -173,7 +197,7 @@ def fingerprint_rate(
     overused: int = 1000, suspicious: int = 500,
 ) -> DataFrame:
     """Adds n_day and the usage class of the fingerprint over the trailing 24 hours."""
-    counts = trailing_counts(cut(points(df, key, ts)), {"n_day": 86400})
+    counts = trailing_counts(points(df, key, ts), {"n_day": 86400})
     usage = F.when(F.col("n_day") > overused, "overused").when(
         F.col("n_day") > suspicious, "suspicious"
     ).otherwise("normal")
@@ -196,17 +220,17 @@ def _walk(batches: Iterator[pd.DataFrame], window: int) -> Iterator[pd.DataFrame
         yield rows.loc[hits, ["key", "t"]]
 
 
-def _chained_anchors(busy: DataFrame, window: int, longest: int, cell: Column) -> DataFrame:
+def _chained_anchors(busy: DataFrame, window: int, longest: int) -> DataFrame:
     """Window starts of long busy stretches by pointer doubling: each instant points to the first
     instant a window later, and every round doubles the distance covered from the stretch start."""
     unset = F.lit(None).cast("bigint")
-    here = busy.select("key", "start", "t", F.col("t").alias("seen"), unset.alias("origin"))
+    here = busy.select("key", "start", "w", "t", F.col("t").alias("seen"), unset.alias("origin"))
     ahead = busy.select(
-        "key", "start", (F.col("t") + window).alias("t"), unset.alias("seen"),
+        "key", "start", "w", (F.col("t") + window).alias("t"), unset.alias("seen"),
         F.col("t").alias("origin"),
     )
     pointed = running(
-        here.unionByName(ahead), ["key", "start"], "t", cell, {"next": ("min", F.col("seen"))},
+        here.unionByName(ahead), ["key", "start"], "t", _time_cell(), {"next": ("min", F.col("seen"))},
         forward=False,
     ).filter(F.col("origin").isNotNull() & F.col("next").isNotNull())
     jumps = cut(pointed.select("key", F.col("origin").alias("t"), "next"))
@@ -223,9 +247,7 @@ def _chained_anchors(busy: DataFrame, window: int, longest: int, cell: Column) -
     return anchors
 
 
-def _window_anchors(
-    pts: DataFrame, window: int, cell_seconds: float, walk_limit: int = 100_000
-) -> DataFrame:
+def _window_anchors(pts: DataFrame, window: int, walk_limit: int = 100_000) -> DataFrame:
     """(key, t) where a fixed window starts: the first instant of a key, then each time the first
     instant at least one window after the last start.
 
@@ -234,14 +256,14 @@ def _window_anchors(
     are walked row by row up to `walk_limit` instants; beyond that, so that no task ever gets an
     unbounded stretch of a hot key, their starts are found with joins.
     """
-    cell = _time_cell(cell_seconds)
+    cell = _time_cell()
     linked = running(pts, ["key"], "t", cell, {"prev": ("max", F.col("t"))}, inclusive=False)
     root = F.col("prev").isNull() | (F.col("t") - F.col("prev") >= window)
     grouped = cut(
         running(
             linked.withColumn("root", root), ["key"], "t", cell,
             {"start": ("max", F.when(F.col("root"), F.col("t")))},
-        ).select("key", "t", "start")
+        ).select("key", "w", "t", "start")
     )
     roots = grouped.filter(F.col("t") == F.col("start")).select("key", "t")
     spans = cut(
@@ -262,7 +284,7 @@ def _window_anchors(
     anchors = roots.unionByName(walked)
     if seen["longest"] is not None:
         chained = _chained_anchors(
-            busy.filter(long).select("key", "start", "t"), window, seen["longest"], cell
+            busy.filter(long).select("key", "start", "w", "t"), window, seen["longest"]
         )
         anchors = anchors.unionByName(chained).distinct()
     return anchors
@@ -271,7 +293,7 @@ def _window_anchors(
 def anchored_rate(
     df: DataFrame, key: str = "ip", ts: str = "timestamp_utc", tie: str = "impression_id",
     limit: int = 100, window_seconds: float = 60.0, cell_seconds: float = 10.0,
-    walk_limit: int = 100_000,
+    walk_limit: int = 100_000, heavy_key: int = HEAVY_KEY,
 ) -> DataFrame:
     """Adds window_count and rate_exceeded for the fixed window anchored at the first event.
 
@@ -279,10 +301,10 @@ def anchored_rate(
     instant are counted in `tie` order.
     """
     window = int(window_seconds * SECOND)
-    pts = cut(points(df, key, ts))
-    anchors = _window_anchors(pts, window, cell_seconds, walk_limit).withColumn("anchor", F.lit(True))
+    pts = celled(points(df, key, ts), cell_seconds, heavy_key)
+    anchors = _window_anchors(pts, window, walk_limit).withColumn("anchor", F.lit(True))
     marked = pts.join(anchors, ["key", "t"], "left")
-    cell = _time_cell(cell_seconds)
+    cell = _time_cell()
     before = running(
         marked, ["key"], "t", cell, {"before": ("sum", F.col("n"))}, inclusive=False
     )
@@ -323,7 +345,7 @@ def _admit(batches: Iterator[pd.DataFrame], limit: int, window: int) -> Iterator
 
 def admitted_instants(
     pts: DataFrame, limit: int = 1000, window_seconds: float = 60.0,
-    cell_seconds: float = 10.0, slice_seconds: float | None = None,
+    cell_seconds: float = 10.0, slice_seconds: float | None = None, heavy_key: int = HEAVY_KEY,
 ) -> DataFrame:
     """(key, t, n, admitted): how many events of the instant a sliding limiter lets in.
 
@@ -335,9 +357,8 @@ def admitted_instants(
     """
     window = int(window_seconds * SECOND)
     slice_size = int((slice_seconds or 10 * window_seconds) * SECOND)
-    cell = _time_cell(cell_seconds)
-    pts = cut(pts)
-    raw = trailing_counts(pts, {"raw": window_seconds}, cell_seconds, closed=True)
+    pts, cell = celled(pts, cell_seconds, heavy_key), _time_cell()
+    raw = trailing_counts(pts, {"raw": window_seconds}, closed=True)
     full = cut(pts.join(raw, ["key", "t"]).withColumn("tight", F.col("raw") > limit))
     tight_t = F.when(F.col("tight"), F.col("t"))
     last = cut(running(full, ["key"], "t", cell, {"last": ("max", tight_t)}, inclusive=False))

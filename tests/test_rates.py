@@ -38,10 +38,10 @@ def collected(df, *names):
     return {r.impression_id: tuple(r[n] for n in names) for r in df.collect()}
 
 
-@pytest.mark.parametrize("cell", [0.5, 10.0, 1000.0])
-def test_trailing_counts(feed, cell):
+@pytest.mark.parametrize(("cell", "heavy"), [(0.5, 0), (10.0, 100), (1000.0, 0), (10.0, 1_000_000)])
+def test_trailing_counts(feed, cell, heavy):
     df, by_key = feed
-    got = rates.trailing_counts(rates.points(df, "ip", "timestamp_utc"), {"a": 60, "b": 3600}, cell)
+    got = rates.trailing_counts(rates.points(df, "ip", "timestamp_utc"), {"a": 60, "b": 3600}, cell, heavy_key=heavy)
     got = {(r.key, r.t): (r.a, r.b) for r in got.collect()}
     for key, events in by_key.items():
         for t, _ in events:
@@ -69,19 +69,23 @@ def test_null_keys_are_kept_and_unrated(feed):
 def test_rapid(feed, gap):
     df, by_key = feed
     got = collected(rates.rapid(df, gap_ms=gap), "rapid")
+    pts = rates.points(df, "ip", "timestamp_utc")
+    split = {(r.key, r.t): r.rapid for r in rates.rapid_instants(pts, gap, cell_seconds=0.7, heavy_key=50).collect()}
     for events in by_key.values():
         times = [t for t, _ in events]
         for t, event in events:
             recent = [u for u in times if t - 60 * SECOND < u <= t]
             want = any(b - a < gap * 1000 for a, b in zip(recent, recent[1:]))
             assert got[event] == (want,), event
+    keys = {event: key for key, events in by_key.items() for _, event in events}
+    assert all(split[keys[e], t] == got[e][0] for events in by_key.values() for t, e in events)
 
 
 @pytest.mark.parametrize(("window", "walk_limit"), [(1, 0), (60, 0), (60, 30), (3000, 0), (60, 100_000)])
 def test_anchored_rate(feed, window, walk_limit):
     df, by_key = feed
     got = collected(
-        rates.anchored_rate(df, limit=3, window_seconds=window, walk_limit=walk_limit),
+        rates.anchored_rate(df, limit=3, window_seconds=window, walk_limit=walk_limit, heavy_key=100),
         "window_count", "rate_exceeded")
     for events in by_key.values():
         anchor, seen = None, 0
@@ -97,7 +101,8 @@ def test_anchored_rate(feed, window, walk_limit):
 def test_sliding_admission(feed, limit, window, slice_seconds):
     df, by_key = feed
     decided = rates.admitted_instants(
-        rates.points(df, "ip", "timestamp_utc"), limit, window, slice_seconds=slice_seconds)
+        rates.points(df, "ip", "timestamp_utc"), limit, window, slice_seconds=slice_seconds,
+        heavy_key=100)
     got = {(r.key, r.t): (r.n, r.admitted) for r in decided.collect()}
     for key, events in by_key.items():
         kept, want = [], defaultdict(lambda: [0, 0])
