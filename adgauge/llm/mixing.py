@@ -16,7 +16,7 @@ PLACES = 1 << 53
 
 #: Target shares of the tokens. A level that is not named counts as `other`.
 TARGETS: dict[str, dict[str, float]] = {
-    "source": {"src0": 0.1, OTHER: 0.9},
+    "source": {"src0": 0.08, OTHER: 0.92},
     "lang": {"en": 0.55, "de": 0.17, "fr": 0.17, "es": 0.1, OTHER: 0.01},
     "topic": {"notice": 0.03, "listing": 0.07, "short prose": 0.35, "long prose": 0.549, OTHER: 0.001},
 }
