@@ -118,18 +118,20 @@ def test_mixing(spark, docs):
         for level, share in here.items():
             assert expected[axis, level] / total == pytest.approx(share / sum(here.values()), abs=0.002)
             assert sampled[axis, level] / sum(v for (a, _), v in sampled.items() if a == axis) == pytest.approx(expected[axis, level] / total, abs=0.04)
-    rows = mixing.mix(docs(odd_rows())).collect()
-    assert len(rows) == len(odd_rows())
+    given = odd_rows()
+    rows = mixing.mix(docs(given)).collect()
+    assert len(rows) == len(given)
     for r in rows:  # the hash alone decides
         assert r.tokens == len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
     same = defaultdict(set)
     for r in rows:
         same[r.doc_id, r.text].add(r.sampled)
     assert all(len(v) == 1 for v in same.values())
-    kept = mixing.sample_mix(docs(odd_rows()))
-    assert kept.columns == docs(odd_rows()).columns
-    assert sorted(map(repr, kept.collect())) == sorted(repr(r) for r in [x for x in docs(odd_rows()).collect()] if (r.doc_id, r.text) in {(x.doc_id, x.text) for x in rows if x.sampled})
-    assert mixing.mix(docs(odd_rows()).limit(0)).count() == 0
+    kept = mixing.sample_mix(docs(given))
+    assert kept.columns == docs(given).columns
+    taken = {(x.doc_id, x.text) for x in rows if x.sampled}
+    assert sorted(map(repr, kept.collect())) == sorted(repr(r) for r in docs(given).collect() if (r.doc_id, r.text) in taken)
+    assert mixing.mix(docs(given).limit(0)).count() == 0
 
 
 # sharding
