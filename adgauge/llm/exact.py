@@ -67,6 +67,7 @@ def find_copies(docs: DataFrame, digest: Callable[[Column], Column] = sha256, fi
     said = said.replace("digest binary", f"digest {rows.schema['digest'].dataType.simpleString()}").replace("doc_id:bigint", f"doc_id:{rows.schema['doc_id'].dataType.simpleString()}")
     spark.createDataFrame([], said).write.mode("append").partitionBy("batch").parquet(out)  # an empty table has no batch
     latest = spark.read.schema(said).parquet(out).groupBy("digest").agg(F.max_by(F.struct("stays", "group_size"), "batch").alias("last")).select("digest", "last.stays", "last.group_size")
+    latest = cut(latest)  # joined as a table, so that a hot digest can be split
     logged = spark.read.schema(rows.schema).parquet(log)
 
     several = texts.groupBy("digest", "text").agg(F.lit(1).alias("one")).groupBy("digest").agg(F.count("*").alias("texts")).filter("texts > 1").select("digest")
