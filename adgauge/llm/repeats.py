@@ -31,7 +31,7 @@ from adgauge.session import cut
 LENGTH = 400
 GRAM = 16  # bytes, a power of two
 LARGEST = 20_000  # strings in a collection that one task sorts
-BATCH = 1 << 24  # bytes of strings that are sorted together; a collection is never split
+BATCH = 1 << 23  # bytes of strings that are sorted together; a collection is never split
 PIECE = 1 << 19  # bytes of text hashed at once; a longer text is taken in overlapping pieces
 PLACE_BITS = 24
 SEGMENT = "rid long, core long, content long, start int, n int, o2 int, digest binary, doc_id long"
@@ -157,10 +157,11 @@ def repeated_windows(collection: np.ndarray, strings: list[bytes], o2: np.ndarra
     left = furthest[number] - o2
     sizes = np.array([len(s) for s in strings])
     width = int((left + sizes).max())
-    symbols = np.zeros((width, n), np.uint8)
-    row = np.repeat(np.arange(n), sizes)
-    column = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + left[row]
-    symbols[column, row] = np.frombuffer(b"".join(strings), np.uint8)
+    laid = np.zeros((n, width), np.uint8)
+    for i, (first, string) in enumerate(zip(left.tolist(), strings, strict=True)):
+        laid[i, first : first + len(string)] = np.frombuffer(string, np.uint8)
+    symbols = np.ascontiguousarray(laid.T)
+    del laid
     order = np.argsort(number, kind="stable")
     common = np.zeros(n, np.int32)  # common prefix of each suffix with the one before it in order
     again = np.zeros((int((left + windows).max()), n), bool)
@@ -285,8 +286,8 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, lar
 def _without(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         spans, content = batch.column("spans"), batch.column("content")
-        kept, merged = [], []
-        for raw, found in zip(content.to_pylist(), spans.to_pylist(), strict=True):
+        kept, merged, sizes = [], [], []
+        for raw, found in zip((x.as_py() for x in content), spans.to_pylist(), strict=True):
             runs: list[list[int]] = []
             for s in sorted((x["start"], x["end"]) for x in found or ()):
                 if runs and s[0] <= runs[-1][1]:
@@ -296,7 +297,8 @@ def _without(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[p
             edges = [0, *[e for run in runs for e in run], len(raw)]
             kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if runs else raw)
             merged.append([{"start": a, "end": b} for a, b in runs])
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(r) for r in content.to_pylist()], pa.int64()), pa.array(merged, schema.field("spans").type), pa.array(kept, pa.binary())], schema=schema)
+            sizes.append(len(raw))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(merged, schema.field("spans").type), pa.array(kept, pa.binary())], schema=schema)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, largest: int = LARGEST) -> DataFrame:
