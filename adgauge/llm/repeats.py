@@ -242,10 +242,10 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, lar
     numbered = texts.filter(F.octet_length("content") >= length).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "digest", F.col("content").alias("text"))
     found = cut(numbered.mapInArrow(lambda batches: _segment_rows(batches, length, gram), SEGMENT))
     named = found.filter("digest IS NOT NULL").select("rid", "digest", "doc_id")
-    cores = found.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core")
+    cores = cut(found.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core"))  # a table, so that a hot core can be split
     alive = cut(found.drop("digest", "doc_id").join(cores, "core", "left_semi"))
     kinds = cut(alive.groupBy("core", "content").agg(F.count("*").alias("n_same"), F.min(F.struct("rid", "start", "n", "o2")).alias("at")))
-    mixed = kinds.groupBy("core").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("core")
+    mixed = cut(kinds.groupBy("core").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("core"))
 
     # the bytes of one segment of each kind
     wanted = kinds.join(mixed, "core", "left_semi").select("core", "content", "at.*").join(named, "rid")
@@ -260,8 +260,9 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, lar
     )
     small, whole = [], []
     while True:
+        work = cut(work)
         counts = work.groupBy("core").agg(F.count("*").alias("strings"), F.min("content").alias("least"), F.max("content").alias("most")).filter("strings > 1")
-        work = cut(cut(work).join(counts, "core")) if small else cut(work.join(counts, "core"))
+        work = work.join(cut(counts), "core")
         whole.append(work.filter("least = most"))
         small.append(work.filter(f"least < most AND strings <= {largest}"))
         big = work.filter(f"least < most AND strings > {largest}")
