@@ -134,7 +134,7 @@ def links(prints: DataFrame) -> DataFrame:
     """
     keyed = cut(candidate_keys(prints))
     shared = keyed.groupBy("key").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).filter("least < most").select("key")
-    close = keyed.join(shared, "key", "left_semi").select("fp").distinct()
+    close = keyed.join(cut(shared), "key", "left_semi").select("fp").distinct()
     flips = F.array(F.lit(0).cast("long"), *[F.shiftleft(F.lit(1).cast("long"), i) for i in range(64)])
     around = cut(close.select("fp", F.explode(F.transform(flips, lambda f: f.bitwiseXOR(F.col("fp")))).alias("word")))
     met = around.groupBy("word").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).filter("least < most")
