@@ -21,15 +21,28 @@ def first_per_key(feed: DataFrame, key: str, order: list[str]) -> DataFrame:
     return feed.groupBy(F.col(key).alias("_key")).agg(F.min_by(row, place).alias("r")).select("r.*")
 
 
+def _by_key(feed: DataFrame, key: str, order: list[str], reduce) -> DataFrame:
+    """One row per key by `reduce`, and every row without a key: those are different rows."""
+    keyed = reduce(feed.filter(F.col(key).isNotNull()), key, order)
+    return keyed.unionByName(feed.filter(F.col(key).isNull()).select(*keyed.columns))
+
+
+def last_of_each(feed: DataFrame, key: str, order: list[str]) -> DataFrame:
+    return _by_key(feed, key, order, last_per_key)
+
+
 def insert_new(target: DataFrame, feed: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Target plus the feed rows with new keys; an existing id wins, the first new one wins."""
-    fresh = first_per_key(feed, key, order).join(target.select(key), key, "left_anti")
+    """Target plus the feed rows with new keys; an existing id wins, the first new one wins.
+
+    Rows without a key are all added.
+    """
+    fresh = _by_key(feed, key, order, first_per_key).join(target.select(key), key, "left_anti")
     return target.unionByName(fresh.select(*target.columns))
 
 
 def upsert_latest(target: DataFrame, feed: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Target with the feed's last row of each key replacing or joining it."""
-    latest = last_per_key(feed, key, order)
+    """Target with the feed's last row of each key replacing or joining it; rows without a key join."""
+    latest = last_of_each(feed, key, order)
     return target.join(latest.select(key), key, "left_anti").unionByName(
         latest.select(*target.columns)
     )

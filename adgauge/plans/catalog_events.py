@@ -90,7 +90,13 @@ query(
 def _documents(v):
     path = scratch_path(v.spark, "surveys")
     sinks.export_json(v.surveys.drop("partkey"), path)
-    back = readers.read_json_lines(v.spark, path, schemas.SURVEY)
+    lines = readers.read_json_lines(v.spark, path, schemas.SURVEY)
+    # the same documents as files that hold one JSON array each
+    arrays = scratch_path(v.spark, "arrays")
+    v.spark.read.text(path).groupBy(F.pmod(F.xxhash64("value"), F.lit(8))).agg(
+        F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit("]")).alias("value")
+    ).select("value").repartition(8).write.text(arrays)
+    back = readers.read_documents(v.spark, f"{arrays}/part-*", schemas.SURVEY).unionByName(lines.limit(0))
     return back.select(
         "survey_id", "campaign_id", "status", F.size("questions").cast("bigint").alias("questions"),
         F.array_join(F.transform("questions", lambda x: x["metric"]), ",").alias("metrics"),
@@ -141,18 +147,16 @@ query(
 
 
 def _upserted(v):
-    """Two batches into one table; the second moves keys to other dates."""
+    """Three batches into one table, all events: keys move to other dates, some rows have no date or no key."""
     target, work = scratch_path(v.spark, "target"), scratch_path(v.spark, "work")
     base = v.events.select(
-        "event_id", F.concat(F.lit("h"), (F.col("seq") - F.col("seq") % 4).cast("string")).alias("tracking_hash"),
-        "campaign_id", F.col("timestamp").alias("processed_at"), F.to_date("timestamp").alias("date"), "seq",
+        "event_id", F.when(F.expr("seq % 11 > 0"), F.concat(F.lit("h"), F.expr("cast(seq - seq % 4 AS string)"))).alias("tracking_hash"),
+        "campaign_id", F.col("timestamp").alias("processed_at"),
+        F.when(F.expr("seq % 7 > 0"), F.date_add(F.to_date("timestamp"), F.when(F.expr("seq % 4 = 3"), (F.col("seq") % 5).cast("int")).otherwise(0))).alias("date"),
+        F.expr("CASE seq % 4 WHEN 3 THEN 1 WHEN 2 THEN 2 ELSE 0 END").alias("part"),
     )
-    first = base.filter("seq % 4 < 2")
-    second = base.filter("seq % 4 = 3 AND seq % 3 = 0").withColumn(
-        "date", F.date_add("date", (F.col("seq") % 5).cast("int"))
-    )
-    sinks.upsert_batch(first, 0, target, work)
-    sinks.upsert_batch(second, 1, target, work)
+    for part in range(3):
+        sinks.upsert_batch(base.filter(F.col("part") == part).drop("part"), part, target, work)
     return readers.read_table(v.spark, target).select(
         "tracking_hash", "event_id", "campaign_id", F.col("date").cast("string").alias("date")
     )
@@ -160,13 +164,11 @@ def _upserted(v):
 
 query(
     "a10_upsert_sink", _upserted,
-    """WITH base AS (SELECT event_id, concat('h', seq - seq % 4) AS tracking_hash, campaign_id, timestamp AS processed_at,
-        timestamp::date AS date, seq FROM raw_events),
-      f AS (SELECT * FROM base WHERE seq % 4 < 2 QUALIFY row_number() OVER (PARTITION BY tracking_hash ORDER BY processed_at DESC, event_id DESC) = 1),
-      s AS (SELECT * REPLACE (date + (seq % 5)::int AS date) FROM base WHERE seq % 4 = 3 AND seq % 3 = 0),
-      s1 AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY tracking_hash ORDER BY processed_at DESC, event_id DESC) = 1)
-    SELECT tracking_hash, event_id, campaign_id, date::varchar AS date FROM f WHERE tracking_hash NOT IN (SELECT tracking_hash FROM s1)
-    UNION ALL SELECT tracking_hash, event_id, campaign_id, date::varchar FROM s1""",
+    """WITH base AS (SELECT event_id, CASE WHEN seq % 11 > 0 THEN concat('h', seq - seq % 4) END AS tracking_hash, campaign_id, timestamp AS processed_at,
+        CASE WHEN seq % 7 > 0 THEN timestamp::date + (CASE WHEN seq % 4 = 3 THEN seq % 5 ELSE 0 END)::int END AS date,
+        CASE seq % 4 WHEN 3 THEN 1 WHEN 2 THEN 2 ELSE 0 END AS part FROM raw_events)
+    SELECT tracking_hash, event_id, campaign_id, date::varchar AS date FROM base
+    QUALIFY tracking_hash IS NULL OR row_number() OVER (PARTITION BY tracking_hash ORDER BY part DESC, processed_at DESC, event_id DESC) = 1""",
 )
 
 

@@ -70,6 +70,32 @@ def test_upsert_moves_keys_and_survives_replay(spark):
     assert table(spark, target) == want
 
 
+def test_upsert_keeps_rows_without_date_or_key(spark):
+    target, work = scratch_path(spark, "t"), scratch_path(spark, "w")
+    t0 = dt.datetime(2024, 1, 1)
+    first = batch(spark, [("a", "e1", t0, None), ("b", "e2", t0, None), (None, "e3", t0, None), (None, "e4", t0, t0.date())])
+    second = batch(spark, [("a", "e5", t0, None), (None, "e3", t0, t0.date())])
+    for number, rows in enumerate((first, second, second.limit(0))):
+        for _ in range(2):
+            sinks.upsert_batch(rows, number, target, work)
+    got = sorted((r.tracking_hash or "", r.event_id, str(r.date)) for r in readers.read_table(spark, target).collect())
+    assert got == [("", "e3", "2024-01-01"), ("", "e3", "None"), ("", "e4", "2024-01-01"), ("a", "e5", "None"), ("b", "e2", "None")]
+
+
+def test_keyless_events_pass(spark):
+    rows = [("e", None, 1), ("e", None, 1), (None, " ", 2), (None, " ", 2), ("x", "k", 3), ("y", "k", 4)]
+    df = spark.createDataFrame(rows, "event_id string, idempotency_key string, s long").select(
+        "event_id", "idempotency_key", F.timestamp_seconds("s").alias("timestamp"))
+    source, out = scratch_path(spark, "src"), scratch_path(spark, "out")
+    for i in range(2):
+        df.filter(F.col("timestamp").cast("long") % 2 == i).coalesce(1).write.mode("append").parquet(source)
+    stream = ingest.drop_repeats(readers.read_table_stream(spark, source, df.schema, max_files=1), delay="1 hour")
+    _finish(ingest.checkpointed(stream.writeStream.format("parquet").option("path", out), f"{out}-c").trigger(availableNow=True).start())
+    for got in (ingest.drop_repeats(df), spark.read.parquet(out)):
+        keys = sorted((r.idempotency_key or "") for r in got.collect())
+        assert keys == ["", "", " ", " ", "k"]
+
+
 def test_stream_ingest_equals_batch(spark):
     v = views.Views(spark, SMALL)
     base = scratch_path(spark, "ingest")
