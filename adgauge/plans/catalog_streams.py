@@ -134,8 +134,10 @@ query(
 
 
 def _keyed(events):
+    # keyless events share event ids, or have none
+    shared = F.when(F.expr("seq % 10 = 0"), F.lit(None)).when(F.expr("seq % 10 = 1"), F.lit("e")).otherwise(F.col("event_id"))
     return events.select(
-        "event_id", "timestamp",
+        shared.alias("event_id"), "timestamp",
         F.when(F.expr("seq % 5 = 0"), F.lit(None)).when(F.expr("seq % 5 = 1"), F.lit(" ")).otherwise(
             F.concat(F.lit("k"), F.expr("cast(user_id * 7 + seq % 3 as string)"))).alias("idempotency_key"),
     )
@@ -144,7 +146,7 @@ def _keyed(events):
 query(
     "i04_drop_repeats",
     lambda v: ingest.drop_repeats(_keyed(v.events)).select("event_id", "idempotency_key"),
-    """WITH k AS (SELECT event_id, timestamp, CASE seq % 5 WHEN 0 THEN NULL WHEN 1 THEN ' ' ELSE concat('k', user_id * 7 + seq % 3) END AS idempotency_key FROM raw_events)
+    """WITH k AS (SELECT CASE seq % 10 WHEN 0 THEN NULL WHEN 1 THEN 'e' ELSE event_id END AS event_id, timestamp, CASE seq % 5 WHEN 0 THEN NULL WHEN 1 THEN ' ' ELSE concat('k', user_id * 7 + seq % 3) END AS idempotency_key FROM raw_events)
     SELECT event_id, idempotency_key FROM k QUALIFY trim(coalesce(idempotency_key, '')) = '' OR row_number() OVER (PARTITION BY idempotency_key ORDER BY timestamp, event_id) = 1""",
 )
 query(

@@ -76,20 +76,18 @@ def run_ingest(
 def drop_repeats(
     df: DataFrame, key: str = "idempotency_key", ts: str = "timestamp", delay: str = "10 minutes"
 ) -> DataFrame:
-    """Drops repeats of a seen key; rows without a key pass. Exact in batch, within the watermark
-    on a stream."""
+    """Drops repeats of a seen key; every row without a key passes. Exact in batch, within the watermark
+    on a stream, where keyless rows enter no state and are never late."""
     blank = F.col(key).isNull() | (F.trim(F.col(key)) == "")
-    marked = df.withColumn(
-        "_dedupe", F.when(blank, F.concat(F.lit("row-"), F.col("event_id"))).otherwise(F.col(key))
-    )
+    keyed, keyless = df.filter(~blank), df.filter(blank)
     if df.isStreaming:
-        unique = marked.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["_dedupe"])
+        unique = keyed.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
     else:
         row = F.struct(*[F.col(c) for c in df.columns])
-        return marked.groupBy("_dedupe").agg(
+        unique = keyed.groupBy(F.col(key).alias("_dedupe")).agg(
             F.min_by(row, F.struct(ts, "event_id")).alias("r")
         ).select("r.*")
-    return unique.drop("_dedupe")
+    return unique.unionByName(keyless)
 
 
 def live_counts(
