@@ -2,8 +2,8 @@
 
 A window partitioned by key alone would put a hot key into one task. Every running value here is
 built in two levels instead: inside (key, time cell) partitions, plus a prefix over one row per
-cell. A key with few instants is one cell; a heavy key is cut into short ones, so task size is
-bounded by the traffic of one cell and prefix size by the covered time.
+cell. The cell width of a key follows from its own instants and the time they span, so that a cell holds
+about `cell_rows` of them whatever the traffic.
 """
 
 from __future__ import annotations
@@ -19,9 +19,8 @@ from pyspark.sql import functions as F
 from adgauge.session import cut, scratch_path
 
 SECOND = 1_000_000
-# A key with more instants than this is split into time cells.
-HEAVY_KEY = 1_000_000
-_ONE_CELL = 2**62
+# Instants of a key in one cell, on average over the time it spans.
+CELL_ROWS = 100_000
 _AGGREGATES = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
@@ -71,21 +70,18 @@ def running(
     return inside.join(before, [*keys, "_cell"]).withColumns(merged).select(*df.columns, *merged)
 
 
-def celled(pts: DataFrame, cell_seconds: float = 10.0, heavy_key: int = HEAVY_KEY) -> DataFrame:
+def celled(pts: DataFrame, cell_seconds: float = 10.0, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Materialised points with `w`, the cell width of their key in microseconds.
 
-    Heavy keys are found by one partial aggregate; there are at most points / heavy_key of them.
+    A key of m instants over a span s has cells of s * cell_rows / m, `cell_seconds` at least.
     """
     if "w" in pts.columns:
         return pts
     pts = cut(pts)
-    heavy = cut(
-        pts.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > heavy_key)
-        .select("key", F.lit(int(cell_seconds * SECOND)).alias("w"))
-    )
-    if heavy.isEmpty():
-        return pts.withColumn("w", F.lit(_ONE_CELL))
-    return pts.join(heavy, "key", "left").withColumn("w", F.coalesce("w", F.lit(_ONE_CELL)))
+    keys = pts.groupBy("key").agg(F.count("*").alias("m"), (F.max("t") - F.min("t")).alias("span"))
+    even = F.floor(F.col("span").cast("double") * cell_rows / F.col("m")) + 1
+    widths = cut(keys.select("key", F.greatest(even, F.lit(int(cell_seconds * SECOND))).cast("long").alias("w")))
+    return pts.join(widths, "key")
 
 
 def _time_cell() -> Column:
@@ -118,14 +114,14 @@ def attach(
 
 def trailing_counts(
     pts: DataFrame, windows: dict[str, float], cell_seconds: float = 10.0, closed: bool = False,
-    heavy_key: int = HEAVY_KEY,
+    cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """(key, t, <name>...): events of the key in (t - W, t], or [t - W, t] if `closed`.
 
     A count is a difference of two cumulative counts, so frames never slide: each instant also
     enters as a zero-weight probe at the far end of each window.
     """
-    pts = celled(pts, cell_seconds, heavy_key)
+    pts = celled(pts, cell_seconds, cell_rows)
     probes = [
         pts.select(
             "key", "w",
@@ -151,13 +147,13 @@ def trailing_counts(
 
 def rapid_instants(
     pts: DataFrame, gap_ms: int = 100, window_seconds: float = 60.0, cell_seconds: float = 10.0,
-    heavy_key: int = HEAVY_KEY,
+    cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """(key, t, rapid): some neighbours less than `gap_ms` apart, both in the strict trailing window.
 
     The pair whose earlier member is newest decides, so one running maximum is enough.
     """
-    pts, cell = celled(pts, cell_seconds, heavy_key), _time_cell()
+    pts, cell = celled(pts, cell_seconds, cell_rows), _time_cell()
     linked = running(pts, ["key"], "t", cell, {"prev": ("max", F.col("t"))}, inclusive=False)
     pair_start = F.when(F.col("n") > 1, F.col("t")).when(
         F.col("t") - F.col("prev") < gap_ms * 1000, F.col("prev")
@@ -293,7 +289,7 @@ def _window_anchors(pts: DataFrame, window: int, walk_limit: int = 100_000) -> D
 def anchored_rate(
     df: DataFrame, key: str = "ip", ts: str = "timestamp_utc", tie: str = "impression_id",
     limit: int = 100, window_seconds: float = 60.0, cell_seconds: float = 10.0,
-    walk_limit: int = 100_000, heavy_key: int = HEAVY_KEY,
+    walk_limit: int = 100_000, cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """Adds window_count and rate_exceeded for the fixed window anchored at the first event.
 
@@ -301,7 +297,7 @@ def anchored_rate(
     instant are counted in `tie` order.
     """
     window = int(window_seconds * SECOND)
-    pts = celled(points(df, key, ts), cell_seconds, heavy_key)
+    pts = celled(points(df, key, ts), cell_seconds, cell_rows)
     anchors = _window_anchors(pts, window, walk_limit).withColumn("anchor", F.lit(True))
     marked = pts.join(anchors, ["key", "t"], "left")
     cell = _time_cell()
@@ -345,7 +341,7 @@ def _admit(batches: Iterator[pd.DataFrame], limit: int, window: int) -> Iterator
 
 def admitted_instants(
     pts: DataFrame, limit: int = 1000, window_seconds: float = 60.0,
-    cell_seconds: float = 10.0, slice_seconds: float | None = None, heavy_key: int = HEAVY_KEY,
+    cell_seconds: float = 10.0, slice_seconds: float | None = None, cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """(key, t, n, admitted): how many events of the instant a sliding limiter lets in.
 
@@ -357,7 +353,7 @@ def admitted_instants(
     """
     window = int(window_seconds * SECOND)
     slice_size = int((slice_seconds or 10 * window_seconds) * SECOND)
-    pts, cell = celled(pts, cell_seconds, heavy_key), _time_cell()
+    pts, cell = celled(pts, cell_seconds, cell_rows), _time_cell()
     raw = trailing_counts(pts, {"raw": window_seconds}, closed=True)
     full = cut(pts.join(raw, ["key", "t"]).withColumn("tight", F.col("raw") > limit))
     tight_t = F.when(F.col("tight"), F.col("t"))

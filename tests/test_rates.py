@@ -41,7 +41,7 @@ def collected(df, *names):
 @pytest.mark.parametrize(("cell", "heavy"), [(0.5, 0), (10.0, 100), (1000.0, 0), (10.0, 1_000_000)])
 def test_trailing_counts(feed, cell, heavy):
     df, by_key = feed
-    got = rates.trailing_counts(rates.points(df, "ip", "timestamp_utc"), {"a": 60, "b": 3600}, cell, heavy_key=heavy)
+    got = rates.trailing_counts(rates.points(df, "ip", "timestamp_utc"), {"a": 60, "b": 3600}, cell, cell_rows=heavy)
     got = {(r.key, r.t): (r.a, r.b) for r in got.collect()}
     for key, events in by_key.items():
         for t, _ in events:
@@ -70,7 +70,7 @@ def test_rapid(feed, gap):
     df, by_key = feed
     got = collected(rates.rapid(df, gap_ms=gap), "rapid")
     pts = rates.points(df, "ip", "timestamp_utc")
-    split = {(r.key, r.t): r.rapid for r in rates.rapid_instants(pts, gap, cell_seconds=0.7, heavy_key=50).collect()}
+    split = {(r.key, r.t): r.rapid for r in rates.rapid_instants(pts, gap, cell_seconds=0.7, cell_rows=50).collect()}
     for events in by_key.values():
         times = [t for t, _ in events]
         for t, event in events:
@@ -85,7 +85,7 @@ def test_rapid(feed, gap):
 def test_anchored_rate(feed, window, walk_limit):
     df, by_key = feed
     got = collected(
-        rates.anchored_rate(df, limit=3, window_seconds=window, walk_limit=walk_limit, heavy_key=100),
+        rates.anchored_rate(df, limit=3, window_seconds=window, walk_limit=walk_limit, cell_rows=100),
         "window_count", "rate_exceeded")
     for events in by_key.values():
         anchor, seen = None, 0
@@ -102,7 +102,7 @@ def test_sliding_admission(feed, limit, window, slice_seconds):
     df, by_key = feed
     decided = rates.admitted_instants(
         rates.points(df, "ip", "timestamp_utc"), limit, window, slice_seconds=slice_seconds,
-        heavy_key=100)
+        cell_rows=100)
     got = {(r.key, r.t): (r.n, r.admitted) for r in decided.collect()}
     for key, events in by_key.items():
         kept, want = [], defaultdict(lambda: [0, 0])
