@@ -66,7 +66,7 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
 
 
 def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray, rounds: int = 300) -> np.ndarray:
-    """Continued fraction of the incomplete beta function, modified Lentz form."""
+    """Continued fraction of the incomplete beta function, modified Lentz form; NaN where it has not converged."""
     tiny = 1e-300
 
     def guard(v):
@@ -86,7 +86,7 @@ def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray, rounds: int = 30
             step = d * c
         if np.all(np.abs(step - 1) < 1e-15):
             break
-    return value
+    return np.where(np.abs(step - 1) < 1e-9, value, np.nan)
 
 
 def two_sided_t(t: np.ndarray, df: np.ndarray) -> np.ndarray:

@@ -56,7 +56,7 @@ def refresh_window(df: DataFrame, today: Column, path: str, date: str = "exposur
     """Rewrites only the partitions of the rolling window."""
     fresh = df.filter(F.datediff(today, F.col(date)) <= days)
     (
-        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        fresh.hint("rebalance", date).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(date).parquet(path)
     )
 

@@ -207,10 +207,14 @@ def complete_responses(
         "pending_response_id"
     ).agg(F.min("submission_id").alias("first_submission"))
     known = surveys.select("survey_id", F.col("campaign_id").alias("survey_campaign"))
+    sent = submissions.join(known, "survey_id", "left")
+    # direct submissions have no pending id: they meet nothing, and would all meet in one task
+    direct = sent.filter(F.col("pending_response_id").isNull())
     state = (
-        submissions.join(known, "survey_id", "left")
+        sent.filter(F.col("pending_response_id").isNotNull())
         .join(stored, "pending_response_id", "left")
         .join(first, "pending_response_id", "left")
+        .unionByName(direct, allowMissingColumns=True)
     )
     found = F.col("stored_status").isNotNull()
     late = found & (

@@ -263,11 +263,10 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
 
 
 def filter_values(panelists: DataFrame) -> DataFrame:
-    """Sorted vocabularies of the audience filters; list sizes follow the domains."""
-    def values(name: str) -> Column:
-        return F.sort_array(F.collect_set(F.when(F.col(name) != "", F.col(name)))).alias(f"{name}s")
-
-    return panelists.agg(values("age_range"), values("gender"), values("country"))
+    """Vocabularies of the audience filters as rows: (name, value), blanks and nulls left out."""
+    names = ("age_range", "gender", "country")
+    pair = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in names]))
+    return panelists.select(pair.alias("v")).select("v.*").filter(F.col("value") != "").distinct()
 
 
 # -- order, pages, heads ------------------------------------------------------------------------

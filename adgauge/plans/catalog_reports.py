@@ -10,7 +10,7 @@ from adgauge.plans.catalog_events import _mapping, t_p_sql, ts
 from adgauge.plans.measure import measure_campaign
 from adgauge.plans.registry import query
 from adgauge.plans.views import AGE_RANGE, CAMPAIGN, NOW, SCORE, stamp
-from adgauge.session import cut
+from adgauge.session import cut, scratch_path
 
 CALIPER = 0.0105
 
@@ -148,6 +148,22 @@ query(
     """SELECT CASE WHEN date '1999-06-01' - o_orderdate::date <= 90 THEN 'refresh' WHEN date '1999-06-01' - o_orderdate::date <= 730 THEN 'archive'
     ELSE 'expired' END AS tier, count(*) AS n FROM orders GROUP BY 1""",
 )
+
+
+def _refreshed(v):
+    """A table by month of which the last 90 days are written anew with a mark."""
+    path, today = scratch_path(v.spark, "window"), F.lit("1998-08-01").cast("date")
+    orders = v.table("orders").select("o_orderkey", F.trunc(F.to_date("o_orderdate"), "month").alias("exposure_date"), F.lit("old").alias("mark"))
+    orders.hint("rebalance", "exposure_date").write.partitionBy("exposure_date").parquet(path)
+    report.refresh_window(orders.withColumn("mark", F.lit("new")), today, path)
+    return v.spark.read.parquet(path).select("o_orderkey", "mark", F.col("exposure_date").cast("string").alias("exposure_date"))
+
+
+query(
+    "b28_refresh_window", _refreshed,
+    """SELECT o_orderkey, CASE WHEN date '1998-08-01' - d <= 90 THEN 'new' ELSE 'old' END AS mark, d::varchar AS exposure_date
+    FROM (SELECT o_orderkey, date_trunc('month', o_orderdate)::date AS d FROM orders)""",
+)
 query(
     "b29_significant_only",
     lambda v: lift.significant_only(v.lift).select("campaign_id", "metric_name"),
@@ -299,10 +315,9 @@ query(
 )
 query(
     "d03_filter_values",
-    lambda v: tables.filter_values(v.panelists).select(*[
-        F.array_join(c, "|").alias(c) for c in ("age_ranges", "genders", "countrys")]),
-    """SELECT string_agg(DISTINCT age_range, '|' ORDER BY age_range) AS age_ranges, string_agg(DISTINCT gender, '|' ORDER BY gender) AS genders,
-    string_agg(DISTINCT country, '|' ORDER BY country) AS countrys FROM panelists""",
+    lambda v: tables.filter_values(v.panelists),
+    """SELECT DISTINCT 'age_range' AS name, age_range AS value FROM panelists WHERE age_range <> '' UNION ALL
+    SELECT DISTINCT 'gender', gender FROM panelists WHERE gender <> '' UNION ALL SELECT DISTINCT 'country', country FROM panelists WHERE country <> ''""",
 )
 query(
     "d04_invite_targets",
@@ -856,6 +871,13 @@ def _campaign_patches(v):
     )
 
 
+query(
+    "j06_create_campaigns",
+    lambda v: changes.create_campaigns(v.campaigns.drop("status", "created_at", "updated_at"), F.lit("2024-01-16 00:00:00").cast("timestamp")).select(
+        "campaign_id", "status", stamp("created_at").alias("created_at"), stamp("updated_at").alias("updated_at")),
+    """SELECT campaign_id, CASE WHEN timestamp '2024-01-16' < start_date THEN 'Scheduled' WHEN timestamp '2024-01-16' <= end_date THEN 'Active'
+    ELSE 'Completed' END AS status, '2024-01-16 00:00:00.000000' AS created_at, '2024-01-16 00:00:00.000000' AS updated_at FROM campaigns""",
+)
 query(
     "j06_campaign_changes",
     lambda v: changes.apply_campaign_changes(v.campaigns, _campaign_patches(v), F.lit("2024-02-01 00:00:00").cast("timestamp")).select(
