@@ -42,19 +42,19 @@ def _fill(arcs: DataFrame, totals: DataFrame, shards: int, slack: float) -> Data
     Keys arrive in ring order. Those of an arc go to the arc's own shard until it is full, then on
     clockwise to the next shard with room. One row per arc is all this looks at, so it is one fold.
     """
-    order = arcs.agg(F.sort_array(F.collect_list(F.struct("arc", "shard"))).alias("nodes")).select(F.col("nodes.shard").alias("nodes"))
-    counted = totals.agg(F.sort_array(F.collect_list(F.struct("arc", "n"))).alias("counts"), F.coalesce(F.sum("n"), F.lit(0)).alias("all"))
+    counted = arcs.join(totals, "arc", "left").select("arc", "shard", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    one = counted.agg(F.sort_array(F.collect_list(F.struct("arc", "shard", "n"))).alias("nodes"), F.sum("n").alias("all"))
     even = F.floor(F.col("all") / shards)
     if slack:
         room = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: F.ceil(F.col("all") * (1 + slack) / shards))
     else:
         room = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: even + F.when(s < F.col("all") % shards, 1).otherwise(0))
     taken = "array<struct<arc:int,shard:int,first:bigint,end:bigint,base:bigint>>"
-    # both sides are one row each
-    one = counted.withColumn("one", F.lit(1)).join(order.withColumn("one", F.lit(1)), "one").withColumn("room", room)
+    one = one.withColumn("room", room)
+    owners = F.col("nodes.shard")
 
     def arc_in(state: Column, arc: Column) -> Column:
-        walk = F.array_distinct(F.concat(F.slice(F.col("nodes"), arc["arc"] + 1, F.size("nodes")), F.slice(F.col("nodes"), 1, arc["arc"])))
+        walk = F.array_distinct(F.concat(F.slice(owners, arc["arc"] + 1, F.size("nodes")), F.slice(owners, 1, arc["arc"])))
 
         def shard_in(inner: Column, shard: Column) -> Column:
             load = F.get(inner["load"], shard)
@@ -71,7 +71,7 @@ def _fill(arcs: DataFrame, totals: DataFrame, shards: int, slack: float) -> Data
         return F.struct(after["load"].alias("load"), after["out"].alias("out"))
 
     empty = F.struct(F.array_repeat(F.lit(0).cast("long"), shards).alias("load"), F.from_json(F.lit("[]"), taken).alias("out"))
-    return one.select(F.explode(F.aggregate("counts", empty, arc_in)["out"]).alias("part")).select("part.*")
+    return one.select(F.explode(F.aggregate(F.filter("nodes", lambda a: a["n"] > 0), empty, arc_in)["out"]).alias("part")).select("part.*")
 
 
 def place(docs: DataFrame, shards: int, vnodes: int = 64, cells: int = 64, slack: float = 0.0, key: str = "doc_id", text: str = "text") -> DataFrame:
