@@ -12,11 +12,12 @@ import math
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from adgauge.session import cut, scratch_path
+from adgauge.session import cut
 
 SECOND = 1_000_000
 # Instants of a key in one cell, on average over the time it spans.
@@ -200,59 +201,76 @@ def fingerprint_rate(
     return attach(df, counts, key, ts).withColumn("fingerprint_usage", usage)
 
 
-def _walk(batches: Iterator[pd.DataFrame], window: int) -> Iterator[pd.DataFrame]:
-    """Window starts of short busy stretches; rows come sorted by (key, start, t)."""
-    stretch, anchor = None, 0
-    for rows in batches:
-        hits = []
-        for key, start, t in zip(rows["key"], rows["start"], rows["t"]):
-            if (key, start) != stretch:
-                stretch, anchor = (key, start), start
-            if t - anchor >= window:
-                anchor = t
-                hits.append(True)
-            else:
-                hits.append(False)
-        yield rows.loc[hits, ["key", "t"]]
-
-
-def _chained_anchors(busy: DataFrame, window: int, longest: int) -> DataFrame:
-    """Window starts of long busy stretches by pointer doubling: each instant points to the first
-    instant a window later, and every round doubles the distance covered from the stretch start."""
-    unset = F.lit(None).cast("bigint")
-    here = busy.select("key", "start", "w", "t", F.col("t").alias("seen"), unset.alias("origin"))
-    ahead = busy.select(
-        "key", "start", "w", (F.col("t") + window).alias("t"), unset.alias("seen"),
-        F.col("t").alias("origin"),
-    )
-    pointed = running(
-        here.unionByName(ahead), ["key", "start"], "t", _time_cell(), {"next": ("min", F.col("seen"))},
-        forward=False,
-    ).filter(F.col("origin").isNotNull() & F.col("next").isNotNull())
-    jumps = cut(pointed.select("key", F.col("origin").alias("t"), "next"))
-    anchors = busy.filter(F.col("t") == F.col("start")).select("key", "t")
-    rounds = math.ceil(math.log2(longest // window + 1))
-    for i in range(rounds):
-        reached = anchors.join(jumps, ["key", "t"]).select("key", F.col("next").alias("t"))
-        anchors = cut(anchors.unionByName(reached).distinct())
-        if i + 1 < rounds:
-            hop = jumps.select("key", F.col("t").alias("next"), F.col("next").alias("after"))
-            jumps = cut(
-                jumps.join(hop, ["key", "next"]).select("key", "t", F.col("after").alias("next"))
-            )
-    return anchors
+def _changes(rows: pd.DataFrame, names: list[str]) -> np.ndarray:
+    """Where a row differs from the one before in any of the named columns; the first row does."""
+    new = np.zeros(len(rows), bool)
+    for name in names:
+        values = rows[name].to_numpy()
+        new[1:] |= values[1:] != values[:-1]
+    new[:1] = True
+    return new
 
 
-def _window_anchors(pts: DataFrame, window: int, walk_limit: int = 100_000) -> DataFrame:
+def _whole_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by (key, start, cell, t) in frames that end where a cell ends."""
+    held = None
+    for rows in batches:
+        rows = rows if held is None else pd.concat([held, rows], ignore_index=True)
+        last = np.flatnonzero(_changes(rows, ["key", "start", "cell"]))[-1] if len(rows) else 0
+        held = rows.iloc[last:]
+        if last:
+            yield rows.iloc[:last]
+    if held is not None and len(held):
+        yield held
+
+
+def _hops(rows: pd.DataFrame) -> np.ndarray:
+    """Of each row the place of its `next` in the same cell; its own place if that lies elsewhere."""
+    head, t, place = _changes(rows, ["key", "start", "cell"]), rows["t"].to_numpy(), np.arange(len(rows))
+    group, firsts = np.cumsum(head) - 1, np.flatnonzero(head)
+    lasts = np.append(firsts[1:], len(rows)) - 1
+    base = np.concatenate(([0], np.cumsum(t[lasts] - t[firsts] + 1)[:-1]))  # cells one after the other
+    shift = (base - t[firsts])[group]
+    target = np.searchsorted(t + shift, rows["next"].to_numpy() + shift)
+    return np.where(rows["inside"].to_numpy(bool), np.minimum(target, len(rows) - 1), place)
+
+
+def _exits(batches: Iterator[pd.DataFrame], window: int) -> Iterator[pd.DataFrame]:
+    """Of each instant that a chain can enter a cell at, the instant at which it enters a later one."""
+    for rows in _whole_cells(batches):
+        last = _hops(rows)
+        while not np.array_equal(further := last[last], last):
+            last = further
+        t = rows["t"].to_numpy()
+        # whoever points here from an earlier cell is less than a window before the instant that precedes it
+        early = np.append(0, t[:-1]) < rows["edge"].to_numpy() + window
+        entry = (_changes(rows, ["key", "start", "cell"]) | early) & rows["ahead"].to_numpy(bool)[last]
+        found = pd.DataFrame({"key": rows["key"].to_numpy(), "t": t, "next": rows["next"].to_numpy()[last]})
+        yield found[entry]
+
+
+def _inner(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The entries reached, and all instants that the chains visit from there inside the cells."""
+    for rows in _whole_cells(batches):
+        hops, visited = _hops(rows), rows["reached"].to_numpy(bool).copy()
+        here = np.flatnonzero(visited)
+        while len(here):
+            here = np.unique(hops[here])
+            here = here[~visited[here]]
+            visited[here] = True
+        yield rows.loc[visited, ["key", "t"]]
+
+
+def _window_anchors(pts: DataFrame, window: int) -> DataFrame:
     """(key, t) where a fixed window starts: the first instant of a key, then each time the first
     instant at least one window after the last start.
 
     An instant that follows a pause of a full window always starts one, so stretches between such
-    pauses are independent and one shorter than a window has no further start. Longer stretches
-    are walked row by row up to `walk_limit` instants; beyond that, so that no task ever gets an
-    unbounded stretch of a hot key, their starts are found with joins.
+    pauses are independent and one shorter than a window has no further start. In longer ones each
+    instant points to the first instant a window later. Tasks follow these pointers inside (key, cell)
+    groups; across cells, entry points are joined in rounds that double the number of cells covered.
     """
-    cell = _time_cell()
+    cell, unset = _time_cell(), F.lit(None).cast("bigint")
     linked = running(pts, ["key"], "t", cell, {"prev": ("max", F.col("t"))}, inclusive=False)
     root = F.col("prev").isNull() | (F.col("t") - F.col("prev") >= window)
     grouped = cut(
@@ -262,34 +280,45 @@ def _window_anchors(pts: DataFrame, window: int, walk_limit: int = 100_000) -> D
         ).select("key", "w", "t", "start")
     )
     roots = grouped.filter(F.col("t") == F.col("start")).select("key", "t")
-    spans = cut(
-        grouped.groupBy("key", "start")
-        .agg((F.max("t") - F.col("start")).alias("span"), F.count("*").alias("instants"))
-        .filter(F.col("span") >= window)
-    )
-    long = F.col("instants") > walk_limit
-    seen = spans.agg(F.count("*").alias("busy"), F.max(F.when(long, F.col("span"))).alias("longest")).first()
-    if not seen["busy"]:
-        return roots
-    busy = grouped.join(spans, ["key", "start"])
-    walked = (
-        busy.filter(~long).select("key", "start", "t").repartition("key", "start")
-        .sortWithinPartitions("key", "start", "t")
-        .mapInPandas(lambda batches: _walk(batches, window), "key string, t bigint")
-    )
-    anchors = roots.unionByName(walked)
-    if seen["longest"] is not None:
-        chained = _chained_anchors(
-            busy.filter(long).select("key", "start", "w", "t"), window, seen["longest"]
+    spans = grouped.groupBy("key", "start").agg(F.max("t").alias("end")).filter(F.col("end") - F.col("start") >= window)
+    busy = cut(grouped.join(spans, ["key", "start"]))
+
+    here = busy.select("key", "start", "w", "t", F.col("t").alias("seen"), unset.alias("origin"))
+    ahead = busy.select("key", "start", "w", (F.col("t") + window).alias("t"), unset.alias("seen"), F.col("t").alias("origin"))
+    found = running(
+        here.unionByName(ahead), ["key", "start"], "t", cell, {"next": ("min", F.col("seen"))}, forward=False,
+    ).filter(F.col("origin").isNotNull())
+    own = F.expr("origin div w")
+    pointed = cut(
+        found.select(
+            "key", "start", own.alias("cell"), (own * F.col("w")).alias("edge"), F.col("origin").alias("t"),
+            F.coalesce("next", "origin").alias("next"), F.col("next").isNotNull().alias("ahead"),
+            F.coalesce(F.expr("next div w") == own, F.lit(False)).alias("inside"),
         )
-        anchors = anchors.unionByName(chained).distinct()
-    return anchors
+    )
+
+    def by_cell(rows: DataFrame) -> DataFrame:
+        return rows.repartition("key", "start", "cell").sortWithinPartitions("key", "start", "cell", "t")
+
+    jumps = cut(by_cell(pointed).mapInPandas(lambda b: _exits(b, window), "key string, t bigint, next bigint"))
+    entered = busy.filter(F.col("t") == F.col("start")).select("key", "t")
+    most = busy.filter(F.col("t") == F.col("start")).agg(F.max(F.expr("end div w - start div w"))).first()[0] or 0
+    rounds = math.ceil(math.log2(most + 1))
+    for i in range(rounds):
+        reached = entered.join(jumps, ["key", "t"]).select("key", F.col("next").alias("t"))
+        entered = cut(entered.unionByName(reached).distinct())
+        if i + 1 < rounds:
+            hop = jumps.select("key", F.col("t").alias("next"), F.col("next").alias("after"))
+            jumps = cut(jumps.join(hop, ["key", "next"]).select("key", "t", F.col("after").alias("next")))
+    marked = pointed.join(entered.withColumn("in", F.lit(True)), ["key", "t"], "left")
+    marked = marked.withColumn("reached", F.coalesce("in", F.lit(False))).drop("in")
+    return roots.unionByName(by_cell(marked).mapInPandas(_inner, "key string, t bigint")).distinct()
 
 
 def anchored_rate(
     df: DataFrame, key: str = "ip", ts: str = "timestamp_utc", tie: str = "impression_id",
     limit: int = 100, window_seconds: float = 60.0, cell_seconds: float = 10.0,
-    walk_limit: int = 100_000, cell_rows: int = CELL_ROWS,
+    cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """Adds window_count and rate_exceeded for the fixed window anchored at the first event.
 
@@ -298,7 +327,7 @@ def anchored_rate(
     """
     window = int(window_seconds * SECOND)
     pts = celled(points(df, key, ts), cell_seconds, cell_rows)
-    anchors = _window_anchors(pts, window, walk_limit).withColumn("anchor", F.lit(True))
+    anchors = _window_anchors(pts, window).withColumn("anchor", F.lit(True))
     marked = pts.join(anchors, ["key", "t"], "left")
     cell = _time_cell()
     before = running(
@@ -319,40 +348,43 @@ def anchored_rate(
 def _admit(batches: Iterator[pd.DataFrame], limit: int, window: int) -> Iterator[pd.DataFrame]:
     """Sliding admission over rows sorted by (key, block, t), batch by batch.
 
-    Holds the kept stamps of one block only. Rows with `given` carry earlier admissions.
+    Holds the kept stamps of one block only, `limit` at most. While the limiter is full it refuses up to the end of
+    the oldest stamp's window, which is looked up, so the work follows the admissions and not the rows.
     """
     block, kept, total = None, deque(), 0
     for rows in batches:
-        taken = []
-        for key, start, t, n, given in zip(
-            rows["key"], rows["block"], rows["t"], rows["n"], rows["given"]
-        ):
-            if (key, start) != block:
-                block, kept, total = (key, start), deque(), 0
-            while kept and kept[0][0] < t - window:
-                total -= kept.popleft()[1]
-            take = int(n) if given else min(int(n), max(0, limit - total))
-            if take:
-                kept.append((t, take))
-                total += take
-            taken.append(take)
-        yield rows.assign(admitted=taken)[["block", "slice", "key", "t", "admitted", "given"]]
+        t, n, taken = rows["t"].to_numpy(), rows["n"].to_numpy(), np.zeros(len(rows), np.int64)
+        edges = [*np.flatnonzero(_changes(rows, ["key", "block"])), len(rows)]
+        for i, end in zip(edges, edges[1:]):
+            here = (rows["key"].iloc[i], rows["block"].iloc[i])
+            if here != block:
+                block, kept, total = here, deque(), 0
+            while i < end:
+                while kept and kept[0][0] < t[i] - window:
+                    total -= kept.popleft()[1]
+                if total < limit:
+                    taken[i] = min(n[i], limit - total)
+                    kept.append((t[i], taken[i]))
+                    total += taken[i]
+                    i += 1
+                else:
+                    i = i + np.searchsorted(t[i:end], kept[0][0] + window, side="right") if kept else end
+        yield rows.assign(admitted=taken)[["key", "t", "n", "admitted"]]
 
 
 def admitted_instants(
     pts: DataFrame, limit: int = 1000, window_seconds: float = 60.0,
-    cell_seconds: float = 10.0, slice_seconds: float | None = None, cell_rows: int = CELL_ROWS,
+    cell_seconds: float = 10.0, cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """(key, t, n, admitted): how many events of the instant a sliding limiter lets in.
 
     The limiter keeps admitted stamps not older than the window and refuses at `limit`; refused
     events leave no trace. Where the raw trailing count stays within the limit everything is let
-    in, which is decided without Python. Only congested blocks run the recurrence: in time slices,
-    each slice starting from the admissions of the window before it, so no task ever holds more
-    than one slice and one window of a key.
+    in, which is decided without Python. Only congested blocks run the recurrence, in one ordered
+    pass that streams a block through its task: each answer depends on the one before, so a block cannot
+    be split, but its task never holds more than a batch of rows and `limit` stamps.
     """
     window = int(window_seconds * SECOND)
-    slice_size = int((slice_seconds or 10 * window_seconds) * SECOND)
     pts, cell = celled(pts, cell_seconds, cell_rows), _time_cell()
     raw = trailing_counts(pts, {"raw": window_seconds}, closed=True)
     full = cut(pts.join(raw, ["key", "t"]).withColumn("tight", F.col("raw") > limit))
@@ -369,40 +401,11 @@ def admitted_instants(
     block = F.when(
         F.col("tight") | (F.col("following") - F.col("last") <= window), F.col("opened")
     ).otherwise(F.col("following"))
-    sliced = following.withColumn("block", F.when(near, block)).withColumn(
-        "slice",
-        F.floor((F.col("t") - F.col("block") + window) / slice_size).cast("int"),
-    )
-    judged = cut(sliced.select("key", "t", "n", "block", "slice"))
+    judged = cut(following.withColumn("block", F.when(near, block)).select("key", "t", "n", "block"))
     calm = judged.filter(F.col("block").isNull()).select("key", "t", "n", F.col("n").alias("admitted"))
-    last_slice = judged.agg(F.max("slice")).first()[0]
-    if last_slice is None:
-        return calm
-    shape = "block bigint, slice int, key string, t bigint, admitted bigint, given boolean"
-    folder = scratch_path(pts.sparkSession, "admitted")
-    carried = None
-    for i in range(last_slice + 1):
-        rows = judged.filter(F.col("slice") == i).select(
-            "block", "slice", "key", "t", "n", F.lit(False).alias("given")
-        )
-        if carried is not None:
-            rows = rows.unionByName(carried)
-        rows.repartition("key", "block").sortWithinPartitions("key", "block", "t").mapInPandas(
-            lambda batches: _admit(batches, limit, window), shape
-        ).write.parquet(f"{folder}/part={i}")
-        edge = F.col("block") - window + (i + 1) * slice_size
-        done = pts.sparkSession.read.schema(shape).parquet(f"{folder}/part={i}")
-        carried = done.filter((F.col("admitted") > 0) & (F.col("t") >= edge - window)).select(
-            "block", F.lit(i + 1).alias("slice"), "key", "t",
-            F.col("admitted").alias("n"), F.lit(True).alias("given"),
-        )
-    decided = (
-        pts.sparkSession.read.schema(shape + ", part int").parquet(folder)
-        .filter(~F.col("given")).select("key", "t", "admitted")
-    )
-    return calm.unionByName(
-        judged.join(decided, ["key", "t"]).select("key", "t", "n", "admitted")
-    )
+    congested = judged.filter(F.col("block").isNotNull()).repartition("key", "block").sortWithinPartitions("key", "block", "t")
+    shape = "key string, t bigint, n bigint, admitted bigint"
+    return calm.unionByName(congested.mapInPandas(lambda batches: _admit(batches, limit, window), shape))
 
 
 def admitted(

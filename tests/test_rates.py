@@ -81,11 +81,13 @@ def test_rapid(feed, gap):
     assert all(split[keys[e], t] == got[e][0] for events in by_key.values() for t, e in events)
 
 
-@pytest.mark.parametrize(("window", "walk_limit"), [(1, 0), (60, 0), (60, 30), (3000, 0), (60, 100_000)])
-def test_anchored_rate(feed, window, walk_limit):
+@pytest.mark.parametrize(
+    ("window", "cell", "cell_rows"),
+    [(1, 10, 100), (1, 0.3, 1), (60, 10, 1), (60, 7, 30), (60, 10, 100_000), (3000, 10, 1), (3000, 10, 100)])
+def test_anchored_rate(feed, window, cell, cell_rows):
     df, by_key = feed
     got = collected(
-        rates.anchored_rate(df, limit=3, window_seconds=window, walk_limit=walk_limit, cell_rows=100),
+        rates.anchored_rate(df, limit=3, window_seconds=window, cell_seconds=cell, cell_rows=cell_rows),
         "window_count", "rate_exceeded")
     for events in by_key.values():
         anchor, seen = None, 0
@@ -97,13 +99,16 @@ def test_anchored_rate(feed, window, walk_limit):
     assert got["null-key"] == (None, False)
 
 
-@pytest.mark.parametrize(("limit", "window", "slice_seconds"), [(3, 60, None), (3, 60, 100), (20, 60, 77), (2, 5, 7)])
-def test_sliding_admission(feed, limit, window, slice_seconds):
+@pytest.mark.parametrize(("limit", "window", "batch"), [(3, 60, 10_000), (3, 60, 7), (20, 60, 50), (2, 5, 1), (0, 60, 100)])
+def test_sliding_admission(feed, limit, window, batch):
     df, by_key = feed
-    decided = rates.admitted_instants(
-        rates.points(df, "ip", "timestamp_utc"), limit, window, slice_seconds=slice_seconds,
-        cell_rows=100)
-    got = {(r.key, r.t): (r.n, r.admitted) for r in decided.collect()}
+    size, spark = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession
+    spark.conf.set(size, batch)  # a block then comes in several batches
+    try:
+        decided = rates.admitted_instants(rates.points(df, "ip", "timestamp_utc"), limit, window, cell_rows=100)
+        got = {(r.key, r.t): (r.n, r.admitted) for r in decided.collect()}
+    finally:
+        spark.conf.unset(size)
     for key, events in by_key.items():
         kept, want = [], defaultdict(lambda: [0, 0])
         for t, _ in events:
