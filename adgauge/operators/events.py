@@ -196,10 +196,10 @@ RULE_SETS = {
 }
 
 
-def normalize_impressions(df: DataFrame, rules: str = "stream") -> DataFrame:
-    """Tracking events as normalized impressions."""
+def normalize_impressions(df: DataFrame, rules: str = "stream", rate_exceeded: str | None = None) -> DataFrame:
+    """Tracking events as normalized impressions; `rate_exceeded` names the rate flag of the consumer rules."""
     bot_rule, country_rule, device_rule = RULE_SETS[rules]
-    flag, reason = bot_rule("user_agent")
+    flag, reason = bot_rule("user_agent", rate_exceeded) if rate_exceeded else bot_rule("user_agent")
     return df.select(
         F.col("event_id").alias("impression_id"),
         F.col("timestamp").alias("timestamp_utc"),

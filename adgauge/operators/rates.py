@@ -318,25 +318,36 @@ def _window_anchors(pts: DataFrame, window: int) -> DataFrame:
 def anchored_rate(
     df: DataFrame, key: str = "ip", ts: str = "timestamp_utc", tie: str = "impression_id",
     limit: int = 100, window_seconds: float = 60.0, cell_seconds: float = 10.0,
-    cell_rows: int = CELL_ROWS,
+    cell_rows: int = CELL_ROWS, carried: DataFrame | None = None,
 ) -> DataFrame:
-    """Adds window_count and rate_exceeded for the fixed window anchored at the first event.
+    """Adds window_anchor (microseconds), window_count and rate_exceeded for the fixed window anchored at the first event.
 
     The count restarts with the first event at least one window after the anchor. Events of one
-    instant are counted in `tie` order.
+    instant are counted in `tie` order. `carried` has windows that are open already: (key, anchor, seen), a
+    row per key, none later than the key's events in `df`.
     """
     window = int(window_seconds * SECOND)
-    pts = celled(points(df, key, ts), cell_seconds, cell_rows)
+    pts = points(df, key, ts)
+    if carried is not None:
+        before = carried.join(pts.select("key").distinct(), "key", "left_semi")
+        before = cut(before.select("key", F.col("anchor").alias("t"), F.col("seen").alias("n")))
+        pts = pts.unionByName(before).groupBy("key", "t").agg(F.sum("n").alias("n"))
+    pts = celled(pts, cell_seconds, cell_rows)
     anchors = _window_anchors(pts, window).withColumn("anchor", F.lit(True))
     marked = pts.join(anchors, ["key", "t"], "left")
     cell = _time_cell()
-    before = running(
+    summed = running(
         marked, ["key"], "t", cell, {"before": ("sum", F.col("n"))}, inclusive=False
     )
     based = running(
-        before, ["key"], "t", cell, {"base": ("max", F.when(F.col("anchor"), F.col("before")))}
+        summed, ["key"], "t", cell, {
+            "base": ("max", F.when(F.col("anchor"), F.col("before"))),
+            "window_anchor": ("max", F.when(F.col("anchor"), F.col("t"))),
+        },
     )
-    offsets = based.select("key", "t", (F.col("before") - F.col("base")).alias("_offset"))
+    offsets = based.select("key", "t", "window_anchor", (F.col("before") - F.col("base")).alias("_offset"))
+    if carried is not None:  # what was seen before precedes the events of the anchor's own instant
+        offsets = offsets.join(before, ["key", "t"], "left").withColumn("_offset", F.col("_offset") + F.coalesce("n", F.lit(0))).drop("n")
     return (
         attach(df, offsets, key, ts, tie)
         .withColumn("window_count", F.when(F.col(key).isNotNull(), F.col("_offset") + F.col("_place")))
@@ -345,6 +356,29 @@ def anchored_rate(
     )
 
 
+def rate_batch(
+    df: DataFrame, carried: DataFrame, key: str = "ip", ts: str = "timestamp_utc", tie: str = "impression_id",
+    limit: int = 100, window_seconds: float = 60.0, ttl_seconds: float = 300.0,
+) -> tuple[DataFrame, DataFrame]:
+    """One micro-batch under the anchored rule: (the rows with rate_exceeded, the windows to carry on).
+
+    `carried` is (key, anchor, seen), a row per key, as the batch before left it. An event older than its key's
+    open window is counted in that window. Windows that began over `ttl_seconds` before the newest event are dropped.
+    """
+    place = F.col(ts)
+    held = carried.select(F.col("key").alias(key), "anchor")
+    timed = df.join(held, key, "left").withColumn("_at", F.greatest(place, F.timestamp_micros("anchor"))).drop("anchor")
+    timed = timed.withColumn("_at", F.when(place.isNotNull(), F.col("_at")))
+    rated = cut(anchored_rate(timed, key, "_at", tie, limit, window_seconds, carried=carried))
+    latest = rated.filter(F.col("window_anchor").isNotNull()).select(
+        F.col(key).alias("key"), F.col("window_anchor").alias("anchor"), F.col("window_count").alias("seen"))
+    open_now = latest.unionByName(carried).groupBy("key").agg(F.max(F.struct("anchor", "seen")).alias("last")).select("key", "last.*")
+    newest = rated.agg(F.max(F.unix_micros("_at"))).first()[0]
+    if newest is not None:
+        open_now = open_now.filter(F.col("anchor") >= newest - int(ttl_seconds * SECOND))
+    return rated.select(*df.columns, "rate_exceeded"), open_now
+
+
 def _admit(batches: Iterator[pd.DataFrame], limit: int, window: int) -> Iterator[pd.DataFrame]:
     """Sliding admission over rows sorted by (key, block, t), batch by batch.
 

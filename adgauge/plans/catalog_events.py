@@ -787,11 +787,15 @@ query(
 query(
     "f07_quota",
     lambda v: rates.quota(
-        rates.admitted_instants(rates.points(_raw_rows(v), "ip", "timestamp_utc"), 1000, 259200),
-        v.now, 1000, 259200),
-    f"""SELECT ip AS key, greatest(0, 1000 - count(*) FILTER (timestamp >= timestamp '{NOW}' - INTERVAL 3 DAY))::bigint AS remaining,
-    greatest(0.0, coalesce((min(epoch_us(timestamp)) FILTER (timestamp >= timestamp '{NOW}' - INTERVAL 3 DAY) + 259200000000
-      - epoch_us(timestamp '{NOW}')) / 1000000.0, 0.0))::double AS reset_seconds
-    FROM raw_events WHERE timestamp <= timestamp '{NOW}' GROUP BY ip""",
+        rates.admitted_instants(rates.points(_raw_rows(v), "ip", "timestamp_utc"), 2, 259200),
+        v.now, 2, 259200),
+    f"""WITH RECURSIVE o AS (SELECT ip, epoch_us(timestamp) AS t, row_number() OVER (PARTITION BY ip ORDER BY timestamp, event_id) AS r
+        FROM raw_events WHERE timestamp <= timestamp '{NOW}'),
+      f AS (SELECT ip, r, [t] AS kept FROM o WHERE r = 1
+        UNION ALL SELECT ip, r, CASE WHEN len(live) < 2 THEN list_append(live, t) ELSE live END
+        FROM (SELECT o.ip, o.r, o.t, list_filter(f.kept, lambda x: x >= o.t - 259200000000) AS live FROM f JOIN o ON o.ip = f.ip AND o.r = f.r + 1)),
+      k AS (SELECT ip, list_filter(arg_max(kept, r), lambda x: x >= epoch_us(timestamp '{NOW}') - 259200000000) AS kept FROM f GROUP BY ip)
+    SELECT ip AS key, greatest(0, 2 - len(kept))::bigint AS remaining,
+    greatest(0.0, coalesce((list_min(kept) + 259200000000 - epoch_us(timestamp '{NOW}')) / 1000000.0, 0.0))::double AS reset_seconds FROM k""",
     rounded="reset_seconds",
 )

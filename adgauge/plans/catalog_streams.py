@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from adgauge.plans import views
 from adgauge.plans.catalog_events import ELIGIBLE_SQL, REASON_SQL, anchor_sql, ts
 from adgauge.plans.registry import query
-from adgauge.plans.views import stamp
+from adgauge.plans.views import CONSUMER_PATTERN, stamp
 from adgauge.session import scratch_path
 from adgauge.sources import readers
 from adgauge.streaming import ingest, state
@@ -93,6 +93,31 @@ query(
 )
 
 
+def _ingest_consumer(v):
+    """The ingest job under the consumer rules: three micro-batches by event time, a restart before each."""
+    base = scratch_path(v.spark, "consumer")
+    period = F.expr("greatest(0, least(2, datediff(enqueuedTime, date '2024-01-01') div 11))")
+    for part in range(3):
+        v.bodies.filter(period == part).drop("retry_count").write.mode("append").json(f"{base}/source")
+        stream = readers.read_events_stream(v.spark, f"{base}/source", max_files=1_000_000)
+        _finish(ingest.run_ingest(
+            stream, f"{base}/staging", f"{base}/target", f"{base}/dlq", f"{base}/check", processed_at=v.now,
+            bot_rules="consumer", geo_rules="consumer", rate_limit=2, rate_seconds=3600, **ingest.ingest_trigger(once=True),
+        ))
+    return readers.read_table(v.spark, f"{base}/staging").select("event_id", "ip", "is_bot", "bot_detection_reason")
+
+
+query(
+    "i01_ingest_consumer", _ingest_consumer,
+    f"""SELECT event_id, ip, reason IS NOT NULL AS is_bot, reason AS bot_detection_reason FROM (
+    SELECT x.event_id, x.ip, CASE WHEN user_agent IS NULL OR trim(user_agent) = '' THEN 'Empty user agent'
+      WHEN regexp_matches(lower(user_agent), '{CONSUMER_PATTERN}') THEN 'Bot pattern in user agent'
+      WHEN w.window_count > 2 THEN 'Rate limit exceeded' END AS reason FROM raw_events x
+    LEFT JOIN ({anchor_sql(f"{REASON_SQL} IS NULL AND {ELIGIBLE_SQL}", 3600, 'SELECT event_id, window_count FROM c')}) w ON w.event_id = x.event_id
+    WHERE {REASON_SQL} IS NULL)""",
+)
+
+
 def _resumed(v):
     """A stream over JSON-lines files, stopped and started again after more files arrived."""
     base = scratch_path(v.spark, "resume")

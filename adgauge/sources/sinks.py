@@ -42,12 +42,12 @@ def export_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
@@ -78,12 +78,12 @@ def upsert_batch(
     if batch.isEmpty():
         return
     staged = f"{work}/upsert/batch={batch_id}"
-    _remove(spark, f"{work}/upsert/batch={batch_id - 2}")
-    if not _exists(spark, f"{staged}/done"):
+    remove(spark, f"{work}/upsert/batch={batch_id - 2}")
+    if not exists(spark, f"{staged}/done"):
         last_of_each(batch, key, list(order)).write.mode("overwrite").parquet(f"{staged}/latest")
         latest = spark.read.schema(batch.schema).parquet(f"{staged}/latest")
         touched = latest.select(partition).distinct()
-        if _exists(spark, target):
+        if exists(spark, target):
             current = spark.read.schema(batch.schema).parquet(target)
             held = current.join(latest.select(key), key, "left_semi").select(partition).distinct()
             touched = _written(touched.union(held).distinct(), f"{staged}/touched")
@@ -108,4 +108,4 @@ def upsert_batch(
     emptied = touched.join(filled, _same(touched, filled, partition), "left_anti")
     for row in emptied.toLocalIterator():
         name = "__HIVE_DEFAULT_PARTITION__" if row[0] is None else row[0]
-        _remove(spark, f"{target}/{partition}={name}")
+        remove(spark, f"{target}/{partition}={name}")

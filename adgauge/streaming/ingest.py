@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from adgauge.operators import events
+from adgauge.functions import bots
+from adgauge.operators import events, rates
 from adgauge.operators.impressions import ops_counts
 from adgauge.sources import sinks
 
@@ -21,9 +22,11 @@ def checkpointed(writer: DataStreamWriter, path: str) -> DataStreamWriter:
     return writer.option("checkpointLocation", path)
 
 
-def classify(parsed: DataFrame, bot_rules: str = "stream", geo_rules: str = "octet") -> DataFrame:
+def classify(
+    parsed: DataFrame, bot_rules: str = "stream", geo_rules: str = "octet", rate_exceeded: str | None = None
+) -> DataFrame:
     """Bot flag, geography and date parts of parsed events."""
-    flagged = events.apply_bot_rules(parsed, bot_rules)
+    flagged = events.apply_bot_rules(parsed, bot_rules, rate_exceeded)
     return events.add_date_parts(events.enrich_geo(flagged, geo_rules))
 
 
@@ -39,14 +42,34 @@ def append_partitions(
     return checkpointed(writer, checkpoint).start()
 
 
+def rate_events(
+    rows: DataFrame, batch_id: int, work: str, limit: int = 100, window_seconds: float = 60.0
+) -> DataFrame:
+    """Adds rate_exceeded to the events of a micro-batch, by the anchored rule per address.
+
+    Only events that pass the agent checks count. The open windows are a table per batch id under `work`:
+    a replayed batch starts from the table of the batch before, as the first time.
+    """
+    spark = rows.sparkSession
+    before, after = f"{work}/rates/batch={batch_id - 1}", f"{work}/rates/batch={batch_id}"
+    shape = "key string, anchor bigint, seen bigint"
+    carried = spark.read.schema(shape).parquet(before) if sinks.exists(spark, before) else spark.createDataFrame([], shape)
+    counted = rows.withColumn("_ip", F.when(bots.passes_agent_checks("user_agent"), F.col("ip")))
+    rated, windows = rates.rate_batch(counted, carried, "_ip", "timestamp", "event_id", limit, window_seconds)
+    windows.write.mode("overwrite").parquet(after)
+    sinks.remove(spark, f"{work}/rates/batch={batch_id - 2}")
+    return rated.drop("_ip")
+
+
 def run_ingest(
     raw: DataFrame, staging: str, target: str, dead_letters: str, checkpoint: str,
     processed_at: Column | None = None, bot_rules: str = "stream", geo_rules: str = "octet",
-    **trigger,
+    rate_limit: int = 100, rate_seconds: float = 60.0, **trigger,
 ) -> StreamingQuery:
     """Raw bodies -> staging append, keyed upsert and dead letters, from one read of the source.
 
-    Staging is written per batch id, so a replayed batch overwrites its own folder.
+    Staging is written per batch id, so a replayed batch overwrites its own folder. The `consumer` rules
+    include the rate per address, whose windows reach across micro-batches.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -54,7 +77,10 @@ def run_ingest(
         # One decoding per body: all three sinks read the persisted, judged batch.
         judged = events.validity(batch).persist()
         valid, rejected = events.split_judged(judged)
-        rows = classify(events.flatten_events(valid, stamp), bot_rules, geo_rules).persist()
+        parsed, flag = events.flatten_events(valid, stamp), None
+        if bot_rules == "consumer":
+            parsed, flag = rate_events(parsed, batch_id, checkpoint, rate_limit, rate_seconds), "rate_exceeded"
+        rows = classify(parsed, bot_rules, geo_rules, flag).drop("rate_exceeded").persist()
         try:
             (
                 rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")

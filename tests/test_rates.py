@@ -126,3 +126,40 @@ def test_quota(spark):
     now = F.timestamp_micros(F.lit(75 * SECOND))
     got = {r.key: (r.remaining, r.reset_seconds) for r in rates.quota(df, now, 5, 60).collect()}
     assert got == {"k": (3, 35.0), "old": (5, 0.0)}
+
+
+def test_windows_reach_across_batches(feed):
+    df, by_key = feed
+    spark = df.sparkSession
+    cuts = [int(r.t) for r in df.agg(F.expr("explode(percentile_approx(unix_micros(timestamp_utc), array(0.3, 0.7)))").alias("t")).collect()]
+    part = sum((F.unix_micros("timestamp_utc") > c).cast("int") for c in cuts)
+    carried = spark.createDataFrame([], "key string, anchor bigint, seen bigint")
+    got = {}
+    for i in range(3):
+        rated, carried = rates.rate_batch(df.filter(part == i), carried, limit=3, ttl_seconds=100_000)
+        got |= collected(rated, "rate_exceeded")
+        keys = [r.key for r in carried.collect()]
+        assert len(keys) == len(set(keys))
+    for events in by_key.values():
+        anchor, seen = None, 0
+        for t, event in events:
+            if anchor is None or t - anchor >= 60 * SECOND:
+                anchor, seen = t, 0
+            seen += 1
+            assert got[event] == (seen > 3,), event
+    assert got["null-key"] == (False,)
+
+
+def test_late_and_equal_instants_count_in_the_open_window(spark):
+    rows = [("a", 100, 1), ("b", 90, 2), ("c", 100, 2), ("d", 159, 2), ("e", 160, 2)]
+    df = spark.createDataFrame(rows, "impression_id string, s bigint, part int").select(
+        "impression_id", F.lit("k").alias("ip"), F.timestamp_seconds("s").alias("timestamp_utc"), "part")
+    carried = spark.createDataFrame([], "key string, anchor bigint, seen bigint")
+    got = {}
+    for i in (1, 2):
+        rated, carried = rates.rate_batch(df.filter(F.col("part") == i), carried, limit=2)
+        got |= collected(rated, "rate_exceeded")
+    assert got == {"a": (False,), "b": (False,), "c": (True,), "d": (True,), "e": (False,)}
+    assert [tuple(r) for r in carried.collect()] == [("k", 160 * SECOND, 1)]
+    _, dropped = rates.rate_batch(df.filter("part = 1").withColumns({"ip": F.lit("other"), "timestamp_utc": F.timestamp_seconds(F.lit(1000))}), carried)
+    assert [r.key for r in dropped.collect()] == ["other"]
