@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from adgauge.functions.identity import age_range
 from adgauge.functions.text import split_list, stable_id
+from adgauge.session import cut
 
 
 def by_id(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -291,13 +292,23 @@ def first_page(df: DataFrame, order: str, size: int = 100) -> DataFrame:
 def page(df: DataFrame, number: int, size: int, order: list[Column | str]) -> DataFrame:
     """Page `number` (clamped to 1 .. last) of the ordered rows, with page and page_count.
 
-    The row count is one aggregate; the slice is offset + limit, so Spark keeps at most
-    offset + size rows per task instead of numbering the whole table in one window.
+    The sort deals the rows by ranges of the order; the written ranges are counted (a row per task of the
+    sort), and only those that the page lies in are read again, so the last page costs what the first does.
     """
-    rows = df.count()
+    ranged = cut(df.orderBy(*order).withColumn("_range", F.spark_partition_id()))
+    counts = sorted(tuple(r) for r in ranged.groupBy("_range").agg(F.count("*")).collect())
+    rows = sum(n for _, n in counts)
     pages = max(1, -(-rows // size))
     current = min(max(1, number), pages)
-    return df.orderBy(*order).offset((current - 1) * size).limit(size).withColumns({
+    first, before, skipped, inside = (current - 1) * size, 0, 0, []
+    for place, n in counts:
+        if before + n <= first:
+            skipped += n
+        elif before < first + size:
+            inside.append(place)
+        before += n
+    near = ranged.filter(F.col("_range").isin(inside)).drop("_range")
+    return near.orderBy(*order).offset(first - skipped).limit(size).withColumns({
         "page": F.lit(current), "page_count": F.lit(pages),
     })
 

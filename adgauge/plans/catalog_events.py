@@ -194,14 +194,14 @@ def _dead_letters(v):
     return v.spark.read.json(path).select(
         "original_event", "error_reason", F.col("sequence_number").cast("bigint").alias("sequence_number"),
         F.col("dlq_date").cast("string").alias("dlq_date"),
-    ).withColumn("original_event", F.length("original_event") > 6)
+    ).withColumn("original_event", F.coalesce(F.get_json_object("original_event", "$.event_id"), "original_event"))
 
 
 REASON_SQL = """CASE WHEN seq % 103 = 7 THEN 'JSON error: body does not decode' WHEN seq % 107 = 9 THEN 'Deserialization failed'
   WHEN seq % 101 = 5 THEN 'Missing required fields' END"""
 query(
     "a12_dead_letters", _dead_letters,
-    f"""SELECT seq % 103 = 7 OR seq % 107 <> 9 AS original_event, {REASON_SQL} AS error_reason, seq AS sequence_number,
+    f"""SELECT CASE WHEN seq % 103 = 7 THEN '{{broken' WHEN seq % 107 = 9 THEN 'null' ELSE event_id END AS original_event, {REASON_SQL} AS error_reason, seq AS sequence_number,
     '{NOW[:10]}' AS dlq_date FROM raw_events WHERE {REASON_SQL} IS NOT NULL""",
 )
 
@@ -698,18 +698,22 @@ query(
 
 
 def _ci(v):
-    low, high = stats.mean_ci("exposed_value", "exposed_std_dev", "exposed_sample_size")
-    low99, high99 = stats.mean_ci("exposed_value", "exposed_std_dev", "exposed_sample_size", 0.99)
-    return v.lift.filter("exposed_sample_size > 1").select(
+    # the same values again as means of a sample of one, and of none
+    sized = v.lift.withColumn("n", F.explode(F.array(F.col("exposed_sample_size"), F.lit(1), F.lit(0))))
+    low, high = stats.mean_ci("exposed_value", "exposed_std_dev", "n")
+    low99, high99 = stats.mean_ci("exposed_value", "exposed_std_dev", "n", 0.99)
+    return sized.select(
         "campaign_id", "metric_name", low.alias("low"), high.alias("high"),
         low99.alias("low99"), high99.alias("high99"))
 
 
 query(
     "h25_mean_ci", _ci,
-    """SELECT campaign_id, metric_name, round_even(exposed_value - 1.96 * m, 2) AS low, round_even(exposed_value + 1.96 * m, 2) AS high,
-    round_even(exposed_value - 2.576 * m, 2) AS low99, round_even(exposed_value + 2.576 * m, 2) AS high99
-    FROM (SELECT *, exposed_std_dev / sqrt(exposed_sample_size) AS m FROM lift WHERE exposed_sample_size > 1)""",
+    """SELECT campaign_id, metric_name, CASE WHEN n < 2 THEN exposed_value ELSE round_even(exposed_value - 1.96 * m, 2) END AS low,
+    CASE WHEN n < 2 THEN exposed_value ELSE round_even(exposed_value + 1.96 * m, 2) END AS high,
+    CASE WHEN n < 2 THEN exposed_value ELSE round_even(exposed_value - 2.576 * m, 2) END AS low99,
+    CASE WHEN n < 2 THEN exposed_value ELSE round_even(exposed_value + 2.576 * m, 2) END AS high99
+    FROM (SELECT *, CASE WHEN n > 0 THEN exposed_std_dev / sqrt(n) END AS m FROM (SELECT *, unnest([exposed_sample_size, 1, 0]) AS n FROM lift))""",
     rounded="low high low99 high99",
 )
 

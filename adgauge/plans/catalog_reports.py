@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from adgauge import schemas
@@ -448,11 +449,14 @@ query(
     lambda v: surveys.survey_results(v.surveys, v.responses).select(
         "survey_id", "campaign_id", "total_responses", "exposed_responses", "control_responses", "completed_responses",
         F.size("question_results").cast("bigint").alias("questions"),
-        F.array_join(F.transform(F.element_at("question_results", 1)["response_counts"], lambda e: F.concat(
-            e["key"], F.lit("="), e["value"].cast("string"))), "|").alias("q1_counts")),
+        F.array_join(F.transform("question_results", lambda q: F.concat(q["question_id"], F.lit(":"), F.coalesce(
+            F.array_join(F.transform(q["response_counts"], lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), "|"),
+            F.lit("")))), ";").alias("counts")),
     """SELECT s.survey_id, s.campaign_id, coalesce(total, 0) AS total_responses, coalesce(e, 0) AS exposed_responses, coalesce(c, 0) AS control_responses,
-      coalesce(d, 0) AS completed_responses, 4::bigint AS questions, (SELECT string_agg(k || '=' || n, '|' ORDER BY k) FROM (SELECT answer AS k, count(*) AS n FROM answers a
-        WHERE a.survey_id = s.survey_id AND question_id = 'q1' AND cohort_type = 'exposed' GROUP BY 1)) AS q1_counts
+      coalesce(d, 0) AS completed_responses, 4::bigint AS questions, (SELECT string_agg(q.question_id || ':' || coalesce(l.listed, ''), ';' ORDER BY q.question_id)
+        FROM (VALUES ('q1'), ('q2'), ('q3'), ('q4')) q(question_id) LEFT JOIN (SELECT survey_id, question_id, string_agg(k || '=' || n, '|' ORDER BY k) AS listed
+          FROM (SELECT survey_id, question_id, coalesce(answer, '') AS k, count(*) AS n FROM answers WHERE question_id <> 'q4' AND cohort_type = 'exposed' GROUP BY ALL) GROUP BY ALL) l
+        ON l.survey_id = s.survey_id AND l.question_id = q.question_id) AS counts
     FROM surveys s LEFT JOIN (SELECT survey_id, count(*) AS total, count(*) FILTER (cohort_type = 'exposed') AS e, count(*) FILTER (cohort_type = 'control') AS c,
       count(*) FILTER (status = 'Completed') AS d FROM responses GROUP BY 1) r ON r.survey_id = s.survey_id""",
 )
@@ -717,11 +721,17 @@ query(
     """SELECT impression_id, 7 AS page, (SELECT ceil(count(*) / 25)::int FROM impressions) AS page_count FROM impressions
     ORDER BY timestamp_utc DESC, impression_id LIMIT 25 OFFSET 150""",
 )
+query(
+    "f08_last_page",
+    lambda v: tables.page(v.impressions, 1_000_000_000, 25, [F.desc("timestamp_utc"), "impression_id"]).select("impression_id", "page", "page_count"),
+    """WITH n AS (SELECT impression_id, row_number() OVER (ORDER BY timestamp_utc DESC, impression_id) AS r, ceil(count(*) OVER () / 25)::int AS page_count FROM impressions)
+    SELECT impression_id, page_count AS page, page_count FROM n WHERE r > (page_count - 1) * 25""",
+)
+MATCH_ID_SQL = "'match_' || substr(sha256(concat_ws(chr(1), campaign_id, exposed_id, control_id)), 1, 32)"
 query(
     "f09_match_id",
-    lambda v: matching.match(v.scored, CALIPER).agg(
-        F.count("*").alias("pairs"), F.count_distinct("match_id").alias("ids"), F.min(F.length("match_id")).cast("bigint").alias("width")),
-    "SELECT count(*) AS pairs, count(*) AS ids, 38::bigint AS width FROM pairs",
+    lambda v: matching.match(v.scored, CALIPER).select("campaign_id", "exposed_id", "control_id", "match_id"),
+    f"SELECT campaign_id, exposed_id, control_id, {MATCH_ID_SQL} AS match_id FROM pairs",
 )
 
 
@@ -752,10 +762,18 @@ query(
     lambda v: tables.newest_impressions(v.impressions).select("impression_id", stamp("timestamp_utc").alias("at")),
     f"SELECT impression_id, {ts('timestamp_utc')} AS at FROM impressions ORDER BY timestamp_utc DESC, impression_id LIMIT 500",
 )
+def _placed(ordered, group):
+    """The place of each row among the rows of its group, as the ordered rows come out."""
+    numbered = ordered.withColumns({"_at": F.monotonically_increasing_id(), "_group": group})
+    return numbered.withColumn("place", F.row_number().over(Window.partitionBy("_group").orderBy("_at")).cast("bigint"))
+
+
 query(
     "g02_newest_first",
-    lambda v: tables.newest_first(v.campaigns, "campaign_id").select("campaign_id", stamp("created_at").alias("created_at")),
-    f"SELECT campaign_id, {ts('created_at')} AS created_at FROM campaigns",
+    lambda v: _placed(tables.newest_first(v.campaigns, "campaign_id"), F.date_format("created_at", "yyyy-MM")).select(
+        "campaign_id", stamp("created_at").alias("created_at"), "place"),
+    f"""SELECT campaign_id, {ts('created_at')} AS created_at,
+    row_number() OVER (PARTITION BY strftime(created_at, '%Y-%m') ORDER BY created_at DESC, campaign_id) AS place FROM campaigns""",
 )
 query(
     "g03_top_five_campaigns",
@@ -764,13 +782,16 @@ query(
 )
 query(
     "g04_balance_report",
-    lambda v: matching.balance_report(_balance(v)).select("campaign_id", "feature", "smd_after"),
-    f"SELECT campaign_id, feature, smd_after FROM ({BALANCE_SQL})", rounded="smd_after",
+    lambda v: _placed(matching.balance_report(_balance(v)), F.col("campaign_id")).select(
+        "campaign_id", F.round(F.abs("smd_after"), 6).alias("size"), "place"),
+    f"""SELECT campaign_id, round(abs(smd_after), 6) AS size, row_number() OVER (PARTITION BY campaign_id ORDER BY abs(smd_after) DESC) AS place
+    FROM ({BALANCE_SQL})""",
 )
 query(
     "g05_lift_report",
-    lambda v: lift.lift_report(v.lift).select("campaign_id", "metric_name", "lift_relative_pct"),
-    "SELECT campaign_id, metric_name, lift_relative_pct FROM lift", rounded="lift_relative_pct",
+    lambda v: _placed(lift.lift_report(v.lift), F.col("metric_name")).select("metric_name", "lift_relative_pct", "place"),
+    """SELECT metric_name, lift_relative_pct, row_number() OVER (PARTITION BY metric_name ORDER BY lift_relative_pct DESC) AS place FROM lift""",
+    rounded="lift_relative_pct",
 )
 query(
     "g06_ordered_hours",
@@ -998,14 +1019,23 @@ def _scaled(v):
 
     df = matching.scale(matching.assemble(_model_panel(v)))
     a = vector_to_array("features")
-    return df.select("panelist_id", a[0].alias("age_scaled"), a[1].alias("gender_m_scaled"))
+    return df.select("panelist_id", *[a[i].alias(f"{name}_scaled") for i, name in enumerate(matching.FEATURES)])
 
 
+#: The nine features in SQL, in the model's order.
+FEATURE_SQL = {
+    "age_normalized": "coalesce(age, 0) / 100.0", "gender_m": "coalesce(gender, '') = 'M'", "gender_f": "coalesce(gender, '') = 'F'",
+    "device_mobile": "coalesce(device_type, '') = 'Mobile'", "device_tablet": "coalesce(device_type, '') = 'Tablet'",
+    "country_us": "coalesce(country, '') = 'US'", "country_uk": "coalesce(country, '') = 'UK'",
+    "income_low": "coalesce(lower(replace(hh_income_bucket, ' ', '')), '') IN ('<25k', '25k-50k')",
+    "income_high": "coalesce(lower(replace(hh_income_bucket, ' ', '')), '') IN ('100k-150k', '150k+', '>150k')",
+}
+FEATURE_COLUMNS = ", ".join(f"({sql})::double AS {name}" for name, sql in FEATURE_SQL.items())
 query(
     "k02_standardize", _scaled,
-    f"""SELECT panelist_id, (x - avg(x) OVER ()) / stddev_samp(x) OVER () AS age_scaled, (g - avg(g) OVER ()) / stddev_samp(g) OVER () AS gender_m_scaled
-    FROM ({PANEL_SQL.format(cols="coalesce(age, 0) / 100.0 AS x, (coalesce(gender, '') = 'M')::int::double AS g")})""",
-    rounded="age_scaled gender_m_scaled",
+    f"""SELECT panelist_id, {", ".join(f"coalesce(({n} - avg({n}) OVER ()) / nullif(stddev_samp({n}) OVER (), 0), 0) AS {n}_scaled" for n in FEATURE_SQL)}
+    FROM ({PANEL_SQL.format(cols=FEATURE_COLUMNS)})""",
+    rounded=" ".join(f"{n}_scaled" for n in FEATURE_SQL),
 )
 
 
@@ -1024,9 +1054,9 @@ query(
 )
 query(
     "k06_cohort_rows",
-    lambda v: _cohort_rows(v).groupBy("campaign_id", "cohort_type", "processing_batch_id").agg(
-        F.count("*").alias("n"), F.count_distinct("panelist_id").alias("people"), F.count_distinct("match_id").alias("matches")),
-    f"""SELECT campaign_id, cohort_type, processing_batch_id, count(*) AS n, count(DISTINCT panelist_id) AS people, count(*) AS matches FROM ({COHORT_SQL}) GROUP BY ALL""",
+    lambda v: _cohort_rows(v).select("panelist_id", "campaign_id", "match_id", "cohort_type", "matched_control_flag", "processing_batch_id"),
+    f"""SELECT unnest([exposed_id, control_id]) AS panelist_id, campaign_id, {MATCH_ID_SQL} AS match_id, unnest(['exposed', 'control']) AS cohort_type,
+    true AS matched_control_flag, 'psm_' || campaign_id || '_20240125_120000' AS processing_batch_id FROM pairs""",
 )
 
 
