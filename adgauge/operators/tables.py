@@ -160,39 +160,53 @@ def _audiences(campaigns: DataFrame) -> DataFrame:
 
 
 _AUDIENCE = ["ages", "genders", "places", "wishes"]
+_CELL = ["age_range", "gender", "country"]
 
 
-def _fitting(profiles: DataFrame, audiences: DataFrame) -> DataFrame:
-    """Distinct profiles x distinct audiences that fit, by equi-join on age, gender and country.
-
-    Both sides are vocabularies: their sizes follow the domains, not panelists or campaigns.
-    """
-    cells = audiences.select(*_AUDIENCE).distinct()
-    people = profiles.select(*_PROFILE).distinct()
+def _asked(profiles: DataFrame, audiences: DataFrame) -> DataFrame:
+    """Distinct (age, gender, country) cells x distinct audiences that fit, by equi-join on the three values."""
+    asked = audiences.select(*_AUDIENCE).distinct()
+    cells = profiles.select(*_CELL).distinct()
     keys = {"c_age": ("ages", "age_range"), "c_gender": ("genders", "gender"), "c_place": ("places", "country")}
     for key, (lists, value) in keys.items():
-        cells = cells.withColumn(key, F.explode(lists))
-        people = people.withColumn(key, F.explode(F.array(F.col(value), F.lit(_ANY))))
-    fits = F.array_contains("wishes", _ANY) | F.arrays_overlap("wishes", "interests")
-    return people.join(cells, list(keys)).filter(fits).select(*_PROFILE, *_AUDIENCE)
+        asked = asked.withColumn(key, F.explode(lists))
+        cells = cells.withColumn(key, F.explode(F.array(F.col(value), F.lit(_ANY))))
+    fitting = cells.join(asked, list(keys)).select(*_CELL, *_AUDIENCE)
+    return fitting.withColumn("all_interests", F.array_contains("wishes", _ANY))
+
+
+def _wished(profiles: DataFrame, asked: DataFrame) -> DataFrame:
+    """(profile, audience) for audiences that wish for interests: both sides by interest, each pair once."""
+    wishes = asked.filter(~F.col("all_interests")).select(*_CELL, *_AUDIENCE, F.explode("wishes").alias("interest"))
+    own = profiles.select(*_PROFILE).distinct().withColumn("interest", F.explode("interests"))
+    return own.join(wishes, [*_CELL, "interest"]).select(*_PROFILE, *_AUDIENCE).distinct()
 
 
-def eligible_panelists(panelists: DataFrame, campaigns: DataFrame) -> DataFrame:
+def eligible_panelists(panelists: DataFrame, campaigns: DataFrame, campaign_id: str | None = None) -> DataFrame:
     """(campaign, panelist) pairs that meet the campaign's audience; an empty list admits all.
 
-    Profiles are matched to audiences first; campaigns and panelists are attached by equi-joins.
+    The result of all campaigns has as many rows as there are invitations to make; name a campaign to get
+    its own. Audiences without wishes never look at interests.
     """
+    if campaign_id is not None:
+        campaigns = campaigns.filter(F.col("campaign_id") == campaign_id)
     profiles, audiences = _profiles(panelists), _audiences(campaigns)
-    asked = _fitting(profiles, audiences).join(audiences, _AUDIENCE).select("campaign_id", *_PROFILE)
-    return profiles.join(asked, _PROFILE).select("campaign_id", "panelist_id")
+    asked = _asked(profiles, audiences)
+    by_cell = asked.filter("all_interests").join(audiences, _AUDIENCE).select("campaign_id", *_CELL)
+    by_profile = _wished(profiles, asked).join(audiences, _AUDIENCE).select("campaign_id", *_PROFILE)
+    return profiles.join(by_cell, _CELL).select("campaign_id", "panelist_id").unionByName(
+        profiles.join(by_profile, _PROFILE).select("campaign_id", "panelist_id"))
 
 
 def eligible_counts(panelists: DataFrame, campaigns: DataFrame) -> DataFrame:
     """Eligible panelists per campaign, without building the pairs."""
     profiles, audiences = _profiles(panelists), _audiences(campaigns)
     sizes = profiles.groupBy(*_PROFILE).agg(F.count("*").alias("n"))
-    reach = _fitting(profiles, audiences).join(sizes, _PROFILE).groupBy(*_AUDIENCE).agg(
-        F.sum("n").alias("eligible"))
+    cells = profiles.groupBy(*_CELL).agg(F.count("*").alias("n"))
+    asked = _asked(profiles, audiences)
+    reached = asked.filter("all_interests").join(cells, _CELL).select(*_AUDIENCE, "n").unionByName(
+        _wished(profiles, asked).join(sizes, _PROFILE).select(*_AUDIENCE, "n"))
+    reach = reached.groupBy(*_AUDIENCE).agg(F.sum("n").alias("eligible"))
     return audiences.join(reach, _AUDIENCE, "left").select(
         "campaign_id", F.coalesce("eligible", F.lit(0)).alias("eligible"))
 

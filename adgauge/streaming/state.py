@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +19,9 @@ def stream_rate(
     """Per event the count inside its key's anchored window, kept across micro-batches.
 
     State is two numbers per key and is dropped once the anchor is `ttl_seconds` behind the
-    watermark. The source's rate cap bounds the rows of one key in a micro-batch.
+    watermark. The source's rate cap bounds the rows of one key in a micro-batch; of those only the
+    stamps are sorted, and the work goes from window to window. An event older than its key's open window,
+    which an earlier micro-batch began, is counted in that window.
     """
     window = window_seconds * 1_000_000
 
@@ -28,18 +31,19 @@ def stream_rate(
             return
         anchor, seen = state.get if state.exists else (None, 0)
         rows = pd.concat(list(batches)).sort_values(["t", "impression_id"])
-        counts = []
-        for t in rows["t"]:
-            if anchor is None or t - anchor >= window:
-                anchor, seen = int(t), 0
-            seen += 1
-            counts.append(seen)
+        t, counts, at = rows["t"].to_numpy(), np.zeros(len(rows), np.int64), 0
+        while at < len(t):
+            if anchor is None or t[at] - anchor >= window:
+                anchor, seen = int(t[at]), 0
+            end = max(int(np.searchsorted(t, anchor + window)), at + 1)
+            counts[at:end] = seen + 1 + np.arange(end - at)
+            seen, at = int(counts[end - 1]), end
         state.update((anchor, seen))
         expiry = anchor // 1000 + ttl_seconds * 1000
         state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({
             "key": group[0], "impression_id": rows["impression_id"], "t": rows["t"],
-            "window_count": counts, "rate_exceeded": [c > limit for c in counts],
+            "window_count": counts, "rate_exceeded": counts > limit,
         })
 
     timed = stream.withWatermark(ts, delay).select(

@@ -133,6 +133,22 @@ def test_stream_rate_across_batches(spark):
                    "e10": (4, True), "e11": (1, False), "e12": (2, False)}
 
 
+def test_late_event_counts_in_the_open_window_of_the_stream(spark):
+    source, out = scratch_path(spark, "src"), scratch_path(spark, "out")
+    base = 1_700_000_000
+    for part, seconds in enumerate(([100, 100], [70, 159, 160, 160])):
+        rows = [(f"e{part}{i}", "ip", base + s) for i, s in enumerate(seconds)]
+        spark.createDataFrame(rows, "impression_id string, ip string, s bigint").select(
+            "impression_id", "ip", F.timestamp_seconds("s").alias("timestamp_utc")
+        ).coalesce(1).write.mode("append").parquet(source)
+        schema = spark.read.parquet(source).schema
+        stream = readers.read_table_stream(spark, source, schema, max_files=1)
+        writer = state.stream_rate(stream, limit=3).writeStream.format("parquet").option("path", out)
+        _finish(ingest.checkpointed(writer, f"{out}-c").trigger(availableNow=True).start())
+    got = {r.impression_id: (r.window_count, r.rate_exceeded) for r in spark.read.parquet(out).collect()}
+    assert got == {"e00": (1, False), "e01": (2, False), "e10": (3, False), "e11": (4, True), "e12": (1, False), "e13": (2, False)}
+
+
 def test_retry_routes(spark):
     rows = [("x", 0, False), (None, 0, False), (None, 2, True), (None, 3, True), (None, None, True)]
     df = spark.createDataFrame(rows, "error_reason string, retry_count int, processing_failed boolean")
