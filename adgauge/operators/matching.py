@@ -80,9 +80,12 @@ def scale(df: DataFrame) -> DataFrame:
 
 def fit_propensity(
     df: DataFrame, features: list[str] = FEATURES, max_iter: int = 100,
-    reg: float = 0.01, elastic: float = 0.5,
+    reg: float = 0.01, elastic: float = 0.5, tol: float = 1e-12,
 ) -> PipelineModel:
-    """Assemble, standardise and fit P(exposed). Needs rows of both arms."""
+    """Assemble, standardise and fit P(exposed). Needs rows of both arms.
+
+    `tol` is far below Spark's default, so that scores are those of the optimum and not of an early stop.
+    """
     arms = [row[0] for row in df.select("exposed").distinct().take(3)]
     if len(arms) < 2:
         raise ValueError("propensity fit needs both exposed and control rows")
@@ -91,7 +94,7 @@ def fit_propensity(
         StandardScaler(inputCol="features_raw", outputCol="features", withMean=True, withStd=True),
         LogisticRegression(
             featuresCol="features", labelCol="exposed", maxIter=max_iter, regParam=reg,
-            elasticNetParam=elastic,
+            elasticNetParam=elastic, tol=tol,
         ),
     ]).fit(df)
 

@@ -1044,8 +1044,43 @@ def _fitted(v):
     return matching.score(matching.fit_propensity(panel), panel)
 
 
-query("k03_fit_and_score", lambda v: _fitted(v).select("panelist_id", "exposed", F.round("propensity_score", 6).alias("propensity_score")))
-query("k04_score_profile_of_fit", lambda v: matching.score_profile(_fitted(v)))
+def _fit_sql() -> str:
+    """The model in SQL: (panelist_id, exposed, the features, s), s the score.
+
+    Panelists are collapsed to distinct feature rows, and accelerated proximal gradient steps on the
+    elastic-net loss run in a recursive table of one row until no weight moves.
+    """
+    step, momentum, l1, l2 = 0.5, 0.6, 0.005, 0.005
+    names, ks = [*FEATURE_SQL], range(10)
+    dot = " + ".join(f"y{k} * x{k}" for k in ks)
+    moved = {k: f"y{k} - {step} * (g{k} + {l2 if k else 0} * y{k})" for k in ks}
+    new = {k: f"sign({m}) * greatest(abs({m}) - {step * l1}, 0)" if k else m for k, m in moved.items()}
+    scaled = ", ".join(f"coalesce(({n} - avg({n}) OVER ()) / nullif(stddev_samp({n}) OVER (), 0), 0) AS x{k + 1}" for k, n in enumerate(names))
+    return f"""WITH RECURSIVE z AS MATERIALIZED (SELECT *, 1.0::double AS x0, {scaled} FROM ({PANEL_SQL.format(cols=FEATURE_COLUMNS)})),
+      cells AS MATERIALIZED (SELECT {", ".join(f"x{k}" for k in ks)}, count(*)::double AS n, sum(exposed)::double AS hits, sum(count(*)) OVER ()::double AS total
+        FROM z GROUP BY {", ".join(f"x{k}" for k in ks)}),
+      fit AS (SELECT 0 AS i, {", ".join(f"0.0::double AS w{k}, 0.0::double AS p{k}" for k in ks)}, 1.0::double AS moved
+        UNION ALL SELECT i + 1, {", ".join(f"n{k}, w{k}" for k in ks)}, greatest({", ".join(f"abs(n{k} - w{k})" for k in ks)})
+        FROM (SELECT *, {", ".join(f"({new[k]})::double AS n{k}" for k in ks)}
+          FROM (SELECT i, {", ".join(f"any_value(w{k}) AS w{k}, any_value(y{k}) AS y{k}" for k in ks)},
+              {", ".join(f"sum((n / (1 + exp(-({dot}))) - hits) * x{k} / total) AS g{k}" for k in ks)}
+            FROM (SELECT *, {", ".join(f"w{k} + {momentum} * (w{k} - p{k}) AS y{k}" for k in ks)} FROM fit WHERE moved > 1e-13 AND i < 5000), cells GROUP BY i))),
+      w AS (SELECT * FROM fit ORDER BY i DESC LIMIT 1)
+    SELECT panelist_id, exposed, {", ".join(names)}, 1 / (1 + exp(-({" + ".join(f"w{k} * x{k}" for k in ks)}))) AS s FROM z, w"""
+
+
+FIT_SQL = _fit_sql()
+query(
+    "k03_fit_and_score",
+    lambda v: _fitted(v).select("panelist_id", "exposed", F.round("propensity_score", 5).alias("propensity_score")),
+    f"SELECT panelist_id, exposed, round(s, 5) AS propensity_score FROM ({FIT_SQL})",
+)
+query(
+    "k04_score_profile_of_fit",
+    lambda v: matching.score_profile(_fitted(v)).withColumns({c: F.round(c, 5) for c in ("mean", "stddev", "min", "max")}),
+    f"""SELECT '{CAMPAIGN}' AS campaign_id, exposed, count(s) AS n, round(avg(s), 5) AS mean, round(stddev_samp(s), 5) AS stddev,
+    round(min(s), 5) AS min, round(max(s), 5) AS max FROM ({FIT_SQL}) GROUP BY exposed""",
+)
 query(
     "k05_match",
     lambda v: matching.match(v.scored, CALIPER).select(
@@ -1066,11 +1101,10 @@ def _measure(v, score):
         v.impressions, panelists, v.metrics, CAMPAIGN, v.now, caliper=CALIPER if score is not None else 0.1, score=score)
 
 
-query(
-    "measure_campaign_closed_score",
-    lambda v: _measure(v, F.expr(SCORE)).results.select(*LIFT_COLS),
-    f"""WITH panel AS ({PANEL_SQL.format(cols=SCORE + ' AS s')}),
-      c AS (SELECT e.panelist_id AS eid, c.panelist_id AS cid, abs(e.s - c.s) AS d FROM panel e JOIN panel c ON e.exposed = 1 AND c.exposed = 0 AND abs(e.s - c.s) <= {CALIPER}),
+def _measure_sql(panel: str, caliper: float) -> str:
+    """CTEs from a panel with scores `s` to the lift rows `y` of the matched arms; `pr` are the pairs."""
+    return f"""panel AS ({panel}),
+      c AS (SELECT e.panelist_id AS eid, c.panelist_id AS cid, abs(e.s - c.s) AS d FROM panel e JOIN panel c ON e.exposed = 1 AND c.exposed = 0 AND abs(e.s - c.s) <= {caliper}),
       pr AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY eid ORDER BY d, cid) = 1),
       arms AS (SELECT eid AS panelist_id, 'exposed' AS cohort_type FROM pr UNION SELECT cid, 'control' FROM pr),
       mm AS (SELECT m.campaign_id, m.metric_name,
@@ -1083,11 +1117,28 @@ query(
           / nullif(exposed_sample_size + control_sample_size - 2, 0) * (1.0 / nullif(exposed_sample_size, 0) + 1.0 / nullif(control_sample_size, 0))), 0) AS t_statistic,
         exposed_sample_size + control_sample_size - 2 AS degrees_of_freedom,
         1.96 * sqrt(exposed_std_dev ** 2 / nullif(exposed_sample_size, 0) + control_std_dev ** 2 / nullif(control_sample_size, 0)) AS margin FROM mm),
-      y AS (SELECT *, {P_EXACT} AS p_value, lift_absolute - margin AS confidence_interval_lower, lift_absolute + margin AS confidence_interval_upper FROM x)
+      y AS (SELECT *, {P_EXACT} AS p_value, lift_absolute - margin AS confidence_interval_lower, lift_absolute + margin AS confidence_interval_upper FROM x)"""
+
+
+query(
+    "measure_campaign_closed_score",
+    lambda v: _measure(v, F.expr(SCORE)).results.select(*LIFT_COLS),
+    f"""WITH {_measure_sql(PANEL_SQL.format(cols=SCORE + ' AS s'), CALIPER)}
     SELECT {', '.join(c if c != 'is_significant' else 'coalesce(p_value < 0.05, false) AS is_significant' for c in LIFT_COLS)} FROM y""",
     rounded=LIFT_ROUNDED,
 )
+BALANCED_SQL = " + ".join(
+    f"""coalesce(abs(CASE WHEN var_samp({n}) FILTER (exposed = 1) + var_samp({n}) FILTER (exposed = 0) > 0
+      THEN (avg({n}) FILTER (exposed = 1) - avg({n}) FILTER (exposed = 0)) / sqrt((var_samp({n}) FILTER (exposed = 1) + var_samp({n}) FILTER (exposed = 0)) / 2)
+      WHEN var_samp({n}) FILTER (exposed = 1) + var_samp({n}) FILTER (exposed = 0) = 0 AND avg({n}) FILTER (exposed = 1) = avg({n}) FILTER (exposed = 0) THEN 0 END) < 0.1, false)::int"""
+    for n in FEATURE_SQL
+)
 query(
     "measure_campaign_fitted",
     lambda v: _measure(v, None).results.select("campaign_id", "metric_name", "exposed_sample_size", "control_sample_size", "lift_absolute", "p_value", "balance_score"),
+    f"""WITH {_measure_sql(FIT_SQL, 0.1)},
+      sample AS (SELECT * FROM panel WHERE panelist_id IN (SELECT eid FROM pr UNION SELECT cid FROM pr))
+    SELECT campaign_id, metric_name, exposed_sample_size, control_sample_size, lift_absolute, p_value,
+      (SELECT ({BALANCED_SQL}) / {len(FEATURE_SQL)} FROM sample) AS balance_score FROM y""",
+    rounded="lift_absolute p_value balance_score",
 )

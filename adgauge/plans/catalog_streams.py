@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from adgauge.operators.events import add_date_parts
 from adgauge.plans import views
 from adgauge.plans.catalog_events import ELIGIBLE_SQL, REASON_SQL, anchor_sql, ts
 from adgauge.plans.registry import query
@@ -118,6 +119,28 @@ query(
 )
 
 
+def _triggers(v):
+    """The stream under both triggers: a period, ended when nothing is left to read, and once."""
+    runs = []
+    for name, options in (("period", ingest.ingest_trigger(1)), ("once", ingest.ingest_trigger(once=True))):
+        path, check = scratch_path(v.spark, "trigger"), scratch_path(v.spark, "check")
+        handle = ingest.append_partitions(add_date_parts(_streamed(v).events.select("event_id", "timestamp")), path, check, **options)
+        if name == "period":
+            handle.processAllAvailable()
+            handle.stop()
+        else:
+            _finish(handle)
+        runs.append(readers.read_table(v.spark, path).select(F.lit(name).alias("trigger"), "event_id", "year", "month", "day"))
+    return runs[0].unionByName(runs[1])
+
+
+query(
+    "i02_triggers", _triggers,
+    """SELECT t.name AS trigger, event_id, year(timestamp)::int AS year, month(timestamp)::int AS month, day(timestamp)::int AS day
+    FROM raw_events, (VALUES ('period'), ('once')) t(name)""",
+)
+
+
 def _resumed(v):
     """A stream over JSON-lines files, stopped and started again after more files arrived."""
     base = scratch_path(v.spark, "resume")
@@ -144,8 +167,6 @@ query(
 
 
 def _partitions(v):
-    from adgauge.operators.events import add_date_parts
-
     path, check = scratch_path(v.spark, "parts"), scratch_path(v.spark, "check")
     stream = add_date_parts(_streamed(v).events.select("event_id", "timestamp"))
     _finish(ingest.append_partitions(stream, path, check, **ingest.ingest_trigger(once=True)))

@@ -19,7 +19,8 @@ PART = [
     "e11_global_totals", "e17_survey_results", "e20_lift_statistics", "e22_lift_by_question", "e28_time_drill",
     "e29_lift_histogram", "e32_segment_lift", "e33_balance", "f02_trailing_counts", "f06_sliding_admission",
     "f10_latest_runs", "h11_combined_score", "h13_tracking_hash", "h24_t_pvalue", "i03_checkpoint_resume",
-    "i07_stream_rate", "j04_update_panelists", "j08_invite", "k02_standardize", "measure_campaign_closed_score",
+    "i07_stream_rate", "j04_update_panelists", "j08_invite", "k02_standardize", "k03_fit_and_score", "measure_campaign_closed_score",
+    "measure_campaign_fitted", "i02_triggers",
 ]
 NAMES = sorted(contract.oracle_sql()) if os.environ.get("CATALOG") == "all" else PART
 
@@ -57,7 +58,7 @@ def test_every_inventory_section_has_queries():
     wanted = {
         "a": set(range(1, 16)), "b": set(range(1, 31)), "c": set(range(1, 15)) - {2}, "d": set(range(1, 5)),
         "e": set(range(1, 41)), "f": set(range(1, 12)), "g": set(range(1, 8)), "h": set(range(1, 31)),
-        "i": set(range(1, 11)) - {2}, "j": set(range(1, 12)), "k": set(range(1, 7)),
+        "i": set(range(1, 11)), "j": set(range(1, 12)), "k": set(range(1, 7)),
     }
     missing = [f"{s}{n:02d}" for s, numbers in wanted.items() for n in numbers if f"{s}{n:02d}" not in ids]
     assert missing == []
