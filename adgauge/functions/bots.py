@@ -141,6 +141,30 @@ def fingerprint_score(
     ])
 
 
+# Limits of the scored rules.
+SCORE_LIMITS = {
+    "per_minute": 100, "per_hour": 1000, "overused": 1000, "suspicious": 500, "threshold": 0.7, "gap_ms": 100,
+}
+
+
+def bot_scored(
+    ua="user_agent", ip="ip", headers="raw_headers", fingerprint="fingerprint", limits: dict | None = None
+) -> tuple[Column, Column]:
+    """(is_bot, reason) by the four-part score of rows with n_minute, n_hour, rapid and n_day.
+
+    The reason is the joined reasons of the parts, null unless the row is a bot.
+    """
+    limit = SCORE_LIMITS | (limits or {})
+    _, is_bot, reasons = combine_scores(
+        ua_score(ua),
+        rate_score(ip, "n_minute", "n_hour", "rapid", limit["per_minute"], limit["per_hour"]),
+        header_score(headers),
+        fingerprint_score(fingerprint, "n_day", limit["overused"], limit["suspicious"]),
+        threshold=limit["threshold"],
+    )
+    return is_bot, F.when(is_bot, F.array_join(reasons, ","))
+
+
 def combine_scores(
     *parts: tuple[Column, Column], divisor: float = 4.0, threshold: float = 0.7
 ) -> tuple[Column, Column, Column]:

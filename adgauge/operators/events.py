@@ -161,12 +161,16 @@ def normalize_s2s(df: DataFrame, now: Column) -> DataFrame:
     )
 
 
-def apply_bot_rules(df: DataFrame, rules: str = "stream", rate_exceeded: str | None = None) -> DataFrame:
-    """Adds is_bot and bot_detection_reason by the named rule set."""
+def apply_bot_rules(
+    df: DataFrame, rules: str = "stream", rate_exceeded: str | None = None, limits: dict | None = None
+) -> DataFrame:
+    """Adds is_bot and bot_detection_reason by the named rule set; `scored` needs the counts of `bot_scored`."""
     if rules == "stream":
         flag, reason = bots.bot_stream("user_agent")
     elif rules == "consumer":
         flag, reason = bots.bot_consumer("user_agent", rate_exceeded)
+    elif rules == "scored":
+        flag, reason = bots.bot_scored(limits=limits)
     else:
         raise ValueError(f"unknown bot rules: {rules}")
     return df.withColumns({"is_bot": flag, "bot_detection_reason": reason})

@@ -379,6 +379,23 @@ def rate_batch(
     return rated.select(*df.columns, "rate_exceeded"), open_now
 
 
+def trailing_batch(
+    df: DataFrame, earlier: DataFrame, key: str, ts: str, windows: dict[str, float], gap_ms: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """One micro-batch under trailing counts: (the rows with a count per window, the batch's own `points`).
+
+    `earlier` has the points of earlier micro-batches. With `gap_ms`, `rapid` is added too. A late event is counted
+    with the points known by then; counts given out before are not revised.
+    """
+    own = cut(points(df, key, ts))
+    known = earlier.join(own.select("key").distinct(), "key", "left_semi")
+    pts = celled(own.unionByName(known).groupBy("key", "t").agg(F.sum("n").alias("n")))
+    values = trailing_counts(pts, windows)
+    if gap_ms is not None:
+        values = values.join(rapid_instants(pts, gap_ms), ["key", "t"])
+    return attach(df, values, key, ts), own
+
+
 def _admit(batches: Iterator[pd.DataFrame], limit: int, window: int) -> Iterator[pd.DataFrame]:
     """Sliding admission over rows sorted by (key, block, t), batch by batch.
 

@@ -501,7 +501,7 @@ query(
     lambda v: v.events.select("event_id", *_scored_cols(bots.ua_score("user_agent"))),
     f"SELECT event_id, {UA_SQL} AS score, {UA_REASONS_SQL} AS reasons FROM raw_events", rounded="score",
 )
-RATE_CTE = """SELECT event_id, ip, user_agent, seq,
+RATE_CTE = """SELECT event_id, ip, user_agent, headers_text, seq,
   count(*) OVER (PARTITION BY ip ORDER BY epoch_us(timestamp) RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW) AS n_minute,
   count(*) OVER (PARTITION BY ip ORDER BY epoch_us(timestamp) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS n_hour,
   epoch_us(timestamp) AS t FROM raw_events"""
@@ -527,11 +527,16 @@ query(
     f"""SELECT r.event_id AS impression_id, {RATE_PARTS} AS score, {RATE_REASONS} AS reasons
     FROM ({RATE_CTE}) r JOIN ({RAPID_20S}) x ON x.event_id = r.event_id""", rounded="score",
 )
-HEADER_SCORE = "CASE seq % 6 WHEN 0 THEN 0.0 WHEN 1 THEN 0.7 WHEN 2 THEN 1.4 WHEN 3 THEN 0.6 WHEN 4 THEN 1.6 ELSE 0.0 END::double"
-HEADER_REASONS = """CASE seq % 6 WHEN 1 THEN 'missing_common_headers:accept-language,accept-encoding,suspicious_accept_header,proxy_without_real_ip'
-  WHEN 2 THEN 'missing_common_headers:accept-language,accept-encoding,automation_header_present'
-  WHEN 3 THEN 'missing_common_headers:accept,accept-language,accept-encoding,suspicious_accept_header'
-  WHEN 4 THEN 'missing_common_headers:accept,accept-encoding,automation_header_present,suspicious_accept_header' ELSE '' END"""
+_NAMES = "[lower(split_part(h, '=', 1)) for h in string_split(headers_text, ';')]"
+_MISSING = f"[c for c in ['accept', 'accept-language', 'accept-encoding'] if NOT list_contains({_NAMES}, c)]"
+_ACCEPT = "coalesce(split_part([h for h in string_split(headers_text, ';') if lower(split_part(h, '=', 1)) = 'accept'][1], '=', 2), '')"
+_AUTOMATED = f"list_contains({_NAMES}, 'x-automated') OR list_contains({_NAMES}, 'x-bot')"
+_PROXIED = f"list_contains({_NAMES}, 'x-forwarded-for') AND NOT list_contains({_NAMES}, 'x-real-ip')"
+HEADER_SCORE = f"""(CASE WHEN len({_MISSING}) >= 2 THEN 0.4 ELSE 0 END + CASE WHEN {_AUTOMATED} THEN 1.0 ELSE 0 END
+  + CASE WHEN {_ACCEPT} IN ('*/*', '') THEN 0.2 ELSE 0 END + CASE WHEN {_PROXIED} THEN 0.1 ELSE 0 END)::double"""
+HEADER_REASONS = f"""concat_ws(',', CASE WHEN len({_MISSING}) >= 2 THEN 'missing_common_headers:' || array_to_string({_MISSING}, ',') END,
+  CASE WHEN {_AUTOMATED} THEN 'automation_header_present' END, CASE WHEN {_ACCEPT} IN ('*/*', '') THEN 'suspicious_accept_header' END,
+  CASE WHEN {_PROXIED} THEN 'proxy_without_real_ip' END)"""
 query(
     "h09_header_score",
     lambda v: v.headers.select("event_id", *_scored_cols(bots.header_score("headers"))),
@@ -574,13 +579,12 @@ def _combined(v):
                        F.array_join(reasons, ",").alias("reasons"))
 
 
+COMBINED_SQL = f"""SELECT r.event_id AS impression_id, least(({UA_SQL} + {RATE_PARTS} + {HEADER_SCORE} + {FP_SCORE}) / 4, 1.0) AS confidence,
+      concat_ws(',', nullif({UA_REASONS_SQL}, ''), nullif({RATE_REASONS}, ''), nullif({HEADER_REASONS}, ''), nullif({FP_REASONS}, '')) AS reasons
+      FROM ({RATE_CTE}) r JOIN ({RAPID_20S}) x ON x.event_id = r.event_id JOIN ({FP_DAY}) f ON f.event_id = r.event_id"""
 query(
     "h11_combined_score", _combined,
-    f"""SELECT impression_id, confidence, confidence >= 0.66 AS is_bot, reasons FROM (
-      SELECT r.event_id AS impression_id, least(({UA_SQL} + {RATE_PARTS} + {HEADER_SCORE} + {FP_SCORE}) / 4, 1.0) AS confidence,
-      concat_ws(',', nullif({UA_REASONS_SQL}, ''), nullif({RATE_REASONS}, ''), nullif({HEADER_REASONS}, ''), nullif({FP_REASONS}, '')) AS reasons
-      FROM ({RATE_CTE}) r JOIN ({RAPID_20S}) x ON x.event_id = r.event_id JOIN ({FP_DAY}) f ON f.event_id = r.event_id)""",
-    rounded="confidence",
+    f"SELECT impression_id, confidence, confidence >= 0.66 AS is_bot, reasons FROM ({COMBINED_SQL})", rounded="confidence",
 )
 query(
     "h12_device_fingerprint",

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from adgauge.functions import identity
 from adgauge.operators.events import add_date_parts
 from adgauge.plans import views
-from adgauge.plans.catalog_events import ELIGIBLE_SQL, REASON_SQL, anchor_sql, ts
+from adgauge.plans.catalog_events import COMBINED_SQL, ELIGIBLE_SQL, REASON_SQL, anchor_sql, ts
 from adgauge.plans.registry import query
 from adgauge.plans.views import CONSUMER_PATTERN, stamp
 from adgauge.session import scratch_path
@@ -62,21 +63,22 @@ def _ingested(v):
 
 
 def _ingest_target(v):
+    """The rows of all three sinks by their ids; a rejected row by its sequence number."""
     base = _ingested(v)
-    staged = readers.read_table(v.spark, f"{base}/staging").agg(F.count("*").alias("n"))
-    target = readers.read_table(v.spark, f"{base}/target").agg(F.count("*").alias("n"))
-    rejected = v.spark.read.json(f"{base}/dlq").groupBy(F.col("error_reason").alias("part")).agg(F.count("*").alias("n"))
-    return (
-        staged.select(F.lit("staging").alias("part"), "n")
-        .unionByName(target.select(F.lit("target").alias("part"), "n")).unionByName(rejected)
+    sinks = (
+        (readers.read_table(v.spark, f"{base}/staging"), F.lit("staging"), "event_id"),
+        (readers.read_table(v.spark, f"{base}/target"), F.lit("target"), "tracking_hash"),
+        (v.spark.read.json(f"{base}/dlq"), F.col("error_reason"), "sequence_number"),
     )
+    rows = [df.select(part.alias("part"), F.col(name).cast("string").alias("id")) for df, part, name in sinks]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 query(
     "i01_ingest", _ingest_target,
-    f"""SELECT 'staging' AS part, count(*) AS n FROM raw_events WHERE {REASON_SQL} IS NULL
-    UNION ALL SELECT 'target', count(DISTINCT seq - seq % 4) FROM raw_events WHERE {REASON_SQL} IS NULL
-    UNION ALL SELECT {REASON_SQL}, count(*) FROM raw_events WHERE {REASON_SQL} IS NOT NULL GROUP BY 1""",
+    f"""SELECT 'staging' AS part, event_id AS id FROM raw_events WHERE {REASON_SQL} IS NULL
+    UNION ALL SELECT DISTINCT 'target', concat('h', seq - seq % 4) FROM raw_events WHERE {REASON_SQL} IS NULL
+    UNION ALL SELECT {REASON_SQL}, seq::varchar FROM raw_events WHERE {REASON_SQL} IS NOT NULL""",
 )
 
 
@@ -119,6 +121,33 @@ query(
 )
 
 
+def _ingest_scored(v):
+    """The ingest job under the scored rules: three micro-batches by event time, a restart before each."""
+    base = scratch_path(v.spark, "scored")
+    feed = v.bodies_with({"raw_headers": F.expr("str_to_map(headers_text, ';', '=')")})
+    period = F.expr("greatest(0, least(2, datediff(enqueuedTime, date '2024-01-01') div 11))")
+    own = F.when(F.col("eventhub_sequence_number") % 3 == 0, F.concat(F.lit("fp"), "ip")).otherwise(
+        identity.device_fingerprint("user_agent", F.lit("1920x1080"), F.lit(0), F.array(F.lit("pdf"))))
+    for part in range(3):
+        feed.filter(period == part).drop("retry_count").write.mode("append").json(f"{base}/source")
+        stream = readers.read_events_stream(v.spark, f"{base}/source", max_files=1_000_000)
+        _finish(ingest.run_ingest(
+            stream, f"{base}/staging", f"{base}/target", f"{base}/dlq", f"{base}/check", processed_at=v.now,
+            bot_rules="scored", fingerprint=own, **ingest.ingest_trigger(once=True),
+            score_limits={"per_minute": 1, "per_hour": 2, "overused": 20, "suspicious": 5, "threshold": 0.66, "gap_ms": 20_000},
+        ))
+    return readers.read_table(v.spark, f"{base}/staging").select("event_id", "ip", "is_bot", "bot_detection_reason")
+
+
+query(
+    "i01_ingest_scored", _ingest_scored,
+    f"""WITH valid AS (SELECT * FROM raw_events WHERE {REASON_SQL} IS NULL),
+    s AS ({COMBINED_SQL.replace("FROM raw_events", "FROM valid")})
+    SELECT event_id, ip, confidence >= 0.66 AS is_bot, CASE WHEN confidence >= 0.66 THEN reasons END AS bot_detection_reason
+    FROM s JOIN valid ON event_id = impression_id""",
+)
+
+
 def _triggers(v):
     """The stream under both triggers: a period, ended when nothing is left to read, and once."""
     runs = []

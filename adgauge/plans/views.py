@@ -165,7 +165,11 @@ class Views:
     @cached_property
     def bodies(self) -> DataFrame:
         """Raw stream records: JSON body and envelope; some bodies are broken."""
-        columns = {c: F.col(c) for c in EVENTS if c in schemas.TRACKING_EVENT.fieldNames()}
+        return self.bodies_with({})
+
+    def bodies_with(self, more: dict[str, Column]) -> DataFrame:
+        """The same with more fields in the body."""
+        columns = {c: F.col(c) for c in EVENTS if c in schemas.TRACKING_EVENT.fieldNames()} | more
         columns["timestamp"] = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
         columns["campaign_id"] = F.when(F.col("seq") % 101 == 5, "  ").otherwise(F.col("campaign_id"))
         columns["tracking_hash"] = F.concat(F.lit("h"), (F.col("seq") - F.col("seq") % 4).cast("string"))

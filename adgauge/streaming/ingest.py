@@ -9,6 +9,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from adgauge.functions import bots
 from adgauge.operators import events, rates
 from adgauge.operators.impressions import ops_counts
+from adgauge.session import cut
 from adgauge.sources import sinks
 
 
@@ -23,10 +24,11 @@ def checkpointed(writer: DataStreamWriter, path: str) -> DataStreamWriter:
 
 
 def classify(
-    parsed: DataFrame, bot_rules: str = "stream", geo_rules: str = "octet", rate_exceeded: str | None = None
+    parsed: DataFrame, bot_rules: str = "stream", geo_rules: str = "octet", rate_exceeded: str | None = None,
+    limits: dict | None = None,
 ) -> DataFrame:
     """Bot flag, geography and date parts of parsed events."""
-    flagged = events.apply_bot_rules(parsed, bot_rules, rate_exceeded)
+    flagged = events.apply_bot_rules(parsed, bot_rules, rate_exceeded, limits)
     return events.add_date_parts(events.enrich_geo(flagged, geo_rules))
 
 
@@ -61,16 +63,68 @@ def rate_events(
     return rated.drop("_ip")
 
 
+HOUR = 3600 * rates.SECOND
+
+
+def with_history(
+    rows: DataFrame, batch_id: int, path: str, key: str, windows: dict[str, float], gap_ms: int | None = None
+) -> DataFrame:
+    """Adds trailing counts per key that reach across micro-batches.
+
+    Each batch adds its points, (key, t, n), to a table by hour and batch, and reads those of earlier batches
+    from the hours that its own windows reach. A replayed batch overwrites its own points. Hours that neither this
+    batch nor the widest window before its newest event needs are removed; events dated after their processing do
+    not count as newest.
+    """
+    spark, span = rows.sparkSession, int(max(windows.values()) * rates.SECOND)
+    at = F.unix_micros("timestamp")
+    first, newest = rows.agg(F.min(at), F.least(F.max(at), F.unix_micros(F.max("processed_at")))).first()
+    low = None if first is None else (first - span) // HOUR
+    earlier = spark.createDataFrame([], "key string, t bigint, n bigint")
+    hours = sinks.folders(spark, path)
+    if hours and low is not None:
+        table = spark.read.schema("key string, t bigint, n bigint, hour bigint, batch bigint").parquet(path)
+        earlier = table.filter((F.col("hour") >= low) & (F.col("batch") < batch_id)).groupBy("key", "t").agg(F.sum("n").alias("n"))
+    rated, own = rates.trailing_batch(rows, earlier, key, "timestamp", windows, gap_ms)
+    rated = cut(rated)
+    stamped = own.select("key", "t", "n", F.floor(F.col("t") / HOUR).alias("hour"), F.lit(batch_id).cast("bigint").alias("batch"))
+    stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour", "batch").parquet(path)
+    if low is not None:
+        needed = min(low, (newest - span) // HOUR)
+        for name in hours:
+            if name.startswith("hour=") and name[5:].lstrip("-").isdigit() and int(name[5:]) < needed:
+                sinks.remove(spark, f"{path}/{name}")
+    return rated
+
+
+def score_events(
+    rows: DataFrame, batch_id: int, work: str, fingerprint: Column | None = None, gap_ms: int = 100
+) -> DataFrame:
+    """Adds fingerprint, n_minute, n_hour, rapid and n_day to the events of a micro-batch.
+
+    Events carry no fingerprint of their own; without an expression for it that part of the score is skipped.
+    """
+    print_of = fingerprint if fingerprint is not None else F.lit(None).cast("string")
+    rated = with_history(rows, batch_id, f"{work}/points/address", "ip", {"n_minute": 60, "n_hour": 3600}, gap_ms)
+    marked = rated.withColumn("fingerprint", print_of)
+    if fingerprint is None:
+        return marked.withColumn("n_day", F.lit(None).cast("bigint"))
+    return with_history(marked, batch_id, f"{work}/points/fingerprint", "fingerprint", {"n_day": 86400})
+
+
 def run_ingest(
     raw: DataFrame, staging: str, target: str, dead_letters: str, checkpoint: str,
     processed_at: Column | None = None, bot_rules: str = "stream", geo_rules: str = "octet",
-    rate_limit: int = 100, rate_seconds: float = 60.0, **trigger,
+    rate_limit: int = 100, rate_seconds: float = 60.0, fingerprint: Column | None = None,
+    score_limits: dict | None = None, **trigger,
 ) -> StreamingQuery:
     """Raw bodies -> staging append, keyed upsert and dead letters, from one read of the source.
 
     Staging is written per batch id, so a replayed batch overwrites its own folder. The `consumer` rules
-    include the rate per address, whose windows reach across micro-batches.
+    include the rate per address, the `scored` rules trailing counts per address and `fingerprint`; the windows of
+    both reach across micro-batches. `score_limits` replaces entries of `bots.SCORE_LIMITS`.
     """
+    limits = bots.SCORE_LIMITS | (score_limits or {})
 
     def write(batch: DataFrame, batch_id: int) -> None:
         stamp = processed_at if processed_at is not None else F.current_timestamp()
@@ -80,7 +134,10 @@ def run_ingest(
         parsed, flag = events.flatten_events(valid, stamp), None
         if bot_rules == "consumer":
             parsed, flag = rate_events(parsed, batch_id, checkpoint, rate_limit, rate_seconds), "rate_exceeded"
-        rows = classify(parsed, bot_rules, geo_rules, flag).drop("rate_exceeded").persist()
+        elif bot_rules == "scored":
+            parsed = score_events(parsed, batch_id, checkpoint, fingerprint, limits["gap_ms"])
+        rows = classify(parsed, bot_rules, geo_rules, flag, limits)
+        rows = rows.drop("rate_exceeded", "fingerprint", "n_minute", "n_hour", "rapid", "n_day").persist()
         try:
             (
                 rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")

@@ -158,3 +158,26 @@ def test_retry_routes(spark):
 def test_unknown_rules_are_rejected(spark):
     with pytest.raises(ValueError):
         events.apply_bot_rules(spark.range(1).select(F.lit("x").alias("user_agent")), "nope")
+
+
+def test_history_spans_batches_and_survives_replay(spark):
+    """Counts reach into earlier batches, a replayed batch counts as at first, hours out of reach go."""
+    path, base = scratch_path(spark, "points"), 1_700_000_000
+
+    def run(number, seconds, key="ip"):
+        rows = [(f"e{s}", key if s is not None else None, base + (s or 0)) for s in seconds]
+        df = spark.createDataFrame(rows, "event_id string, ip string, s bigint").select(
+            "event_id", "ip", F.timestamp_seconds("s").alias("timestamp"), F.timestamp_seconds(F.lit(base + 40_010)).alias("processed_at"))
+        rated = ingest.with_history(df, number, path, "ip", {"n_minute": 60, "n_hour": 3600}, 100)
+        return sorted((r.event_id, r.n_minute, r.n_hour, r.rapid) for r in rated.collect())
+
+    assert run(0, [0, 10, 10]) == [("e0", 1, 1, False), ("e10", 3, 3, True), ("e10", 3, 3, True)]
+    second = run(1, [20, 65, None])
+    assert second == [("e20", 4, 4, True), ("e65", 4, 5, True), ("eNone", None, None, None)]
+    assert run(1, [20, 65, None]) == second
+    assert run(2, [40_000]) == [("e40000", 1, 1, False)]
+    hours = [int(name[5:]) for name in sinks.folders(spark, path) if name.startswith("hour=")]
+    assert hours == [(base + 40_000) // 3600]
+    assert run(3, []) == []
+    assert run(4, [10**8]) == [("e100000000", 1, 1, False)]  # dated after its processing
+    assert run(5, [40_001]) == [("e40001", 2, 2, False)]
