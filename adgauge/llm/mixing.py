@@ -30,10 +30,12 @@ def n_tokens(text: Column) -> Column:
 
 def topic_of(text: Column, tokens: Column) -> Column:
     """A stand-in for a topic, as the tables have none: the kind of text, from the whole of it."""
-    low = F.coalesce(text, F.lit(""))
-    marks = F.length(low) - F.length(F.translate(low, "|#*$%&<>", ""))
+    whole = F.coalesce(text, F.lit(""))
+    low = F.lower(whole)
+    notice = low.contains("license") | low.contains("licence") | low.contains("copyright")
+    marks = F.regexp_count(whole, F.lit("[|#*$%&<>]"))
     return (
-        F.when(low.rlike("(?i)licen[cs]e|copyright"), "notice").when(marks * 20 > tokens, "listing")
+        F.when(notice, "notice").when(marks * 20 > tokens, "listing")
         .when(tokens < 20, OTHER).when(tokens < 400, "short prose").otherwise("long prose")
     )
 
