@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -20,27 +21,29 @@ GENERATOR = 0xC75  # fixed value: generator polynomial of the (23, 12) Golay cod
 VOTES = 1 << 17  # shingle hashes whose bits are added up at once
 
 
+def _divided(words: np.ndarray) -> np.ndarray:
+    """Remainders of 23-bit words by the generator."""
+    for bit in range(22, 10, -1):
+        words = np.where(words >> bit & 1, words ^ (GENERATOR << (bit - 11)), words)
+    return words
+
+
 @lru_cache(maxsize=1)
 def _syndromes() -> tuple[np.ndarray, np.ndarray]:
-    """Remainder of every 23-bit word by the generator, and the error pattern of every remainder.
+    """Remainder of the upper 12 bits of a word, and the error pattern of every remainder.
 
     The code is perfect: each of the 2048 remainders belongs to one pattern of at most three bits.
     """
-    word = np.arange(1 << 23, dtype=np.int32)
-    for bit in range(22, 10, -1):
-        word = np.where(word >> bit & 1, word ^ (GENERATOR << (bit - 11)), word)
-    remainder = word.astype(np.int16)
-    ones = np.bitwise_count(np.arange(1 << 23, dtype=np.uint32))
-    few = np.flatnonzero(ones <= 3)
-    errors = np.zeros(1 << 11, np.int32)
-    errors[remainder[few]] = few
-    return remainder, errors
+    few = np.array([sum(1 << b for b in bits) for n in range(4) for bits in combinations(range(23), n)])
+    errors = np.zeros(1 << 11, np.int64)
+    errors[_divided(few)] = few
+    return _divided(np.arange(1 << 12) << 11), errors
 
 
 def golay_index(words: np.ndarray) -> np.ndarray:
-    """Index (12 bits) of the codeword nearest to each 23-bit word."""
-    remainder, errors = _syndromes()
-    return (words ^ errors[remainder[words]]) >> 11
+    """Index (12 bits) of the codeword nearest to each 23-bit word; the code is linear, the lower 11 bits add as they are."""
+    upper, errors = _syndromes()
+    return (words ^ errors[upper[words >> 11] ^ (words & 0x7FF)]) >> 11
 
 
 def golay_keys(words: np.ndarray) -> np.ndarray:
