@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -59,11 +60,30 @@ SENTENCE_END = "[.!?:;]+[ \\t-\\r]+"
 NOISE = "[^a-z0-9.]+|[.]+([^a-z0-9]|$)"
 
 
-def _known(pieces: Column, ids: Mapping[str, str]) -> Column:
-    """`<id>` of every known sentence, in order, in one string."""
+def _marked(low: Column) -> Column:
+    """The normalised words of a text, with `|` where a sentence ends and `~` at line ends, colons and semicolons."""
+    steps = (
+        ("(?<![.!?:;])[:;]*+[.!?][.!?:;]*+[ \\t-\\r]++", "|"), ("(?<![.!?:;])[:;]++[ \\t-\\r]++|[\\n\\r]++", "~"),
+        ("[^a-z0-9.|~]+|[.]+([^a-z0-9|~]|$)", " "), (" +", " "),
+    )
+    text = F.translate(low, "|~", "##")
+    for pattern, mark in steps:
+        text = F.regexp_replace(text, pattern, mark)
+    edged = F.concat(F.lit("|"), text, F.lit("|"))
+    return F.regexp_replace(F.regexp_replace(edged, "(?<![ |~])[ ~]*+[|][ |~]*+", "|"), " ?~[ ~]*+", "~")
+
+
+def _known(low: Column, ids: Mapping[str, str]) -> Column:
+    """`<id>` of every known sentence, in order, in one string.
+
+    A sentence begins and ends at a mark of any kind; inside it, line ends, colons and semicolons are blanks. Of
+    the sentences that begin at a mark the longest is taken, and the search goes on behind it.
+    """
     lookup = F.create_map(*[F.lit(x) for pair in ids.items() for x in pair])
-    plain = F.transform(pieces, lambda s: F.trim(F.regexp_replace(F.regexp_replace(s, NOISE, " "), " +", " ")))
-    return F.array_join(F.transform(F.filter(plain, lambda s: F.map_contains_key(lookup, s)), lambda s: F.concat(F.lit("<"), F.element_at(lookup, s), F.lit(">"))), "")
+    longest = sorted(ids, key=lambda s: (-len(s.split()), s))
+    pattern = "(?<=[|~])(?:" + "|".join("[ ~]".join(re.escape(w) for w in s.split()) for s in longest) + ")(?=[|~])"
+    found = F.regexp_extract_all(_marked(low), F.lit(pattern), F.lit(0))
+    return F.array_join(F.transform(found, lambda s: F.concat(F.lit("<"), F.element_at(lookup, F.translate(s, "~", " ")), F.lit(">"))), "")
 
 
 def _matched(sequence: Column, rules: Sequence[tuple[str, tuple[str, ...]]]) -> Column:
@@ -82,23 +102,18 @@ def scan_licenses(
 ) -> DataFrame:
     """Adds sentence_ids, n_sentences and licenses to each row.
 
-    Texts are cut into sentences twice: at sentence ends and line ends, and at sentence ends alone for
-    sentences that run over lines. Normalised sentences that are known become identifiers; unknown ones
-    are passed over. sentence_ids holds the identifiers of the first cut, or of the second if that finds
-    more; licenses the names of the rules that match it, in rule order, each once, joined by commas.
+    A known sentence may begin and end at sentence ends, line ends, colons and semicolons, and may run over
+    lines, colons and semicolons. Normalised sentences that are known become identifiers; everything else
+    is passed over. sentence_ids holds the identifiers by position, licenses the names of the rules that
+    match them, in rule order, each once, joined by commas.
     Null, empty and foreign texts have empty strings and 0. Columns of the same names are replaced.
     """
     ids = {s: k for k, group in sentences.items() for s in group}
     low = ascii_lower(docs[text])
     source = F.when(low.rlike("|".join(anchors)), low)
     names = ("sentence_ids", "n_sentences", "licenses")
-    cut = docs.select(
-        *[c for c in docs.columns if c not in names],
-        _known(F.split(source, LINE_END), ids).alias("#lines"), _known(F.split(source, SENTENCE_END), ids).alias("#runs"),
-    )
     count = lambda c: F.regexp_count(c, F.lit("<"))
-    lines, runs = F.col("`#lines`"), F.col("`#runs`")
-    best = cut.select(*[f"`{c}`" for c in docs.columns if c not in names], F.coalesce(F.when(count(runs) > count(lines), runs).otherwise(lines), F.lit("")).alias("sentence_ids"))
+    best = docs.select(*[c for c in docs.columns if c not in names], F.coalesce(_known(source, ids), F.lit("")).alias("sentence_ids"))
     return best.select(
         "*", count(F.col("sentence_ids")).cast("long").alias("n_sentences"),
         F.array_join(F.array_distinct(F.array_compact(_matched(F.col("sentence_ids"), rules))), ",").alias("licenses"),

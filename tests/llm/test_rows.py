@@ -78,6 +78,86 @@ def test_licence_rules(spark):
             assert re.sub(" +", " ", re.sub(licenses.NOISE, " ", sentence)).strip() == sentence
 
 
+MIT = """MIT License
+
+Copyright (c) 2024 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY.
+"""
+BSD_2 = """Copyright (c) 2024, Jane Doe
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_3 = BSD_2 + """3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission.
+"""
+APACHE = """   Copyright 2024 Jane Doe
+
+   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS.
+"""
+GPL = """Copyright (C) 2024 Jane Doe
+
+This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+
+
+def test_published_notices(spark):
+    wanted = {
+        "MIT": (MIT, "<mit_title><mit_grant><mit_notice><as_is>"), "BSD-2-Clause": (BSD_2, "<bsd_grant><bsd_source><bsd_binary>"),
+        "BSD-3-Clause": (BSD_3, "<bsd_grant><bsd_source><bsd_binary><bsd_endorse>"), "Apache-2.0": (APACHE, "<apache_named><apache_use><apache_copy>"),
+        "GPL-3.0-or-later": (GPL, "<gpl_redistribute><gpl_warranty><gpl_received>"),
+    }
+    rows, want = [], []
+    for i, (name, (text, ids)) in enumerate(wanted.items()):
+        forms = (text, text.replace("\n", "\r\n"), "".join(f"# {x}\n" for x in text.splitlines()), "".join(f" * | {x}\n" for x in text.splitlines()), "Prose.\n" + text)
+        rows += [(10 * i + k, form) for k, form in enumerate(forms)]
+        want += [(10 * i + k, ids, name) for k in range(len(forms))]
+    rows += [(90, "Not released\nunder the MIT License"), (91, "The MIT. License\n"), (92, "licensed under\nthe MIT license"), (93, "license" + "." * 50_000 + ":" * 50_000 + "\n~ MIT License |\n")]
+    want += [(90, "", ""), (91, "", ""), (92, "<mit_named>", "MIT"), (93, "<mit_title>", "")]
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.sentence_ids, r.licenses) for r in got) == want
+    assert all(r.n_sentences == r.sentence_ids.count("<") for r in got)
+
+
 def brute_quality(text, least):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     n = len(words)
