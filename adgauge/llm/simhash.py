@@ -165,26 +165,26 @@ def components(pairs: DataFrame) -> DataFrame:
 
 
 def find_near(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """One row per row of `docs`: doc_id, key (the `text_key`), fp (long), fingerprint (hex), component_id.
+    """One row per row of `docs`: doc_id, key (the `text_key`), fp (long), fingerprint (hex), component_id, label.
 
     A-Z are lower-cased, words joined by spaces. Fingerprints link at two differing bits or fewer; linked rows and
     rows of one fingerprint form a component, named by the smallest doc_id in it. Null doc_ids take part but do
-    not name; a component without another doc_id has null. Texts without words have fingerprint 0.
-    Rows repeat as they come. An empty table gives no rows.
+    not name; a component without another doc_id has null. Components can share a name; `label`, their least
+    fingerprint, tells them apart. Texts without words have fingerprint 0. Rows repeat as they come. An empty table gives no rows.
     """
     rows = cut(docs.select(docs["doc_id"].alias("doc_id"), text_key(docs["text"]).alias("key"), fingerprint(docs["text"], shingle).alias("fp")))
     prints = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     linked = components(links(prints))
     named = prints.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     names = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = cut(named.join(names, "label").select("fp", "component_id"))
-    return rows.join(named, "fp").select("doc_id", "key", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = cut(named.join(names, "label").select("fp", "component_id", "label"))
+    return rows.join(named, "fp").select("doc_id", "key", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "label")
 
 
 def drop_near(docs: DataFrame) -> DataFrame:
     """One row of each component, that of the smallest doc_id, with the columns of `docs`."""
     found = cut(find_near(docs))
     # several rows of a component can have its doc_id: those of one text stay
-    ours = found.filter("doc_id <=> component_id").groupBy("doc_id", "component_id", "key").agg(F.count("*").alias("n"))
-    best = ours.groupBy("doc_id", "component_id").agg(F.min(F.struct("key", "n")).alias("win"))
-    return keep_rows(docs, cut(best.select(F.col("doc_id").alias("win_id"), F.col("win.key").alias("win_key"), F.col("win.n").alias("win_rows"))))
+    ours = found.filter("doc_id <=> component_id").groupBy("label", "doc_id", "key").agg(F.count("*").alias("n"))
+    best = ours.groupBy("label").agg(F.min(F.struct("key", "n", "doc_id")).alias("win"))
+    return keep_rows(docs, cut(best.select(F.col("win.doc_id").alias("win_id"), F.col("win.key").alias("win_key"), F.col("win.n").alias("win_rows"))))

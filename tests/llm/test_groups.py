@@ -347,6 +347,21 @@ def test_near_stage_keeps_one_row_of_each_component(docs):
     assert sorted((r.doc_id or -1) for r in kept.collect()) == sorted((c or -1) for c in set(want))
 
 
+def test_near_stage_counts_components_by_root(docs):
+    rng = random.Random(21)
+    copies = prose(400, rng)
+    rows = [(None, prose(80, rng)) for _ in range(20)] + [(7, prose(80, rng)) for _ in range(3)] + [(None, copies), (None, copies), (5, copies), (6, copies)]
+    rows += [(None, None), (None, ""), *near_rows()]
+    prints = [brute_fingerprint(t) for _, t in rows]
+    roots = brute_components(prints, [*range(len(rows))])  # row numbers tell components apart that share a name
+    names = brute_components(prints, [i for i, _ in rows])
+    kept = [(r.doc_id, r.text) for r in simhash.drop_near(docs(rows)).collect()]
+    root_of, name_of = {t or "": c for (_, t), c in zip(rows, roots, strict=True)}, dict(zip(roots, names, strict=True))
+    assert len(kept) == len(set(roots)) > len(set(names)) + 20
+    assert sorted(root_of[t or ""] for _, t in kept) == sorted(set(roots))
+    assert all(i == name_of[root_of[t or ""]] for i, t in kept) and {(i, t or "") for i, t in kept} <= {(i, t or "") for i, t in rows}
+
+
 def test_links_of_planted_fingerprints(spark):
     rng = np.random.default_rng(4)
     prints = rng.integers(-(1 << 63), 1 << 63, 200)
