@@ -358,12 +358,14 @@ def anchored_rate(
 
 def rate_batch(
     df: DataFrame, carried: DataFrame, key: str = "ip", ts: str = "timestamp_utc", tie: str = "impression_id",
-    limit: int = 100, window_seconds: float = 60.0, ttl_seconds: float = 300.0,
+    limit: int = 100, window_seconds: float = 60.0, ttl_seconds: float = 300.0, processed: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """One micro-batch under the anchored rule: (the rows with rate_exceeded, the windows to carry on).
 
     `carried` is (key, anchor, seen), a row per key, as the batch before left it. An event older than its key's
-    open window is counted in that window. Windows that began over `ttl_seconds` before the newest event are dropped.
+    open window is counted in that window. Windows that began over `ttl_seconds`, or the window itself if that is
+    longer, before the newest event are dropped. With `processed`, a column of processing times, events dated
+    after their processing do not count as newest.
     """
     place = F.col(ts)
     held = carried.select(F.col("key").alias(key), "anchor")
@@ -373,9 +375,11 @@ def rate_batch(
     latest = rated.filter(F.col("window_anchor").isNotNull()).select(
         F.col(key).alias("key"), F.col("window_anchor").alias("anchor"), F.col("window_count").alias("seen"))
     open_now = latest.unionByName(carried).groupBy("key").agg(F.max(F.struct("anchor", "seen")).alias("last")).select("key", "last.*")
-    newest = rated.agg(F.max(F.unix_micros("_at"))).first()[0]
+    at = F.unix_micros(ts)
+    known = F.coalesce(at <= F.unix_micros(processed), F.lit(True)) if processed else F.lit(True)
+    newest = rated.agg(F.max(F.when(known, at))).first()[0]
     if newest is not None:
-        open_now = open_now.filter(F.col("anchor") >= newest - int(ttl_seconds * SECOND))
+        open_now = open_now.filter(F.col("anchor") >= newest - int(max(window_seconds, ttl_seconds) * SECOND))
     return rated.select(*df.columns, "rate_exceeded"), open_now
 
 

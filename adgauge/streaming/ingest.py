@@ -57,7 +57,7 @@ def rate_events(
     shape = "key string, anchor bigint, seen bigint"
     carried = spark.read.schema(shape).parquet(before) if sinks.exists(spark, before) else spark.createDataFrame([], shape)
     counted = rows.withColumn("_ip", F.when(bots.passes_agent_checks("user_agent"), F.col("ip")))
-    rated, windows = rates.rate_batch(counted, carried, "_ip", "timestamp", "event_id", limit, window_seconds)
+    rated, windows = rates.rate_batch(counted, carried, "_ip", "timestamp", "event_id", limit, window_seconds, processed="processed_at")
     windows.write.mode("overwrite").parquet(after)
     sinks.remove(spark, f"{work}/rates/batch={batch_id - 2}")
     return rated.drop("_ip")

@@ -149,6 +149,28 @@ def test_late_event_counts_in_the_open_window_of_the_stream(spark):
     assert got == {"e00": (1, False), "e01": (2, False), "e10": (3, False), "e11": (4, True), "e12": (1, False), "e13": (2, False)}
 
 
+def test_open_windows_outlast_minutes_and_future_dates(spark):
+    """A window of an hour stays open over batches minutes apart, though another address sends a date far ahead."""
+    work, base = scratch_path(spark, "rates"), 1_700_000_000
+
+    def run(number, *rows):
+        df = spark.createDataFrame([(f"e{number}{i}", ip, base + s if s is not None else None) for i, (ip, s) in enumerate(rows)], "event_id string, ip string, s bigint").select(
+            "event_id", "ip", F.lit("Mozilla/5.0").alias("user_agent"), F.timestamp_seconds("s").alias("timestamp"), F.timestamp_seconds(F.lit(base + 20_000)).alias("processed_at"))
+        rated = ingest.rate_events(df, number, work, limit=2, window_seconds=3600)
+        assert rated.columns == [*df.columns, "rate_exceeded"]
+        return [r.rate_exceeded for r in rated.orderBy("event_id").collect()]
+
+    def windows(number):
+        return sorted((r.key, r.anchor // 10**6 - base, r.seen) for r in spark.read.parquet(f"{work}/rates/batch={number}").collect())
+
+    assert run(0, ("a", 0), ("a", 10), ("b", 5)) == [False] * 3
+    assert run(1, ("b", 900), ("c", 10**8), ("d", None)) == [False] * 3
+    assert windows(1) == [("a", 0, 2), ("b", 5, 2), ("c", 10**8, 1)]
+    assert run(2, ("a", 1800), ("b", 3604), ("b", 3605)) == [True, True, False]
+    assert run(3, ("b", 7000)) == [False]
+    assert windows(3) == [("b", 3605, 2), ("c", 10**8, 1)]
+
+
 def test_retry_routes(spark):
     rows = [("x", 0, False), (None, 0, False), (None, 2, True), (None, 3, True), (None, None, True)]
     df = spark.createDataFrame(rows, "error_reason string, retry_count int, processing_failed boolean")
