@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
-from itertools import product
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -14,12 +14,15 @@ ROUNDS = 1000
 TOLERANCE = 1e-10
 PLACES = 1 << 53
 
-#: Target shares of the tokens. A level that is not named counts as `other`.
+#: Target shares of the tokens. A level that is not named counts as `other`; a margin without any
+#: names has a target for every level in the table, from the tokens of the levels (`tempered`).
 TARGETS: dict[str, dict[str, float]] = {
-    "source": {"src0": 0.08, OTHER: 0.92},
+    "source": {},
     "lang": {"en": 0.55, "de": 0.17, "fr": 0.17, "es": 0.1, OTHER: 0.01},
     "topic": {"notice": 0.03, "listing": 0.07, "short prose": 0.35, "long prose": 0.549, OTHER: 0.001},
 }
+TEMPER = 0.7  # power of a level's tokens that its share is in proportion to
+MISS = 0.002  # a margin off by more is reported
 SHARE = 0.5  # of all tokens
 
 
@@ -51,32 +54,60 @@ def rake(
     elsewhere. Levels without tokens are left out and the other targets of that margin scaled up. Ends when no
     margin is off by more than `tolerance`; where the cells allow no fit, after `rounds`, with what they hold.
     """
-    names = [[*t] for t in targets.values()]
-    start = np.zeros([len(n) for n in names])
-    for levels, value in cells.items():
-        start[tuple(n.index(x) for n, x in zip(names, levels, strict=True))] += value
+    places = [{x: i for i, x in enumerate(t)} for t in targets.values()]
+    at = [np.array([place[levels[axis]] for levels in cells], np.int64) for axis, place in enumerate(places)]
+    start = np.array([*cells.values()], float)
     if start.sum() <= 0:
         return {levels: 0.0 for levels in cells}
     weight = held = start / start.sum()
     most = held / share if share else np.inf
     goals = []
     for axis, wanted in enumerate(targets.values()):
-        there = start.sum(axis=tuple(i for i in range(start.ndim) if i != axis)) > 0
+        there = np.bincount(at[axis], start, len(wanted)) > 0
         goal = np.where(there, [*wanted.values()], 0.0)
         if goal.sum() <= 0:
             raise ValueError(f"no level of {[*targets][axis]} with tokens has a target")
         goals.append(goal / goal.sum())
     for _ in range(rounds):
         off = 0.0
-        for axis, goal in enumerate(goals):
-            others = tuple(i for i in range(weight.ndim) if i != axis)
-            margin = weight.sum(axis=others)
+        for own, goal in zip(at, goals, strict=True):
+            margin = np.bincount(own, weight, len(goal))
             off = max(off, np.abs(margin - goal).max())
-            weight = weight * np.expand_dims(np.divide(goal, margin, out=np.zeros_like(goal), where=margin > 0), others)
+            weight = weight * np.divide(goal, margin, out=np.zeros_like(goal), where=margin > 0)[own]
         weight = np.minimum(weight, most)
         if off <= tolerance:
             break
-    return {levels: float(weight[tuple(n.index(x) for n, x in zip(names, levels, strict=True))]) for levels in cells}
+    return dict(zip(cells, weight.tolist(), strict=True))
+
+
+def tempered(tokens: Mapping[str, float], share: float = 0.0, power: float = TEMPER) -> dict[str, float]:
+    """Shares in proportion to a power of each level's tokens; no level beyond what it holds if `share` of all is given out."""
+    total = sum(tokens.values())
+    if total <= 0:
+        return {k: 1 / len(tokens) for k in tokens}
+    wanted = {k: (v / total) ** power if v > 0 else 0.0 for k, v in tokens.items()}
+    most = {k: v / total / share if share else 1.0 for k, v in tokens.items()}
+    full: dict[str, float] = {}
+    while True:
+        rest = {k: v for k, v in wanted.items() if k not in full}
+        scale = (1 - sum(full.values())) / sum(rest.values()) if sum(rest.values()) > 0 else 0.0
+        over = {k: most[k] for k, v in rest.items() if v > 0 and v * scale > most[k]}
+        if not over:
+            return {k: full.get(k, wanted[k] * scale) for k in tokens}
+        full |= over
+
+
+def misses(cells: Mapping[tuple[str, ...], float], weights: Mapping[tuple[str, ...], float], targets: Mapping[str, Mapping[str, float]]) -> dict[tuple[str, str], float]:
+    """How far each (margin, level) with tokens is from its target, as a share of all that is given out."""
+    out = {}
+    for axis, (margin, wanted) in enumerate(targets.items()):
+        held, got = dict.fromkeys(wanted, 0.0), dict.fromkeys(wanted, 0.0)
+        for levels, n in cells.items():
+            held[levels[axis]] += n
+            got[levels[axis]] += weights[levels]
+        there = sum(v for k, v in wanted.items() if held[k] > 0)
+        out |= {(margin, k): got[k] - v / there for k, v in wanted.items() if held[k] > 0}
+    return out
 
 
 def probabilities(cells: Mapping[tuple[str, ...], float], weights: Mapping[tuple[str, ...], float], share: float) -> dict[tuple[str, ...], float]:
@@ -91,35 +122,49 @@ def chance(*parts: Column) -> Column:
 
 
 def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, share: float = SHARE) -> DataFrame:
-    """Adds mix_source, mix_lang, mix_topic, tokens, probability and sampled to each row.
+    """Adds mix_source, mix_lang, mix_topic, tokens, probability, margin_off and sampled to each row.
 
     The tokens of each cell (source, language, topic, with levels that have no target as `other`) are added up
-    by Spark; the cells, as many at most as the targets have combinations, are raked on the driver, and
-    joined back. A row is sampled if the number in [0, 1) that its doc_id and text hash to is below its
+    by Spark; the cells, a row per combination of levels, are raked on the driver, and joined back. A margin
+    without named targets has one for every level, `tempered` from the levels' tokens. margin_off is how far the
+    row's worst margin ends from its target; margins off by more than `MISS` are named in a warning. A row is sampled if the number in [0, 1) that its doc_id and text hash to is below its
     cell's probability, so rows that repeat are taken or left together. Null levels are `other`, null
     texts have no tokens. An empty table gives no rows. Columns of the new names are replaced.
     """
     targets = targets or TARGETS
-    new = ("mix_source", "mix_lang", "mix_topic", "tokens", "probability", "sampled")
+    new = ("mix_source", "mix_lang", "mix_topic", "tokens", "probability", "margin_off", "sampled")
     rest = [c for c in docs.columns if c not in new]
     text, tokens = docs["text"], n_tokens(docs["text"])
 
     def level(value: Column, margin: str) -> Column:
-        return F.when(value.isin([*targets[margin]]), value).otherwise(OTHER)
+        return F.when(value.isin([*targets[margin]]), value).otherwise(OTHER) if targets[margin] else F.coalesce(value, F.lit(OTHER))
 
     marked = docs.select(*[docs[c] for c in rest], docs["source"].alias("#source"), docs["lang"].alias("#lang"), text.alias("#text"), tokens.alias("tokens"), F.xxhash64(docs["doc_id"], text).alias("#place"))
     marked = marked.withColumn("#topic", topic_of(F.col("`#text`"), F.col("tokens"))).drop("#text")
     marked = marked.select(*[f"`{c}`" for c in rest], level(F.col("`#source`"), "source").alias("mix_source"), level(F.col("`#lang`"), "lang").alias("mix_lang"), level(F.col("`#topic`"), "topic").alias("mix_topic"), "tokens", "`#place`")
     cell = ["mix_source", "mix_lang", "mix_topic"]
-    counted = marked.groupBy(*cell).agg(F.sum("tokens").alias("n")).collect()  # at most a row per combination of targets
+    counted = marked.groupBy(*cell).agg(F.sum("tokens").alias("n")).collect()  # a row per combination of levels
     cells = {tuple(r[:3]): float(r["n"]) for r in counted}
-    with_other = {m: dict(t) if OTHER in t else {**t, OTHER: 0.0} for m, t in targets.items()}
-    assert len(cells) <= len([*product(*with_other.values())])
-    rates = probabilities(cells, rake(cells, with_other, share), share)
+    whole: dict[str, dict[str, float]] = {}
+    for axis, (margin, wanted) in enumerate(targets.items()):
+        whole[margin] = dict(wanted) if OTHER in wanted else {**wanted, OTHER: 0.0}
+        if not wanted:
+            held: dict[str, float] = {}
+            for levels, n in cells.items():
+                held[levels[axis]] = held.get(levels[axis], 0.0) + n
+            whole[margin] = tempered(held, share)
+    weights = rake(cells, whole, share)
+    rates = probabilities(cells, weights, share)
+    off = misses(cells, weights, whole) if sum(cells.values()) > 0 else {}
+    missed = {k: v for k, v in off.items() if abs(v) > MISS}
+    if missed:
+        worst = sorted(missed, key=lambda k: -abs(missed[k]))
+        warnings.warn(f"{len(missed)} of {len(off)} margins missed by more than {MISS}: " + ", ".join(f"{m} {x} by {missed[m, x]:+.4f}" for m, x in worst[:20]), stacklevel=2)
+    far = {k: max(abs(off.get(place, 0.0)) for place in zip(targets, k, strict=True)) for k in cells}
     spark = docs.sparkSession
-    found = spark.createDataFrame([(*k, p) for k, p in rates.items()], "mix_source string, mix_lang string, mix_topic string, probability double")
+    found = spark.createDataFrame([(*k, p, far[k]) for k, p in rates.items()], "mix_source string, mix_lang string, mix_topic string, probability double, margin_off double")
     joined = marked.join(F.broadcast(found), cell)
-    return joined.select(*[f"`{c}`" for c in rest], *cell, "tokens", "probability", (chance(F.col("`#place`")) < F.col("probability")).alias("sampled"))
+    return joined.select(*[f"`{c}`" for c in rest], *cell, "tokens", "probability", "margin_off", (chance(F.col("`#place`")) < F.col("probability")).alias("sampled"))
 
 
 def sample_mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, share: float = SHARE) -> DataFrame:

@@ -134,6 +134,23 @@ def test_mixing(spark, docs):
     assert mixing.mix(docs(given).limit(0)).count() == 0
 
 
+def test_every_source_has_a_target(spark, docs):
+    assert mixing.tempered({"a": 16.0, "b": 1.0, "c": 1.0}, power=0.5) == pytest.approx({"a": 4 / 6, "b": 1 / 6, "c": 1 / 6})
+    held = {"a": 98.0, "b": 1.0, "c": 1.0}
+    assert mixing.tempered(held, 0.5, 0.5) == pytest.approx({"a": 0.96, "b": 0.02, "c": 0.02})  # no more than there is
+    df = mixing.mix(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    got = df.groupBy("source", "mix_source").agg({"tokens": "sum", "margin_off": "max"}).collect()
+    assert len(got) == 20 and all(r.source == r.mix_source for r in got) and max(r["max(margin_off)"] for r in got) < mixing.MISS
+    wanted = mixing.tempered({r.source: r["sum(tokens)"] for r in got}, mixing.SHARE)
+    weights = df.selectExpr("source", "tokens * probability AS w").groupBy("source").sum("w").collect()
+    total = sum(r["sum(w)"] for r in weights)
+    assert {r.source: r["sum(w)"] / total for r in weights} == pytest.approx(wanted, abs=1e-6)
+    # a table that cannot give its margins says so
+    with pytest.warns(UserWarning, match="margins missed"):
+        rows = mixing.mix(docs([(i, "a b c " * 10, "hot" if i else "rare") for i in range(20)]), {**mixing.TARGETS, "source": {"rare": 0.5, "hot": 0.5}}).collect()
+    assert min(r.margin_off for r in rows) > 0.3
+
+
 # sharding
 
 
