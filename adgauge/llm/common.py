@@ -52,8 +52,9 @@ def keep_rows(docs: DataFrame, winners: DataFrame) -> DataFrame:
     """The rows of `docs` that `winners` names, with their own columns.
 
     `winners` has the columns win_id and win_key (the `text_key`), each pair once, and win_rows, the
-    number of rows of `docs` with that pair. Where rows repeat, any one of them stays; repeats meet
-    only after each task has reduced its own to one.
+    number of rows of `docs` with that pair. Where rows repeat, the first in the order of their columns
+    stays (as JSON if a column has no order, as maps have none); repeats meet only after each task has reduced
+    its own to one.
     """
     names = docs.columns
     packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), text_key(F.col("text")).alias("key"))
@@ -63,5 +64,7 @@ def keep_rows(docs: DataFrame, winners: DataFrame) -> DataFrame:
         return packed.join(chosen, match, "left_semi")
 
     single = among(winners.filter("win_rows = 1")).select("row")
-    several = among(winners.filter("win_rows > 1")).groupBy("id", "key").agg(F.any_value("row").alias("row")).select("row")
+    ordered = not any(kind in docs.schema.simpleString() for kind in ("map<", "variant"))
+    first = F.min("row") if ordered else F.min_by("row", F.to_json("row"))
+    several = among(winners.filter("win_rows > 1")).groupBy("id", "key").agg(first.alias("row")).select("row")
     return single.unionByName(several).select(*[F.col("row").getField(n).alias(n) for n in names])

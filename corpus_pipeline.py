@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from adgauge.llm import exact, mixing, packing, quality, simhash
 from adgauge.llm.common import table
+from adgauge.session import cut
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -48,8 +49,8 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder."""
+    """All stages over the documents of a folder; each one's result is written and read again by the next."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, cut(docs) if i else docs, sf_dir)
     return docs

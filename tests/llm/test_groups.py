@@ -8,8 +8,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from adgauge.llm import exact, mixing, packing, repeats, sharding, simhash
+from adgauge.llm.common import keep_rows, text_key
 from adgauge.llm.queries import QUERIES
 from tests.conftest import SMALL
 
@@ -421,3 +423,24 @@ def test_pipeline_stages(spark):
             counts.append(docs.count())
     assert counts == sorted(counts, reverse=True) and counts[-1] > 20
     assert sorted(r.doc_id for r in docs.select("doc_id").distinct().collect()) == sorted(r.doc_id for r in corpus_pipeline.run(spark, SMALL).select("doc_id").distinct().collect())
+
+
+def test_repeats_keep_the_same_row_and_stages_are_written(spark, docs, monkeypatch):
+    import corpus_pipeline
+
+    rows = [(1, "a b", f"src{i}") for i in range(9, 0, -1)] + [(None, None, "src2"), (None, "", "src1"), (None, None, None)]
+    for n in (1, 5):
+        df = docs(rows, partitions=n)
+        winners = df.groupBy(F.col("doc_id").alias("win_id"), text_key(df["text"]).alias("win_key")).agg(F.count("*").alias("win_rows"))
+        assert sorted((r.doc_id or 0, r.text, r.source) for r in keep_rows(df, winners).collect()) == [(0, None, None), (1, "a b", "src1")]
+        tagged = df.withColumn("tags", F.create_map(F.lit("k"), F.col("source")))
+        assert {r.source for r in keep_rows(tagged, winners).collect() if r.doc_id} == {"src1"}
+    given = []
+
+    def stage(spark, df, folder):
+        given.append(df.inputFiles())
+        return df.filter("n_chars > 0")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", stage), ("two", stage), ("three", stage)])
+    corpus_pipeline.run(spark, SMALL)
+    assert not any(set(a) & set(b) for a, b in zip(given, given[1:])) and all(given)
