@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adgauge.llm import exact, licenses, mixing, packing, quality, repeats, sharding, simhash, tokens, urls
+from adgauge.llm import codes, exact, licenses, lm, mixing, packing, quality, repeats, sharding, simhash, tokens, turns, urls
 from adgauge.llm.common import table
 
 SHARDS = 16
@@ -64,11 +64,25 @@ def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.find_near(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "fingerprint", "component_id")
 
 
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return codes.compress(table(spark, folder, "embeddings")).drop("label")
+
+
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = table(spark, folder, "conversations")
+    return turns.repair(conversations, turns.damage(conversations))
+
+
+def op13_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score_texts(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_license_scan, op3_url_filter, op4_quality_rules, op5_mixing, op6_sharding,
         op7_suffix_array_dedup, op8_exact_dedup, op9_token_counts, op10_simhash_near_dedup,
+        op11_vector_codes, op12_conversation_repair, op13_lm_scoring,
     )
 }
-ORACLES = {"op2_license_scan": licenses.SQL, "op3_url_filter": urls.SQL, "op8_exact_dedup": exact.SQL}
+ORACLES = {"op2_license_scan": licenses.SQL, "op3_url_filter": urls.SQL, "op8_exact_dedup": exact.SQL, "op11_vector_codes": codes.SQL}
