@@ -47,7 +47,10 @@ def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
 def op7_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = repeats.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        "spans", F.make_valid_utf8(F.col("kept").cast("string")).alias("text"),
+    )
 
 
 def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:

@@ -166,9 +166,9 @@ def repeated_windows(collection: np.ndarray, strings: list[bytes], o2: np.ndarra
     common = np.zeros(n, np.int32)  # common prefix of each suffix with the one before it in order
     again = np.zeros((int((left + windows).max()), n), bool)
     for c in range(width - 1, -1, -1):
-        bwt = symbols[c, order]
-        key = number[order] * 256 + bwt
         inside = (left[order] <= c) & (c < (left + sizes)[order])
+        bwt = np.where(inside, symbols[c, order].astype(np.int64) + 1, 0)  # beside a string, less than any byte
+        key = number[order] * 257 + bwt
         new = np.zeros(n, np.int32)
         if (key[1:] < key[:-1]).any():
             by = np.argsort(key, kind="stable")
@@ -313,7 +313,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, larg
     """
     content = F.coalesce(docs["text"], F.lit(""))
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), content.cast("binary").alias("content"), text_digest(content).alias("digest"))
-    spans = repeated_spans(texts, length, gram, largest)
+    spans = cut(repeated_spans(texts, length, gram, largest))  # a table, so that a hot digest can be split
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("kept", pa.binary())])
     joined = texts.join(spans, "digest", "left").select("doc_id", "content", "spans")
     return joined.mapInArrow(lambda batches: _without(batches, schema), "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
