@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -120,3 +122,14 @@ def t_pvalue(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided p of a t statistic; runs on aggregated rows only, one per metric or segment."""
     p = pd.Series(two_sided_t(t.to_numpy(float), df.to_numpy(float)))
     return p.astype(object).where(p.notna(), None)
+
+
+@F.pandas_udf(DoubleType())
+def _two_sided_normal(z: pd.Series) -> pd.Series:
+    p = [math.erfc(abs(x) / math.sqrt(2)) if x == x else None for x in z.to_numpy(float)]
+    return pd.Series(p, dtype=object)
+
+
+def normal_pvalue(z) -> Column:
+    """Two-sided p of a standard normal statistic; for aggregated rows, one per metric or segment."""
+    return _two_sided_normal(as_col(z))

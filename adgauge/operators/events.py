@@ -29,14 +29,14 @@ def decode_body(df: DataFrame, schema: StructType = schemas.TRACKING_EVENT) -> D
     )
 
 
-def flatten_events(decoded: DataFrame, processed_at: Column) -> DataFrame:
-    """Decoded rows as event columns, the envelope renamed, the event time cast."""
+def flatten_events(decoded: DataFrame, processed_at: Column, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Decoded rows as event columns, the envelope renamed, the event time cast; `carry` names more columns to keep."""
     envelope = [
         F.col(source).alias(name)
         for source, name in schemas.ENVELOPE.items()
         if source in decoded.columns
     ]
-    return decoded.select("data.*", *envelope).withColumns({
+    return decoded.select("data.*", *envelope, *carry).withColumns({
         "timestamp": F.try_to_timestamp("timestamp"), "processed_at": processed_at,
     })
 
@@ -72,16 +72,27 @@ def split_judged(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def route_failures(df: DataFrame, max_retries: int = 3) -> DataFrame:
-    """Adds `route`: ok, retry or dead_letter, from `error_reason` and the feed's `retry_count`."""
+    """Adds `route`: ok, retry or dead_letter, from `error_reason`, `failure` and the feed's `retry_count`.
+
+    Data errors are dead letters at once; a failure (why processing failed, or null) is tried again until the
+    event has been retried `max_retries` times.
+    """
     data_error = F.col("error_reason").isNotNull()
     spent = F.coalesce(F.col("retry_count"), F.lit(0)) >= max_retries
-    failed = F.coalesce(F.col("processing_failed"), F.lit(False))
+    failed = F.col("failure").isNotNull()
     return df.withColumn(
         "route",
         F.when(data_error | (failed & spent), "dead_letter").when(failed, "retry").otherwise("ok"),
     )
 
 
+def split_routed(routed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events to go on, dead letters with their reason) of rows that `route_failures` has routed."""
+    spent = F.concat(F.lit("Max retries exceeded: "), F.col("failure"))
+    dead = routed.filter("route = 'dead_letter'").withColumn("error_reason", F.coalesce("error_reason", spent))
+    return routed.filter("route = 'ok'").drop("error_reason"), dead.drop("data")
+
+
 def validation_errors(required: dict[str, str]) -> Column:
     """All missing fields at once: field -> message; an empty list when the row is good."""
     return F.array_compact(F.array(*[F.when(is_blank(c), m) for c, m in required.items()]))

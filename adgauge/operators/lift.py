@@ -84,7 +84,10 @@ def lift_results(
     caliper: float = 0.1, window_days: int = 30, model_version: str = "v1.0",
     created_by: str = "lift_job",
 ) -> DataFrame:
-    """Lift statistics with run metadata, in the layout of the lift table."""
+    """Lift statistics with run metadata, in the layout of the lift table.
+
+    Statistics that name their `statistical_test` keep it; others are those of the t test.
+    """
     start, end = survey.window_dates(run_ts, window_days)
     job = survey.batch_id("lift", "campaign_id", run_ts)
     if balance_scores is None:
@@ -95,7 +98,7 @@ def lift_results(
         )
     return scored.withColumns({
         "lift_result_id": stable_id("lift_", job, F.col("campaign_id"), F.col("metric_name")),
-        "statistical_test": F.lit("t-test"),
+        "statistical_test": F.col("statistical_test") if "statistical_test" in statistics.columns else F.lit("t-test"),
         "cohort_definition": survey.cohort_definition(batch, caliper=caliper),
         "cohort_size_exposed": F.col("exposed_sample_size"),
         "cohort_size_control": F.col("control_sample_size"),

@@ -360,7 +360,7 @@ def rate_batch(
     df: DataFrame, carried: DataFrame, key: str = "ip", ts: str = "timestamp_utc", tie: str = "impression_id",
     limit: int = 100, window_seconds: float = 60.0, ttl_seconds: float = 300.0, processed: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """One micro-batch under the anchored rule: (the rows with rate_exceeded, the windows to carry on).
+    """One micro-batch under the anchored rule: (the rows with window_count and rate_exceeded, the windows to carry on).
 
     `carried` is (key, anchor, seen), a row per key, as the batch before left it. An event older than its key's
     open window is counted in that window. Windows that began over `ttl_seconds`, or the window itself if that is
@@ -380,7 +380,7 @@ def rate_batch(
     newest = rated.agg(F.max(F.when(known, at))).first()[0]
     if newest is not None:
         open_now = open_now.filter(F.col("anchor") >= newest - int(max(window_seconds, ttl_seconds) * SECOND))
-    return rated.select(*df.columns, "rate_exceeded"), open_now
+    return rated.select(*df.columns, "window_count", "rate_exceeded"), open_now
 
 
 def trailing_batch(

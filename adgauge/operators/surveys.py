@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from adgauge.functions.text import stable_id
 
-# Fixed value: the question type of free answers.
-OPEN_TYPE = "OpenEnded"
-
-
 def answers_long(surveys: DataFrame, responses: DataFrame) -> DataFrame:
     """One row per answer to a question of its survey.
 
@@ -87,15 +83,12 @@ def answer_counts(surveys: DataFrame, responses: DataFrame) -> DataFrame:
 
 
 def survey_results(surveys: DataFrame, responses: DataFrame) -> DataFrame:
-    """One document per survey: totals and the list of question results.
+    """One document per survey: totals and the list of question results, with the answer counts of every question.
 
-    Answer counts are listed for questions with a closed set of answers. Open answers may be as many as the
-    responses; their counts are rows of `answer_counts`, and the list is null here.
+    A document holds the distinct answers of its survey, open ones too; `answer_counts` has them as rows.
     """
-    open_questions = surveys.select("survey_id", F.explode("questions").alias("q")).filter(
-        F.col("q.question_type") == OPEN_TYPE).select("survey_id", F.col("q.question_id").alias("question_id"))
-    closed = answer_counts(surveys, responses).join(open_questions, ["survey_id", "question_id"], "left_anti")
-    counts = closed.groupBy("survey_id", "question_id").agg(
+    told = answer_counts(surveys, responses)
+    counts = told.groupBy("survey_id", "question_id").agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("answer", "n")))).alias("response_counts")
     )
     questions = question_results(surveys, responses).join(

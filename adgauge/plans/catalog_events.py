@@ -11,7 +11,7 @@ from adgauge.plans import views
 from adgauge.plans.registry import query
 from adgauge.plans.views import CAMPAIGN, NOW, stamp
 from adgauge.session import cut, scratch_path
-from adgauge.sources import readers, sinks
+from adgauge.sources import keyed, readers, sinks
 
 TS = "strftime({}, '%Y-%m-%d %H:%M:%S.%f')"
 
@@ -147,19 +147,28 @@ query(
 
 
 def _upserted(v):
-    """Three batches into one table, all events: keys move to other dates, some rows have no date or no key."""
-    target, work = scratch_path(v.spark, "target"), scratch_path(v.spark, "work")
+    """Three batches into one table, all events: keys move to other dates, some rows have no date or no key.
+
+    The changes of the first two are folded before the third comes; the table is read before and after its compaction.
+    """
+    target = scratch_path(v.spark, "target")
     base = v.events.select(
         "event_id", F.when(F.expr("seq % 11 > 0"), F.concat(F.lit("h"), F.expr("cast(seq - seq % 4 AS string)"))).alias("tracking_hash"),
         "campaign_id", F.col("timestamp").alias("processed_at"),
         F.when(F.expr("seq % 7 > 0"), F.date_add(F.to_date("timestamp"), F.when(F.expr("seq % 4 = 3"), (F.col("seq") % 5).cast("int")).otherwise(0))).alias("date"),
         F.expr("CASE seq % 4 WHEN 3 THEN 1 WHEN 2 THEN 2 ELSE 0 END").alias("part"),
     )
+    rows = base.drop("part").schema
     for part in range(3):
-        sinks.upsert_batch(base.filter(F.col("part") == part).drop("part"), part, target, work)
-    return readers.read_table(v.spark, target).select(
-        "tracking_hash", "event_id", "campaign_id", F.col("date").cast("string").alias("date")
-    )
+        keyed.upsert_batch(base.filter(F.col("part") == part).drop("part"), part, target)
+        if part == 1:
+            keyed.fold_changes(v.spark, target, rows)
+    before = keyed.version(v.spark, target)
+    keyed.compact(v.spark, target, rows)
+    versions = (("changes", before), ("compacted", keyed.version(v.spark, target)))
+    reads = [keyed.read_keyed(v.spark, target, rows, version=n).withColumn("state", F.lit(state)) for state, n in versions]
+    return reads[0].unionByName(reads[1]).select(
+        "state", "tracking_hash", "event_id", "campaign_id", F.col("date").cast("string").alias("date"))
 
 
 query(
@@ -167,8 +176,8 @@ query(
     """WITH base AS (SELECT event_id, CASE WHEN seq % 11 > 0 THEN concat('h', seq - seq % 4) END AS tracking_hash, campaign_id, timestamp AS processed_at,
         CASE WHEN seq % 7 > 0 THEN timestamp::date + (CASE WHEN seq % 4 = 3 THEN seq % 5 ELSE 0 END)::int END AS date,
         CASE seq % 4 WHEN 3 THEN 1 WHEN 2 THEN 2 ELSE 0 END AS part FROM raw_events)
-    SELECT tracking_hash, event_id, campaign_id, date::varchar AS date FROM base
-    QUALIFY tracking_hash IS NULL OR row_number() OVER (PARTITION BY tracking_hash ORDER BY part DESC, processed_at DESC, event_id DESC) = 1""",
+    SELECT state, tracking_hash, event_id, campaign_id, date::varchar AS date FROM (SELECT * FROM base
+    QUALIFY tracking_hash IS NULL OR row_number() OVER (PARTITION BY tracking_hash ORDER BY part DESC, processed_at DESC, event_id DESC) = 1), (VALUES ('changes'), ('compacted')) t(state)""",
 )
 
 
@@ -176,14 +185,12 @@ def _appended(v):
     path = scratch_path(v.spark, "lift")
     sinks.append(v.lift, path, ("campaign_id",))
     sinks.append(v.lift, path, ("campaign_id",))
-    return readers.read_table(v.spark, path).groupBy("campaign_id").agg(
-        F.count("*").alias("n"), F.sum("cohort_size_exposed").alias("exposed")
-    )
+    return readers.read_table(v.spark, path).select("campaign_id", "metric_name", "cohort_size_exposed", "processing_job_id")
 
 
 query(
     "a11_append_results", _appended,
-    """SELECT campaign_id, 2 * count(*) AS n, 2 * sum(cohort_size_exposed)::bigint AS exposed FROM lift GROUP BY 1""",
+    """SELECT campaign_id, metric_name, cohort_size_exposed, 'lift_' || campaign_id || '_20240125_120000' AS processing_job_id FROM lift, range(2)""",
 )
 
 

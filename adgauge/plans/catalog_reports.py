@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from adgauge import schemas
-from adgauge.operators import changes, impressions as imp, lift, matching, report, surveys, tables
+from adgauge.functions import survey as survey_rules
+from adgauge.operators import changes, impressions as imp, lift, matching, report, significance, surveys, tables
 from adgauge.plans.catalog_events import _mapping, t_p_sql, ts
 from adgauge.plans.measure import measure_campaign
 from adgauge.plans.registry import query
@@ -455,7 +456,7 @@ query(
     """SELECT s.survey_id, s.campaign_id, coalesce(total, 0) AS total_responses, coalesce(e, 0) AS exposed_responses, coalesce(c, 0) AS control_responses,
       coalesce(d, 0) AS completed_responses, 4::bigint AS questions, (SELECT string_agg(q.question_id || ':' || coalesce(l.listed, ''), ';' ORDER BY q.question_id)
         FROM (VALUES ('q1'), ('q2'), ('q3'), ('q4')) q(question_id) LEFT JOIN (SELECT survey_id, question_id, string_agg(k || '=' || n, '|' ORDER BY k) AS listed
-          FROM (SELECT survey_id, question_id, coalesce(answer, '') AS k, count(*) AS n FROM answers WHERE question_id <> 'q4' AND cohort_type = 'exposed' GROUP BY ALL) GROUP BY ALL) l
+          FROM (SELECT survey_id, question_id, coalesce(answer, '') AS k, count(*) AS n FROM answers WHERE cohort_type = 'exposed' GROUP BY ALL) GROUP BY ALL) l
         ON l.survey_id = s.survey_id AND l.question_id = q.question_id) AS counts
     FROM surveys s LEFT JOIN (SELECT survey_id, count(*) AS total, count(*) FILTER (cohort_type = 'exposed') AS e, count(*) FILTER (cohort_type = 'control') AS c,
       count(*) FILTER (status = 'Completed') AS d FROM responses GROUP BY 1) r ON r.survey_id = s.survey_id""",
@@ -492,6 +493,51 @@ query(
     cohort_size_exposed, cohort_size_control, '2023-12-26' AS analysis_start_date, '2024-01-25' AS analysis_end_date, 30 AS measurement_window_days,
     'lift_' || campaign_id || '_20240125_120000' AS processing_job_id, 'v1.0' AS model_version, 't-test' AS statistical_test FROM lift""",
 )
+# twice the normal tail beyond |z|, by Simpson's rule over ten deviations
+NORMAL_P = """(SELECT CASE WHEN {z} IS NOT NULL THEN least(1, sum(CASE WHEN i % 2000 = 0 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+  * exp(-0.5 * (abs({z}) + i * 0.005::double) ** 2)) * 0.005::double / 3 * sqrt(2 / pi())) END FROM range(2001) r(i))"""
+CHI_SQL = f"""WITH t AS (SELECT campaign_id, metric_name, count(*) FILTER (cohort_type = 'exposed' AND metric_value = 1) AS exposed_yes,
+    count(*) FILTER (cohort_type = 'exposed' AND metric_value = 0) AS exposed_no, count(*) FILTER (cohort_type = 'control' AND metric_value = 1) AS control_yes,
+    count(*) FILTER (cohort_type = 'control' AND metric_value = 0) AS control_no FROM joined GROUP BY ALL HAVING count(*) FILTER (metric_value NOT IN (0, 1)) = 0),
+  s AS (SELECT *, exposed_yes + exposed_no AS e, control_yes + control_no AS c, exposed_yes + control_yes AS y, exposed_no + control_no AS n FROM t),
+  x AS (SELECT *, (e + c) * (exposed_yes * control_no - exposed_no * control_yes)::double ** 2 / nullif(e::double * c * y * n, 0) AS chi_square FROM s),
+  p AS (SELECT *, {NORMAL_P.format(z='sqrt(chi_square)')} AS p_value FROM x)
+SELECT campaign_id, metric_name, exposed_yes, exposed_no, control_yes, control_no, chi_square, p_value, coalesce(p_value < 0.05, false) AS is_significant,
+  'chi-square' AS statistical_test FROM p"""
+RANK_SQL = f"""WITH r AS (SELECT *, rank() OVER w + (count(*) OVER (PARTITION BY campaign_id, metric_name, metric_value) - 1) / 2.0::double AS midrank,
+    count(*) OVER (PARTITION BY campaign_id, metric_name, metric_value) AS t FROM joined WINDOW w AS (PARTITION BY campaign_id, metric_name ORDER BY metric_value)),
+  s AS (SELECT campaign_id, metric_name, count(*) FILTER (cohort_type = 'exposed') AS exposed_sample_size, count(*) FILTER (cohort_type = 'control') AS control_sample_size,
+    coalesce(sum(midrank) FILTER (cohort_type = 'exposed'), 0) AS ranks, sum(t::double * t - 1) AS ties, count(*)::double AS n FROM r GROUP BY ALL),
+  u AS (SELECT *, ranks - exposed_sample_size * (exposed_sample_size + 1) / 2.0::double AS u_statistic,
+    exposed_sample_size * control_sample_size / 12.0::double * (n + 1 - CASE WHEN n > 1 THEN ties / (n * (n - 1)) END) AS v FROM s),
+  z AS (SELECT *, CASE WHEN v > 0 THEN (u_statistic - exposed_sample_size * control_sample_size / 2.0::double) / sqrt(v) END AS z_statistic FROM u),
+  p AS (SELECT *, {NORMAL_P.format(z='z_statistic')} AS p_value FROM z)
+SELECT campaign_id, metric_name, exposed_sample_size, control_sample_size, u_statistic, z_statistic, p_value, coalesce(p_value < 0.05, false) AS is_significant,
+  'mann-whitney' AS statistical_test FROM p"""
+KEYS = ["campaign_id", "metric_name"]
+query("m_chi_square", lambda v: significance.chi_square(v.joined, KEYS), CHI_SQL, rounded="chi_square p_value")
+query("m_mann_whitney", lambda v: significance.mann_whitney(v.joined, KEYS), RANK_SQL, rounded="u_statistic z_statistic p_value")
+
+
+def _by_test(v):
+    """Lift rows under each of the three tests, in the layout of the lift table."""
+    statistics = lift.lift_statistics(lift.cohort_moments(v.joined, KEYS))
+    batch = survey_rules.batch_id("psm", "campaign_id", v.now)
+    others = [significance.with_test(statistics, test(v.joined, KEYS), KEYS) for test in (significance.chi_square, significance.mann_whitney)]
+    names = ["campaign_id", "metric_name", "statistical_test", "p_value", "is_significant", "lift_absolute", "cohort_size_exposed", "processing_job_id"]
+    parts = [lift.lift_results(s, batch, v.now).select(*names) for s in (statistics, *others)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+query(
+    "e21_lift_results_by_test", _by_test,
+    f"""WITH tests AS (SELECT campaign_id, metric_name, 't-test' AS statistical_test, {P_EXACT} AS p_value, coalesce(({P_EXACT}) < 0.05, false) AS is_significant FROM lift
+      UNION ALL SELECT campaign_id, metric_name, statistical_test, p_value, is_significant FROM ({CHI_SQL})
+      UNION ALL SELECT campaign_id, metric_name, statistical_test, p_value, is_significant FROM ({RANK_SQL}))
+    SELECT campaign_id, metric_name, statistical_test, tests.p_value, tests.is_significant, lift_absolute, cohort_size_exposed,
+      'lift_' || campaign_id || '_20240125_120000' AS processing_job_id FROM tests JOIN lift USING (campaign_id, metric_name)""",
+    rounded="p_value lift_absolute",
+)
 Q_SQL = """WITH m AS (SELECT survey_id, campaign_id, question_id, metric_name, {arms} FROM answers GROUP BY 1, 2, 3, 4),
   r AS (SELECT *, round_even(er, 2) AS em, round_even(cr, 2) AS cm FROM m WHERE en > 0 AND cn > 0),
   d AS (SELECT *, round_even(sqrt(evp + (er - em) ** 2), 2) AS ed, round_even(sqrt(cvp + (cr - cm) ** 2), 2) AS cd,

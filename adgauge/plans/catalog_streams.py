@@ -11,8 +11,8 @@ from adgauge.plans.catalog_events import COMBINED_SQL, ELIGIBLE_SQL, REASON_SQL,
 from adgauge.plans.registry import query
 from adgauge.plans.views import CONSUMER_PATTERN, stamp
 from adgauge.session import scratch_path
-from adgauge.sources import readers
-from adgauge.streaming import ingest, state
+from adgauge.sources import keyed, readers
+from adgauge.streaming import ingest
 
 
 class StreamViews(views.Views):
@@ -46,9 +46,8 @@ def _streamed(v):
 
 query(
     "a05_event_stream_source",
-    lambda v: _to_table(v, _streamed(v).events.select("event_id", "campaign_id", "seq")).groupBy("campaign_id").agg(
-        F.count("*").alias("n"), F.sum("seq").alias("seq_sum")),
-    "SELECT campaign_id, count(*) AS n, sum(seq)::bigint AS seq_sum FROM raw_events GROUP BY 1",
+    lambda v: _to_table(v, _streamed(v).events.select("event_id", "campaign_id", "seq")),
+    "SELECT event_id, campaign_id, seq FROM raw_events",
 )
 
 
@@ -67,7 +66,7 @@ def _ingest_target(v):
     base = _ingested(v)
     sinks = (
         (readers.read_table(v.spark, f"{base}/staging"), F.lit("staging"), "event_id"),
-        (readers.read_table(v.spark, f"{base}/target"), F.lit("target"), "tracking_hash"),
+        (keyed.read_keyed(v.spark, f"{base}/target"), F.lit("target"), "tracking_hash"),
         (v.spark.read.json(f"{base}/dlq"), F.col("error_reason"), "sequence_number"),
     )
     rows = [df.select(part.alias("part"), F.col(name).cast("string").alias("id")) for df, part, name in sinks]
@@ -84,7 +83,7 @@ query(
 
 def _upsert_target(v):
     base = _ingested(v)
-    return readers.read_table(v.spark, f"{base}/target").select(
+    return keyed.read_keyed(v.spark, f"{base}/target").select(
         "tracking_hash", "event_id", "campaign_id", "is_bot", "country_code", F.col("date").cast("string").alias("date"))
 
 
@@ -133,7 +132,7 @@ def _ingest_scored(v):
         stream = readers.read_events_stream(v.spark, f"{base}/source", max_files=1_000_000)
         _finish(ingest.run_ingest(
             stream, f"{base}/staging", f"{base}/target", f"{base}/dlq", f"{base}/check", processed_at=v.now,
-            bot_rules="scored", fingerprint=own, **ingest.ingest_trigger(once=True),
+            bot_rules="scored", fingerprint=own, late=f"{base}/late", **ingest.ingest_trigger(once=True),
             score_limits={"per_minute": 1, "per_hour": 2, "overused": 20, "suspicious": 5, "threshold": 0.66, "gap_ms": 20_000},
         ))
     return readers.read_table(v.spark, f"{base}/staging").select("event_id", "ip", "is_bot", "bot_detection_reason")
@@ -185,13 +184,12 @@ def _resumed(v):
         _finish(
             ingest.checkpointed(writer, f"{base}/check").trigger(**ingest.ingest_trigger(once=True)).start()
         )
-    return readers.read_table(v.spark, out).groupBy("partitionKey").agg(
-        F.count("*").alias("n"), F.count_distinct("offset").alias("offsets"), F.sum("sequenceNumber").alias("total"))
+    return readers.read_table(v.spark, out).select("partitionKey", "offset", "sequenceNumber")
 
 
 query(
     "i03_checkpoint_resume", _resumed,
-    """SELECT (seq % 4)::varchar AS "partitionKey", count(*) AS n, count(*) AS offsets, sum(seq)::bigint AS total FROM raw_events GROUP BY 1""",
+    """SELECT (seq % 4)::varchar AS "partitionKey", seq::varchar AS "offset", seq AS "sequenceNumber" FROM raw_events""",
 )
 
 
@@ -199,12 +197,12 @@ def _partitions(v):
     path, check = scratch_path(v.spark, "parts"), scratch_path(v.spark, "check")
     stream = add_date_parts(_streamed(v).events.select("event_id", "timestamp"))
     _finish(ingest.append_partitions(stream, path, check, **ingest.ingest_trigger(once=True)))
-    return readers.read_table(v.spark, path).groupBy("year", "month", "day").agg(F.count("*").alias("n"))
+    return readers.read_table(v.spark, path).select("event_id", "year", "month", "day")
 
 
 query(
     "i10_append_partitions", _partitions,
-    "SELECT year(timestamp)::int AS year, month(timestamp)::int AS month, day(timestamp)::int AS day, count(*) AS n FROM raw_events GROUP BY 1, 2, 3",
+    "SELECT event_id, year(timestamp)::int AS year, month(timestamp)::int AS month, day(timestamp)::int AS day FROM raw_events",
 )
 
 
@@ -226,24 +224,39 @@ query(
 )
 query(
     "i04_drop_repeats_stream",
-    lambda v: _to_table(v, ingest.drop_repeats(_keyed(_streamed(v).events), delay="60 days")).agg(
-        F.count("*").alias("kept"), F.count_distinct("idempotency_key").alias("keys")),
-    """SELECT count(*) FILTER (seq % 5 < 2) + count(DISTINCT CASE WHEN seq % 5 > 1 THEN concat('k', user_id * 7 + seq % 3) END) AS kept,
-    count(DISTINCT CASE seq % 5 WHEN 0 THEN NULL WHEN 1 THEN ' ' ELSE concat('k', user_id * 7 + seq % 3) END) AS keys FROM raw_events""",
+    # which of a key's events is first on a stream is not defined, so keyed ones are told by their key
+    lambda v: _to_table(v, ingest.drop_repeats(_keyed(_streamed(v).events), delay="60 days")).select(
+        "idempotency_key", F.when(F.trim(F.coalesce("idempotency_key", F.lit(""))) == "", F.coalesce("event_id", F.lit("none"))).alias("event_id")),
+    """SELECT CASE seq % 5 WHEN 0 THEN NULL ELSE ' ' END AS idempotency_key, CASE seq % 10 WHEN 0 THEN 'none' WHEN 1 THEN 'e' ELSE event_id END AS event_id
+    FROM raw_events WHERE seq % 5 < 2 UNION ALL SELECT DISTINCT concat('k', user_id * 7 + seq % 3), NULL FROM raw_events WHERE seq % 5 > 1""",
 )
 
 
-def _routes(v):
-    from adgauge.operators import events
-
-    judged = events.validity(v.bodies).withColumn("processing_failed", F.col("retry_count").isNotNull())
-    return events.route_failures(judged).groupBy("route").agg(F.count("*").alias("n"))
+def _retried(v):
+    """Five micro-batches, a restart before each; every 109th event fails as often as its number says, by 5."""
+    base = scratch_path(v.spark, "retries")
+    number = F.col("sequenceNumber")
+    part_of = F.when(number % 109 == 0, number % 2).otherwise(number % 5)
+    failure = F.when((number % 109 == 0) & (F.col("retry_count") < number % 5), "Store not reachable")
+    for part in range(5):
+        v.bodies.filter(part_of == part).drop("retry_count").write.mode("append").json(f"{base}/source")
+        stream = readers.read_events_stream(v.spark, f"{base}/source", max_files=1_000_000)
+        _finish(ingest.run_ingest(
+            stream, f"{base}/staging", f"{base}/target", f"{base}/dlq", f"{base}/check", processed_at=v.now,
+            failure=failure, **ingest.ingest_trigger(once=True)))
+    done = readers.read_table(v.spark, f"{base}/staging").select(
+        F.col("eventhub_sequence_number").alias("sequence_number"), F.lit("ok").alias("outcome"), F.col("retry_count").cast("bigint").alias("retry_count"),
+        F.lit(None).cast("string").alias("reason"))
+    dead = v.spark.read.json(f"{base}/dlq").select("sequence_number", F.lit("dead_letter"), "retry_count", "error_reason")
+    return done.union(dead)
 
 
 query(
-    "i06_route_failures", _routes,
-    f"""SELECT CASE WHEN {REASON_SQL} IS NOT NULL OR (seq % 109 = 0 AND seq % 5 >= 3) THEN 'dead_letter' WHEN seq % 109 = 0 THEN 'retry' ELSE 'ok' END AS route,
-    count(*) AS n FROM raw_events GROUP BY 1""",
+    "i06_route_failures", _retried,
+    f"""WITH r AS (SELECT seq, {REASON_SQL} AS reason, seq % 109 = 0 AS fails FROM raw_events)
+    SELECT seq AS sequence_number, CASE WHEN reason IS NOT NULL OR (fails AND seq % 5 = 4) THEN 'dead_letter' ELSE 'ok' END AS outcome,
+      CASE WHEN reason IS NULL AND fails THEN least(3, seq % 5) ELSE 0 END::bigint AS retry_count,
+      CASE WHEN reason IS NOT NULL THEN reason WHEN fails AND seq % 5 = 4 THEN 'Max retries exceeded: Store not reachable' END AS reason FROM r""",
 )
 
 
@@ -254,11 +267,15 @@ def _eligible(v):
         F.col("event_id").alias("impression_id"), F.col("timestamp").alias("timestamp_utc"), "ip")
 
 
+def _stream_rated(v):
+    out, check = scratch_path(v.spark, "rated"), scratch_path(v.spark, "check")
+    _finish(ingest.stream_rate(
+        _eligible(_streamed(v)), out, check, limit=2, window_seconds=3600, ttl_seconds=7200, **ingest.ingest_trigger(once=True)))
+    return readers.read_table(v.spark, out).select("impression_id", "window_count", "rate_exceeded")
+
+
 query(
-    "i07_stream_rate",
-    lambda v: _to_table(v, state.stream_rate(
-        _eligible(_streamed(v)), limit=2, window_seconds=3600, ttl_seconds=7200, delay="1 hour")).select(
-        "impression_id", "window_count", "rate_exceeded"),
+    "i07_stream_rate", _stream_rated,
     anchor_sql(ELIGIBLE_SQL, 3600, "SELECT event_id AS impression_id, window_count, window_count > 2 AS rate_exceeded FROM c"),
 )
 
@@ -287,14 +304,30 @@ query(
 )
 
 
+LATE_DAYS = 5
+
+
 def _late(v):
-    newest = F.lit("2024-01-20 00:00:00").cast("timestamp")
-    on_time, late = ingest.split_late(v.events, newest, delay="10 minutes")
-    return on_time.select(F.lit("on time").alias("part"), "event_id").unionByName(
-        late.select(F.lit("late").alias("part"), "event_id")).groupBy("part").agg(F.count("*").alias("n"))
+    """The ingest job over three micro-batches by event time; every 50th event comes with the next one."""
+    base = scratch_path(v.spark, "late")
+    period = F.expr("greatest(0, least(2, datediff(enqueuedTime, date '2024-01-01') div 11))")
+    part_of = F.least(F.lit(2), period + (F.col("sequenceNumber") % 50 == 7).cast("int"))
+    for part in range(3):
+        v.bodies.filter(part_of == part).drop("retry_count").write.mode("append").json(f"{base}/source")
+        stream = readers.read_events_stream(v.spark, f"{base}/source", max_files=1_000_000)
+        _finish(ingest.run_ingest(
+            stream, f"{base}/staging", f"{base}/target", f"{base}/dlq", f"{base}/check", processed_at=v.now,
+            late=f"{base}/late", lateness=LATE_DAYS * 86400.0, **ingest.ingest_trigger(once=True)))
+    columns = ["event_id", "campaign_id", "ip", F.col("batch_id").cast("bigint").alias("batch")]
+    on_time, late = (readers.read_table(v.spark, f"{base}/{part}").select(*columns) for part in ("staging", "late"))
+    return on_time.withColumn("part", F.lit("on time")).unionByName(late.withColumn("part", F.lit("late")))
 
 
 query(
     "i09_split_late", _late,
-    """SELECT CASE WHEN timestamp < timestamp '2024-01-19 23:50:00' THEN 'late' ELSE 'on time' END AS part, count(*) AS n FROM raw_events GROUP BY 1""",
+    f"""WITH d AS (SELECT event_id, campaign_id, ip, timestamp, least(2, greatest(0, least(2, date_diff('day', date '2024-01-01', timestamp::date) // 11))
+        + (seq % 50 = 7)::int)::bigint AS batch FROM raw_events WHERE {REASON_SQL} IS NULL),
+      n AS (SELECT batch, max(least(timestamp, timestamp '{views.NOW}')) AS newest FROM d GROUP BY 1),
+      w AS (SELECT a.batch, max(b.newest) - INTERVAL {LATE_DAYS} DAY AS mark FROM n a JOIN n b ON b.batch < a.batch GROUP BY 1)
+    SELECT event_id, campaign_id, ip, d.batch, CASE WHEN timestamp < mark THEN 'late' ELSE 'on time' END AS part FROM d LEFT JOIN w ON w.batch = d.batch""",
 )

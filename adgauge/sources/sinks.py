@@ -1,12 +1,10 @@
-"""Writers: partitioned appends, the keyed upsert, dead letters and exports."""
+"""Writers: partitioned appends, dead letters and exports. The keyed table is in `keyed`."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adgauge.operators.changes import last_of_each
-
 
 def append(df: DataFrame, path: str, partitions: tuple[str, ...] = ("campaign_id", "processing_batch_id")) -> None:
     """Appends to a partitioned table; readers of one campaign and batch open one folder."""
@@ -23,7 +21,7 @@ def write_dead_letters(df: DataFrame, path: str, now: Column, mode: str = "appen
     """Rejected events with reason and envelope, one folder per day."""
     optional = {
         "sequenceNumber": "sequence_number", "offset": "offset",
-        "partitionKey": "partition_key", "enqueuedTime": "enqueued_time",
+        "partitionKey": "partition_key", "enqueuedTime": "enqueued_time", "retry_count": "retry_count",
     }
     df.select(
         F.col("body").cast("string").alias("original_event"),
@@ -57,62 +55,3 @@ def folders(spark: SparkSession, path: str) -> list[str]:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     system = target.getFileSystem(spark._jsc.hadoopConfiguration())
     return [s.getPath().getName() for s in system.listStatus(target) if s.isDirectory()] if system.exists(target) else []
-
-
-def _written(df: DataFrame, path: str) -> DataFrame:
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def _same(left: DataFrame, right: DataFrame, column: str) -> Column:
-    """Equal or both null."""
-    return left[column].eqNullSafe(right[column])
-
-
-def upsert_batch(
-    batch: DataFrame, batch_id: int, target: str, work: str, key: str = "tracking_hash",
-    order: tuple[str, ...] = ("processed_at", "event_id"), partition: str = "date",
-) -> None:
-    """Merges a micro-batch into a Parquet table partitioned by `partition`; last write wins.
-
-    Rows without a key match nothing and are all added; a null `partition` is a partition like others.
-    Only partitions that receive rows or lose rows (a key may move to another date) are rewritten.
-    The new content is complete under `work` (the stream's checkpoint folder) before the table
-    changes, and a replay of the same batch picks it up from there, so a lost executor or driver
-    cannot lose rows.
-    """
-    spark = batch.sparkSession
-    if batch.isEmpty():
-        return
-    staged = f"{work}/upsert/batch={batch_id}"
-    remove(spark, f"{work}/upsert/batch={batch_id - 2}")
-    if not exists(spark, f"{staged}/done"):
-        last_of_each(batch, key, list(order)).write.mode("overwrite").parquet(f"{staged}/latest")
-        latest = spark.read.schema(batch.schema).parquet(f"{staged}/latest")
-        touched = latest.select(partition).distinct()
-        if exists(spark, target):
-            current = spark.read.schema(batch.schema).parquet(target)
-            held = current.join(latest.select(key), key, "left_semi").select(partition).distinct()
-            touched = _written(touched.union(held).distinct(), f"{staged}/touched")
-            kept = current.join(touched, _same(current, touched, partition), "left_semi").join(
-                latest.select(key), key, "left_anti"
-            )
-            content = kept.select(*batch.columns).unionByName(latest)
-        else:
-            _written(touched, f"{staged}/touched")
-            content = latest
-        content.write.mode("overwrite").parquet(f"{staged}/rows")
-        spark.range(1).write.mode("overwrite").parquet(f"{staged}/done")
-    rows = spark.read.schema(batch.schema).parquet(f"{staged}/rows")
-    (
-        rows.hint("rebalance", partition)  # tasks by size: a large date is written by many
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy(partition).parquet(target)
-    )
-    # Dates are few: one row per touched partition, of those only the ones left without rows.
-    touched = spark.read.schema(rows.select(partition).schema).parquet(f"{staged}/touched")
-    filled = rows.select(partition).distinct()
-    emptied = touched.join(filled, _same(touched, filled, partition), "left_anti")
-    for row in emptied.toLocalIterator():
-        name = "__HIVE_DEFAULT_PARTITION__" if row[0] is None else row[0]
-        remove(spark, f"{target}/{partition}={name}")

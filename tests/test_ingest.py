@@ -1,17 +1,18 @@
 """Event decoding, the keyed sink and the streaming jobs."""
 
 import datetime as dt
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from adgauge import schemas
-from adgauge.operators import events
+from adgauge.operators import events, rates
 from adgauge.plans import views
 from adgauge.plans.catalog_streams import StreamViews, _finish
 from adgauge.session import scratch_path, shared_dir
-from adgauge.sources import readers, sinks
-from adgauge.streaming import ingest, state
+from adgauge.sources import keyed, readers, sinks
+from adgauge.streaming import ingest
 from tests.conftest import SMALL
 
 
@@ -50,36 +51,79 @@ def batch(spark, rows):
     return spark.createDataFrame(rows, "tracking_hash string, event_id string, processed_at timestamp, date date")
 
 
-def table(spark, path):
-    return sorted((r.tracking_hash, r.event_id, str(r.date)) for r in readers.read_table(spark, path).collect())
+def table(spark, path, **more):
+    return sorted((r.tracking_hash or "", r.event_id, str(r.date)) for r in keyed.read_keyed(spark, path, **more).collect())
+
+
+def day(n):
+    return dt.date(2024, 1, n)
 
 
 def test_upsert_moves_keys_and_survives_replay(spark):
-    target, work = scratch_path(spark, "t"), scratch_path(spark, "w")
-    t0, day = dt.datetime(2024, 1, 1), lambda n: dt.date(2024, 1, n)
+    target, t0 = scratch_path(spark, "t"), dt.datetime(2024, 1, 1)
     first = batch(spark, [("a", "e1", t0, day(1)), ("b", "e2", t0, day(2)), ("b", "e3", t0, day(2))])
     second = batch(spark, [("b", "e4", t0, day(3)), ("c", "e5", t0, day(1))])
-    sinks.upsert_batch(first, 0, target, work)
-    sinks.upsert_batch(first, 0, target, work)
+    for _ in range(2):
+        keyed.upsert_batch(first, 0, target)
     assert table(spark, target) == [("a", "e1", "2024-01-01"), ("b", "e3", "2024-01-02")]
     want = [("a", "e1", "2024-01-01"), ("b", "e4", "2024-01-03"), ("c", "e5", "2024-01-01")]
     for _ in range(2):
-        sinks.upsert_batch(second, 1, target, work)
+        keyed.upsert_batch(second, 1, target)
         assert table(spark, target) == want
-    sinks.upsert_batch(second.limit(0), 2, target, work)
-    assert table(spark, target) == want
+    keyed.upsert_batch(second.limit(0), 2, target)
+    assert table(spark, target) == want and keyed.version(spark, target) == 1
 
 
 def test_upsert_keeps_rows_without_date_or_key(spark):
-    target, work = scratch_path(spark, "t"), scratch_path(spark, "w")
-    t0 = dt.datetime(2024, 1, 1)
+    target, t0 = scratch_path(spark, "t"), dt.datetime(2024, 1, 1)
     first = batch(spark, [("a", "e1", t0, None), ("b", "e2", t0, None), (None, "e3", t0, None), (None, "e4", t0, t0.date())])
     second = batch(spark, [("a", "e5", t0, None), (None, "e3", t0, t0.date())])
     for number, rows in enumerate((first, second, second.limit(0))):
         for _ in range(2):
-            sinks.upsert_batch(rows, number, target, work)
-    got = sorted((r.tracking_hash or "", r.event_id, str(r.date)) for r in readers.read_table(spark, target).collect())
-    assert got == [("", "e3", "2024-01-01"), ("", "e3", "None"), ("", "e4", "2024-01-01"), ("a", "e5", "None"), ("b", "e2", "None")]
+            keyed.upsert_batch(rows, number, target)
+    want = [("", "e3", "2024-01-01"), ("", "e3", "None"), ("", "e4", "2024-01-01"), ("a", "e5", "None"), ("b", "e2", "None")]
+    assert table(spark, target) == want
+    keyed.compact(spark, target)
+    assert table(spark, target, schema=first.schema) == want == table(spark, target)
+
+
+def test_batch_writes_its_own_rows_only_and_unpublished_ones_are_not_read(spark):
+    target, t0 = scratch_path(spark, "t"), dt.datetime(2024, 1, 1)
+    keyed.upsert_batch(batch(spark, [(f"k{i}", f"e{i}", t0, day(1 + i % 20)) for i in range(500)]), 0, target)
+    keyed.compact(spark, target)
+    one = batch(spark, [("k3", "x", t0, day(30))])
+    keyed.upsert_batch(one, 1, target)
+    assert spark.read.parquet(f"{target}/changes/batch=1").count() == 1
+    one.withColumn(keyed.ORDER, F.lit(2)).write.parquet(f"{target}/changes/batch=2")  # a writer that died before publishing
+    rows = table(spark, target)
+    assert len(rows) == 500 and ("k3", "x", "2024-01-30") in rows
+
+
+def test_compaction_beside_batches_and_cleaning(spark, monkeypatch):
+    target, t0 = scratch_path(spark, "t"), dt.datetime(2024, 1, 1)
+    rows = lambda n: batch(spark, [(f"k{n % 3}", f"e{n}", t0, day(1 + n)), (None, f"n{n}", t0, None)])
+    for n in range(3):
+        keyed.upsert_batch(rows(n), n, target)
+    publish, met = keyed._publish, []
+
+    def slow(spark, target, number, *rest):
+        if not met:  # a batch is published while the compaction writes
+            met.append(number)
+            keyed.upsert_batch(rows(3), 3, target)
+        publish(spark, target, number, *rest)
+
+    monkeypatch.setattr(keyed, "_publish", slow)
+    keyed.compact(spark, target)
+    want = [("", f"n{n}", "None") for n in range(4)] + [("k0", "e3", "2024-01-04"), ("k1", "e1", "2024-01-02"), ("k2", "e2", "2024-01-03")]
+    assert table(spark, target) == want and met == [3] and keyed.version(spark, target) == 4
+    keyed.fold_changes(spark, target)
+    keyed.upsert_batch(rows(4), 4, target)
+    keyed.fold_changes(spark, target)
+    assert ("k1", "e4", "2024-01-05") in table(spark, target) and len(table(spark, target)) == 8
+    keyed.clean(spark, target, keep=1)
+    assert sinks.folders(spark, f"{target}/versions") == [f"v={keyed.version(spark, target)}"]
+    assert len(sinks.folders(spark, f"{target}/changes")) == len(sinks.folders(spark, f"{target}/base")) == 1
+    assert len(table(spark, target)) == 8
 
 
 def test_keyless_events_pass(spark):
@@ -107,7 +151,7 @@ def test_stream_ingest_equals_batch(spark):
     got = readers.read_table(spark, f"{base}/s").select(*want.columns)
     assert got.exceptAll(want).count() == 0 and got.count() == want.count()
     assert spark.read.json(f"{base}/d").count() == rejected.count()
-    assert readers.read_table(spark, f"{base}/t").count() == want.select("tracking_hash").distinct().count()
+    assert keyed.read_keyed(spark, f"{base}/t").count() == want.select("tracking_hash").distinct().count()
 
 
 def test_triggers():
@@ -126,8 +170,7 @@ def test_stream_rate_across_batches(spark):
         ).coalesce(1).write.mode("append").parquet(source)
         schema = spark.read.parquet(source).schema
         stream = readers.read_table_stream(spark, source, schema, max_files=1)
-        writer = state.stream_rate(stream, limit=3).writeStream.format("parquet").option("path", out)
-        _finish(ingest.checkpointed(writer, f"{out}-c").trigger(availableNow=True).start())
+        _finish(ingest.stream_rate(stream, out, f"{out}-c", limit=3, availableNow=True))
     got = {r.impression_id: (r.window_count, r.rate_exceeded) for r in spark.read.parquet(out).collect()}
     assert got == {"e00": (1, False), "e01": (2, False), "e02": (3, False),
                    "e10": (4, True), "e11": (1, False), "e12": (2, False)}
@@ -143,8 +186,7 @@ def test_late_event_counts_in_the_open_window_of_the_stream(spark):
         ).coalesce(1).write.mode("append").parquet(source)
         schema = spark.read.parquet(source).schema
         stream = readers.read_table_stream(spark, source, schema, max_files=1)
-        writer = state.stream_rate(stream, limit=3).writeStream.format("parquet").option("path", out)
-        _finish(ingest.checkpointed(writer, f"{out}-c").trigger(availableNow=True).start())
+        _finish(ingest.stream_rate(stream, out, f"{out}-c", limit=3, availableNow=True))
     got = {r.impression_id: (r.window_count, r.rate_exceeded) for r in spark.read.parquet(out).collect()}
     assert got == {"e00": (1, False), "e01": (2, False), "e10": (3, False), "e11": (4, True), "e12": (1, False), "e13": (2, False)}
 
@@ -171,10 +213,111 @@ def test_open_windows_outlast_minutes_and_future_dates(spark):
     assert windows(3) == [("b", 3605, 2), ("c", 10**8, 1)]
 
 
+def test_hot_address_of_the_stream_is_split_over_tasks(spark):
+    """Half of all events come from one address; its cells are rated by many tasks, and as one window chain."""
+    base, work = 1_700_000_000, scratch_path(spark, "hot")
+    df = spark.range(6000).select(
+        F.col("id").cast("string").alias("impression_id"), F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("ip"), F.col("id") % 400)).alias("ip"),
+        F.timestamp_seconds(F.lit(base) + F.col("id")).alias("timestamp_utc"))
+    for part in range(2):
+        rows = df.filter(F.floor(F.col("impression_id").cast("long") / 3000) == part)
+        got = ingest.rated_batch(rows, part, work, "ip", "timestamp_utc", "impression_id", 20, 60.0)
+        hot = got.filter("ip = 'hot'").select(F.col("impression_id").cast("long").alias("i"), "window_count").collect()
+        assert {r.i: r.window_count for r in hot} == {i: (i % 60) // 2 + 1 for i in range(3000 * part, 3000 * part + 3000, 2)}
+    cells = rates.celled(rates.points(df, "ip", "timestamp_utc"), 10.0, 100)
+    assert cells.filter("key = 'hot'").select(F.expr("t div w")).distinct().count() > 20
+
+
 def test_retry_routes(spark):
-    rows = [("x", 0, False), (None, 0, False), (None, 2, True), (None, 3, True), (None, None, True)]
-    df = spark.createDataFrame(rows, "error_reason string, retry_count int, processing_failed boolean")
-    assert [r.route for r in events.route_failures(df).collect()] == ["dead_letter", "ok", "retry", "dead_letter", "retry"]
+    rows = [("x", 0, None), (None, 0, None), (None, 2, "f"), (None, 3, "f"), (None, None, "f")]
+    df = spark.createDataFrame(rows, "error_reason string, retry_count int, failure string")
+    routed = events.route_failures(df.withColumn("data", F.lit(1)))
+    assert [r.route for r in routed.collect()] == ["dead_letter", "ok", "retry", "dead_letter", "retry"]
+    ok, dead = events.split_routed(routed)
+    assert ok.count() == 1 and sorted(r.error_reason for r in dead.collect()) == ["Max retries exceeded: f", "x"]
+
+
+def raw(spark, path, rows):
+    """Appends raw events (number, second) to a stream's folder."""
+    body = F.to_json(F.struct(
+        F.concat(F.lit("e"), "n").alias("event_id"), F.lit("c").alias("campaign_id"), F.concat(F.lit("h"), "n").alias("tracking_hash"), F.lit("1.2.3.4").alias("ip"),
+        F.lit("Mozilla/5.0 Chrome/120").alias("user_agent"),
+        F.date_format(F.timestamp_seconds("s"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp")))
+    df = spark.createDataFrame(rows, "n long, s long")
+    df.select(body.alias("body"), F.col("n").alias("sequenceNumber")).coalesce(1).write.mode("append").json(path)
+
+
+def again(spark, checkpoint):
+    """Makes the stream run its last micro-batch again, as after a lost driver."""
+    last = max(int(p.name) for p in Path(checkpoint.removeprefix("file:")).joinpath("commits").iterdir() if p.name.isdigit())
+    sinks.remove(spark, f"{checkpoint}/commits/{last}")
+
+
+def test_failing_events_are_retried_and_a_replay_gives_the_same(spark):
+    base = scratch_path(spark, "r")
+    failure = F.when((F.col("sequenceNumber") < 5) & (F.col("retry_count") < F.col("sequenceNumber")), F.concat(F.lit("down "), "sequenceNumber"))
+
+    def run():
+        stream = readers.read_events_stream(spark, f"{base}/in", max_files=100)
+        _finish(ingest.run_ingest(stream, f"{base}/s", f"{base}/t", f"{base}/d", f"{base}/c", processed_at=F.lit("2024-01-01").cast("timestamp"),
+                                  failure=failure, availableNow=True))
+
+    def state():
+        done = sorted((r.event_id, r.retry_count, r.batch_id) for r in spark.read.parquet(f"{base}/s").collect())
+        dead = sorted((r.sequence_number, r.retry_count, r.error_reason) for r in spark.read.schema("sequence_number long, retry_count int, error_reason string").json(f"{base}/d").collect())
+        return done, dead
+
+    for part in range(5):
+        raw(spark, f"{base}/in", [(n, 1_700_000_000 + n) for n in (range(5) if part == 0 else [10 + part])])
+        run()
+        before = state()
+        if part in (1, 3):
+            again(spark, f"{base}/c")
+            run()
+            assert state() == before
+    done, dead = state()
+    assert done == sorted([("e0", 0, 0), ("e1", 1, 1), ("e2", 2, 2), ("e3", 3, 3), *[(f"e{10 + p}", 0, p) for p in range(1, 5)]])
+    assert dead == [(4, 3, "Max retries exceeded: down 4")]
+
+
+def test_watermark_is_kept_and_late_events_are_set_aside(spark):
+    base, t0 = scratch_path(spark, "w"), 1_700_000_000
+
+    def run():
+        stream = readers.read_events_stream(spark, f"{base}/in", max_files=100)
+        _finish(ingest.run_ingest(
+            stream, f"{base}/s", f"{base}/t", f"{base}/d", f"{base}/c", processed_at=F.timestamp_seconds(F.lit(t0 + 9000)), late=f"{base}/late", lateness=600.0,
+            bot_rules="scored", score_limits={"per_minute": 2}, availableNow=True))
+
+    def parts():
+        return [sorted(r.event_id for r in spark.read.schema("event_id string").parquet(f"{base}/{p}").collect()) for p in ("s", "late")]
+
+    # within a batch nothing is late; a date after the processing counts as that
+    feeds = ([(0, t0 + 1000), (1, t0)], [(2, t0 + 399), (3, t0 + 400), (4, t0 + 99_999)], [(5, t0 + 8399), (6, t0 + 8400)])
+    wanted = ([["e0", "e1"], []], [["e0", "e1", "e3", "e4"], ["e2"]], [["e0", "e1", "e3", "e4", "e6"], ["e2", "e5"]])
+    for feed, want in zip(feeds, wanted, strict=True):
+        raw(spark, f"{base}/in", feed)
+        run()
+        assert parts() == want
+        again(spark, f"{base}/c")
+        run()
+        assert parts() == want
+    with pytest.raises(ValueError):
+        ingest.run_ingest(None, "s", "t", "d", "c", bot_rules="scored")
+
+
+def test_event_within_the_lateness_is_counted_with_all_its_points(spark):
+    path, base = scratch_path(spark, "points"), 1_700_000_000
+
+    def run(number, seconds):
+        df = spark.createDataFrame([(f"e{s}", "ip", base + s) for s in seconds], "event_id string, ip string, s bigint").select(
+            "event_id", "ip", F.timestamp_seconds("s").alias("timestamp"), F.timestamp_seconds(F.lit(base + 10**6)).alias("processed_at"))
+        return {r.event_id: r.n_minute for r in ingest.with_history(df, number, path, "ip", {"n_minute": 60}, lateness=20_000).collect()}
+
+    assert run(0, [0, 10, 20]) == {"e0": 1, "e10": 2, "e20": 3}
+    assert run(1, [20_000]) == {"e20000": 1}
+    assert run(2, [19_000]) == {"e19000": 1}
+    assert run(3, [30]) == {"e30": 4}
 
 
 def test_unknown_rules_are_rejected(spark):
