@@ -5,6 +5,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from adgauge.llm import licenses, quality, tokens, urls
@@ -75,7 +76,9 @@ def test_licence_rules(spark):
     for group in licenses.SENTENCES.values():
         for sentence in group:
             assert any(a in sentence for a in licenses.ANCHORS)
-            assert re.sub(" +", " ", re.sub(licenses.NOISE, " ", sentence)).strip() == sentence
+            assert re.fullmatch("[a-z0-9.]+( [a-z0-9.]+)+", sentence) and ". " not in sentence + " "
+    used = {i for _, ids in licenses.RULES for i in ids}
+    assert used <= set(licenses.SENTENCES) and sum(map(len, licenses.SENTENCES.values())) > 2000
 
 
 MIT = """MIT License
@@ -143,8 +146,8 @@ along with this program.  If not, see <https://www.gnu.org/licenses/>.
 def test_published_notices(spark):
     wanted = {
         "MIT": (MIT, "<mit_title><mit_grant><mit_notice><as_is>"), "BSD-2-Clause": (BSD_2, "<bsd_grant><bsd_source><bsd_binary>"),
-        "BSD-3-Clause": (BSD_3, "<bsd_grant><bsd_source><bsd_binary><bsd_endorse>"), "Apache-2.0": (APACHE, "<apache_named><apache_use><apache_copy>"),
-        "GPL-3.0-or-later": (GPL, "<gpl_redistribute><gpl_warranty><gpl_received>"),
+        "BSD-3-Clause": (BSD_3, "<bsd_grant><bsd_source><bsd_binary><bsd_endorse>"), "Apache-2.0": (APACHE, "<named_Apache-2.0><apache_use><apache_copy>"),
+        "GPL-3.0-or-later": (GPL, "<later_GPL-3.0><gpl_warranty><gpl_received>"),
     }
     rows, want = [], []
     for i, (name, (text, ids)) in enumerate(wanted.items()):
@@ -152,10 +155,43 @@ def test_published_notices(spark):
         rows += [(10 * i + k, form) for k, form in enumerate(forms)]
         want += [(10 * i + k, ids, name) for k in range(len(forms))]
     rows += [(90, "Not released\nunder the MIT License"), (91, "The MIT. License\n"), (92, "licensed under\nthe MIT license"), (93, "license" + "." * 50_000 + ":" * 50_000 + "\n~ MIT License |\n")]
-    want += [(90, "", ""), (91, "", ""), (92, "<mit_named>", "MIT"), (93, "<mit_title>", "")]
-    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted((r.doc_id, r.sentence_ids, r.licenses) for r in got) == want
-    assert all(r.n_sentences == r.sentence_ids.count("<") for r in got)
+    want += [(90, "", ""), (91, "", ""), (92, "<named_MIT>", "MIT"), (93, "<mit_title>", "")]
+    for i, (text, name) in enumerate(NOTICES):
+        rows.append((200 + i, text))
+        want.append((200 + i, None, name))
+    rows += [(300, None), (301, ""), (301, ""), (302, "license"), (303, "Licensed under the MIT license, the Apache License 2.0 - see LICENSE")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.sentence_ids, r.n_sentences, r.licenses) for r in licenses.scan_licenses(frame).collect())
+    found = {r[0]: (r[1], r[3]) for r in got}
+    assert all(found[i] == (ids if ids is not None else found[i][0], name) for i, ids, name in want)
+    assert all(n == ids.count("<") for _, ids, n, _ in got)
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [r[0] for r in rows], "text": pa.array([r[1] for r in rows], pa.string())}))
+    twin = con.execute(f"SELECT doc_id, sentence_ids, n_sentences, licenses FROM ({licenses.SQL})").fetchall()
+    assert sorted(twin) == got
+    assert licenses.scan_licenses(frame.limit(0)).count() == 0
+
+
+def gnu(kind, version, thing="program"):
+    return f"""/* This {thing} is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU {kind} Public License as
+ * published by the Free Software Foundation; either version {version} of
+ * the License, or (at your option) any later version. */
+"""
+
+
+NOTICES = (
+    (gnu("General", 2), "GPL-2.0-or-later"), (gnu("Lesser General", "2.1", "library"), "LGPL-2.1-or-later"), (gnu("Affero General", 3), "AGPL-3.0-or-later"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/.", "MPL-2.0"),
+    ("ISC License\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.", "ISC"),
+    ("// SPDX-License-Identifier: MIT\nint x;", "MIT"), ("# SPDX-License-Identifier: GPL-2.0-or-later\n", "GPL-2.0-or-later"), ("SPDX-License-Identifier: GPL-3.0-only", "GPL-3.0"),
+    ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007", "GPL-3.0"),
+    ("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/", "Apache-2.0"),
+    ("This project is licensed under the MIT License - see the LICENSE file for details", "MIT"),
+    ("This project is licensed under the MIT License (see LICENSE).", "MIT"), ("Distributed under the BSD 3-Clause License.", "BSD-3-Clause"),
+    ("This is free and unencumbered software released into the public domain.", "Unlicense"), ("Eclipse Public License - v 2.0\n", "EPL-2.0"),
+    ("Boost Software License - Version 1.0 - August 17th, 2003", ""), ("we are licensed under the mit license of old", ""),
+)
 
 
 def brute_quality(text, least):
