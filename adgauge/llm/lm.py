@@ -23,7 +23,7 @@ from re import compile as pattern
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from adgauge.session import cut
@@ -244,6 +244,26 @@ def _sums(tokens: list[tuple], last: np.ndarray, target: np.ndarray, bias: np.nd
     return (len(known), float(sum(known)), float(logs.sum()) / np.log(10) + float(sum(share))), before[-2:]
 
 
+def _head(counts: DataFrame, most: int) -> list[Row]:
+    """The most frequent words, `most` or fewer, most frequent first; words of like counts are all in it or none.
+
+    The border comes from how many words have each count, in steps of three digits, so that the driver gets a small
+    table and then the head alone.
+    """
+    step = F.pow(F.lit(10.0), F.greatest(F.floor(F.log10("c")) - 2, F.lit(0)))
+    floor = (F.floor(F.col("c") / step) * step).cast("long")
+    sizes = counts.groupBy(floor.alias("least")).agg(F.count("*").alias("words")).collect()
+    border, total = None, 0
+    for row in sorted(sizes, key=lambda r: -r["least"]):
+        total += row["words"]
+        if total > most:
+            break
+        border = row["least"]
+    if border is None:
+        return []
+    return sorted(counts.filter(F.col("c") >= border).collect(), key=lambda r: (-r["c"], bytes(r["word"])))
+
+
 def score_texts(docs: DataFrame, head_words: int = HEAD, rounds: int = ROUNDS) -> DataFrame:
     """One row per row of `docs`: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -252,7 +272,7 @@ def score_texts(docs: DataFrame, head_words: int = HEAD, rounds: int = ROUNDS) -
     texts. `base_score` is the add-one unigram log10 probability, `score` the model's. Repeated rows count each. Without
     learnt rows the base knows no token and the model is uniform. An empty table gives no rows; other columns are not read.
 
-    The most frequent words and their counts are sent to tasks (`head_words` of at most 64 bytes); all other tokens meet
+    The most frequent words and their counts are sent to tasks (at most `head_words`, of at most 64 bytes); all other tokens meet
     their counts in a join. What is trained on, and the parameters, are bounded by the number of units.
     """
     spark = docs.sparkSession
@@ -264,7 +284,7 @@ def score_texts(docs: DataFrame, head_words: int = HEAD, rounds: int = ROUNDS) -
     train_tokens, scale = total["n"], float(np.log10(total["n"] + total["v"] + 1))
     end = counts.filter(F.col("word") == END).collect()  # one row, or none
     rest = counts.filter(F.col("word") != END)
-    top = rest.filter(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("c"), "word").limit(head_words).collect()
+    top = _head(rest.filter(F.octet_length("word") <= HEAD_BYTES), head_words)
     frequent = [bytes(r["word"]) for r in top][: UNITS - GROUPS - 1]
     unit_of = {w: 1 + GROUPS + i for i, w in enumerate(frequent)}
     shared_units = spark.sparkContext.broadcast(unit_of)
