@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0  # fixed value: what an unknown character scores below the lowest piece
-CACHED_WORDS = 200_000  # words a Python worker remembers; beyond that it starts anew
+CACHED_WORDS = 500_000  # words a task remembers before it starts anew
 CACHED_CHARS = 64
 
 
@@ -41,31 +42,37 @@ class Counter:
         """Pieces (an unknown character counts its UTF-8 bytes) and score of the best segmentation.
 
         Of segmentations of one score up to a place, the one whose last piece starts first wins, as
-        in the tokenizer, which goes through the starts in order and replaces only what scores less.
+        in the tokenizer, which goes through the starts in order and replaces only what scores less. The automaton
+        gives matches by their ends, and of one end the longest first, so one pass over them fills all places.
         """
-        if word in self.seen:
-            return self.seen[word]
-        ends: dict[int, list[tuple[int, float]]] = {}
-        if self.filled:
-            for last, match in self.automaton.iter(word):
-                ends.setdefault(last, []).append(match)
-        scores, counts = [0.0], [0]
-        for last, char in enumerate(word):
-            best, count, single = None, 0, False
-            for length, score in sorted(ends.get(last, ()), reverse=True):
-                single |= length == 1
+        scores, counts, unknown = [0.0], [0], self.unknown
+        at, best, count, single = 0, None, 0, False
+        matches = self.automaton.iter(word) if self.filled else ()
+        for last, (length, score) in (*matches, (len(word), (1, 0.0))):
+            while at < last:
+                if not single:  # no piece is this character alone
+                    alone = scores[at] + unknown
+                    if best is None or alone > best:
+                        best, count = alone, counts[at] + len(word[at].encode())
+                scores.append(best)
+                counts.append(count)
+                at, best, single = at + 1, None, False
+            if last < len(word):
                 total = scores[last + 1 - length] + score
                 if best is None or total > best:
                     best, count = total, counts[last + 1 - length] + 1
-            if not single and (best is None or scores[last] + self.unknown > best):
-                best, count = scores[last] + self.unknown, counts[last] + len(char.encode())
-            scores.append(best)
-            counts.append(count)
-        found = counts[-1], scores[-1]
-        if len(word) <= CACHED_CHARS:
+                single = single or length == 1
+        return counts[-1], scores[-1]
+
+    def of_words(self, words: list[str]) -> list[tuple[int, float]]:
+        """Of words without their marks, in order; each word that is not remembered is segmented once."""
+        found = [*map(self.seen.get, words)]
+        if None in found:
             if len(self.seen) >= CACHED_WORDS:
                 self.seen.clear()
-            self.seen[word] = found
+            fresh = {w: self.of(SPACE + w) for w in {w for w, f in zip(words, found, strict=True) if f is None}}
+            found = [f or fresh[w] for w, f in zip(words, found, strict=True)]
+            self.seen.update((w, f) for w, f in fresh.items() if len(w) <= CACHED_CHARS)
         return found
 
 
@@ -73,7 +80,8 @@ def count_tokens(docs: DataFrame, vocabulary: Sequence[tuple[str, float]], text:
     """Adds n_tokens (long) and token_score (double) to each row.
 
     Spaces become word-start marks and a mark goes before the text, as the tokenizer does; each word
-    runs from a mark to the next and is segmented apart. Null and empty texts have 0 tokens and score 0.
+    runs from a mark to the next and is segmented apart. Null and empty texts have 0 tokens and score 0, repeated rows are
+    counted each, texts of any length whole, and an empty table gives no rows.
     The vocabulary (a parameter, some ten thousand pieces) travels with the tasks; one automaton serves a
     Python worker. Columns of the same names are replaced.
     """
@@ -89,9 +97,8 @@ def count_tokens(docs: DataFrame, vocabulary: Sequence[tuple[str, float]], text:
                 if whole:
                     words = whole.replace(SPACE, " ").split(" ")
                     # a mark before the text, unless it starts with one
-                    for word in words[1:] if words[0] == "" else words:
-                        found = counter.of(SPACE + word)
-                        n, total = n + found[0], total + found[1]
+                    found = counter.of_words(words[1:] if words[0] == "" else words)
+                    n, total = sum(f[0] for f in found), math.fsum(f[1] for f in found)
                 rows.append((n, total))
             yield pd.DataFrame(rows, columns=["n_tokens", "token_score"])
 

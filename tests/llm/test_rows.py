@@ -280,6 +280,12 @@ def test_token_counts_equal_the_tokenizer(spark):
     want = dict(enumerate(counts(vocabulary, texts)))
     assert got == want
 
+    long = "word " * 30_000 + "x" * 100_000
+    again = [(1, long, *["own"] * 6), (1, long, *["own"] * 6), (2, None, *["own"] * 6)]
+    df = tokens.count_tokens(spark.createDataFrame(again, CLASH), vocabulary)
+    assert sorted(r.n_tokens for r in df.collect()) == sorted(counts(vocabulary, [long, long, None]))
+    assert df.limit(0).count() == 0 and tokens.count_tokens(spark.createDataFrame([], CLASH), vocabulary).count() == 0
+
     # many ties: equal scores, small alphabet; bytes are there for the fallback
     rng = random.Random(5)
     bytes_ = [(f"<0x{i:02X}>", -9.0) for i in range(256)]
