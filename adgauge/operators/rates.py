@@ -476,6 +476,38 @@ def admitted(
     )
 
 
+def admit_batch(
+    df: DataFrame, carried: DataFrame, key: str = "ip", ts: str = "timestamp_utc", tie: str = "impression_id",
+    limit: int = 1000, window_seconds: float = 60.0, ttl_seconds: float = 300.0,
+) -> tuple[DataFrame, DataFrame]:
+    """One micro-batch under the sliding limiter: (the rows with `allowed`, the admitted stamps to carry on).
+
+    `carried` is (key, t, n), the stamps let in that an event may still meet, as the batch before left them: at most `limit`
+    per key. Stamps let in before are let in again, as refused events leave no trace, so the batch runs over both. An event
+    older than its key's last stamp counts at that stamp. Stamps that lie over `ttl_seconds`, or the window if that is
+    longer, before the newest event are dropped, with their key if it has no other.
+    """
+    window = int(window_seconds * SECOND)
+    last = carried.groupBy(F.col("key").alias(key)).agg(F.max("t").alias("_last"))
+    at = F.when(F.col(ts).isNotNull(), F.greatest(F.col(ts), F.timestamp_micros("_last")))
+    timed = cut(df.join(last, key, "left").withColumn("_at", at).drop("_last"))
+    own = points(timed, key, "_at")
+    held = carried.join(own.select("key").distinct(), "key", "left_semi")
+    pts = own.unionByName(held).groupBy("key", "t").agg(F.sum("n").alias("n"))
+    decided = cut(admitted_instants(pts, limit, window_seconds).select("key", "t", "admitted"))
+    before = held.select("key", "t", F.col("n").alias("_before"))
+    fresh = decided.join(before, ["key", "t"], "left").select("key", "t", (F.col("admitted") - F.coalesce("_before", F.lit(0))).alias("admitted"))
+    rows = attach(timed, fresh, key, "_at", tie)
+    rows = rows.withColumn("allowed", F.coalesce(F.col("_place") <= F.col("admitted"), F.lit(True))).select(*df.columns, "allowed")
+    kept = decided.filter("admitted > 0").select("key", "t", F.col("admitted").alias("n"))
+    kept = kept.unionByName(carried.join(own.select("key").distinct(), "key", "left_anti"))
+    newest = own.agg(F.max("t")).first()[0]
+    if newest is not None:
+        kept = kept.filter(F.col("t") >= newest - max(window, int(ttl_seconds * SECOND)))
+    reach = kept.groupBy("key").agg(F.max("t").alias("_newest"))
+    return rows, kept.join(reach, "key").filter(F.col("t") >= F.col("_newest") - window).select("key", "t", "n")
+
+
 def quota(decided: DataFrame, now: Column, limit: int = 1000, window_seconds: float = 60.0) -> DataFrame:
     """Per key at `now`: requests left and seconds until the oldest kept stamp expires."""
     window = int(window_seconds * SECOND)

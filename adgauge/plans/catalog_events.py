@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from adgauge import schemas
 from adgauge.functions import agents, bots, geo, identity, stats, survey, text
-from adgauge.operators import events, matching, rates, tables
+from adgauge.operators import addresses, events, matching, rates, tables
 from adgauge.plans import views
 from adgauge.plans.registry import query
 from adgauge.plans.views import CAMPAIGN, NOW, stamp
@@ -629,6 +629,20 @@ query(
     lambda v: v.events.select("event_id", geo.country_by_octet("ip").alias("country")),
     f"SELECT event_id, {views.COUNTRY} AS country FROM raw_events",
 )
+# ranges of three widths that lie in each other, from the suppliers and their nations
+RANGES = {
+    "low": "concat(1 + s_suppkey % 250, CASE s_suppkey % 3 WHEN 0 THEN '.0.0.0' WHEN 1 THEN '.0.64.0' ELSE '.0.113.17' END)",
+    "high": "concat(1 + s_suppkey % 250, CASE s_suppkey % 3 WHEN 0 THEN '.255.255.255' WHEN 1 THEN '.0.113.99' ELSE concat('.0.113.', 20 + s_suppkey % 170) END)",
+    "country": "concat('N', s_nationkey)",
+}
+_NUMBER = "list_reduce(list_transform(string_split({0}, '.'), lambda x: x::bigint), lambda a, b: a * 256 + b)"
+query(
+    "h17_country_by_ranges",
+    lambda v: addresses.by_ranges(v.events.select("event_id", "ip"), v.table("supplier").selectExpr(*[f"{e} AS {n}" for n, e in RANGES.items()])).select("event_id", "country"),
+    f"""WITH r AS (SELECT {_NUMBER.format('low')} AS low, {_NUMBER.format('high')} AS high, country FROM (SELECT {', '.join(f'{e} AS {n}' for n, e in RANGES.items())} FROM supplier)),
+      e AS (SELECT event_id, {_NUMBER.format('ip')} AS n FROM raw_events)
+    SELECT event_id, coalesce(min({{'w': high - low, 'low': low, 'c': country}}).c, 'XX') AS country FROM e LEFT JOIN r ON n BETWEEN low AND high GROUP BY event_id""",
+)
 query(
     "h18_country_attributes",
     lambda v: events.enrich_geo(v.events).groupBy(
@@ -790,14 +804,15 @@ query(
         "impression_id", "window_count", "rate_exceeded"),
     anchor_sql(ELIGIBLE_SQL, 3600, "SELECT event_id AS impression_id, window_count, window_count > 2 AS rate_exceeded FROM c"),
 )
-query(
-    "f06_sliding_admission",
-    lambda v: rates.admitted(_raw_rows(v), limit=2, window_seconds=43200).select("impression_id", "allowed"),
-    """WITH RECURSIVE o AS (SELECT ip, event_id, epoch_us(timestamp) AS t, row_number() OVER (PARTITION BY ip ORDER BY timestamp, event_id) AS r FROM raw_events),
+ADMITTED_SQL = """WITH RECURSIVE o AS (SELECT ip, event_id, epoch_us(timestamp) AS t, row_number() OVER (PARTITION BY ip ORDER BY timestamp, event_id) AS r FROM raw_events),
       f AS (SELECT ip, event_id, r, [t] AS kept, true AS allowed FROM o WHERE r = 1
         UNION ALL SELECT ip, event_id, r, CASE WHEN len(live) < 2 THEN list_append(live, t) ELSE live END, len(live) < 2
         FROM (SELECT o.ip, o.event_id, o.r, o.t, list_filter(f.kept, lambda x: x >= o.t - 43200000000) AS live FROM f JOIN o ON o.ip = f.ip AND o.r = f.r + 1))
-    SELECT event_id AS impression_id, allowed FROM f""",
+    SELECT event_id AS impression_id, allowed FROM f"""
+query(
+    "f06_sliding_admission",
+    lambda v: rates.admitted(_raw_rows(v), limit=2, window_seconds=43200).select("impression_id", "allowed"),
+    ADMITTED_SQL,
 )
 query(
     "f07_quota",

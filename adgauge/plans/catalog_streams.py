@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from adgauge.functions import identity
 from adgauge.operators.events import add_date_parts
 from adgauge.plans import views
-from adgauge.plans.catalog_events import COMBINED_SQL, ELIGIBLE_SQL, REASON_SQL, anchor_sql, ts
+from adgauge.plans.catalog_events import ADMITTED_SQL, COMBINED_SQL, ELIGIBLE_SQL, REASON_SQL, anchor_sql, ts
 from adgauge.plans.registry import query
 from adgauge.plans.views import CONSUMER_PATTERN, stamp
 from adgauge.session import scratch_path
-from adgauge.sources import keyed, readers
-from adgauge.streaming import ingest
+from adgauge.sources import keyed, readers, staged
+from adgauge.streaming import ingest, reach
 
 
 class StreamViews(views.Views):
@@ -51,6 +51,32 @@ query(
 )
 
 
+EVENTS_PER_BATCH = 200
+
+
+def _capped(v):
+    """Events with the size of their micro-batch, of a stream that is cut to so many events, stopped and started again."""
+    base = scratch_path(v.spark, "capped")
+    feed = v.events.select("event_id", "campaign_id", "seq")
+    for part in range(2):
+        feed.filter(F.col("seq") % 2 == part).coalesce(1).write.mode("append").parquet(f"{base}/source")
+        stream = readers.read_table_stream(v.spark, f"{base}/source", feed.schema)
+        _finish(ingest.land_events(stream, f"{base}/landed", f"{base}/check", EVENTS_PER_BATCH, **ingest.ingest_trigger(once=True)))
+
+    def write(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch_id={batch_id}")
+
+    # every file is a micro-batch; a period that has more events takes more files, as a feed's periods differ
+    landed = readers.read_landed_stream(v.spark, f"{base}/landed", feed.schema)
+    _finish(ingest.checkpointed(landed.writeStream.foreachBatch(write), f"{base}/out-check").trigger(**ingest.ingest_trigger(once=True)).start())
+    rows = readers.read_table(v.spark, f"{base}/out")
+    sizes = rows.groupBy("batch_id").agg((F.count("*") <= EVENTS_PER_BATCH).alias("within"))
+    return rows.join(sizes, "batch_id").select("event_id", "campaign_id", "seq", "within")
+
+
+query("a05_capped_batches", _capped, "SELECT event_id, campaign_id, seq, true AS within FROM raw_events")
+
+
 def _ingested(v):
     """The whole ingest job over the stream; returns its folder."""
     base = scratch_path(v.spark, "ingest")
@@ -331,3 +357,78 @@ query(
       w AS (SELECT a.batch, max(b.newest) - INTERVAL {LATE_DAYS} DAY AS mark FROM n a JOIN n b ON b.batch < a.batch GROUP BY 1)
     SELECT event_id, campaign_id, ip, d.batch, CASE WHEN timestamp < mark THEN 'late' ELSE 'on time' END AS part FROM d LEFT JOIN w ON w.batch = d.batch""",
 )
+
+
+def _by_period(v, rows, ts, path):
+    """Three sets of files by time, the stream stopped and started before each; every 50th row comes with the next."""
+    period = F.expr(f"greatest(0, least(2, datediff({ts}, date '2024-01-01') div 11))")
+    part_of = F.least(F.lit(2), period + (F.col("seq") % 50 == 7).cast("int"))
+    for part in range(3):
+        rows.filter(part_of == part).write.mode("append").parquet(path)
+        yield readers.read_table_stream(v.spark, path, rows.schema, max_files=1_000_000)
+
+
+def _limited(v):
+    base = scratch_path(v.spark, "limited")
+    rows = v.events.select(F.col("event_id").alias("impression_id"), F.col("timestamp").alias("timestamp_utc"), "ip", F.lit(0).alias("seq"))
+    for stream in _by_period(v, rows, "timestamp_utc", f"{base}/source"):
+        _finish(ingest.stream_limiter(stream, f"{base}/out", f"{base}/check", limit=2, window_seconds=43200, **ingest.ingest_trigger(once=True)))
+    return readers.read_table(v.spark, f"{base}/out").select("impression_id", "allowed")
+
+
+query("f06_stream_limiter", _limited, ADMITTED_SQL)
+
+
+def _live_reach(v):
+    """Estimated reach of a stream, late events included, per hour, day and campaign beside the exact count."""
+    base = scratch_path(v.spark, "reach")
+    rows = v.impressions.select("campaign_id", "panelist_id", "timestamp_utc", "is_bot", F.col("impression_id").substr(5, 20).cast("long").alias("seq"))
+    for stream in _by_period(v, rows, "timestamp_utc", f"{base}/source"):
+        _finish(reach.stream_reach(stream, f"{base}/out", f"{base}/check", **ingest.ingest_trigger(once=True)))
+    bound = 4 * reach.standard_error()
+    parts = []
+    for level, by_campaign in (("hour", True), ("day", True), ("day", False), (None, True), (None, False)):
+        unit = lambda c, level=level: F.date_trunc(level, c) if level else F.lit(None).cast("timestamp")
+        campaign = F.col("campaign_id") if by_campaign else F.lit(None).cast("string")
+        exact = rows.filter("NOT is_bot").groupBy(unit("timestamp_utc").alias("period"), campaign.alias("campaign_id")).agg(
+            F.count_distinct("panelist_id").alias("exact"), F.count("*").alias("impressions"))
+        found = reach.reach(v.spark, f"{base}/out", unit("hour"), by_campaign).withColumnsRenamed({"period": "p", "campaign_id": "c", "impressions": "i"})
+        met = exact["period"].eqNullSafe(found["p"]) & exact["campaign_id"].eqNullSafe(found["c"])
+        near = F.abs(F.col("panelists") - F.col("exact")) <= F.greatest(F.lit(1.0), bound * F.col("exact"))
+        parts.append(exact.join(found, met, "full").select(
+            F.lit(level or "all").alias("level"), stamp("period").alias("period"), "campaign_id", "exact",
+            (near & (F.col("i") == F.col("impressions"))).alias("within")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+query(
+    "e02_live_reach", _live_reach,
+    " UNION ALL ".join(
+        f"""SELECT '{level or "all"}' AS level, {ts(f"date_trunc('{level}', timestamp_utc)") if level else "NULL::varchar"} AS period,
+        {"campaign_id" if by else "NULL::varchar"} AS campaign_id, count(DISTINCT panelist_id) AS exact, true AS within
+        FROM impressions WHERE NOT is_bot GROUP BY 1, 2, 3"""
+        for level, by in (("hour", True), ("day", True), ("day", False), (None, True), (None, False))),
+)
+
+
+def _compacted(v):
+    """Three micro-batches staged by day; the first two are folded, the third comes beside them, all are read."""
+    base = scratch_path(v.spark, "staged")
+    rows = v.events.select("event_id", "campaign_id", "seq", F.to_date("timestamp").alias("date"))
+    schema = rows.schema
+    for number, stream in enumerate(_by_period(v, rows, "date", f"{base}/source")):
+        writer = stream.writeStream.foreachBatch(lambda batch, i: staged.stage_batch(batch, i, f"{base}/table"))
+        _finish(ingest.checkpointed(writer, f"{base}/check").trigger(**ingest.ingest_trigger(once=True)).start())
+        if number == 1:
+            staged.compact(v.spark, f"{base}/table", schema, upto=1)
+            staged.clean(v.spark, f"{base}/table", keep=1)
+    return staged.read_staged(v.spark, f"{base}/table", schema).withColumn("date", F.col("date").cast("string"))
+
+
+query(
+    "i10_compacted_staging", _compacted,
+    "SELECT event_id, campaign_id, seq, timestamp::date::varchar AS date FROM raw_events",
+)

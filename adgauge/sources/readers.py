@@ -73,6 +73,11 @@ def read_events_stream(spark: SparkSession, path: str, max_files: int = 100) ->
     return read_table_stream(spark, path, schemas.RAW_EVENT, "json", max_files)
 
 
+def read_landed_stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Events that `ingest.land_events` cut into small files: a micro-batch is one file."""
+    return read_table_stream(spark, path, schema, "parquet", 1)
+
+
 def read_kafka_stream(spark: SparkSession, servers: str, topic: str, max_offsets: int = 10_000) -> DataFrame:
     """Raw events from a broker that speaks the Kafka protocol, with the same envelope names."""
     stream = (

@@ -91,6 +91,39 @@ def stream_rate(
     return checkpointed(writer, checkpoint).start()
 
 
+def stream_limiter(
+    stream: DataFrame, out: str, checkpoint: str, key: str = "ip", ts: str = "timestamp_utc", tie: str = "impression_id",
+    limit: int = 1000, window_seconds: float = 60.0, ttl_seconds: float = 300.0, **trigger,
+) -> StreamingQuery:
+    """The sliding limiter as a stream: the rows with `allowed`, by batch id under `out`.
+
+    The state is the admitted stamps that are still in a window, a table per batch id; see `rates.admit_batch`. A
+    replayed batch starts from the same stamps and overwrites its own rows.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark, shape = batch.sparkSession, "key string, t bigint, n bigint"
+        before = f"{checkpoint}/admitted/batch={batch_id - 1}"
+        carried = spark.read.schema(shape).parquet(before) if sinks.exists(spark, before) else spark.createDataFrame([], shape)
+        rows, stamps = rates.admit_batch(batch, carried, key, ts, tie, limit, window_seconds, ttl_seconds)
+        rows.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        stamps.write.mode("overwrite").parquet(f"{checkpoint}/admitted/batch={batch_id}")
+        sinks.remove(spark, f"{checkpoint}/admitted/batch={batch_id - 2}")
+
+    writer = stream.writeStream.foreachBatch(write).trigger(**(trigger or ingest_trigger()))
+    return checkpointed(writer, checkpoint).start()
+
+
+def land_events(stream: DataFrame, path: str, checkpoint: str, max_events: int = 10_000, **trigger) -> StreamingQuery:
+    """Copies a stream of files into files of at most `max_events` rows.
+
+    Read with one file per trigger (`readers.read_landed_stream`), a micro-batch then has no more events than that, however
+    large the files that arrive. Spark's file sink lists each file once, so nothing is lost or doubled over a restart.
+    """
+    writer = stream.writeStream.format("parquet").option("path", path).option("maxRecordsPerFile", max_events)
+    return checkpointed(writer, checkpoint).trigger(**(trigger or ingest_trigger())).start()
+
+
 HOUR = 3600 * rates.SECOND
 
 

@@ -20,7 +20,9 @@ PART = [
     "e29_lift_histogram", "e32_segment_lift", "e33_balance", "f02_trailing_counts", "f06_sliding_admission",
     "f10_latest_runs", "h11_combined_score", "h13_tracking_hash", "h24_t_pvalue", "i03_checkpoint_resume",
     "i07_stream_rate", "j04_update_panelists", "j08_invite", "k02_standardize", "k03_fit_and_score", "measure_campaign_closed_score",
-    "measure_campaign_fitted", "i01_ingest_scored", "i02_triggers",
+    "measure_campaign_fitted", "i01_ingest_scored", "i02_triggers", "i06_route_failures", "i09_split_late", "f06_stream_limiter",
+    "e02_live_reach", "a05_capped_batches", "i10_compacted_staging", "h17_country_by_ranges", "m_chi_square", "m_mann_whitney",
+    "e21_lift_results_by_test", "e17_survey_result_documents",
 ]
 NAMES = sorted(contract.oracle_sql()) if os.environ.get("CATALOG") == "all" else PART
 
