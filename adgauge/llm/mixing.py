@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from adgauge.session import cut
+
 OTHER = "other"
 ROUNDS = 1000
 TOLERANCE = 1e-10
@@ -24,6 +26,7 @@ TARGETS: dict[str, dict[str, float]] = {
 TEMPER = 0.7  # power of a level's tokens that its share is in proportion to
 MISS = 0.002  # a margin off by more is reported
 SHARE = 0.5  # of all tokens
+DRIVER_CELLS = 50_000  # combinations of levels that the driver rakes itself
 
 
 def n_tokens(text: Column) -> Column:
@@ -116,17 +119,82 @@ def probabilities(cells: Mapping[tuple[str, ...], float], weights: Mapping[tuple
     return {k: min(1.0, w * total / cells[k]) if cells[k] else 0.0 for k, w in weights.items()}
 
 
+def _tempered_table(held: DataFrame, total: float, share: float) -> DataFrame:
+    """`tempered` over a table (level, n): (level, goal)."""
+    part = F.col("n") / total
+    levels = held.select("level", F.when(F.col("n") > 0, F.pow(part, TEMPER)).otherwise(0.0).alias("wanted"), (part / share if share else F.lit(1.0)).alias("most"), F.lit(False).alias("full"))
+    while True:
+        fixed, rest = levels.agg(F.sum(F.when(F.col("full"), F.col("most")).otherwise(0.0)), F.sum(F.when(~F.col("full"), F.col("wanted")).otherwise(0.0))).first()
+        scale = (1 - fixed) / rest if rest else 0.0
+        over = ~F.col("full") & (F.col("wanted") > 0) & (F.col("wanted") * scale > F.col("most"))
+        if levels.filter(over).isEmpty():
+            return levels.select("level", F.when(F.col("full"), F.col("most")).otherwise(F.col("wanted") * scale).alias("goal"))
+        levels = cut(levels.withColumn("full", F.col("full") | over))
+
+
+def rake_table(
+    cells: DataFrame, targets: Mapping[str, Mapping[str, float]], share: float, rounds: int = ROUNDS, tolerance: float = TOLERANCE,
+) -> DataFrame:
+    """`rake`, `probabilities` and `misses` over a table of cells (mix_<margin>..., n), in Spark: adds probability and margin_off.
+
+    A step adds up the weights by level and scales the cells by a join with the levels; a round is written, so that its
+    plan does not grow. Nothing but totals comes to the driver.
+    """
+    total = float(cells.agg(F.sum("n")).first()[0] or 0)
+    if total <= 0:
+        return cells.withColumns({"probability": F.lit(0.0), "margin_off": F.lit(0.0)})
+    goals = {}
+    for margin, wanted in targets.items():
+        held = cut(cells.groupBy(F.col(f"mix_{margin}").alias("level")).agg(F.sum("n").cast("double").alias("n")))
+        if wanted:
+            named = cells.sparkSession.createDataFrame([(k, float(v)) for k, v in ({OTHER: 0.0} | dict(wanted)).items()], "level string, goal double")
+            goal = held.filter("n > 0").join(named, "level", "left").select("level", F.coalesce("goal", F.lit(0.0)).alias("goal"))
+        else:
+            goal = _tempered_table(held, total, share).join(held.filter("n > 0"), "level").select("level", "goal")
+        whole = goal.agg(F.sum("goal")).first()[0] or 0.0
+        if whole <= 0:
+            raise ValueError(f"no level of {margin} with tokens has a target")
+        goals[margin] = cut(goal.select("level", (F.col("goal") / whole).alias("goal")))
+    most = F.col("n") / (total * share) if share else F.lit(float("inf"))
+    weighed = cells.withColumn("w", F.col("n") / total)
+
+    def levels_of(margin: str) -> DataFrame:
+        sums = weighed.groupBy(F.col(f"mix_{margin}").alias("level")).agg(F.sum("w").alias("sum"))
+        return sums.join(goals[margin], "level")
+
+    for _ in range(rounds):
+        off = 0.0
+        for margin in targets:
+            scaled = cut(levels_of(margin).select(F.col("level").alias(f"mix_{margin}"), F.when(F.col("sum") > 0, F.col("goal") / F.col("sum")).otherwise(0.0).alias("f"), F.abs(F.col("sum") - F.col("goal")).alias("off")))
+            off = max(off, scaled.agg(F.max("off")).first()[0])
+            weighed = weighed.join(scaled.drop("off"), f"mix_{margin}", "left").withColumn("w", F.col("w") * F.coalesce("f", F.lit(0.0))).drop("f")
+        weighed = cut(weighed.withColumn("w", F.least("w", most)))
+        if off <= tolerance:
+            break
+    found = weighed.withColumn("probability", F.when(F.col("n") > 0, F.least(F.lit(1.0), F.col("w") * total * share / F.col("n"))).otherwise(0.0)).withColumn("margin_off", F.lit(0.0))
+    missed = []
+    for margin in targets:
+        ends = cut(levels_of(margin).select(F.col("level").alias(f"mix_{margin}"), (F.col("sum") - F.col("goal")).alias("off")))
+        missed += [(margin, *r) for r in ends.filter(F.abs("off") > MISS).orderBy(F.desc(F.abs("off"))).limit(20).collect()]
+        found = found.join(ends, f"mix_{margin}", "left").withColumn("margin_off", F.greatest("margin_off", F.abs(F.coalesce("off", F.lit(0.0))))).drop("off")
+    if missed:
+        warnings.warn("margins missed by more than " + f"{MISS}: " + ", ".join(f"{m} {x} by {d:+.4f}" for m, x, d in missed), stacklevel=3)
+    return cut(found.drop("w"))
+
+
 def chance(*parts: Column) -> Column:
     """A number in [0, 1) that depends on the parts alone."""
     return (F.shiftrightunsigned(F.xxhash64(*parts), 11) / F.lit(float(PLACES))).cast("double")
 
 
-def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, share: float = SHARE) -> DataFrame:
+def mix(
+    docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, share: float = SHARE, driver_cells: int = DRIVER_CELLS,
+) -> DataFrame:
     """Adds mix_source, mix_lang, mix_topic, tokens, probability, margin_off and sampled to each row.
 
     The tokens of each cell (source, language, topic, with levels that have no target as `other`) are added up
-    by Spark; the cells, a row per combination of levels, are raked on the driver, and joined back. A margin
-    without named targets has one for every level, `tempered` from the levels' tokens. margin_off is how far the
+    by Spark and joined back with their probabilities. Up to `driver_cells` cells, a row per combination of levels, are raked
+    on the driver, more of them in Spark (`rake_table`), with the same answer. A margin without named targets has one for every level, `tempered` from the levels' tokens. margin_off is how far the
     row's worst margin ends from its target; margins off by more than `MISS` are named in a warning. A row is sampled if the number in [0, 1) that its doc_id and text hash to is below its
     cell's probability, so rows that repeat are taken or left together. Null levels are `other`, null
     texts have no tokens. An empty table gives no rows. Columns of the new names are replaced.
@@ -143,8 +211,11 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = Non
     marked = marked.withColumn("#topic", topic_of(F.col("`#text`"), F.col("tokens"))).drop("#text")
     marked = marked.select(*[f"`{c}`" for c in rest], level(F.col("`#source`"), "source").alias("mix_source"), level(F.col("`#lang`"), "lang").alias("mix_lang"), level(F.col("`#topic`"), "topic").alias("mix_topic"), "tokens", "`#place`")
     cell = ["mix_source", "mix_lang", "mix_topic"]
-    counted = marked.groupBy(*cell).agg(F.sum("tokens").alias("n")).collect()  # a row per combination of levels
-    cells = {tuple(r[:3]): float(r["n"]) for r in counted}
+    counted = cut(marked.groupBy(*cell).agg(F.sum("tokens").alias("n")))
+    if counted.count() > driver_cells:
+        found = rake_table(counted, targets, share).drop("n")
+        return _sampled(marked, found, rest, cell)
+    cells = {tuple(r[:3]): float(r["n"]) for r in counted.collect()}
     whole: dict[str, dict[str, float]] = {}
     for axis, (margin, wanted) in enumerate(targets.items()):
         whole[margin] = dict(wanted) if OTHER in wanted else {**wanted, OTHER: 0.0}
@@ -163,7 +234,11 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = Non
     far = {k: max(abs(off.get(place, 0.0)) for place in zip(targets, k, strict=True)) for k in cells}
     spark = docs.sparkSession
     found = spark.createDataFrame([(*k, p, far[k]) for k, p in rates.items()], "mix_source string, mix_lang string, mix_topic string, probability double, margin_off double")
-    joined = marked.join(F.broadcast(found), cell)
+    return _sampled(marked, found, rest, cell)
+
+
+def _sampled(marked: DataFrame, found: DataFrame, rest: list[str], cell: list[str]) -> DataFrame:
+    joined = marked.join(found, cell)
     return joined.select(*[f"`{c}`" for c in rest], *cell, "tokens", "probability", "margin_off", (chance(F.col("`#place`")) < F.col("probability")).alias("sampled"))
 
 

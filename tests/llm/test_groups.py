@@ -137,6 +137,64 @@ def test_mixing(spark, docs):
     assert mixing.mix(docs(given).limit(0)).count() == 0
 
 
+def brute_mix(rows, rounds, share=0.5):
+    """rows: (doc_id, text, lang, source). Cells, targets, fitting and sampling in plain numbers."""
+    from xxhash import xxh64_intdigest
+
+    def place(doc_id, text):
+        h = 42
+        if doc_id is not None:
+            h = xxh64_intdigest(doc_id.to_bytes(8, "little", signed=True), h)
+        h = xxh64_intdigest(text.encode(), h) if text is not None else h
+        return xxh64_intdigest(h.to_bytes(8, "little"), 42) >> 11
+
+    told = []
+    for doc_id, text, lang, source in rows:
+        whole = text or ""
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", whole))
+        notice = any(x in whole.lower() for x in ("license", "licence", "copyright"))
+        topic = "notice" if notice else "listing" if 20 * len(re.findall(r"[|#*$%&<>]", whole)) > n else "other" if n < 20 else "short prose" if n < 400 else "long prose"
+        told.append((source or "other", lang if lang in mixing.TARGETS["lang"] else "other", topic, n, place(doc_id, text)))
+    cells = Counter()
+    for *levels, n, _ in told:
+        cells[tuple(levels)] += n
+    total = sum(cells.values())
+    goals = []
+    for axis, wanted in enumerate(mixing.TARGETS.values()):
+        held = Counter()
+        for levels, n in cells.items():
+            held[levels[axis]] += n
+        wanted = wanted or mixing.tempered(held, share)
+        there = sum(v for k, v in wanted.items() if held[k] > 0)
+        goals.append({k: wanted.get(k, 0.0) / there for k in held if held[k] > 0})
+    w = {k: n / total for k, n in cells.items()}
+    for _ in range(rounds):
+        for axis, goal in enumerate(goals):
+            sums = Counter()
+            for k, v in w.items():
+                sums[k[axis]] += v
+            w = {k: v * goal.get(k[axis], 0.0) / sums[k[axis]] if sums[k[axis]] > 0 else 0.0 for k, v in w.items()}
+        w = {k: min(v, cells[k] / total / share) for k, v in w.items()}
+    p = {k: min(1.0, v * total * share / cells[k]) if cells[k] else 0.0 for k, v in w.items()}
+    return [(i, t, *levels, n, p[tuple(levels)], at / 2**53) for (i, t, *_), (*levels, n, at) in zip(rows, told, strict=True)]
+
+
+@pytest.mark.parametrize("driver_cells", [mixing.DRIVER_CELLS, 0])
+def test_mixing_equals_brute_force(spark, docs, driver_cells, monkeypatch):
+    given = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang", "source").collect()
+    rows = [tuple(r) for r in given] + [(None, None, None, None), (None, "", "xx", "src1"), (7, "a b c", "en", None), (7, "a b c", "en", None)]
+    rounds = 1000 if driver_cells else 8
+    monkeypatch.setattr(mixing.rake_table, "__defaults__", (rounds, 0.0))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "1 AS probability", "'x' AS n", "2 AS w").repartition(3)
+    got = mixing.mix(frame, driver_cells=driver_cells).collect()
+    assert "n" in got[0] and got[0]["n"] == "x"
+    key = lambda r: (repr(r[:2]), r[5])
+    mine = sorted(((r.doc_id, r.text, r.mix_source, r.mix_lang, r.mix_topic, r.tokens, r.probability, r.sampled) for r in got), key=key)
+    for a, b in zip(mine, sorted(brute_mix(rows, rounds), key=key), strict=True):
+        assert a[:6] == b[:6] and a[6] == pytest.approx(b[6], abs=1e-6)
+        assert a[7] == (b[7] < a[6])
+
+
 def test_every_source_has_a_target(spark, docs):
     assert mixing.tempered({"a": 16.0, "b": 1.0, "c": 1.0}, power=0.5) == pytest.approx({"a": 4 / 6, "b": 1 / 6, "c": 1 / 6})
     held = {"a": 98.0, "b": 1.0, "c": 1.0}
