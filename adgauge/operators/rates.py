@@ -261,14 +261,33 @@ def _inner(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield rows.loc[visited, ["key", "t"]]
 
 
+def _walk(batches: Iterator[pd.DataFrame], window: int) -> Iterator[pd.DataFrame]:
+    """All instants that the chains visit from the first of each stretch, for stretches that lie in one cell."""
+    for rows in _whole_cells(batches):
+        head, t, place = _changes(rows, ["key", "start", "cell"]), rows["t"].to_numpy(), np.arange(len(rows))
+        group, firsts = np.cumsum(head) - 1, np.flatnonzero(head)
+        ends = np.append(firsts[1:], len(rows))
+        base = np.concatenate(([0], np.cumsum(t[ends - 1] - t[firsts] + window + 1)[:-1]))  # stretches over a window apart
+        laid = t + (base - t[firsts])[group]
+        target = np.searchsorted(laid, laid + window)
+        hops = np.where(target < ends[group], target, place)
+        visited, here = np.zeros(len(rows), bool), firsts
+        while len(here):
+            visited[here] = True
+            here = hops[here]
+            here = here[~visited[here]]
+        yield rows.loc[visited, ["key", "t"]]
+
+
 def _window_anchors(pts: DataFrame, window: int) -> DataFrame:
     """(key, t) where a fixed window starts: the first instant of a key, then each time the first
     instant at least one window after the last start.
 
     An instant that follows a pause of a full window always starts one, so stretches between such
     pauses are independent and one shorter than a window has no further start. In longer ones each
-    instant points to the first instant a window later. Tasks follow these pointers inside (key, cell)
-    groups; across cells, entry points are joined in rounds that double the number of cells covered.
+    instant points to the first instant a window later. A stretch that lies in one cell is followed by one task. In the
+    others tasks follow the pointers inside (key, cell) groups; across cells, entry points are joined in rounds that double
+    the number of cells covered.
     """
     cell, unset = _time_cell(), F.lit(None).cast("bigint")
     linked = running(pts, ["key"], "t", cell, {"prev": ("max", F.col("t"))}, inclusive=False)
@@ -281,7 +300,14 @@ def _window_anchors(pts: DataFrame, window: int) -> DataFrame:
     )
     roots = grouped.filter(F.col("t") == F.col("start")).select("key", "t")
     spans = grouped.groupBy("key", "start").agg(F.max("t").alias("end")).filter(F.col("end") - F.col("start") >= window)
-    busy = cut(grouped.join(spans, ["key", "start"]))
+    long = cut(grouped.join(spans, ["key", "start"]).withColumn("crossed", F.expr("end div w - start div w")))
+    whole = long.filter("crossed = 0").select("key", "start", F.lit(0).alias("cell"), "t")
+    whole = whole.repartition("key", "start").sortWithinPartitions("key", "start", "cell", "t")
+    anchors = roots.unionByName(whole.mapInPandas(lambda b: _walk(b, window), "key string, t bigint"))
+    most = long.agg(F.max("crossed")).first()[0] or 0
+    if not most:
+        return anchors.distinct()
+    busy = long.filter("crossed > 0").drop("crossed")
 
     here = busy.select("key", "start", "w", "t", F.col("t").alias("seen"), unset.alias("origin"))
     ahead = busy.select("key", "start", "w", (F.col("t") + window).alias("t"), unset.alias("seen"), F.col("t").alias("origin"))
@@ -302,7 +328,6 @@ def _window_anchors(pts: DataFrame, window: int) -> DataFrame:
 
     jumps = cut(by_cell(pointed).mapInPandas(lambda b: _exits(b, window), "key string, t bigint, next bigint"))
     entered = busy.filter(F.col("t") == F.col("start")).select("key", "t")
-    most = busy.filter(F.col("t") == F.col("start")).agg(F.max(F.expr("end div w - start div w"))).first()[0] or 0
     rounds = math.ceil(math.log2(most + 1))
     for i in range(rounds):
         reached = entered.join(jumps, ["key", "t"]).select("key", F.col("next").alias("t"))
@@ -312,7 +337,7 @@ def _window_anchors(pts: DataFrame, window: int) -> DataFrame:
             jumps = cut(jumps.join(hop, ["key", "next"]).select("key", "t", F.col("after").alias("next")))
     marked = pointed.join(entered.withColumn("in", F.lit(True)), ["key", "t"], "left")
     marked = marked.withColumn("reached", F.coalesce("in", F.lit(False))).drop("in")
-    return roots.unionByName(by_cell(marked).mapInPandas(_inner, "key string, t bigint")).distinct()
+    return anchors.unionByName(by_cell(marked).mapInPandas(_inner, "key string, t bigint")).distinct()
 
 
 def anchored_rate(

@@ -23,11 +23,15 @@ def build_exposure_mapping(impressions: DataFrame, cohorts: DataFrame) -> DataFr
     ).agg(F.min(F.struct(
         "match_id", "propensity_score", "match_quality_score", "processing_batch_id"
     )).alias("m"))
-    # An impression id is stored once; of repeats the earliest is kept.
+    # An impression id is stored once; of repeats the earliest is kept. Only the ids are counted, and only rows whose
+    # id repeats are grouped; all others pass as they are.
+    repeated = cut(impressions.groupBy(F.col("impression_id").alias("_id")).agg(F.count("*").alias("n")).filter("n > 1").select("_id"))
+    same = impressions["impression_id"].eqNullSafe(repeated["_id"])
     row = F.struct(*[F.col(c) for c in impressions.columns])
-    unique = impressions.groupBy(F.col("impression_id").alias("_id")).agg(
+    first = impressions.join(repeated, same, "left_semi").groupBy(F.col("impression_id").alias("_id")).agg(
         F.min_by(row, "timestamp_utc").alias("r")
     ).select("r.*")
+    unique = impressions.join(repeated, same, "left_anti").unionByName(first)
     matched = F.col("m").isNotNull()
     return unique.join(state, ["campaign_id", "panelist_id"], "left").select(
         stable_id("exp_", "impression_id").alias("exposure_id"),
