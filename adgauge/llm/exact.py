@@ -52,7 +52,8 @@ def find_copies(docs: DataFrame, digest: Callable[[Column], Column] = sha256, fi
     doc_id stays (null is smallest); of rows that also share the doc_id, one. The stream groups by digest
     and keeps no text. Then the bytes are checked: each task reduces its (digest, text) pairs, and a
     digest that more than one text has is grouped anew by the texts themselves, so that a weak digest
-    costs time, not rows. An empty table gives no rows.
+    costs time, not rows. An empty table gives no rows; other columns, whatever their names,
+    are not read.
     """
     spark = docs.sparkSession
     content = F.coalesce(docs["text"], F.lit(""))

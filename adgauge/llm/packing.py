@@ -102,7 +102,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PI
 
     Lengths are words unless `length` is given; clusters are texts equal but for case, unless `cluster`
     is given. Null texts and texts without words have one piece of length 0. A null source is a source of its own.
-    Equal rows are counted first and numbered as copies; they conflict like any. An empty table gives no rows.
+    Equal rows are counted first and numbered as copies; they conflict like any. An empty table gives no rows; other columns,
+    whatever their names, are not read.
     """
     text = docs["text"]
     length = n_tokens(text) if length is None else length

@@ -144,7 +144,7 @@ def judge_quality(
     or over half of them in 3-word windows that repeat. A text that passes is kept if substrings of
     `min_repeat` words or more that occur twice or more in it cover at most `max_covered` of its words,
     and none is longer than `max_longest` words. Null and empty texts have no words and fail. Repeated
-    rows are judged alike. Columns of the same names are replaced.
+    rows are judged alike. An empty table gives no rows. Columns of the same names are replaced.
     """
 
     @F.pandas_udf(COLUMNS)

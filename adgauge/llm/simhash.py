@@ -170,7 +170,8 @@ def find_near(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     A-Z are lower-cased, words joined by spaces. Fingerprints link at two differing bits or fewer; linked rows and
     rows of one fingerprint form a component, named by the smallest doc_id in it. Null doc_ids take part but do
     not name; a component without another doc_id has null. Components can share a name; `label`, their least
-    fingerprint, tells them apart. Texts without words have fingerprint 0. Rows repeat as they come. An empty table gives no rows.
+    fingerprint, tells them apart. Texts without words have fingerprint 0. Rows repeat as they come. An empty table
+    gives no rows; other columns, whatever their names, are not read.
     """
     rows = cut(docs.select(docs["doc_id"].alias("doc_id"), text_key(docs["text"]).alias("key"), fingerprint(docs["text"], shingle).alias("fp")))
     prints = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))

@@ -16,12 +16,19 @@ RULES = (
     ("net/es/", "block"), ("net/fr/", "block"),
 )
 # The vocabulary. A strict term rejects alone, soft terms in twos.
-STRICT = ("adult", "casino", "cheap-pills", "escort", "hentai", "porn", "spam-farm", "viagra", "xxx")
+STRICT = (
+    "adult", "bdsm", "camgirl", "camgirls", "casino", "casinos", "cheap-pills", "cialis", "erotic", "erotik", "escort", "escorts", "hentai", "hookup",
+    "keygen", "milf", "nudes", "onlyfans", "payday-loan", "payday-loans", "porn", "porno", "sexcam", "sexcams", "spam-farm", "sportwetten", "viagra",
+    "warez", "xxx",
+)
 SOFT = (
-    "ads", "bet", "bets", "bonus", "cheap", "click", "dating", "farm", "free", "loan", "pills", "poker",
-    "prize", "sex", "spam", "track", "win",
-)
+    "ads", "apuestas", "bet", "bets", "betting", "bonus", "cheap", "click", "crack", "cracked", "dating", "farm", "free", "gambling", "gewinnspiel", "giveaway",
+    "gratis", "jackpot", "kostenlos", "loan", "loans", "lottery", "lotto", "nsfw", "nude", "payday", "pills", "poker", "prize", "replica", "roulette", "sex",
+    "singles", "slots", "spam", "torrent", "torrents", "track", "webcam", "wetten", "win", "winner",
+)
 THRESHOLD = 2
+# What percent-encoding is undone for the terms, in this order.
+ENCODED = {f"%{ord(c):02x}": c for c in "abcdefghijklmnopqrstuvwxyz-0123456789"} | {f"%{ord(c):02x}": c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 
 
 def vocabulary(strict: Sequence[str] = STRICT, soft: Sequence[str] = SOFT, threshold: int = THRESHOLD) -> dict[str, int]:
@@ -29,6 +36,15 @@ def vocabulary(strict: Sequence[str] = STRICT, soft: Sequence[str] = SOFT, thres
     return {t: 1 for t in soft} | {t: threshold for t in strict}
 
 
+def plain(url: Column) -> Column:
+    """A-Z lower-cased, and percent-encoded letters, digits and hyphens as they are, each code once."""
+    low = ascii_lower(url)
+    decoded = low
+    for code, char in ENCODED.items():
+        decoded = F.replace(decoded, F.lit(code), F.lit(char))
+    return F.when(F.contains(low, F.lit("%")), decoded).otherwise(low)
+
+
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path of a URL; both empty without `://` or for null."""
     at = F.coalesce(F.locate("://", url), F.lit(0))
@@ -81,7 +97,7 @@ def term_hits(url: Column, weights: Mapping[str, int], threshold: int) -> Column
                 rows.append((strict, len(seen) - strict, sum(terms[t] for t in seen)))
             yield pd.DataFrame(rows, columns=["strict_hits", "soft_hits", "weight"])
 
-    return hits(ascii_lower(url))
+    return hits(plain(url))
 
 
 def judge_urls(
@@ -91,8 +107,9 @@ def judge_urls(
     """Adds host, path, rule, strict_hits, soft_hits and verdict (allow or block) to each row.
 
     A fitting site rule decides; without one, a URL is blocked whose distinct terms weigh `threshold`
-    or more: one strict term, or several soft ones. A null URL has empty host and path, no hits and is
-    allowed. Rows repeat as they come. Columns of `pages` with one of the new names are replaced.
+    or more: one strict term, or several soft ones. Terms are sought in the URL with percent-encoded letters, digits and
+    hyphens decoded; host and path are as given. A null URL has empty host and path, no hits and is
+    allowed. Rows repeat as they come, an empty table gives no rows. Columns of `pages` with one of the new names are replaced.
     """
     weights = vocabulary(threshold=threshold) if weights is None else weights
     host, path = host_and_path(pages[url])
@@ -122,6 +139,8 @@ def _sql() -> str:
         return " + ".join(f"regexp_matches(low, '(^|[^a-z0-9]){t}([^a-z0-9]|$)')::BIGINT" for t in terms)
 
     low = f"translate(coalesce(url, ''), '{'ABCDEFGHIJKLMNOPQRSTUVWXYZ'}', '{'abcdefghijklmnopqrstuvwxyz'}')"
+    for code, char in ENCODED.items():
+        low = f"replace({low}, '{code}', '{char}')"
     return f"""
 WITH cut AS (
   SELECT page_id, {low} AS low,
