@@ -38,7 +38,8 @@ def fold_stream(spark: SparkSession, log: str, schema: str, state: str, out: str
         spark, spark__sql__streaming__stateStore__providerClass=STATE_STORE,
         spark__sql__streaming__stateStore__rocksdb__changelogCheckpointing__enabled="true",
         spark__sql__streaming__stateStore__rocksdb__boundedMemoryUsage="true",
-        spark__sql__streaming__stateStore__rocksdb__maxMemoryUsageMB="256",
+        spark__sql__streaming__stateStore__rocksdb__maxMemoryUsageMB="128",
+        spark__sql__streaming__stateStore__rocksdb__writeBufferSizeMB="4",  # per partition of the state, beside the heap
         spark__sql__streaming__stateStore__rocksdb__allowFAllocate="false",  # else each partition reserves megabytes
     ):
         stream = kept.writeStream.outputMode("update").option("checkpointLocation", state).trigger(availableNow=True)
