@@ -146,9 +146,9 @@ query(
     "b28_retention_split",
     lambda v: report.retention_split(
         v.table("orders").select("o_orderkey", F.to_date("o_orderdate").alias("exposure_date")),
-        F.lit("1999-06-01").cast("date")).groupBy("tier").agg(F.count("*").alias("n")),
-    """SELECT CASE WHEN date '1999-06-01' - o_orderdate::date <= 90 THEN 'refresh' WHEN date '1999-06-01' - o_orderdate::date <= 730 THEN 'archive'
-    ELSE 'expired' END AS tier, count(*) AS n FROM orders GROUP BY 1""",
+        F.lit("1999-06-01").cast("date")).select("o_orderkey", "tier"),
+    """SELECT o_orderkey, CASE WHEN date '1999-06-01' - o_orderdate::date <= 90 THEN 'refresh' WHEN date '1999-06-01' - o_orderdate::date <= 730 THEN 'archive'
+    ELSE 'expired' END AS tier FROM orders""",
 )
 
 

@@ -13,7 +13,10 @@ proportion to its own rows, however large the table and wherever its keys were b
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import time
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adgauge.operators.changes import last_of_each
@@ -23,26 +26,51 @@ ORDER = "_arrived"
 VERSION = "base string, changes array<string>, batches array<bigint>"
 #: What readers of the same time may still hold.
 KEPT_VERSIONS = 3
+LISTED_VERSIONS = 50
+STALE_SECONDS = 60
 
 
 def _versions(spark: SparkSession, target: str) -> list[int]:
-    names = [n for n in sinks.folders(spark, f"{target}/versions") if n.startswith("v=")]
-    return sorted(int(n[2:]) for n in names if sinks.exists(spark, f"{target}/versions/{n}/_SUCCESS"))
+    """Numbers of all version folders, newest first; one without a success marker is being written, or never was."""
+    return sorted((int(n[2:]) for n in sinks.folders(spark, f"{target}/versions") if n.startswith("v=")), reverse=True)
+
+
+def _done(spark: SparkSession, target: str, number: int) -> bool:
+    return sinks.exists(spark, f"{target}/versions/v={number}/_SUCCESS")
 
 
 def _newest(spark: SparkSession, target: str) -> tuple[int, str | None, list[str], list[int]]:
-    """(version, base, change folders, batches ever taken in since the oldest open one)."""
-    numbers = _versions(spark, target)
-    if not numbers:
+    """(version, base, change folders, ids of the last batches)."""
+    number = next((n for n in _versions(spark, target) if _done(spark, target, n)), -1)
+    if number < 0:
         return -1, None, [], []
-    row = spark.read.schema(VERSION).json(f"{target}/versions/v={numbers[-1]}").first()
-    return numbers[-1], row["base"], row["changes"], row["batches"]
+    row = spark.read.schema(VERSION).json(f"{target}/versions/v={number}").first()
+    return number, row["base"], row["changes"], row["batches"]
 
 
 def _publish(spark: SparkSession, target: str, number: int, base: str | None, changes: list[str], batches: list[int]) -> None:
-    """Fails if the version is there: another writer was first."""
-    row = spark.createDataFrame([(base, changes, batches)], VERSION)
-    row.coalesce(1).write.mode("error").json(f"{target}/versions/v={number}")
+    """Fails if the version is there: another writer was first. One that was begun and stays unfinished is of a lost writer."""
+    path = f"{target}/versions/v={number}"
+    end = time.monotonic() + STALE_SECONDS
+    while sinks.exists(spark, path) and not _done(spark, target, number):
+        if time.monotonic() >= end:
+            sinks.remove(spark, path)
+            break
+        time.sleep(1)
+    spark.createDataFrame([(base, changes, batches)], VERSION).coalesce(1).write.mode("error").json(path)
+    sinks.remove(spark, f"{target}/versions/v={number - LISTED_VERSIONS}")  # the list alone; its folders go with `clean`
+
+
+def _advance(spark: SparkSession, target: str, change: Callable[[str | None, list[str], list[int]], tuple]) -> None:
+    """Publishes what `change` makes of the newest version; anew if another writer was first."""
+    while True:
+        number, *now = _newest(spark, target)
+        try:
+            _publish(spark, target, number + 1, *change(*now))
+            return
+        except Exception:
+            if _newest(spark, target)[0] == number:  # nobody was
+                raise
 
 
 def upsert_batch(
@@ -55,14 +83,13 @@ def upsert_batch(
     publishes it once; an empty batch publishes nothing. Batch ids rise, as those of a stream do.
     """
     spark = batch.sparkSession
-    number, base, changes, batches = _newest(spark, target)
-    if batch_id in batches or batch.isEmpty():
+    if batch_id in _newest(spark, target)[3] or batch.isEmpty():
         return
     folder = f"changes/batch={batch_id}"
     arrived = F.lit(batch_id).cast("bigint").alias(ORDER)
     last_of_each(batch, key, list(order)).select("*", arrived).write.mode("overwrite").parquet(f"{target}/{folder}")
     # of the batches only the newest can come again
-    _publish(spark, target, number + 1, base, [*changes, folder], [*batches, batch_id][-KEPT_VERSIONS:])
+    _advance(spark, target, lambda base, changes, batches: (base, [*changes, folder], [*batches, batch_id][-KEPT_VERSIONS:]))
 
 
 def _merged(base: DataFrame | None, changes: DataFrame | None, key: str) -> DataFrame:
@@ -133,18 +160,12 @@ def _compact(spark: SparkSession, target: str, schema, key: str, partition: str
         made = f"base/v={number}"
         rows = _read(spark, target, _schema(schema), base, changes, key)
         rows.hint("rebalance", partition).write.mode("overwrite").partitionBy(partition).parquet(f"{target}/{made}")
-    for _ in range(100):
-        now, old_base, all_changes, batches = _newest(spark, target)
-        rest = all_changes[len(changes):]
-        try:
-            if partition is None:
-                _publish(spark, target, now + 1, old_base, [made, *rest], batches)
-            else:
-                _publish(spark, target, now + 1, made, rest, batches)
-            return
-        except Exception:
-            if _newest(spark, target)[0] == now:  # not a batch that was first
-                raise
+
+    def change(now_base: str | None, now: list[str], batches: list[int]) -> tuple:
+        rest = [c for c in now if c not in changes]
+        return (now_base, [made, *rest], batches) if partition is None else (made, rest, batches)
+
+    _advance(spark, target, change)
 
 
 def clean(spark: SparkSession, target: str, keep: int = KEPT_VERSIONS) -> None:
@@ -152,7 +173,7 @@ def clean(spark: SparkSession, target: str, keep: int = KEPT_VERSIONS) -> None:
 
     A change folder of a batch that is being written is newer than all that are named, and stays.
     """
-    numbers = _versions(spark, target)
+    numbers = sorted(n for n in _versions(spark, target) if _done(spark, target, n))
     kept = numbers[-keep:]
     if not kept:
         return

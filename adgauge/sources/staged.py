@@ -28,9 +28,14 @@ def _numbers(spark: SparkSession, path: str, prefix: str) -> list[int]:
     return sorted(int(n[cut:]) for n in sinks.folders(spark, path) if n.startswith(prefix))
 
 
+def _done(spark: SparkSession, path: str) -> list[int]:
+    """Versions with a success marker."""
+    return [n for n in _numbers(spark, f"{path}/versions", "v=") if sinks.exists(spark, f"{path}/versions/v={n}/_SUCCESS")]
+
+
 def _newest(spark: SparkSession, path: str) -> tuple[int, int, dict[str, int]]:
     """(version, last batch folded, day -> version that holds it)."""
-    done = [n for n in _numbers(spark, f"{path}/versions", "v=") if sinks.exists(spark, f"{path}/versions/v={n}/_SUCCESS")]
+    done = _done(spark, path)
     if not done:
         return -1, -1, {}
     row = spark.read.schema(VERSION).json(f"{path}/versions/v={done[-1]}").first()
@@ -62,7 +67,10 @@ def read_staged(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def compact(spark: SparkSession, path: str, schema, upto: int) -> None:
-    """Folds the live batches up to `upto`, one that the stream has completed. Rewrites the days that they touch only."""
+    """Folds the live batches up to `upto`, one that the stream has completed. Rewrites the days that they touch only.
+
+    One compaction runs at a time; what a lost one began is overwritten by the next.
+    """
     number, before, days = _newest(spark, path)
     folders = _live(spark, path, before, upto)
     if not folders:
@@ -73,12 +81,12 @@ def compact(spark: SparkSession, path: str, schema, upto: int) -> None:
     rows = _rows(spark, schema, folders, old)
     rows.hint("rebalance", "date").write.mode("overwrite").partitionBy("date").parquet(f"{path}/folded/v={made}")
     row = spark.createDataFrame([(upto, {**days, **dict.fromkeys(touched, made)})], VERSION)
-    row.coalesce(1).write.mode("error").json(f"{path}/versions/v={made}")
+    row.coalesce(1).write.mode("overwrite").json(f"{path}/versions/v={made}")
 
 
 def clean(spark: SparkSession, path: str, keep: int = 2) -> None:
     """Removes live batches, days and versions that none of the last `keep` versions needs."""
-    numbers = _numbers(spark, f"{path}/versions", "v=")[-keep:]
+    numbers = _done(spark, path)[-keep:]
     if not numbers:
         return
     kept = spark.read.schema(VERSION).json([f"{path}/versions/v={n}" for n in numbers]).collect()

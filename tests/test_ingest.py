@@ -99,6 +99,17 @@ def test_batch_writes_its_own_rows_only_and_unpublished_ones_are_not_read(spark)
     assert len(rows) == 500 and ("k3", "x", "2024-01-30") in rows
 
 
+def test_version_of_a_lost_writer_is_taken_over(spark, monkeypatch):
+    target, t0 = scratch_path(spark, "t"), dt.datetime(2024, 1, 1)
+    keyed.upsert_batch(batch(spark, [("a", "e1", t0, day(1))]), 0, target)
+    spark.range(1).write.json(f"{target}/versions/v=1")
+    sinks.remove(spark, f"{target}/versions/v=1/_SUCCESS")
+    monkeypatch.setattr(keyed, "STALE_SECONDS", 0)
+    assert table(spark, target) == [("a", "e1", "2024-01-01")]
+    keyed.upsert_batch(batch(spark, [("a", "e2", t0, day(1))]), 1, target)
+    assert keyed.version(spark, target) == 1 and table(spark, target) == [("a", "e2", "2024-01-01")]
+
+
 def test_compaction_beside_batches_and_cleaning(spark, monkeypatch):
     target, t0 = scratch_path(spark, "t"), dt.datetime(2024, 1, 1)
     rows = lambda n: batch(spark, [(f"k{n % 3}", f"e{n}", t0, day(1 + n)), (None, f"n{n}", t0, None)])
