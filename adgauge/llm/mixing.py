@@ -233,7 +233,9 @@ def mix(
         warnings.warn(f"{len(missed)} of {len(off)} margins missed by more than {MISS}: " + ", ".join(f"{m} {x} by {missed[m, x]:+.4f}" for m, x in worst[:20]), stacklevel=2)
     far = {k: max(abs(off.get(place, 0.0)) for place in zip(targets, k, strict=True)) for k in cells}
     spark = docs.sparkSession
-    found = spark.createDataFrame([(*k, p, far[k]) for k, p in rates.items()], "mix_source string, mix_lang string, mix_topic string, probability double, margin_off double")
+    shape = "mix_source string, mix_lang string, mix_topic string, probability double, margin_off double"
+    # a table, so that Spark knows its size and need not shuffle the documents while it is small
+    found = cut(spark.createDataFrame([(*k, p, far[k]) for k, p in rates.items()], shape))
     return _sampled(marked, found, rest, cell)
 
 
