@@ -41,3 +41,8 @@ def test_surveys_are_not_broadcast(spark, name):
 def test_pool_of_panelists_is_not_broadcast(spark):
     shown = plan(Views(spark, SMALL).joined)
     assert "LeftSemi" in shown and not any("BroadcastHashJoin" in x and "LeftSemi" in x for x in shown.splitlines())
+
+
+def test_tests_of_lift_share_the_written_rows(spark):
+    shown = plan(contract.queries()["e21_lift_results_by_test"](spark, SMALL))
+    assert not any(name in shown for name in ("customer.parquet", "orders.parquet", "part.parquet", "events.parquet"))
