@@ -5,7 +5,7 @@ import random
 import pytest
 
 import __spark_entry__ as contract
-from adgauge.operators import surveys
+from adgauge.operators import surveys, tables
 from adgauge.plans.views import Views
 from adgauge.schemas import ANSWERS
 from tests.conftest import SMALL
@@ -46,3 +46,18 @@ def test_pool_of_panelists_is_not_broadcast(spark):
 def test_tests_of_lift_share_the_written_rows(spark):
     shown = plan(contract.queries()["e21_lift_results_by_test"](spark, SMALL))
     assert not any(name in shown for name in ("customer.parquet", "orders.parquet", "part.parquet", "events.parquet"))
+
+
+def test_eligible_panelists_by_counts_of_audiences(spark):
+    rng = random.Random(3)
+    some = lambda values, least: ",".join(rng.sample(values, rng.randint(least, len(values))))
+    people = [(rng.choice([None, *(f"p{i}" for i in range(40))]), rng.choice(["18-24", "25-34", None]), rng.choice(["M", "F", ""]), rng.choice(["US", "DE", None]),
+               rng.choice([None, "", some(["Sport", "news", "cars"], 1)])) for _ in range(60)]
+    wanted = [(f"c{rng.randint(0, 25)}", some(["18-24", "25-34"], 0), some(["M", "F"], 0), some(["US", "DE"], 1), some(["sport", "News"], 0)) for _ in range(40)]
+    p = spark.createDataFrame(people, "panelist_id string, age_range string, gender string, country string, interests string")
+    split = lambda c: f"filter(split({c}, ','), x -> x <> '') AS {c}"
+    c = spark.createDataFrame(wanted, "campaign_id string, age_range string, gender string, countries string, interests string").selectExpr(
+        "campaign_id", f"struct({', '.join(split(x) for x in ('age_range', 'gender', 'interests', 'countries'))}) AS target_audience")
+    pairs = tables.eligible_panelists(p, c).groupBy("panelist_id").agg({"*": "count", "campaign_id": "min"}).selectExpr("panelist_id", "`count(1)`", "`min(campaign_id)`")
+    found = tables.eligible_panelists(p, c, per_panelist=True).select("panelist_id", "campaigns", "first_campaign")
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(map(tuple, pairs.collect()), key=repr) and found.count() > 10
