@@ -44,10 +44,17 @@ def _streamed(v):
     return StreamViews(v.spark, v.folder)
 
 
+def _event_stream(v):
+    """Every streamed event, beside the roll-up of its campaign in the written table."""
+    rows = _to_table(v, _streamed(v).events.select("event_id", "campaign_id", "seq"))
+    told = rows.groupBy(F.col("campaign_id").alias("of")).agg(F.count("*").alias("n"), F.sum("seq").alias("seq_sum"))
+    return rows.join(told, F.col("campaign_id").eqNullSafe(F.col("of"))).drop("of")
+
+
 query(
-    "a05_event_stream_source",
-    lambda v: _to_table(v, _streamed(v).events.select("event_id", "campaign_id", "seq")),
-    "SELECT event_id, campaign_id, seq FROM raw_events",
+    "a05_event_stream_source", _event_stream,
+    """SELECT event_id, campaign_id, seq, n, seq_sum FROM raw_events JOIN (SELECT campaign_id AS of_campaign, count(*) AS n, sum(seq)::bigint AS seq_sum
+      FROM raw_events GROUP BY 1) ON campaign_id IS NOT DISTINCT FROM of_campaign""",
 )
 
 

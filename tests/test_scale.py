@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import pytest
 
 import __spark_entry__ as contract
@@ -9,6 +10,7 @@ from adgauge.operators import surveys, tables
 from adgauge.plans.views import Views
 from adgauge.schemas import ANSWERS
 from tests.conftest import SMALL
+from tests.test_catalog import canonical
 
 
 def plan(df):
@@ -61,3 +63,14 @@ def test_eligible_panelists_by_counts_of_audiences(spark):
     pairs = tables.eligible_panelists(p, c).groupBy("panelist_id").agg({"*": "count", "campaign_id": "min"}).selectExpr("panelist_id", "`count(1)`", "`min(campaign_id)`")
     found = tables.eligible_panelists(p, c, per_panelist=True).select("panelist_id", "campaigns", "first_campaign")
     assert sorted(map(tuple, found.collect()), key=repr) == sorted(map(tuple, pairs.collect()), key=repr) and found.count() > 10
+
+
+def test_stream_source_tells_events_and_campaigns(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{SMALL}/events.parquet'")
+    df = contract.queries()["a05_event_stream_source"](spark, SMALL)
+    cursor = con.execute(contract.oracle_sql()["a05_event_stream_source"])
+    columns = [c[0] for c in cursor.description]
+    assert sorted(columns) == sorted(df.columns) == ["campaign_id", "event_id", "n", "seq", "seq_sum"]
+    rows = cursor.fetchall()
+    assert canonical(df.collect(), df.columns) == canonical(rows, columns) and rows
