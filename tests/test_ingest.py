@@ -331,6 +331,28 @@ def test_event_within_the_lateness_is_counted_with_all_its_points(spark):
     assert run(3, [30]) == {"e30": 4}
 
 
+def test_batch_over_many_days_leaves_only_points_that_later_events_reach(spark):
+    path, base = scratch_path(spark, "points"), 1_699_999_200  # a whole hour
+    days = [i * 600 for i in range(6 * 144)]
+
+    def run(number, seconds):
+        df = spark.createDataFrame([(f"e{s}", f"ip{s % 7}", base + s) for s in seconds], "event_id string, ip string, s bigint").repartition(4).select(
+            "event_id", "ip", F.timestamp_seconds("s").alias("timestamp"), F.timestamp_seconds(F.lit(base + 10**7)).alias("processed_at"))
+        return {r.event_id: r.n_day for r in ingest.with_history(df, number, path, "ip", {"n_day": 86400}, lateness=3600).collect()}
+
+    def wanted(s, seen):
+        return sum(x % 7 == s % 7 and s - 86400 < x <= s for x in seen)
+
+    assert run(0, days) == {f"e{s}": wanted(s, days) for s in days}
+    hours = {int(name[5:]) - base // 3600: sinks.folders(spark, f"{path}/{name}") for name in sinks.folders(spark, path) if name.startswith("hour=")}
+    last = days[-1] // 3600
+    assert sorted(hours) == list(range((days[-1] - 90_000) // 3600, last + 1)) and all(v == ["batch=0"] for v in hours.values())
+    files = [len(spark.read.parquet(f"{path}/hour={h + base // 3600}").inputFiles()) for h in hours]
+    assert files == [1] * len(hours)
+    later = [days[-1] - 3600, days[-1] + 60, days[-1] + 420]  # the first as late as may be
+    assert run(1, later) == {f"e{s}": wanted(s, days + later) for s in later}
+
+
 def test_unknown_rules_are_rejected(spark):
     with pytest.raises(ValueError):
         events.apply_bot_rules(spark.range(1).select(F.lit("x").alias("user_agent")), "nope")
