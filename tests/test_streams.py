@@ -103,6 +103,25 @@ def test_landed_files_hold_no_more_than_asked(spark):
     assert sum(sizes) == 50 and max(sizes) <= 10
 
 
+def test_lanes_have_every_capped_file_once(spark):
+    base, schema = scratch_path(spark, "lanes"), spark.range(1).schema
+    for start, end in ((0, 112), (112, 115)):  # 23 files and one
+        spark.range(start, end).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        _finish(ingest.land_events(readers.read_table_stream(spark, f"{base}/in", schema), f"{base}/out", f"{base}/c", 5, availableNow=True))
+    batches = []
+
+    def start(lane):
+        stream = readers.read_landed_stream(spark, f"{base}/out", schema, lane)
+        writer = stream.writeStream.foreachBatch(lambda batch, n: batches.append((lane, n, [r.id for r in batch.collect()])))
+        return writer.option("checkpointLocation", f"{base}/d/{lane}").trigger(availableNow=True).start()
+
+    for handle in [start(lane) for lane in range(readers.LANES)]:
+        _finish(handle)
+    assert sorted(i for *_, ids in batches for i in ids) == [*range(115)]
+    assert len({(lane, n) for lane, n, _ in batches}) == len(batches) == 24 and max(len(ids) for *_, ids in batches) == 5
+    assert {lane for lane, *_ in batches} == {*range(readers.LANES)}
+
+
 def test_staged_days_are_folded_beside_the_stream(spark):
     path, schema = scratch_path(spark, "staged"), "n long, date date"
     day = lambda n: dt.date(2024, 1, n)
