@@ -45,6 +45,13 @@ def test_pool_of_panelists_is_not_broadcast(spark):
     assert "LeftSemi" in shown and not any("BroadcastHashJoin" in x and "LeftSemi" in x for x in shown.splitlines())
 
 
+def test_metric_rows_stream_past_exposures_and_cohorts(spark):
+    for name in ("e19_cohort_moments", "c04_join_metrics"):
+        shown = plan(contract.queries()[name](spark, SMALL))
+        assert "SortMergeJoin" not in shown and "BroadcastHashJoin [campaign_id" not in shown and "BroadcastHashJoin [panelist_id" not in shown
+        assert any("ShuffledHashJoin" in x and "campaign_id" in x for x in shown.splitlines())
+
+
 def test_tests_of_lift_share_the_written_rows(spark):
     shown = plan(contract.queries()["e21_lift_results_by_test"](spark, SMALL))
     assert not any(name in shown for name in ("customer.parquet", "orders.parquet", "part.parquet", "events.parquet"))
