@@ -122,6 +122,30 @@ def test_lanes_have_every_capped_file_once(spark):
     assert {lane for lane, *_ in batches} == {*range(readers.LANES)}
 
 
+def test_streams_with_plain_commits_go_on_after_a_restart(spark):
+    base, schema = scratch_path(spark, "plain"), spark.range(1).schema
+    assert spark.conf.get(ingest.COMMIT_MANAGER, None) is None
+    seen = []
+    for start, end in ((0, 12), (12, 15)):
+        spark.range(start, end).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        with ingest.plain_commits(spark):
+            stream = readers.read_table_stream(spark, f"{base}/in", schema)
+            writer = stream.writeStream.foreachBatch(lambda batch, n: seen.append((n, sorted(r.id for r in batch.collect()))))
+            handle = ingest.checkpointed(writer, f"{base}/c").trigger(availableNow=True).start()
+        assert spark.conf.get(ingest.COMMIT_MANAGER, None) is None
+        _finish(handle)
+    assert seen == [(0, [*range(12)]), (1, [*range(12, 15)])]
+
+
+def test_capped_batches_are_opened_once(spark):
+    from adgauge.plans.registry import QUERIES
+    from tests.conftest import SMALL
+
+    df = QUERIES["a05_capped_batches"](spark, SMALL)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+    assert df.filter("within").count() == df.select("seq").distinct().count() == spark.read.parquet(f"{SMALL}/events.parquet").count()
+
+
 def test_staged_days_are_folded_beside_the_stream(spark):
     path, schema = scratch_path(spark, "staged"), "n long, date date"
     day = lambda n: dt.date(2024, 1, n)
