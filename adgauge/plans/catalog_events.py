@@ -93,9 +93,7 @@ def _documents(v):
     lines = readers.read_json_lines(v.spark, path, schemas.SURVEY)
     # the same documents as files that hold one JSON array each
     arrays = scratch_path(v.spark, "arrays")
-    v.spark.read.text(path).groupBy(F.pmod(F.xxhash64("value"), F.lit(8))).agg(
-        F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit("]")).alias("value")
-    ).select("value").repartition(8).write.text(arrays)
+    sinks.export_arrays(v.spark.read.text(path), arrays)
     back = readers.read_documents(v.spark, f"{arrays}/part-*", schemas.SURVEY).unionByName(lines.limit(0))
     return back.select(
         "survey_id", "campaign_id", "status", F.size("questions").cast("bigint").alias("questions"),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +43,20 @@ def export_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def export_arrays(lines: DataFrame, path: str, files: int = 8) -> None:
+    """JSON documents, one per row of `value`, as files that hold one JSON array each; a task streams its file."""
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = "["
+        for batch in batches:
+            rows = [("," if i else before) + row for i, row in enumerate(batch.column("value").to_pylist())]
+            before = "," if rows else before
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if before == "[" else "]"])], ["value"])
+
+    lines.select("value").repartition(files, "value").mapInArrow(marked, "value string").write.mode("overwrite").text(path)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
