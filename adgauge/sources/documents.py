@@ -17,36 +17,43 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SUMS = "path string, start long, flips boolean, outside long, inside long, n_bytes long"
-PARTS = "path string, start long, part int, closes boolean, text binary"
+PARTS = "path string, start long, part int, closes boolean, text binary, folder array<string>"
+WHOLE = "text binary, folder array<string>"
 QUOTE, OPEN, CLOSE = b'"{}'
 AROUND = b"[], \r\n\t"  # what may stand around a document of an array
 
-Block = tuple[str, int, int]  # file, where the block begins, bytes of the file
+Block = tuple[str, int, int, list[str]]  # file, where the block begins, bytes of the file, values that its folders name
 States = dict[tuple[str, int], tuple[bool, int, int]]
 
 
 def document_texts(spark: SparkSession, path: str) -> DataFrame:
-    """The documents of the files at `path` as `text`, a row each. Files are UTF-8; what is left of a broken file is a row too.
+    """The documents of the files at `path` as `text`, a row each, and what folders name in a struct `folder`, if they do.
 
-    If files are split, their blocks are counted at once, and the documents are cut when the result is read.
+    Files are UTF-8; what is left of a broken file is a row too. If files are split, their blocks are counted at once, and
+    the documents are cut when the result is read.
     """
-    pieces = spark.read.option("lineSep", "}").text(path).select(
+    read = spark.read.option("lineSep", "}").text(path)
+    named = read.schema.fields[1:]
+    pieces = read.select(
         F.col("value").cast("binary").alias("piece"), F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_size").alias("size"),
+        F.array(*[F.col(f"`{f.name}`").cast("string") for f in named]).cast("array<string>").alias("folder"),
     )
+    folder = F.struct(*[F.col("folder")[i].cast(f.dataType).alias(f.name) for i, f in enumerate(named)]).alias("folder")
+    given = [_trimmed("text"), *[folder] * bool(named)]
     longest = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0] or 0
     # Spark splits no file that is as short as either
     split = longest > min(_conf_bytes(spark, "openCostInBytes"), _conf_bytes(spark, "maxPartitionBytes"))
     states = _states(pieces) if split else None
-    whole = pieces.mapInArrow(lambda batches: _whole(batches, states), "text binary").select(_trimmed("text"))
+    whole = pieces.mapInArrow(lambda batches: _whole(batches, states), WHOLE).select(*given)
     if not split:
         return whole
     # a document that lies in several blocks is put together; a block has two such parts at most
     before = Window.partitionBy("path").orderBy("start", "part").rowsBetween(Window.unboundedPreceding, -1)
     parts = pieces.mapInArrow(lambda batches: _parts(batches, states), PARTS)
     numbered = parts.withColumn("n", F.coalesce(F.sum(F.col("closes").cast("long")).over(before), F.lit(0)))
-    joined = numbered.groupBy("path", "n").agg(F.array_sort(F.collect_list(F.struct("start", "part", "text"))).alias("parts"))
-    met = joined.select(F.expr("aggregate(parts, X'', (a, p) -> a || p.text)").alias("text")).select(_trimmed("text"))
+    joined = numbered.groupBy("path", "n").agg(F.array_sort(F.collect_list(F.struct("start", "part", "text"))).alias("parts"), F.first("folder").alias("folder"))
+    met = joined.select(F.expr("aggregate(parts, X'', (a, p) -> a || p.text)").alias("text"), "folder").select(*given)
     return whole.unionByName(met.filter("text <> ''"))
 
 
@@ -76,7 +83,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, list[bytes
         new = np.flatnonzero(pc.not_equal(paths[1:], paths[:-1]).to_numpy(zero_copy_only=False) | (starts[1:] != starts[:-1])) + 1
         pieces = batch.column("piece").to_pylist()
         for i, j in zip([0, *new.tolist()], [*new.tolist(), batch.num_rows], strict=True):
-            yield (paths[i].as_py(), int(starts[i]), batch.column("size")[i].as_py()), pieces[i:j]
+            yield (paths[i].as_py(), int(starts[i]), batch.column("size")[i].as_py(), batch.column("folder")[i].as_py()), pieces[i:j]
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, bytes | None]]:
@@ -103,7 +110,7 @@ def _marks(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _block_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per block: whether its quotes are odd, the sum of its braces if it begins outside and inside a string, and its bytes."""
     odd, sums, n_bytes = False, [0, 0], 0
-    for (path, start, _), text in _chunks(batches):
+    for (path, start, *_), text in _chunks(batches):
         _, flips, step = _marks(b"}" if text is None else text)
         for inside in (False, True):
             sums[inside] += int(step[flips == (odd ^ inside)].sum())
@@ -148,19 +155,20 @@ def _cut(batches: Iterator[pa.RecordBatch], states: States | None) -> Iterator[t
 
 
 def _whole(batches: Iterator[pa.RecordBatch], states: States | None) -> Iterator[pa.RecordBatch]:
-    for _, documents, parts in _cut(batches, states):
+    for (*_, folder), documents, parts in _cut(batches, states):
         if states is None:
             documents += [text for *_, text in parts if text.strip(AROUND)]
         if documents:
-            yield pa.RecordBatch.from_arrays([pa.array(documents, pa.binary())], ["text"])
+            yield pa.RecordBatch.from_arrays([pa.array(documents, pa.binary()), pa.array([folder] * len(documents), pa.list_(pa.string()))], schema=_arrow(WHOLE))
 
 
 def _parts(batches: Iterator[pa.RecordBatch], states: States) -> Iterator[pa.RecordBatch]:
-    for (path, start, _), _, parts in _cut(batches, states):
+    for (path, start, _, folder), _, parts in _cut(batches, states):
         if parts:
-            yield pa.RecordBatch.from_pylist([{"path": path, "start": start, "part": n, "closes": closes, "text": text} for n, closes, text in parts], _arrow(PARTS))
+            rows = [{"path": path, "start": start, "part": n, "closes": closes, "text": text, "folder": folder} for n, closes, text in parts]
+            yield pa.RecordBatch.from_pylist(rows, _arrow(PARTS))
 
 
 def _arrow(shape: str) -> pa.Schema:
-    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(), "array<string>": pa.list_(pa.string())}
     return pa.schema([(name, kinds[kind]) for name, kind in (column.split(" ") for column in shape.split(", "))])

@@ -6,11 +6,14 @@ import uuid
 from pathlib import Path
 
 import pytest
+from pyspark.sql.types import ArrayType
 
+from adgauge import schemas
 from adgauge.session import scratch_path
 from adgauge.sources import readers, sinks
 
-SHAPE = "id long, text string, parts array<struct<name:string,n:long>>, m map<string,string>"
+SHAPE = schemas.fields(
+    ("id", schemas.LONG), ("text", schemas.TEXT), ("parts", ArrayType(schemas.fields(("name", schemas.TEXT), ("n", schemas.LONG)))), ("m", schemas.TEXT_MAP))
 
 
 def folder(spark, files):
@@ -63,6 +66,20 @@ def test_documents_across_blocks_are_whole(spark, split, block):
     assert len(rows) == len(got) == 401 and {i: got[i] for i in want} == want
 
 
+@pytest.mark.parametrize("block", [16, 1 << 20])
+def test_folders_name_columns(spark, split, block):
+    base = Path(scratch_path(spark, "arrays").removeprefix("file:"))
+    for i, name in enumerate(("day=2024-01-02/id=7", "day=2024-01-03/id=8")):
+        base.joinpath(name).mkdir(parents=True)
+        base.joinpath(name, "part-0").write_text(json.dumps([{"text": f"{i} {k}"} for k in range(5)]))
+    shape = schemas.fields(("id", schemas.LONG), ("text", schemas.TEXT))
+    want = spark.read.schema(shape).option("multiLine", True).json(str(base))
+    split(block)
+    got = readers.read_documents(spark, str(base), shape)
+    assert got.dtypes == want.dtypes == [("text", "string"), ("day", "date"), ("id", "bigint")]
+    assert sorted(got.collect()) == sorted(want.collect()) and got.count() == 10
+
+
 def test_several_arrays_in_a_file_are_all_read(spark):
     path = folder(spark, ['[{"id":1},{"id":2}]\n[{"id":3}]\n', '{"id":4}'])
     assert sorted(r.id for r in readers.read_documents(spark, path, SHAPE).collect()) == [1, 2, 3, 4]
