@@ -112,13 +112,14 @@ def test_no_documents(spark):
 def test_query_reads_every_document_when_partitions_stay_small(spark):
     from adgauge.plans import catalog_events  # noqa: F401
     from adgauge.plans.registry import QUERIES
-    from tests.conftest import SMALL
 
-    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    base, name = scratch_path(spark, "tables"), "spark.sql.adaptive.coalescePartitions.enabled"
     before = spark.conf.get(name)
+    columns = ["id AS p_partkey", "concat('part ', id) AS p_name", "'b' AS p_brand", "'t' AS p_type", "7 AS p_size", "1.5D AS p_retailprice"]
+    spark.range(200).selectExpr(*columns).write.parquet(f"{base}/part.parquet")
     spark.conf.set(name, "false")
     try:
-        got = [r.survey_id for r in QUERIES["a07_read_documents"](spark, SMALL).collect()]
+        got = [r.survey_id for r in QUERIES["a07_read_documents"](spark, base).collect()]
     finally:
         spark.conf.set(name, before)
-    assert sorted(got) == sorted(f"survey_{r.p_partkey}" for r in spark.read.parquet(f"{SMALL}/part.parquet").collect())
+    assert sorted(got) == sorted(f"survey_{n}" for n in range(200))

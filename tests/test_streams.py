@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from adgauge.operators import addresses, rates
 from adgauge.plans.catalog_streams import _finish
+from adgauge.plans.registry import QUERIES
 from adgauge.session import scratch_path
 from adgauge.sources import readers, sinks, staged
 from adgauge.streaming import ingest, reach
@@ -138,12 +139,12 @@ def test_streams_with_plain_commits_go_on_after_a_restart(spark):
 
 
 def test_capped_batches_are_opened_once(spark):
-    from adgauge.plans.registry import QUERIES
-    from tests.conftest import SMALL
-
-    df = QUERIES["a05_capped_batches"](spark, SMALL)
+    base = scratch_path(spark, "tables")
+    columns = ["id AS event_id", "timestamp_seconds(id) AS ts", "id % 9 AS user_id", "'click' AS event_type", "0.5D AS value", "'{\"k\": 1}' AS props"]
+    spark.range(900).selectExpr(*columns).coalesce(1).write.parquet(f"{base}/events.parquet")
+    df = QUERIES["a05_capped_batches"](spark, base)
     assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
-    assert df.filter("within").count() == df.select("seq").distinct().count() == spark.read.parquet(f"{SMALL}/events.parquet").count()
+    assert df.filter("within").count() == df.select("seq").distinct().count() == 900
 
 
 def test_staged_days_are_folded_beside_the_stream(spark):
